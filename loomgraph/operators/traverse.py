@@ -63,13 +63,14 @@ def bfs(
         max_nodes = DEFAULT_MAX_NODES
     steps = hops(edges, direction, kinds)
     hubs = materialize(hot_keys(steps.select("id"), ["id"]), "bfs-hubs")
+    spread = {"hot_rows": None} if hubs.isEmpty() else {"hot": hubs}
     frontier = materialize(seeds.select("seed", F.col("seed").alias("id")).distinct(), "bfs-seeds")
     seen = frontier.withColumn("depth", F.lit(0))
     for level in range(1, depth + 1):
         if max_nodes is None:
-            reached = salted_join(steps, frontier, ["id"], hot=hubs)
+            reached = salted_join(steps, frontier, ["id"], **spread)
         else:
-            touched = salted_join(steps, frontier.select("id").distinct(), ["id"], "left_semi", hot=hubs)
+            touched = salted_join(steps, frontier.select("id").distinct(), ["id"], "left_semi", **spread)
             nearest = top_per_key(touched, ["id"], [F.col("next")], max_nodes * (depth + 1) + 1, ties=True)
             reached = nearest.join(frontier, "id")
         fresh = (

@@ -1,0 +1,6 @@
+"""Registered queries over the driver tables."""
+
+from loomgraph.plans import graph_queries  # noqa: F401
+from loomgraph.plans.registry import ORACLES, PLANS, runner
+
+__all__ = ["ORACLES", "PLANS", "runner"]

@@ -20,6 +20,9 @@ TABLES = {
 }
 #: ``files`` comes last: it decides what a repeated run considers unchanged.
 WRITE_ORDER = ("symbols", "callsites", "refs", "edges", "files")
+#: A column that every real row fills.  Rows without it only mark a repository
+#: as written, so that a table that became empty replaces its old partition.
+FILLED = {"files": "path", "symbols": "kind", "edges": "kind", "callsites": "callee_text", "refs": "ref_text"}
 
 
 def create_tables(spark: SparkSession, base: str) -> None:
@@ -34,23 +37,28 @@ def read_table(spark: SparkSession, base: str, name: str, repo_ids: Sequence[int
     table = spark.read.schema(schema).parquet(f"{base}/{name}")
     if repo_ids is not None:
         table = table.where(F.col("repo_id").isin(*repo_ids))
-    return table.select(*schema.names)
+    return table.where(F.col(FILLED[name]).isNotNull()).select(*schema.names)
 
 
 def read_tables(spark: SparkSession, base: str, repo_ids: Sequence[int] | None = None) -> dict[str, DataFrame]:
     return {name: read_table(spark, base, name, repo_ids) for name in TABLES}
 
 
-def write_tables(tables: dict[str, DataFrame], base: str) -> None:
-    """Replace the repositories that occur in the new rows; others are not touched.
+def write_tables(tables: dict[str, DataFrame], repos: DataFrame, base: str) -> None:
+    """Replace the given repositories (repo_id) by the new rows; others are not touched.
 
     Rows are stored in the scratch folder first, because they may come from the
     very partitions that are replaced.
     """
     stored = {name: materialize(tables[name], f"next-{name}") for name in WRITE_ORDER if name in tables}
     for name, rows in stored.items():
+        marks = repos.select("repo_id").distinct().select(*[
+            F.col("repo_id") if f.name == "repo_id" else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in TABLES[name]
+        ])
         (
-            rows.write.mode("overwrite")
+            rows.unionByName(marks)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("repo_id")
             .parquet(f"{base}/{name}")

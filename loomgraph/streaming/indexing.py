@@ -108,11 +108,14 @@ def index_once(
     Only the partitions of the repositories in ``files`` are read and replaced.
     """
     create_tables(spark, base)
-    repo_ids = [r.repo_id for r in files.select("repo_id").distinct().collect()]
-    tables = {n: materialize(t, n) for n, t in read_tables(spark, base, repo_ids).items()}
+    repos = materialize(files.select("repo_id").distinct(), "repos")
+    tables = {
+        name: table.join(repos, "repo_id", "left_semi").select(*table.columns)
+        for name, table in read_tables(spark, base).items()
+    }
     after, summary = index_files(tables, files, extractors, complete=complete, full=full)
     summary = materialize(summary, "summary")
-    write_tables(after, base)
+    write_tables(after, repos, base)
     return summary
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph import schemas
-from loomgraph.operators.knowledge import COLUMNS, store_batch, update_batch
+from loomgraph.operators.knowledge import COLUMNS, as_notes, store_batch, update_batch
 from loomgraph.session import materialize
 
 #: Requests of both kinds in one stream; ``op`` is store or update.
@@ -25,16 +25,24 @@ def create_store(spark: SparkSession, base: str) -> None:
     spark.createDataFrame([], OUTCOME).write.mode("ignore").partitionBy("batch").parquet(f"{base}/outcomes")
 
 
-def current_notes(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
-    """The notes as they were before a batch: the newest version of every id."""
+def current_notes(
+    spark: SparkSession, base: str, before: int | None = None, columns: Sequence[str] = COLUMNS,
+    ids: DataFrame | None = None,
+) -> DataFrame:
+    """The notes as they were before a batch: the newest version of every id.
+
+    Only the wanted columns are read; ``ids`` limits the rows.
+    """
     rows = spark.read.schema(NOTES).parquet(f"{base}/notes")
     if before is not None:
         rows = rows.where(F.col("batch") < before)
+    if ids is not None:
+        rows = rows.join(ids.select("id").distinct(), "id", "left_semi")
     return (
         rows.groupBy("id")
-        .agg(F.max_by(F.struct(*[c for c in COLUMNS if c != "id"]), "batch").alias("last"))
+        .agg(F.max_by(F.struct(*[c for c in columns if c != "id"]), "batch").alias("last"))
         .select("id", "last.*")
-        .select(*COLUMNS)
+        .select(*columns)
     )
 
 
@@ -52,21 +60,42 @@ def apply_requests(base: str) -> Callable[[DataFrame, int], None]:
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         requests = materialize(batch, "requests")
-        notes = current_notes(spark, base, before=batch_id)
-        outcome, added = store_batch(
-            materialize(notes, "notes"), requests.where("op = 'store'").select(*schemas.STORE_REQUEST.names)
-        )
-        before = materialize(notes.unionByName(added), "notes")
+        stores = requests.where("op = 'store'").select(*schemas.STORE_REQUEST.names)
         updates = requests.where("op = 'update'").select(*schemas.UPDATE_REQUEST.names)
-        update_outcome, after = update_batch(before, updates)
-        changed = after.join(updates.select("id").distinct(), "id", "left_semi").select(*COLUMNS)
-        fresh = added.join(changed.select("id"), "id", "left_anti").select(*COLUMNS).unionByName(changed)
-        for rows, name in ((outcome.unionByName(update_outcome), "outcomes"), (fresh, "notes")):
+        keys = current_notes(spark, base, batch_id, ("id", "scope", "normalized_title", "content_hash"))
+        incoming = as_notes(stores)
+        near = materialize(
+            _sharing(keys, incoming, "normalized_title").unionByName(_sharing(keys, incoming, "content_hash")).distinct(),
+            "near-notes",
+        )
+        outcome, fresh = store_batch(near, stores)
+        if not updates.isEmpty():
+            touched = materialize(current_notes(spark, base, batch_id, ids=updates), "touched-notes").unionByName(
+                fresh.select(*COLUMNS)
+            )
+            # Other notes only matter by their keys; their texts stay unread.
+            others = keys.join(updates.select("id").distinct(), "id", "left_anti")
+            blank = [
+                (F.col(f.name) if f.name in keys.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in schemas.KNOWLEDGE
+            ]
+            update_outcome, after = update_batch(touched.unionByName(others.select(*blank)), updates)
+            outcome = outcome.unionByName(update_outcome)
+            changed = after.join(updates.select("id").distinct(), "id", "left_semi").select(*COLUMNS)
+            fresh = fresh.join(changed.select("id"), "id", "left_anti").select(*COLUMNS).unionByName(changed)
+        for rows, name in ((outcome, "outcomes"), (fresh, "notes")):
             rows.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
 
     return run
 
 
+def _sharing(keys: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """Stored notes that share a key with an incoming note of their scope."""
+    return keys.join(incoming.select("scope", key).distinct(), ["scope", key], "left_semi").select(
+        "id", "scope", "normalized_title", "content_hash"
+    )
+
+
 def start(requests: DataFrame, base: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Run the loop on a stream of REQUEST rows."""
     create_store(requests.sparkSession, base)
