@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import col, trim_space
@@ -180,3 +180,14 @@ def import_class(c: Column | str) -> Column:
     text = col(c)
     path = trim_space(F.regexp_extract(text, r"import\s+([^;]+)", 1))
     return F.when(~F.contains(text, F.lit("import static ")) & path.rlike(r"\.[A-Z][^.]*$"), path)
+
+
+def resolve_types(rows: DataFrame) -> DataFrame:
+    """Add ``resolved``: the imported class, else the name in the own package, else the bare name.
+
+    ``rows`` has type_name, imported, package and src_fqn; a type that refers to
+    itself is dropped.
+    """
+    own = F.when(F.coalesce("package", F.lit("")) != "", F.concat("package", F.lit("."), "type_name"))
+    resolved = F.coalesce(F.col("imported"), own, F.col("type_name"))
+    return rows.withColumn("resolved", resolved).where("resolved <> src_fqn")

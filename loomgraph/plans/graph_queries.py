@@ -167,12 +167,12 @@ def ego_nodes(t: Tables) -> DataFrame:
 
 @query("lookup_fqn", "SELECT id, kind, name, fqn FROM {code_symbols} WHERE fqn = 'shop.io/ASIA.NATION_2'")
 def lookup_fqn(t: Tables) -> DataFrame:
-    return lookup.by_fqn(t.code_symbols, "shop.io/ASIA.NATION_2").select("id", "kind", "name", "fqn")
+    return lookup.by_fqn(t.stored("code_symbols"), "shop.io/ASIA.NATION_2").select("id", "kind", "name", "fqn")
 
 
 @query("lookup_name", "SELECT id, kind, name, fqn FROM {code_symbols} WHERE contains(lower(name), 'nation_1')")
 def lookup_name(t: Tables) -> DataFrame:
-    return lookup.by_name(t.code_symbols, "nation_1").select("id", "kind", "name", "fqn")
+    return lookup.by_name(t.stored("code_symbols"), "nation_1").select("id", "kind", "name", "fqn")
 
 
 @query("lookup_id", "SELECT id, name FROM {trade_symbols} WHERE id IN (SELECT l_suppkey * 4 + 2 FROM {lineitem})")
@@ -207,7 +207,7 @@ def asked(t: Tables) -> DataFrame:
     "WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.repo_id = a.repo_id AND e.query = a.query)",
 )
 def query_symbols(t: Tables) -> DataFrame:
-    return lookup.query_symbols(t.code_symbols, asked(t))
+    return lookup.query_symbols(t.stored("code_symbols"), asked(t))
 
 
 @query(
@@ -216,7 +216,7 @@ def query_symbols(t: Tables) -> DataFrame:
     "LEFT JOIN {code_symbols} s ON s.repo_id = a.repo_id AND s.fqn = a.query GROUP BY a.repo_id, a.query",
 )
 def fqn_ids(t: Tables) -> DataFrame:
-    return lookup.fqn_ids(t.code_symbols, asked(t))
+    return lookup.fqn_ids(t.stored("code_symbols"), asked(t))
 
 
 @query(
@@ -236,12 +236,12 @@ def fqn_ids(t: Tables) -> DataFrame:
     "LEFT JOIN near n ON n.repo_id = a.repo_id AND n.query = a.query",
 )
 def resolve_names(t: Tables) -> DataFrame:
-    return lookup.resolve_names(t.code_symbols, asked(t))
+    return lookup.resolve_names(t.stored("code_symbols"), asked(t))
 
 
 @query("public_symbols", "SELECT id, repo_id, file_id, lang, kind, name, coalesce(fqn, '') AS fqn FROM {code_symbols}")
 def public_symbols(t: Tables) -> DataFrame:
-    return lookup.public_symbols(t.code_symbols)
+    return lookup.public_symbols(t.stored("code_symbols"))
 
 
 # --- statistics -------------------------------------------------------------------
@@ -333,7 +333,7 @@ def graph_pruned(t: Tables) -> DataFrame:
 
 @query("graph_nodes_by_lang", "SELECT id, lang, kind, name, fqn FROM {code_symbols} WHERE lang = 'typescript'")
 def graph_nodes_by_lang(t: Tables) -> DataFrame:
-    return export.graph(t.code_symbols, t.trade_edges, "typescript")[0].select("id", "lang", "kind", "name", "fqn")
+    return export.graph(t.stored("code_symbols"), t.trade_edges, "typescript")[0].select("id", "lang", "kind", "name", "fqn")
 
 
 @query(

@@ -47,7 +47,7 @@ def parent_sql(rule: str) -> str:
 
 def _structural(rule: str):
     def plan(t: Tables) -> DataFrame:
-        return rules.structural_edges(t.code_symbols, [rule]).select(*KEY)
+        return rules.structural_edges(t.stored("code_symbols"), [rule]).select(*KEY)
 
     return plan
 
@@ -60,7 +60,7 @@ ALL_STRUCTURE = " UNION ".join(f"({parent_sql(r)})" for r in rules.PARENT_RULES)
 
 @query("structural_edges", f"SELECT kind, src, dst FROM ({ALL_STRUCTURE}) x")
 def structural_edges(t: Tables) -> DataFrame:
-    return rules.structural_edges(t.code_symbols).select(*KEY)
+    return rules.structural_edges(t.stored("code_symbols")).select(*KEY)
 
 
 # --- calls --------------------------------------------------------------------------
@@ -80,7 +80,7 @@ def call_sql(lang: str, same_lang: bool = False) -> str:
 
 def _calls(lang: str, same_lang: bool):
     def plan(t: Tables) -> DataFrame:
-        return rules.call_edges(t.code_symbols, t.code_callsites, [lang], same_lang=same_lang).select(*KEY)
+        return rules.call_edges(t.stored("code_symbols"), t.code_callsites, [lang], same_lang=same_lang).select(*KEY)
 
     return plan
 
@@ -120,12 +120,12 @@ EXTENDS_JAVA = (
 
 @query("implements_java", IMPLEMENTS_JAVA)
 def implements_java(t: Tables) -> DataFrame:
-    return rules.implements_java_edges(t.code_symbols, t.code_refs).select(*KEY)
+    return rules.implements_java_edges(t.stored("code_symbols"), t.code_refs).select(*KEY)
 
 
 @query("extends_java", EXTENDS_JAVA)
 def extends_java(t: Tables) -> DataFrame:
-    return rules.extends_edges(t.code_symbols, t.code_refs).select(*KEY)
+    return rules.extends_edges(t.stored("code_symbols"), t.code_refs).select(*KEY)
 
 
 def import_sql(langs: str) -> str:
@@ -137,12 +137,12 @@ def import_sql(langs: str) -> str:
 
 @query("imports_go", import_sql("'go'"))
 def imports_go(t: Tables) -> DataFrame:
-    return rules.import_edges(t.code_symbols, t.code_refs, ["go"]).select(*KEY)
+    return rules.import_edges(t.stored("code_symbols"), t.code_refs, ["go"]).select(*KEY)
 
 
 @query("imports_java", import_sql("'java'"))
 def imports_java(t: Tables) -> DataFrame:
-    return rules.import_edges(t.code_symbols, t.code_refs, ["java"]).select(*KEY)
+    return rules.import_edges(t.stored("code_symbols"), t.code_refs, ["java"]).select(*KEY)
 
 
 def override_sql(contains: str, hierarchy: str) -> str:
@@ -190,7 +190,7 @@ def reference_suffix_sql(lang: str) -> str:
 
 def _reference(rule, lang: str):
     def plan(t: Tables) -> DataFrame:
-        return rule(t.code_symbols, t.code_refs, [lang]).select(*KEY)
+        return rule(t.stored("code_symbols"), t.code_refs, [lang]).select(*KEY)
 
     return plan
 
@@ -249,7 +249,7 @@ NAMED = (
 
 
 def _named(t: Tables, provenance: str) -> DataFrame:
-    symbols = t.code_symbols.select(F.col("id").alias("src"), F.col("fqn").alias("src_fqn"))
+    symbols = t.stored("code_symbols").select(F.col("id").alias("src"), F.col("fqn").alias("src_fqn"))
     return t.code_refs.where(F.col("provenance") == provenance).join(symbols, "src").select(
         "repo_id", F.col("src").alias("file_id"), "src_fqn", "ref_text"
     )
@@ -264,7 +264,7 @@ def bind_sql(provenance: str, condition: str) -> str:
 
 def _bind(rule, provenance: str):
     def plan(t: Tables) -> DataFrame:
-        return rule(t.code_symbols, _named(t, provenance)).select("file_id", "src", "ref_text")
+        return rule(t.stored("code_symbols"), _named(t, provenance)).select("file_id", "src", "ref_text")
 
     return plan
 
