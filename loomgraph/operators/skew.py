@@ -13,14 +13,22 @@ SALTS = 64
 #: At most this many keys are treated as hot, so the list has a fixed size bound
 #: and may be broadcast.  Keys beyond it are still joined, only not spread.
 HOT_KEYS = 10_000
+#: A side the planner knows to be smaller than this fits one task even if all
+#: its rows share a key; its keys are not counted.
+SMALL_BYTES = 64 * 1024 * 1024
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def planned_bytes(df: DataFrame) -> int:
+    """Size of a DataFrame as the optimizer estimates it (file sizes for stored tables)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """The heaviest keys of ``df``: (on..., __hot), at most HOT_KEYS rows."""
     return (
         df.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > hot_rows)
+        .where(F.col("__rows") > (HOT_ROWS if hot_rows is None else hot_rows))
         .orderBy(F.desc("__rows"))
         .limit(HOT_KEYS)
         .select(*on, F.lit(True).alias("__hot"))
@@ -33,9 +41,10 @@ def salted_join(
     on: Sequence[str],
     how: str = "inner",
     spread_by: Sequence[str] | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
     salts: int = SALTS,
     hot: DataFrame | None = None,
+    small_bytes: int | None = None,
 ) -> DataFrame:
     """Equi-join whose hot keys on the ``heavy`` side are split over ``salts`` tasks.
 
@@ -46,7 +55,7 @@ def salted_join(
     left_semi or left_anti (heavy on the left).
     """
     on = list(on)
-    if hot_rows is None:
+    if planned_bytes(heavy) < (SMALL_BYTES if small_bytes is None else small_bytes):
         return heavy.join(other, on, how)
     spread_cols = list(spread_by or heavy.columns)
     # Counting reads ``heavy`` a second time: pass a stored table, a projection

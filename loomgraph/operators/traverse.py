@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators import skew
 from loomgraph.operators.lookup import resolve_names
-from loomgraph.operators.skew import hot_keys, salted_join, top_per_key
+from loomgraph.operators.skew import planned_bytes, salted_join, top_per_key
 from loomgraph.session import materialize
 
 DEFAULT_DEPTH = 3
@@ -62,15 +63,16 @@ def bfs(
     if max_nodes is not None and max_nodes <= 0:
         max_nodes = DEFAULT_MAX_NODES
     steps = hops(edges, direction, kinds)
-    hubs = materialize(hot_keys(steps.select("id"), ["id"]), "bfs-hubs")
-    spread = {"hot_rows": None} if hubs.isEmpty() else {"hot": hubs}
+    hubs = None
+    if planned_bytes(steps) >= skew.SMALL_BYTES:
+        hubs = materialize(skew.hot_keys(steps.select("id"), ["id"]), "bfs-hubs")
     frontier = materialize(seeds.select("seed", F.col("seed").alias("id")).distinct(), "bfs-seeds")
     seen = frontier.withColumn("depth", F.lit(0))
     for level in range(1, depth + 1):
         if max_nodes is None:
-            reached = salted_join(steps, frontier, ["id"], **spread)
+            reached = salted_join(steps, frontier, ["id"], hot=hubs)
         else:
-            touched = salted_join(steps, frontier.select("id").distinct(), ["id"], "left_semi", **spread)
+            touched = salted_join(steps, frontier.select("id").distinct(), ["id"], "left_semi", hot=hubs)
             nearest = top_per_key(touched, ["id"], [F.col("next")], max_nodes * (depth + 1) + 1, ties=True)
             reached = nearest.join(frontier, "id")
         fresh = (

@@ -47,6 +47,13 @@ SYMBOLS = T.StructType([
     *_SPAN,
 ])
 
+#: Symbols as extracted, one row per file that mentions them; SYMBOLS is their merged view.
+SYMBOL_ROWS = T.StructType([
+    *SYMBOLS.fields,
+    T.StructField("path", T.StringType()),
+    T.StructField("seq", T.IntegerType()),
+])
+
 EDGES = T.StructType([
     T.StructField("repo_id", T.LongType()),
     T.StructField("kind", T.StringType()),

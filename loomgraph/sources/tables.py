@@ -14,15 +14,16 @@ from loomgraph.session import materialize
 TABLES = {
     "files": schemas.FILES,
     "symbols": schemas.SYMBOLS,
+    "symbol_rows": schemas.SYMBOL_ROWS,
     "edges": schemas.EDGES,
     "callsites": schemas.CALLSITES,
     "refs": schemas.REFS,
 }
 #: ``files`` comes last: it decides what a repeated run considers unchanged.
-WRITE_ORDER = ("symbols", "callsites", "refs", "edges", "files")
+WRITE_ORDER = ("symbol_rows", "symbols", "callsites", "refs", "edges", "files")
 #: A column that every real row fills.  Rows without it only mark a repository
 #: as written, so that a table that became empty replaces its old partition.
-FILLED = {"files": "path", "symbols": "kind", "edges": "kind", "callsites": "callee_text", "refs": "ref_text"}
+FILLED = {"files": "path", "symbols": "kind", "symbol_rows": "kind", "edges": "kind", "callsites": "callee_text", "refs": "ref_text"}
 
 
 def create_tables(spark: SparkSession, base: str) -> None:

@@ -55,8 +55,18 @@ def index_files(
         full,
     )
     seen = materialize(seen.withColumn("content", F.col("content").cast("string")), "scan")
+    raw = tables["symbol_rows"]
     if complete:
-        tables = inc.delete_files(tables, inc.stale_files(prior, seen))
+        # What hangs on the stale files goes by file; references into them are
+        # checked below against the symbols that are left.
+        stale = inc.stale_files(prior, seen)
+        gone = stale.select(F.col("id").alias("file_id"))
+        raw, callsites, refs = (
+            rows.join(gone, "file_id", "left_anti").select(*rows.columns)
+            for rows in (raw, tables["callsites"], tables["refs"])
+        )
+        files_left = prior.join(stale.select("id"), "id", "left_anti").select(*prior.columns)
+        tables = {**tables, "files": files_left, "callsites": callsites, "refs": refs}
     work = seen.where("status <> 'unchanged'")
     extracts = materialize(extract_files(work, extractors), "extracts")
     touched = work.withColumn("id", inc.file_id()).withColumn("indexed_at", F.current_timestamp())
@@ -67,10 +77,15 @@ def index_files(
     new_files = inc.upsert_files(tables["files"], _shape(touched, schemas.FILES))
     file_ids = touched.select(F.col("id").alias("file_id"))
 
-    found = extracted_symbols(extracts)
-    fresh = _shape(found, [*schemas.SYMBOLS, *[f for f in found.schema if f.name in ("path", "seq")]])
-    kept = tables["symbols"].join(file_ids, "file_id", "left_anti").select(*schemas.SYMBOLS.names)
-    symbols = materialize(inc.upsert_symbols(kept, fresh, ["path", "seq"]), "symbols")
+    # A symbol that several files mention survives as long as one of them does.
+    raw = materialize(
+        inc.replace_by_file(
+            raw.select(*schemas.SYMBOL_ROWS.names), file_ids, _shape(extracted_symbols(extracts), schemas.SYMBOL_ROWS)
+        ),
+        "symbol-rows",
+    )
+    nothing = raw.select(*schemas.SYMBOLS.names).where("false")
+    symbols = materialize(inc.upsert_symbols(nothing, raw, ["path", "seq"]), "symbols")
     callsites = inc.replace_by_file(
         tables["callsites"], file_ids, _shape(extracted_callsites(extracts), schemas.CALLSITES)
     )
@@ -94,7 +109,10 @@ def index_files(
         ["repo_id", "path"], "left",
     ).withColumn("error", F.lit(None).cast("string"))
     return (
-        {"files": new_files, "symbols": symbols, "callsites": callsites, "refs": refs, "edges": _shape(edges, schemas.EDGES)},
+        {
+            "files": new_files, "symbol_rows": raw, "symbols": symbols, "callsites": callsites, "refs": refs,
+            "edges": _shape(edges, schemas.EDGES),
+        },
         inc.run_summary(results),
     )
 

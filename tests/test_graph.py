@@ -70,8 +70,11 @@ def brute_bfs(rows, seed, depth, cap):
     return set(sorted(result)[:cap] if cap is not None else result)
 
 
-@pytest.mark.parametrize("cap", [None, 3, 7])
-def test_bfs_matches_brute_force_with_a_hub(spark, cap):
+@pytest.mark.parametrize(("cap", "salted"), [(None, False), (3, False), (7, True), (None, True)])
+def test_bfs_matches_brute_force_with_a_hub(spark, monkeypatch, cap, salted):
+    if salted:
+        monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+        monkeypatch.setattr(skew, "HOT_ROWS", 5)
     rng = random.Random(5)
     rows = {(rng.randrange(40), rng.randrange(40)) for _ in range(90)} | {(0, i) for i in range(40)} | {(i, 0) for i in range(9)}
     df = edges(spark, [("CALLS", a, b) for a, b in rows])
@@ -148,7 +151,7 @@ def test_salted_join_equals_plain_join(spark, how):
     left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(60)], "k long, a long")
     right = spark.createDataFrame([(1, 10), (1, 11), (3, 12), (99, 13)], "k long, b long")
     plain = left.join(right, "k", how)
-    salted = skew.salted_join(left, right, ["k"], how, hot_rows=5, salts=4)
+    salted = skew.salted_join(left, right, ["k"], how, hot_rows=5, salts=4, small_bytes=0)
     assert sorted(map(str, salted.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
     if how == "inner":
         spread = skew.spread_join(left, right, ["k"], ["a"])

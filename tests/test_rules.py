@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import edges as edge_ops
-from loomgraph.operators import rules, spans
+from loomgraph.operators import rules, skew, spans
 
 SYMBOL = "id long, repo_id long, file_id long, lang string, kind string, name string, fqn string"
 REF = "repo_id long, file_id long, src long, dst long, ref_text string, provenance string"
@@ -76,7 +76,11 @@ def test_script_structure(spark):
     assert {g[1:] for g in pairs(rules.structural_edges(table(spark, rows)))} == {(1, 2), (3, 4), (5, 6)}
 
 
-def test_calls(spark):
+@pytest.mark.parametrize("salted", [False, True])
+def test_calls(spark, monkeypatch, salted):
+    if salted:
+        monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+        monkeypatch.setattr(skew, "HOT_ROWS", 0)
     rows = [
         (1, ("go", "function", "caller", "p.caller")),
         (2, ("go", "function", "run", "p.run")),
@@ -151,7 +155,11 @@ def test_suffix_references(spark):
     assert got == {("REFERENCES", 1, 2), ("REFERENCES", 1, 3), ("REFERENCES", 1, 6), ("REFERENCES", 2, 3)}
 
 
-def test_smallest_span_matches_brute_force(spark):
+@pytest.mark.parametrize("salted", [False, True])
+def test_smallest_span_matches_brute_force(spark, monkeypatch, salted):
+    if salted:
+        monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+        monkeypatch.setattr(skew, "HOT_ROWS", 10)
     rng = random.Random(2)
     spans_, points = [], []
     for i in range(300):
