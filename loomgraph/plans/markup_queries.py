@@ -142,7 +142,7 @@ def first_imports(t: Tables) -> DataFrame:
     return extract.first_imports(rows).drop("repo_id")
 
 
-def _heading_extractor(content: str, path: str, repo_id: int) -> dict:
+def heading_extractor(content: str, path: str, repo_id: int) -> dict:
     """Headings in a page: every ``<h1>`` text becomes a symbol; no heading is an error."""
     import re
 
@@ -159,6 +159,6 @@ def _heading_extractor(content: str, path: str, repo_id: int) -> dict:
 )
 def plugin_extractor(t: Tables) -> DataFrame:
     files = t.page_files.withColumn("lang", F.lit("html"))
-    return plugin.extract_files(files, {"html": _heading_extractor}).select(
+    return plugin.extract_files(files, {"html": heading_extractor}).select(
         "path", F.size("symbols").cast("long").alias("n_symbols"), "parse_error"
     )
