@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 DEFAULT_SCOPE = "global"
 
-#: Unicode white space, as a Java pattern.
-SPACE = r"(?U)\s"
+#: Unicode white space (property White_Space).
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c: Column | str) -> Column:
@@ -20,7 +20,7 @@ def col(c: Column | str) -> Column:
 
 def trim_space(c: Column | str) -> Column:
     """Trim Unicode white space, not only blanks."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(col(c), F.lit(WHITE_SPACE))
 
 
 def ascii_lower(c: Column | str) -> Column:

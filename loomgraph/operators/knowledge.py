@@ -59,14 +59,14 @@ def title_errors(title: Column | str) -> Column:
 
 def content_errors(content: Column | str) -> Column:
     c = trim_space(F.coalesce(col(content), F.lit("")))
-    lower = F.lower(c)
-    generic = F.lit(False)
-    for phrase in GENERIC_PHRASES:
-        generic = generic | (lower == phrase) | F.startswith(lower, F.lit(phrase + " "))
+    # A generic note starts with one of the phrases, alone or before a blank.
+    longest = max(map(len, GENERIC_PHRASES)) + 1
+    generic = F.lower(F.substring(c, 1, longest)).rlike(r"\A(?:" + "|".join(GENERIC_PHRASES) + r")(?: |\z)")
+    size = F.octet_length(c)
     return F.when(c == "", F.array(F.lit("content is required"))).otherwise(
         _messages(
-            (F.octet_length(c) < CONTENT_MIN, "content must be at least 50 characters"),
-            (F.octet_length(c) > CONTENT_MAX, "content must be at most 5000 characters"),
+            (size < CONTENT_MIN, "content must be at least 50 characters"),
+            (size > CONTENT_MAX, "content must be at most 5000 characters"),
             (generic, "content appears too generic; provide specific, actionable knowledge"),
         )
     )
@@ -190,7 +190,7 @@ def store_batch(existing: DataFrame, requests: DataFrame) -> tuple[DataFrame, Da
     errors) and the new notes.  Codes: OK, VALIDATION_ERROR,
     DUPLICATE_KNOWLEDGE.
     """
-    checked = requests.withColumn("errors", store_errors())
+    checked = materialize(requests.withColumn("errors", store_errors()), "checked-requests")
     notes = materialize(as_notes(checked.where(F.size("errors") == 0)), "valid-notes")
     added = materialize(notes.join(_accepted(notes, existing), "id", "left_semi").select(*COLUMNS), "added-notes")
     slot = F.struct("created_at", "id")

@@ -149,7 +149,7 @@ def search(knowledge: DataFrame, queries: DataFrame, index: TextIndex | None = N
     give no rows; ``search_errors`` says why.  A query without words, or one
     the full-text syntax rejects, lists the newest notes instead.
     """
-    index = index or index_notes(knowledge)
+    index = index or index_notes(knowledge).stored()
     asked = materialize(
         queries.where(F.size(search_errors()) == 0)
         .withColumn("limit", clamp("limit", 1, MAX_LIMIT, DEFAULT_LIMIT))

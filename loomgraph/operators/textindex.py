@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions import porter
 from loomgraph.functions.text import col
@@ -43,52 +44,55 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.coalesce(bare, F.lit("")), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
-def stem_table(words: DataFrame) -> DataFrame:
-    """(token, stem) for the distinct tokens in ``words``."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stem_words(words: pd.Series) -> pd.Series:
+    """Porter stems of word lists; a task stems each distinct word once."""
+    known: dict[str, str] = {}
 
-    def stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(stem=batch["token"].map(porter.stem))
+    def stems(row: Iterable[str]) -> list[str]:
+        out = []
+        for word in row:
+            if word not in known:
+                known[word] = porter.stem(word)
+            out.append(known[word])
+        return out
 
-    return words.select("token").distinct().mapInPandas(stems, "token string, stem string")
-
-
-def stemmed(rows: DataFrame) -> DataFrame:
-    """Replace ``token`` by its stem; the stemmer sees each distinct word once."""
-    table = stem_table(rows)
-    return salted_join(rows, table, ["token"]).withColumn("token", F.col("stem")).drop("stem").select(*rows.columns)
+    return words.map(stems)
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``postings``: doc_id, field, pos, token.  ``docs``: doc_id, n_tokens."""
+    """Words of every document: ``texts`` has doc_id and parts ARRAY<STRUCT<field, words>>."""
 
-    postings: DataFrame
-    docs: DataFrame
+    texts: DataFrame
     stem: bool = False
 
+    @property
+    def postings(self) -> DataFrame:
+        """One row per word occurrence: (doc_id, field, pos, token)."""
+        return self.texts.select("doc_id", F.explode("parts").alias("f")).select(
+            "doc_id", "f.field", F.posexplode("f.words").alias("pos", "token")
+        )
 
-def postings_of(rows: DataFrame, doc_id: str, fields: Mapping[str, Column | str], stem: bool = False) -> DataFrame:
-    """One row per word occurrence: (doc_id, field, pos, token)."""
-    per_field = F.array(*[F.struct(F.lit(name).alias("field"), tokens(c).alias("words")) for name, c in fields.items()])
-    found = (
-        rows.select(F.col(doc_id).alias("doc_id"), F.explode(per_field).alias("f"))
-        .select("doc_id", "f.field", F.posexplode("f.words").alias("pos", "token"))
-    )
-    return stemmed(found) if stem else found
+    @property
+    def docs(self) -> DataFrame:
+        """(doc_id, n_tokens) over all fields."""
+        size = F.aggregate("parts", F.lit(0), lambda total, part: total + F.size(part["words"]))
+        return self.texts.select("doc_id", size.alias("n_tokens"))
 
-
-def lengths_of(rows: DataFrame, doc_id: str, fields: Mapping[str, Column | str]) -> DataFrame:
-    """(doc_id, n_tokens) over all fields."""
-    total = F.lit(0)
-    for c in fields.values():
-        total = total + F.size(tokens(c))
-    return rows.select(F.col(doc_id).alias("doc_id"), total.alias("n_tokens"))
+    def stored(self) -> TextIndex:
+        """The index written as a table, so that it is tokenised once."""
+        return TextIndex(materialize(self.texts, "text-index"), self.stem)
 
 
 def build_index(rows: DataFrame, doc_id: str, fields: Mapping[str, Column | str], stem: bool = False) -> TextIndex:
     """Index of the given text columns; ``fields`` maps field names to columns."""
-    return TextIndex(postings_of(rows, doc_id, fields, stem), lengths_of(rows, doc_id, fields), stem)
+    words = rows.select(F.col(doc_id).alias("doc_id"), *[tokens(c).alias(f"w_{name}") for name, c in fields.items()])
+    parts = [
+        F.struct(F.lit(name).alias("field"), (stem_words(f"w_{name}") if stem else F.col(f"w_{name}")).alias("words"))
+        for name in fields
+    ]
+    return TextIndex(words.select("doc_id", F.array(*parts).alias("parts")), stem)
 
 
 def update_index(
@@ -98,13 +102,8 @@ def update_index(
     gone = changed.select(F.col(doc_id).alias("doc_id")).unionByName(
         removed.select(F.col(doc_id).alias("doc_id"))
     ).distinct()
-    fresh = build_index(changed, doc_id, fields, index.stem)
-    return TextIndex(
-        index.postings.join(gone, "doc_id", "left_anti").select("doc_id", "field", "pos", "token")
-        .unionByName(fresh.postings),
-        index.docs.join(gone, "doc_id", "left_anti").select("doc_id", "n_tokens").unionByName(fresh.docs),
-        index.stem,
-    )
+    kept = index.texts.join(gone, "doc_id", "left_anti").select("doc_id", "parts")
+    return TextIndex(kept.unionByName(build_index(changed, doc_id, fields, index.stem).texts), index.stem)
 
 
 def _expand(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -116,9 +115,14 @@ def _expand(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     keep = ["query_id", "term_no", "n_parts", "off"]
     exact = parts.where("NOT is_prefix").select(*keep, "token")
     asked = parts.where("is_prefix").withColumnRenamed("token", "prefix")
-    offers = vocabulary.select(
-        "token", F.explode(F.expr("transform(sequence(1, length(token)), n -> substring(token, 1, n))")).alias("prefix")
-    ).join(asked.select("prefix").distinct(), "prefix", "left_semi")
+    # Only prefixes of an asked length are offered; a query text bounds their number.
+    sizes = asked.agg(F.collect_set(F.length("prefix"))).scalar()
+    cuts = F.transform(
+        F.filter("sizes", lambda n: n <= F.length("token")), lambda n: F.substring(F.col("token"), F.lit(1), n)
+    )
+    offers = vocabulary.withColumn("sizes", sizes).select("token", F.explode(cuts).alias("prefix")).join(
+        asked.select("prefix").distinct(), "prefix", "left_semi"
+    )
     return exact.unionByName(offers.join(asked, "prefix").select(*keep, "token"))
 
 
@@ -128,12 +132,12 @@ def match_terms(index: TextIndex, terms: DataFrame, weights: Mapping[str, float]
     ``terms`` has query_id, term_no, words ARRAY<STRING>, is_prefix.  A term
     with several words is a phrase; a prefix flag belongs to its last word.
     """
+    if index.stem:
+        terms = terms.withColumn("words", stem_words("words"))
     parts = terms.select(
         "query_id", "term_no", F.size("words").alias("n_parts"), "is_prefix",
         F.posexplode("words").alias("off", "token"),
     ).withColumn("is_prefix", F.col("is_prefix") & (F.col("off") == F.col("n_parts") - 1))
-    if index.stem:
-        parts = stemmed(parts)
     wanted = materialize(_expand(parts, index.postings.select("token").distinct()), "search-words")
     weight = F.lit(0.0)
     for name, value in weights.items():

@@ -86,6 +86,12 @@ def bfs(
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(level)))
+        if max_nodes is not None and level < depth:
+            # Seeds that have all their nodes go no further.
+            full = seen.where("depth > 0").groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max_nodes)
+            frontier = materialize(frontier.join(full, "seed", "left_anti"), f"bfs-open{level}")
+            if frontier.isEmpty():
+                break
     found = seen.where("depth > 0")
     if max_nodes is not None:
         found = top_per_key(found, ["seed"], [F.col("depth"), F.col("id")], max_nodes)

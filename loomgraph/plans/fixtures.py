@@ -281,10 +281,25 @@ def dependencies(sql: str) -> list[str]:
     return list(dict.fromkeys(_NAME.findall(sql)))
 
 
+#: Tables with long texts, and the key their rows are spread by.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Rows of a table with fewer splits than cores, spread over all cores.
+
+    A small file has one row group and would keep one core busy with all its
+    texts.  A table with enough splits is returned as it is, without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a fixture as a DataFrame."""
     if name in DRIVER_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table, TEXT_KEYS[name]) if name in TEXT_KEYS else table
     sql = FIXTURES[name]
     return spark.sql(sql, **{d: load(spark, sf_dir, d) for d in dependencies(sql)})
 

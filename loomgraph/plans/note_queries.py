@@ -305,7 +305,7 @@ BM25 = (
 
 
 def index(t: Tables, stem: bool = False) -> textindex.TextIndex:
-    return search_ops.index_notes(knowledge(t), stem)
+    return search_ops.index_notes(knowledge(t), stem).stored()
 
 
 @query("bm25_search", f"WITH {BM25} SELECT query_id, id AS doc_id, round(bm25, 6) AS bm25 FROM scored")
@@ -346,7 +346,7 @@ PHRASE = (
 
 @query("phrase_search", PHRASE)
 def phrase_search(t: Tables) -> DataFrame:
-    docs = textindex.build_index(knowledge(t), "id", {"content": "content"})
+    docs = textindex.build_index(knowledge(t), "id", {"content": "content"}).stored()
     terms = t.spark.sql("SELECT 1L AS query_id, 0 AS term_no, array('the', 'th') AS words, true AS is_prefix")
     return textindex.match_terms(docs, terms, {"content": 5.0}).select("doc_id", "tf")
 
@@ -358,7 +358,7 @@ def phrase_search(t: Tables) -> DataFrame:
 )
 def symbol_text_index(t: Tables) -> DataFrame:
     rows = t.stored("code_symbols").withColumn("key", F.col("id").cast("string"))
-    docs = textindex.build_index(rows, "key", {"name": "name", "fqn": "fqn"})
+    docs = textindex.build_index(rows, "key", {"name": "name", "fqn": "fqn"}).stored()
     terms = t.spark.sql("SELECT 1L AS query_id, 0 AS term_no, array('m12') AS words, false AS is_prefix")
     return textindex.match_terms(docs, terms, {"name": 2.0, "fqn": 1.0}).select("doc_id", "tf")
 
