@@ -41,6 +41,18 @@ def by_id(symbols: DataFrame, ids: DataFrame) -> DataFrame:
     return symbols.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def repo_by_path(repos: DataFrame, root_path: str) -> DataFrame:
+    return repos.where(F.col("root_path") == root_path)
+
+
+def files_of_repo(files: DataFrame, repo_id: int) -> DataFrame:
+    return files.where(F.col("repo_id") == repo_id)
+
+
+def file_by_path(files: DataFrame, repo_id: int, path: str) -> DataFrame:
+    return files_of_repo(files, repo_id).where(F.col("path") == path)
+
+
 def fqn_ids(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """(repo_id, query, id): smallest symbol id per exact FQN, 0 if there is none."""
     wanted = queries.select("repo_id", "query").distinct()

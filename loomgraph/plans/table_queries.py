@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import names, paths, text
 from loomgraph.operators import incremental as inc
+from loomgraph.operators import lookup
 from loomgraph.operators import search as search_ops
 from loomgraph.plans.registry import Tables, query
 from loomgraph.sources import files as file_ops
@@ -246,6 +247,22 @@ def scan_files(t: Tables) -> DataFrame:
     return file_ops.scan_files(t.spark, t.sf_dir).select("path", "size", "mtime")
 
 
+@query("files_of_repo", "SELECT doc_id, path FROM {doc_files} WHERE repo_id = 2")
+def files_of_repo(t: Tables) -> DataFrame:
+    return lookup.files_of_repo(t.doc_files, 2).select("doc_id", "path")
+
+
+@query("file_by_path", "SELECT doc_id, path FROM {doc_files} WHERE repo_id = 3 AND path = 'build/out/src3/d3.mjs'")
+def file_by_path(t: Tables) -> DataFrame:
+    return lookup.file_by_path(t.doc_files, 3, "build/out/src3/d3.mjs").select("doc_id", "path")
+
+
+@query("repo_by_path", "SELECT path AS root_path, sha256 AS name FROM {snapshot_before} WHERE path = 'doc/7'")
+def repo_by_path(t: Tables) -> DataFrame:
+    repos = t.snapshot_before.withColumnsRenamed({"path": "root_path", "sha256": "name"})
+    return lookup.repo_by_path(repos, "doc/7").select("root_path", "name")
+
+
 # --- scalar functions ------------------------------------------------------------------
 
 @query(

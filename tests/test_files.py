@@ -227,6 +227,12 @@ def test_incremental_index_equals_full_rebuild(spark, tmp_path):
     assert [r.parse_error for r in bad.where("path = 'b/bad.go'").collect()] == ["ValueError: broken file"]
 
 
+def test_row_callback(spark):
+    total = spark.sparkContext.accumulator(0)
+    plugin.for_each_row(spark.range(10), lambda row: total.add(row.id))
+    assert total.value == 45
+
+
 def test_streamed_index_equals_batch(spark, tmp_path):
     root, base, whole = str(tmp_path / "src"), str(tmp_path / "kg"), str(tmp_path / "whole")
     for i in range(4):
