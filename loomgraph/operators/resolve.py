@@ -5,13 +5,13 @@ The locations come as tables; how they were obtained is up to the caller.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import parse_locations, uri_to_path
-from loomgraph.operators.incremental import mark_resolved
+from loomgraph.operators.incremental import mark_resolved, unresolved_callsites
 from loomgraph.operators.spans import locate_or_match, locate_symbols
 from loomgraph.session import materialize
 
@@ -55,6 +55,20 @@ def resolve_callsites(
     return mark_resolved(callsites, resolutions), edges.distinct()
 
 
+#: resolver(work list) -> definitions (callsite_id, path, line).
+Resolver = Callable[[DataFrame], DataFrame]
+
+
+def run_resolver(
+    resolver: Resolver, callsites: DataFrame, symbols: DataFrame, files: DataFrame, provenance: str,
+    budget: int = DEFAULT_BUDGET,
+) -> tuple[DataFrame, DataFrame]:
+    """Ask a user resolver about the next unresolved call sites and apply its answers."""
+    work = materialize(unresolved_callsites(callsites, budget), "resolver-worklist")
+    definitions = materialize(resolver(work), "definitions")
+    return resolve_callsites(callsites, definitions, symbols, files, provenance)
+
+
 def implementation_edges(implementations: DataFrame, symbols: DataFrame, files: DataFrame, provenance: str) -> DataFrame:
     """OVERRIDES edges from implementation locations (symbol_id, path, line).
 

@@ -429,14 +429,14 @@ def edge_first_wins(t: Tables) -> DataFrame:
 
 @query(
     "edge_insert_or_ignore",
-    "WITH old AS (SELECT kind, src, dst, min(confidence) AS confidence, 'old' AS provenance FROM {edge_writes} WHERE src % 2 = 0 GROUP BY 1, 2, 3), "
+    "WITH old AS (SELECT kind, src, dst, min(confidence) AS confidence, 'old' AS provenance FROM {edge_writes} WHERE starts_with(provenance, 'rR') GROUP BY 1, 2, 3), "
     "fresh AS (SELECT kind, src, dst, max(confidence) AS confidence, 'new' AS provenance FROM {edge_writes} GROUP BY 1, 2, 3) "
     "SELECT * FROM old UNION ALL SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.src = f.src AND o.dst = f.dst AND o.kind = f.kind)",
 )
 def edge_insert_or_ignore(t: Tables) -> DataFrame:
     writes = t.edge_writes
     key = ["repo_id", "kind", "src", "dst"]
-    old = writes.where("src % 2 = 0").groupBy(*key).agg(F.min("confidence").alias("confidence"), F.lit("old").alias("provenance"))
+    old = writes.where("startswith(provenance, 'rR')").groupBy(*key).agg(F.min("confidence").alias("confidence"), F.lit("old").alias("provenance"))
     fresh = writes.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.lit("new").alias("provenance"))
     return edge_ops.insert_or_ignore(old, fresh).drop("repo_id")
 
@@ -482,16 +482,18 @@ def edge_rebuild(t: Tables) -> DataFrame:
 
 @query(
     "edge_cascade",
-    "SELECT kind, src, dst FROM {trade_edges} WHERE src % 5 > 0 AND dst % 5 > 0",
+    "SELECT kind, src, dst FROM {trade_edges} WHERE src IN (SELECT id FROM {trade_symbols} WHERE kind <> 'interface') "
+    "AND dst IN (SELECT id FROM {trade_symbols} WHERE kind <> 'interface')",
 )
 def edge_cascade(t: Tables) -> DataFrame:
-    return edge_ops.cascade(t.trade_edges, t.trade_symbols.where("id % 5 > 0")).select(*KEY)
+    return edge_ops.cascade(t.trade_edges, t.trade_symbols.where("kind <> 'interface'")).select(*KEY)
 
 
 @query(
     "set_null_missing",
-    "SELECT kind, CASE WHEN src % 5 > 0 THEN src END AS src, CASE WHEN dst % 5 > 0 THEN dst END AS dst FROM {trade_edges}",
+    "SELECT e.kind, a.id AS src, b.id AS dst FROM {trade_edges} e LEFT JOIN {trade_symbols} a ON a.id = e.src AND a.kind <> 'interface' "
+    "LEFT JOIN {trade_symbols} b ON b.id = e.dst AND b.kind <> 'interface'",
 )
 def set_null_missing(t: Tables) -> DataFrame:
-    alive = t.trade_symbols.where("id % 5 > 0")
+    alive = t.trade_symbols.where("kind <> 'interface'")
     return edge_ops.set_null_missing(t.trade_edges, ["src", "dst"], alive).select(*KEY)

@@ -89,12 +89,12 @@ def upsert_symbols(t: Tables) -> DataFrame:
 
 @query(
     "replace_by_file",
-    "SELECT id, file_id, 'old' AS version FROM {span_callsites} WHERE file_id NOT IN (SELECT file_id FROM {span_callsites} WHERE id % 50 = 0) "
-    "UNION ALL SELECT id, file_id, 'new' FROM {span_callsites} WHERE id % 50 = 0",
+    "SELECT id, file_id, 'old' AS version FROM {span_callsites} WHERE file_id NOT IN (SELECT file_id FROM {span_callsites} WHERE callee_text = 'view.h7') "
+    "UNION ALL SELECT id, file_id, 'new' FROM {span_callsites} WHERE callee_text = 'view.h7'",
 )
 def replace_by_file(t: Tables) -> DataFrame:
     old = t.span_callsites.select("id", "file_id", F.lit("old").alias("version"))
-    new = t.span_callsites.where("id % 50 = 0").select("id", "file_id", F.lit("new").alias("version"))
+    new = t.span_callsites.where("callee_text = 'view.h7'").select("id", "file_id", F.lit("new").alias("version"))
     return inc.replace_by_file(old, new, new)
 
 
@@ -161,9 +161,9 @@ def run_summary(t: Tables) -> DataFrame:
     return inc.run_summary(results)
 
 
-@query("mark_resolved", "SELECT id, CASE WHEN id % 3 = 0 THEN file_id END AS resolved FROM {span_callsites}")
+@query("mark_resolved", "SELECT id, CASE WHEN starts_with(callee_text, 'view.h1') THEN file_id END AS resolved FROM {span_callsites}")
 def mark_resolved(t: Tables) -> DataFrame:
-    found = t.span_callsites.where("id % 3 = 0").select("id", F.col("file_id").alias("symbol_id"))
+    found = t.span_callsites.where("startswith(callee_text, 'view.h1')").select("id", F.col("file_id").alias("symbol_id"))
     return inc.mark_resolved(t.span_callsites, found).select("id", "resolved")
 
 
