@@ -171,7 +171,8 @@ def search(knowledge: DataFrame, queries: DataFrame, index: TextIndex | None = N
         .where("n <= fetch")
         .select("query_id", "id", "bm25")
     )
-    fetched = by_score.unionByName(recent_notes(knowledge, asked.where("NOT by_text")))
+    # A few rows per request; stored, so that the planner sees how few before it reads the texts.
+    fetched = materialize(by_score.unionByName(recent_notes(knowledge, asked.where("NOT by_text"))), "fetched-notes")
     full = fetched.join(knowledge.select("id", "title", "content", "tags", "scope"), "id").join(
         asked.select("query_id", "context_tags", F.col("scope").alias("query_scope"), "limit"), "query_id"
     )

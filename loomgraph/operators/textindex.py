@@ -62,7 +62,7 @@ def stem_words(words: pd.Series) -> pd.Series:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Words of every document: ``texts`` has doc_id and parts ARRAY<STRUCT<field, words>>."""
+    """Words of every document: ``texts`` has doc_id, n_tokens, parts ARRAY<STRUCT<field, words>>."""
 
     texts: DataFrame
     stem: bool = False
@@ -77,8 +77,7 @@ class TextIndex:
     @property
     def docs(self) -> DataFrame:
         """(doc_id, n_tokens) over all fields."""
-        size = F.aggregate("parts", F.lit(0), lambda total, part: total + F.size(part["words"]))
-        return self.texts.select("doc_id", size.alias("n_tokens"))
+        return self.texts.select("doc_id", "n_tokens")
 
     def stored(self) -> TextIndex:
         """The index written as a table, so that it is tokenised once."""
@@ -92,7 +91,10 @@ def build_index(rows: DataFrame, doc_id: str, fields: Mapping[str, Column | str]
         F.struct(F.lit(name).alias("field"), (stem_words(f"w_{name}") if stem else F.col(f"w_{name}")).alias("words"))
         for name in fields
     ]
-    return TextIndex(words.select("doc_id", F.array(*parts).alias("parts")), stem)
+    total = F.lit(0)
+    for name in fields:
+        total = total + F.size(f"w_{name}")
+    return TextIndex(words.select("doc_id", total.alias("n_tokens"), F.array(*parts).alias("parts")), stem)
 
 
 def update_index(
@@ -102,7 +104,7 @@ def update_index(
     gone = changed.select(F.col(doc_id).alias("doc_id")).unionByName(
         removed.select(F.col(doc_id).alias("doc_id"))
     ).distinct()
-    kept = index.texts.join(gone, "doc_id", "left_anti").select("doc_id", "parts")
+    kept = index.texts.join(gone, "doc_id", "left_anti").select("doc_id", "n_tokens", "parts")
     return TextIndex(kept.unionByName(build_index(changed, doc_id, fields, index.stem).texts), index.stem)
 
 
