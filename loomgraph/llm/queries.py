@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import prefix_counts
+from loomgraph.llm import prefix_counts, simhash
 from loomgraph.llm.arrow import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = prefix_counts.prefix_counts(table(spark, sf_dir, "documents"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > prefix_counts.BUDGET).alias("over_limit"), "fit_chars")
+
+
+@query("op3_simhash_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
