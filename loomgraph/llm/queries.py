@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import grammar, packing, prefix_counts, simhash
+from loomgraph.llm import grammar, language, packing, prefix_counts, simhash
 from loomgraph.llm.arrow import table
 from loomgraph.session import scratch_root
 
@@ -51,3 +51,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_sum_of_squares_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_byte_cnn_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", language.is_held_out().alias("held_out"), "lang_pred", "score")
