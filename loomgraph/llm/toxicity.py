@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm.arrow import bitmap, in_bitmap, slices, text_of
 from loomgraph.session import materialize
 
-ORDER = 6
+ORDER = 5
 DISCOUNT = 0.75
+#: Evidence above the text's median by which a word has to stand out.
+FLOOR = 3.0
 #: Weight of the shared estimate, in characters, besides the discounted mass.
 SHARED = 20.0
 CURVE_FOLD = 4
@@ -46,10 +48,10 @@ CURVE_FOLD = 4
 SHIPPED = 1_500_000
 #: Words whose evidence a worker keeps.
 CAPACITY = 800_000
-#: Evidence is counted in steps of this size to fit the curve; beyond +-2 it is 2.
-BIN = 0.005
+#: Evidence is counted in steps of this size to fit the curve; beyond 2 it is 2.
+BIN = 0.002
 #: The curve without labels: (slope, evidence where the score is 0.5).
-PRIOR_CURVE = (40.0, 0.1)
+PRIOR_CURVE = (100.0, 0.05)
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -170,7 +172,7 @@ class Evidence:
         return total
 
     def of_texts(self, texts: pa.Array) -> np.ndarray:
-        """Mean less median of the evidence of each text's words; 0 without words."""
+        """Mean of what each word's evidence exceeds the text's median by, beyond FLOOR; 0 without words."""
         words = pc.ascii_split_whitespace(texts)
         row = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
         coded = words.flatten().dictionary_encode()
@@ -190,10 +192,11 @@ class Evidence:
         counts = np.bincount(row, minlength=len(texts))
         first = np.cumsum(counts) - counts
         some = counts > 0
-        out = np.zeros(len(texts))
-        sums = np.bincount(row[order], weights=value, minlength=len(texts))
+        middle, out = np.zeros(len(texts)), np.zeros(len(texts))
         low, high = first[some] + (counts[some] - 1) // 2, first[some] + counts[some] // 2
-        out[some] = sums[some] / counts[some] - (value[low] + value[high]) / 2
+        middle[some] = (value[low] + value[high]) / 2
+        beyond = np.maximum(value - middle[row[order]] - FLOOR, 0)
+        out[some] = np.bincount(row[order], weights=beyond, minlength=len(texts))[some] / counts[some]
         return out
 
 
@@ -252,9 +255,12 @@ def joined(rows: DataFrame, ratios: DataFrame, keep: tuple[str, ...], order: int
     own = ratios.select(F.col("key").alias("gram"), F.col("ratio").alias("own"))
     rest = ratios.select(F.col("key").alias("before"), F.col("ratio").alias("rest"))
     value = parts.join(own, "gram", "left").join(rest, "before", "left").groupBy("chunk").agg(F.sum(F.coalesce("own", "rest", F.lit(0.0))).alias("value"))
+    # one list per document, of its own words
     each = counted.join(value, "chunk").groupBy("row").agg(
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n") - F.percentile("value", F.lit(0.5), F.col("n"))).alias("evidence")
+        F.sum("n").alias("total"), F.percentile("value", F.lit(0.5), F.col("n")).alias("middle"), F.collect_list(F.struct("value", "n")).alias("words"),
     )
+    beyond = F.aggregate("words", F.lit(0.0), lambda s, w: s + w["n"] * F.greatest(w["value"] - F.col("middle") - FLOOR, F.lit(0.0)))
+    each = each.select("row", (beyond / F.col("total")).alias("evidence"))
     return stored.drop("text").join(each, "row", "left").select(*keep, F.coalesce("evidence", F.lit(0.0)).alias("evidence"))
 
 
@@ -265,9 +271,9 @@ def evidence(rows: DataFrame, ratios: DataFrame, keep: tuple[str, ...] = ("doc_i
 
 def curve(scored: DataFrame) -> tuple[float, float]:
     """(slope, place of 0.5) of the logistic curve for (evidence, toxic), from counts per step of evidence."""
-    step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.round(F.col("evidence") / BIN) * BIN))
+    step = F.least(F.lit(2.0), F.round(F.col("evidence") / BIN) * BIN)
     counts = scored.groupBy(step.alias("x")).agg(F.count_if(F.col("toxic") > 0).alias("bad"), F.count_if(F.col("toxic") <= 0).alias("good"))
-    table = np.array([tuple(r) for r in counts.toLocalIterator()], dtype=float).reshape(-1, 3)  # 801 rows at most
+    table = np.array([tuple(r) for r in counts.toLocalIterator()], dtype=float).reshape(-1, 3)  # 1001 rows at most
     x, bad, good = table[np.argsort(table[:, 0])].T
     if not bad.sum() or not good.sum():
         return PRIOR_CURVE
