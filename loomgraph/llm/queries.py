@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import grammar, language, packing, prefix_counts, simhash, toxicity
+from loomgraph.llm import grammar, language, line_dedup, packing, prefix_counts, simhash, toxicity
 from loomgraph.llm.arrow import table
 from loomgraph.session import scratch_root
 
@@ -64,3 +64,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", language.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query("op8_winnowing_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "removed_lines", "removed_words", "runs")
