@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import grammar, language, line_dedup, packing, prefix_counts, simhash, toxicity
+from loomgraph.llm import grammar, language, line_dedup, packing, prefix_counts, simhash, templates, toxicity
 from loomgraph.llm.arrow import table
 from loomgraph.session import scratch_root
 
@@ -70,3 +70,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "removed_lines", "removed_words", "runs")
+
+
+@query("op7_template_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
