@@ -27,7 +27,7 @@ import regex
 import unicodedata
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.arrow import grouped_sums, slices, spread, text_of
+from loomgraph.llm.arrow import grouped_sums, slices, spread, strings, text_of
 from loomgraph.llm.tokens import WORD_BPE
 
 #: Words, pieces and token pairs that a worker keeps before it starts anew.
@@ -252,7 +252,7 @@ class PrefixCounter:
         words = pc.ascii_split_whitespace(texts)
         ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = strings(coded.dictionary)
         if len(self.place) + len(names) > self.capacity:
             self.clear()
         place = self.place

@@ -1,21 +1,25 @@
 """Token ids of whole texts, encoded once per distinct word.
 
 The vocabulary's normaliser and splitter never look across white space, so the
-ids of a text are the ids of its space-separated words one after another.  A
-Python worker keeps the words it has met, at most ``CAPACITY`` of them, and asks
-the library only for new ones; the ids are those of the library on the text.
+ids of a text are the ids of its space-separated words one after another; nor
+do they join a letter or digit with the mark after it, and capitals count as
+small letters.  A Python worker keeps the words it has met, at most ``CAPACITY``
+of them, and asks the library only for what is new in them; the ids are those of
+the library on the text.
 """
 
 from __future__ import annotations
 
 import functools
+import os
+import string
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 
-from loomgraph.llm.arrow import grouped_sums, spread
+from loomgraph.llm.arrow import grouped_sums, spread, strings
 
 WORD_BPE = "word_bpe_49k.json"
 #: The id that ends a document.
@@ -24,19 +28,36 @@ END_ID = 1
 CAPACITY = 800_000
 #: Stands between the words of one request; a word that contains it is asked alone.
 MARK = "\x01"
+#: Marks of which a run at the end of a word, after a letter or digit, is a piece of its own.
+CLOSING = string.punctuation
+
+
+#: Small letters for the bytes A to Z; all other bytes as they are.
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
+
+
+def ascii_lower(texts: pa.Array) -> pa.Array:
+    """Strings with 64-bit offsets, A to Z in small letters."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(SMALL[raw]))
 
 
 class WordEncoder:
     """Ids of texts from one vocabulary file."""
 
     def __init__(self, name: str = WORD_BPE, capacity: int = CAPACITY) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         self.library.no_truncation()
         self.library.no_padding()
         self.capacity = capacity
-        self.mark_id = self.library.encode(MARK, add_special_tokens=False).ids
+        self.mark_id = self.library.encode(MARK, add_special_tokens=False).ids[0]
+        self.ends_word = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        self.ends_word[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -46,45 +67,76 @@ class WordEncoder:
         self.lengths = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words, many per call of the library."""
-        plain = [w for w in words if MARK not in w]
-        odd = [w for w in words if MARK in w]
-        sep = f" {MARK} "
-        joined = [sep.join(plain[i : i + 256]) + sep for i in range(0, len(plain), 256)]
-        found = [np.array(e.ids, dtype=np.int64) for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
-        flat = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-        stops = np.flatnonzero(flat == self.mark_id[0])
-        lengths = np.diff(np.concatenate(([-1], stops))) - 1
-        kept = flat[flat != self.mark_id[0]]
-        for word in odd:
-            ids = self.library.encode(word, add_special_tokens=False).ids
-            kept, lengths = np.concatenate((kept, ids)), np.append(lengths, len(ids))
-        names = plain + odd
-        have, new = len(self.place), len(self.place) + len(names)
-        while new > len(self.starts):
+    def _room(self, entries: int, ids: int) -> None:
+        while len(self.place) + entries > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + len(kept) > len(self.ids):
+        while self.used + ids > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
+
+    def _add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Keep words with their ids, one after another."""
+        self._room(len(names), len(ids))
+        have, new = len(self.place), len(self.place) + len(names)
         self.lengths[have:new] = lengths
         self.starts[have:new] = self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : self.used + len(kept)] = kept
-        self.used += len(kept)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
         self.place.update(zip(names, range(have, new)))
 
+    def _batch(self, words: list[str], between: str) -> np.ndarray:
+        """Ids of words with something between them, many words per call of the library."""
+        joined = [between.join(words[i : i + 256]) + between for i in range(0, len(words), 256)]
+        found = [np.array(e.ids, dtype=np.int64) for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+    def _ask(self, words: list[str]) -> None:
+        """Encode new words: those of letters end where a token ends a word, others at the mark between them."""
+        letters = [w for w in words if w.isalpha()]
+        ids = self._batch(letters, " ")
+        stops = np.flatnonzero(self.ends_word[ids])
+        if len(stops) == len(letters):
+            self._add(letters, ids, np.diff(stops, prepend=-1))
+        else:  # not all of them are letters to the library
+            letters = []
+        rest = set(words).difference(letters)
+        plain = [w for w in rest if MARK not in w]
+        ids = self._batch(plain, f" {MARK} ")
+        marks = ids == self.mark_id
+        self._add(plain, ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1)
+        for word in rest.difference(plain):
+            ids = self.library.encode(word, add_special_tokens=False).ids
+            self._add([word], np.array(ids, dtype=np.int64), np.array([len(ids)]))
+
+    def _learn(self, words: list[str]) -> None:
+        """Keep new words; a word with a closing mark is put together from its parts."""
+        place = self.place
+        closed = {}
+        for word in words:
+            core = word.rstrip(CLOSING)
+            if len(core) < len(word) and core[-1:].isalnum() and "<|" not in word:
+                closed[word] = (core, word[len(core) :])
+        asked = set(words).difference(closed).union(*closed.values())
+        self._ask([w for w in asked if w not in place])
+        if closed:
+            parts = np.fromiter((place[p] for pair in closed.values() for p in pair), dtype=np.int64, count=2 * len(closed))
+            lengths = self.lengths[parts]
+            self._add(list(closed), self.ids[spread(self.starts[parts], lengths)], lengths.reshape(-1, 2).sum(axis=1))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special strings count as they are written
+            texts = ascii_lower(texts)
         words = pc.ascii_split_whitespace(texts)
         ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = strings(coded.dictionary)
         if len(self.place) + len(names) > self.capacity:
             self.clear()
-        place = self.place
-        new = [w for w in names if w not in place]
-        if new:
-            self._learn(new)
-        local = np.fromiter((place[w] for w in names), dtype=np.int64, count=len(names))
+        found = list(map(self.place.get, names))
+        if None in found:
+            self._learn([w for w, at in zip(names, found) if at is None])
+            found = [self.place[w] if at is None else at for w, at in zip(names, found)]
+        local = np.array(found, dtype=np.int64)
         at = local[coded.indices.to_numpy(zero_copy_only=False)] if names else np.zeros(0, dtype=np.int64)
         lengths = self.lengths[at]
         return self.ids[spread(self.starts[at], lengths)], grouped_sums(lengths, ends)

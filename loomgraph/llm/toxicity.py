@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow import bitmap, in_bitmap, slices, text_of
+from loomgraph.llm.arrow import bitmap, in_bitmap, slices, strings, text_of
 from loomgraph.session import materialize
 
 ORDER = 5
@@ -87,7 +87,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
             at, size = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
             ordinary, bad = np.bincount(at[~of], minlength=size), np.bincount(at[of], minlength=size)
             total: dict[str, tuple[int, int]] = {}
-            for chunk, a, b in zip(coded.dictionary.to_pylist(), ordinary.tolist(), bad.tolist()):
+            for chunk, a, b in zip(strings(coded.dictionary), ordinary.tolist(), bad.tolist()):
                 for word in WORD.findall(chunk.lower()):
                     x, y = total.get(word, (0, 0))
                     total[word] = (x + a, y + b)
@@ -176,7 +176,7 @@ class Evidence:
         words = pc.ascii_split_whitespace(texts)
         row = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
         coded = words.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = strings(coded.dictionary)
         if len(self.place) + len(names) > CAPACITY:
             self.place.clear()
         place = self.place
