@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import grammar, language, line_dedup, packing, prefix_counts, simhash, templates, toxicity
+from loomgraph.llm import grammar, language, licenses, line_dedup, packing, prefix_counts, simhash, templates, toxicity
 from loomgraph.llm.arrow import table
 from loomgraph.session import scratch_root
 
@@ -75,3 +75,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_template_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_license_sentences", licenses.oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
