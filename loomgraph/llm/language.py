@@ -107,7 +107,7 @@ def windows_of(raw: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> tupl
 def train(texts: list[str], labels: list[str], per_text: int = WINDOWS, epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """A network for the given labels; the same input gives the same network."""
     rng = np.random.default_rng(seed)
-    languages = sorted(set(labels))
+    languages = sorted({label for text, label in zip(texts, labels) if text})
     windows, target = [], []
     for text, label in zip(texts, labels):
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -178,16 +178,18 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network:
     return train(*training_rows(docs, per_language))
 
 
-def predict(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with (lang_pred, score) for every whole text."""
+def predict(
+    docs: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """The columns ``keep`` with the language and its score, under ``names``, for every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from loomgraph.llm.arrow import slices
 
         model = shared.value
-        for batch in slices(batches, "__text", SLICE):
-            texts = pc.fill_null(batch.column("__text").cast(pa.large_string()), "")
+        for batch in slices(batches, source, SLICE):
+            texts = pc.fill_null(batch.column(source).cast(pa.large_string()), "")
             offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
             raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
             known = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
@@ -217,9 +219,20 @@ def predict(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str,
             predicted = names[np.where(known, best, len(names) - 1)]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(predicted, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))],
-                names=[*keep, "lang_pred", "score"],
+                names=[*keep, *names],
             )
 
-    rows = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    source = text if text in keep else "__text"  # a text that is kept is sent once
+    rows = docs.select(*[docs[c] for c in keep], *([] if text in keep else [docs[text].alias("__text")]))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+
+
+#: Documents whose language is less likely than this are rejected.
+LEAST_SCORE = 0.3
+
+
+def keep_known_languages(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents with letters whose language, by a network trained on them, is likely enough."""
+    found = predict(docs, fit(docs), keep=tuple(docs.columns), names=("__lang", "__score"))
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)

@@ -196,13 +196,16 @@ def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
     return kept, int(gone.sum()), sum(len(line.split()) for line, drop in zip(lines, gone) if drop)
 
 
-def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents with repeated runs deleted from ``text``, plus (removed_lines, removed_words, runs)."""
+def dedup_lines(docs: DataFrame, words: int = WORDS, names: tuple[str, str, str] = ("removed_lines", "removed_words", "runs")) -> DataFrame:
+    """The documents with repeated runs deleted from ``text``, plus lines and words deleted and the runs, under ``names``.
+
+    Columns of ``docs`` that already have such a name are replaced.
+    """
     runs = repeated_runs(docs, words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("runs").alias("__runs"))
     # only documents with something to delete are moved; a null text has no hash
     keyed = docs.withColumn("__key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     marked = keyed.join(runs, keyed["doc_id"].eqNullSafe(runs["__id"]) & (keyed["__key"] == runs["__hash"]), "left").drop("__id", "__hash", "__key")
-    kept = [c for c in docs.columns if c not in ("removed_lines", "removed_words", "runs")]
+    kept = [c for c in docs.columns if c not in names]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -216,8 +219,15 @@ def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(lines, pa.int64()), pa.array(words_gone, pa.int64()), batch.column("__runs")],
-                names=[*kept, "removed_lines", "removed_words", "runs"],
+                names=[*kept, *names],
             )
 
     marked = marked.select(*kept, "__runs")
-    return marked.mapInArrow(run, f"{schema}, removed_lines long, removed_words long, runs array<struct<first:int,last:int,of_doc_id:{kind}>>")
+    return marked.mapInArrow(run, f"{schema}, `{names[0]}` long, `{names[1]}` long, `{names[2]}` array<struct<first:int,last:int,of_doc_id:{kind}>>")
+
+
+def drop_repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The documents without repeated runs; documents of which nothing but white space is left go."""
+    found = dedup_lines(docs, words, ("__lines", "__words", "__found"))
+    emptied = (F.col("__lines") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    return found.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
