@@ -215,8 +215,8 @@ def predict(
                 best = total.argmax(axis=1)
                 score = total.max(axis=1) / np.maximum(total.sum(axis=1), 1)
             known &= bool(model.languages)
-            names = np.array([*model.languages, UNKNOWN], dtype=object)
-            predicted = names[np.where(known, best, len(names) - 1)]
+            labels = np.array([*model.languages, UNKNOWN], dtype=object)
+            predicted = labels[np.where(known, best, len(labels) - 1)]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(predicted, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))],
                 names=[*keep, *names],
