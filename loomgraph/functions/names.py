@@ -62,8 +62,9 @@ SKIPPED_TYPES = {
     "javascript": JS_BUILTIN_TYPES,
     "typescript": TS_BUILTIN_TYPES,
 }
-#: Names excluded from calls and constructor calls, by language.
-SKIPPED_CALLS = {"java": JAVA_KEYWORDS + JAVA_SKIPPED_CONSTRUCTORS}
+#: Names excluded from calls, and from constructor calls, by language.
+SKIPPED_CALLS = {"java": JAVA_KEYWORDS}
+SKIPPED_CONSTRUCTORS = {"java": JAVA_SKIPPED_CONSTRUCTORS}
 
 
 def is_noise(lang: Column | str, name: Column | str, table: dict[str, tuple[str, ...]]) -> Column:
@@ -74,6 +75,11 @@ def is_noise(lang: Column | str, name: Column | str, table: dict[str, tuple[str,
     return test
 
 
+def is_skipped_call(lang: Column | str, name: Column | str, is_constructor: Column | str) -> Column:
+    """True for a keyword taken for a call, or the constructor call of a built-in class."""
+    return F.when(col(is_constructor), is_noise(lang, name, SKIPPED_CONSTRUCTORS)).otherwise(is_noise(lang, name, SKIPPED_CALLS))
+
+
 def callee_key(c: Column | str, last: bool = False) -> Column:
     """Name a call is matched by: the text after the first dot, or after the last one."""
     text = col(c)
@@ -190,4 +196,4 @@ def resolve_types(rows: DataFrame) -> DataFrame:
     """
     own = F.when(F.coalesce("package", F.lit("")) != "", F.concat("package", F.lit("."), "type_name"))
     resolved = F.coalesce(F.col("imported"), own, F.col("type_name"))
-    return rows.withColumn("resolved", resolved).where("resolved <> src_fqn")
+    return rows.withColumn("resolved", resolved).where("src_fqn IS NULL OR resolved <> src_fqn")

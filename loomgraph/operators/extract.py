@@ -210,6 +210,9 @@ CSS_COMMENT = r"(?s)/\*.*?\*/"
 CSS_KEYFRAMES = r"@(?:-[a-z]+-)?keyframes\s+([\w-]+)\s*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}"
 CSS_IMPORT = r"@import\s+(?:url\(\s*)?(?:\"([^\"]*)\"|'([^']*)')"
 CSS_RULE = r"([^{}@;]+)\{([^{}]*)\}"
+CSS_STRING = r"\"[^\"\n]*\"|'[^'\n]*'"
+#: Rules within rules are taken apart from the innermost outwards, this many levels of braces deep.
+CSS_DEPTH = 8
 CSS_VARIABLE = r"(?:^|;)\s*(--[\w-]+)\s*:"
 #: One selector without combinators, pseudo classes or attributes; the last part counts.
 CSS_CLASS = r"^(?:[\w*-]*(?:[.#][\w-]+)*)\.([\w-]+)$"
@@ -218,12 +221,17 @@ CSS_ID = r"^(?:[\w*-]*(?:[.#][\w-]+)*)#([\w-]+)$"
 
 def css_symbols(files: DataFrame) -> DataFrame:
     """Class and id selectors, custom properties and keyframes as symbols."""
-    text = blank(F.col("content"), CSS_COMMENT)
+    text = F.regexp_replace(blank(F.col("content"), CSS_COMMENT), CSS_STRING, "''")
     plain = blank(text, CSS_KEYFRAMES)
-    rules = F.arrays_zip(
-        F.regexp_extract_all(plain, F.lit(CSS_RULE), F.lit(1)).alias("selectors"),
-        F.regexp_extract_all(plain, F.lit(CSS_RULE), F.lit(2)).alias("block"),
-    )
+    levels = []
+    for _ in range(CSS_DEPTH):
+        levels.append(F.arrays_zip(
+            F.regexp_extract_all(plain, F.lit(CSS_RULE), F.lit(1)).alias("selectors"),
+            F.regexp_extract_all(plain, F.lit(CSS_RULE), F.lit(2)).alias("block"),
+        ))
+        # an inner rule leaves a separator, so that what follows it is not part of its selector
+        plain = F.regexp_replace(plain, CSS_RULE, ";")
+    rules = F.concat(*levels)
 
     def entry(kind: str, mark: str, name: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(mark).alias("mark"), name.alias("name"))

@@ -101,7 +101,8 @@ def top_per_key(
 
     The rank is compared with a literal, which lets Spark cut each map task's
     rows to ``limit`` per key before the shuffle; a hot key therefore sends at
-    most ``limit`` rows per task.
+    most ``limit`` rows per task, up to the group-limit threshold of the session
+    settings (a million).
     """
     number = F.dense_rank() if ties else F.row_number()
     rank = number.over(Window.partitionBy(*keys).orderBy(*order))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from loomgraph.operators import incremental as inc
 from loomgraph.operators import lookup
 from loomgraph.operators import search as search_ops
 from loomgraph.plans.registry import Tables, query
+from loomgraph.session import scratch_root
 from loomgraph.sources import files as file_ops
 
 # --- change detection ---------------------------------------------------------------
@@ -241,10 +244,35 @@ def go_modules(t: Tables) -> DataFrame:
     return file_ops.go_module(t.doc_files.select("repo_id", "path", "content").unionByName(mods))
 
 
-@query("scan_files")
+TREE_PATH = (
+    "CASE doc_id % 4 WHEN 0 THEN 'pkg/_lib/u' WHEN 1 THEN 'web/.conf' WHEN 2 THEN '_app' ELSE 'a/b/c/' || source END || '/' || "
+    "CASE doc_id % 3 WHEN 0 THEN '_f' WHEN 1 THEN '.f' ELSE 'f' END || CAST(doc_id AS VARCHAR(20)) || '.js'"
+)
+
+
+def _written_tree(t: Tables) -> str:
+    """Every document as a file below a new folder of the shared scratch folder."""
+    root = f"{scratch_root(t.spark)}/tree-{uuid.uuid4().hex}"
+
+    def write(batches):
+        import pyarrow.fs as pafs
+
+        store, base = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as stream:
+                    stream.write(text.encode())
+            yield batch[["path"]]
+
+    t.documents.selectExpr(f"{TREE_PATH} AS path", "text").mapInPandas(write, "path string").count()
+    return root
+
+
+@query("scan_files", f"SELECT {TREE_PATH} AS path, octet_length(encode(text)) AS size, sha256(text) AS sha FROM {{documents}}")
 def scan_files(t: Tables) -> DataFrame:
-    """The data folder itself, listed without opening a file."""
-    return file_ops.scan_files(t.spark, t.sf_dir).select("path", "size", "mtime")
+    """A tree written from the documents, with names and folders that start with an underscore or a dot."""
+    return file_ops.scan_files(t.spark, _written_tree(t)).select("path", "size", file_ops.sha256_hex("content").alias("sha"))
 
 
 @query("files_of_repo", "SELECT doc_id, path FROM {doc_files} WHERE repo_id = 2")
@@ -363,6 +391,17 @@ def noise_names(t: Tables) -> DataFrame:
     return rows.withColumn("noise", names.is_noise("lang", "word", names.SKIPPED_TYPES))
 
 
+@query(
+    "noise_calls",
+    "SELECT id, lang, word, made, lang = 'java' AND (made AND word = 'StringBuilder' OR NOT made AND word IN ('super', 'synchronized')) AS noise FROM (SELECT id, lang, id % 3 = 0 AS made, "
+    "CASE id % 5 WHEN 0 THEN 'StringBuilder' WHEN 1 THEN 'super' WHEN 2 THEN 'synchronized' ELSE name END AS word FROM {code_symbols}) w",
+)
+def noise_calls(t: Tables) -> DataFrame:
+    word = F.expr("CASE id % 5 WHEN 0 THEN 'StringBuilder' WHEN 1 THEN 'super' WHEN 2 THEN 'synchronized' ELSE name END")
+    rows = t.code_symbols.select("id", "lang", word.alias("word"), (F.col("id") % 3 == 0).alias("made"))
+    return rows.withColumn("noise", names.is_skipped_call("lang", "word", "made"))
+
+
 @query(
     "module_names",
     "SELECT path, regexp_replace(path, '[.][^./]*$', '') AS module, CASE WHEN path LIKE 'src/%' THEN substr(path, 5) ELSE path END AS relative FROM {doc_files}",

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # ranks up to this are cut in every map task, before the shuffle
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 

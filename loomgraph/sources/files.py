@@ -6,33 +6,112 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import LANGS, classify_lang, relative_path, to_slash
 from loomgraph.functions.text import col
+from loomgraph.session import materialize
 
-SCAN_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+LISTED = "path string, is_dir boolean, mtime bigint, size bigint"
+#: Folders that one listing task takes at a time at least.
+DIRS_PER_TASK = 64
+#: Bytes of content that one Arrow batch holds at most, unless one file is longer.
+CONTENT_BYTES = 16 << 20
+
+
+def _store(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder name (a local path or a URI) and the path in it."""
+    return pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+
+
+def _list_dirs(root: str):
+    """A task that lists folders (path, relative to ``root``); folders that vanish meanwhile have nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = _store(root)
+        for batch in batches:
+            rows = []
+            for folder in batch["path"]:
+                found = store.get_file_info(pafs.FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=True))
+                for info in found:
+                    if info.type in (pafs.FileType.Directory, pafs.FileType.File):
+                        name = f"{folder}/{info.base_name}" if folder else info.base_name
+                        is_dir = info.type == pafs.FileType.Directory
+                        rows.append((name, is_dir, None if is_dir else int(info.mtime.timestamp()), None if is_dir else info.size))
+            yield pd.DataFrame(rows, columns=["path", "is_dir", "mtime", "size"])
+
+    return run
 
 
-def scan_files(spark: SparkSession, root: str, repo_id: int = 1) -> DataFrame:
-    """All files below ``root``: (repo_id, path, mtime, size, content).
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """All files below ``root``: (path, mtime, size), whatever their names; no file is opened.
 
-    Columns that are not used are not read, so listing alone opens no file.
-    Files that vanish during the scan are skipped.  Spark itself does not list
-    names that start with ``_`` or ``.``.
+    Folders are a frontier of rows, one level of the tree per round, that tasks
+    list side by side; every level is written to the shared folder.
     """
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .load(root)
-    )
-    return as_scan(found, root, repo_id)
+    frontier = spark.createDataFrame([("",)], "path string")
+    levels: list[DataFrame] = []
+    n = 1
+    while n:
+        tasks = min(n // DIRS_PER_TASK + 1, 10_000)
+        listed = materialize(frontier.repartition(tasks).mapInPandas(_list_dirs(root), LISTED), "listed")
+        levels.append(listed.where("NOT is_dir"))
+        frontier = listed.where("is_dir").select("path")
+        n = frontier.count()
+    files = levels[0]
+    for level in levels[1:]:
+        files = files.unionByName(level)
+    return files.select("path", "mtime", "size")
+
+
+def read_contents(files: DataFrame, root: str) -> DataFrame:
+    """Add ``content`` to listed files; files that have vanished since drop out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = _store(root)
+        for batch in batches:
+            rows, held = [], 0
+            for row in batch.itertuples(index=False):
+                try:
+                    with store.open_input_stream(f"{base}/{row.path}") as stream:
+                        content = stream.read()
+                except FileNotFoundError:
+                    continue
+                rows.append((*row, content))
+                held += len(content)
+                if held > CONTENT_BYTES:
+                    yield pd.DataFrame(rows, columns=[*batch.columns, "content"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=[*batch.columns, "content"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInPandas(run, f"{schema}, content binary")
+
+
+def scan_files(spark: SparkSession, root: str, repo_id: int = 1, content: bool = True) -> DataFrame:
+    """All files below ``root``: (repo_id, path, mtime, size, content), names that start with ``_`` or ``.`` included.
+
+    Without ``content`` no file is opened.  Filter the listing first where only
+    some contents are wanted (``list_files``, then ``read_contents``).
+    """
+    files = list_files(spark, root)
+    if content:
+        files = read_contents(files, root)
+    return files.select(F.lit(repo_id).cast("long").alias("repo_id"), *files.columns)
+
+
+#: What Spark's file stream gives.
+SCAN_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def stream_files(spark: SparkSession, root: str, repo_id: int = 1, files_per_batch: int = 1000) -> DataFrame:
-    """The same rows as an endless stream of new files."""
+    """The rows of new files as an endless stream.
+
+    Spark's file stream does not see names that start with ``_`` or ``.``; a
+    repeated ``scan_files`` (see ``streaming.indexing``) does.
+    """
     found = (
         spark.readStream.format("binaryFile")
         .schema(SCAN_SCHEMA)
@@ -40,10 +119,6 @@ def stream_files(spark: SparkSession, root: str, repo_id: int = 1, files_per_bat
         .option("maxFilesPerTrigger", files_per_batch)
         .load(root)
     )
-    return as_scan(found, root, repo_id)
-
-
-def as_scan(found: DataFrame, root: str, repo_id: int) -> DataFrame:
     place = F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
     plain_root = re.sub(r"^[a-z][a-z0-9+.-]*:(?://[^/]*)?(?=/)", "", root)
     return found.select(

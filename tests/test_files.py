@@ -34,6 +34,11 @@ def test_scan_and_discover(spark, tmp_path):
     got = {r.path: r.lang for r in fs.discover(scan, lines).collect()}
     assert got == {"main.go": "go", "web/app.TSX": "typescript", "web/x.mjs": "javascript", "ignored_keep.go": "go"}
     assert {r.path for r in fs.discover(scan, lines, fs.parse_langs("GO,")).collect()} == {"main.go", "ignored_keep.go"}
+    hidden = {"_app.js", "_lib/util.go", ".eslintrc.js", "css/_vars.css", ".git/config"}
+    for path in hidden:
+        write(root, path, "x")
+    assert hidden <= {r.path for r in fs.scan_files(spark, root, content=False).collect()}
+    assert {r.path for r in fs.discover(fs.scan_files(spark, f"file:{root}"), lines).collect()} >= hidden - {".git/config"}
     row = scan.where("path = 'main.go'").select("size", fs.sha256_hex("content").alias("sha")).first()
     assert row["size"] == 10 and len(row.sha) == 64
 
@@ -101,6 +106,24 @@ def test_css(spark):
     assert {r.ref_text for r in extract.css_imports(df).collect()} == {"a.css", "b.css"}
 
 
+def test_nested_css_rules(spark):
+    body = (
+        ".outer { --v: 1; .inner { --w: 2; .deep { top: 0 } } --z: 3 }\n#quoted { --q: '{'; content: \"}\" }\n"
+        "@media print { .card { .title { --t: 1 } } }\n.after { }"
+    )
+    got = {(r.kind, r["name"]) for r in extract.css_symbols(page(spark, body, "a.css")).collect()}
+    assert got == {
+        ("class", "outer"), ("class", "inner"), ("class", "deep"), ("id", "quoted"), ("class", "card"), ("class", "title"), ("class", "after"),
+        ("variable", "--v"), ("variable", "--w"), ("variable", "--z"), ("variable", "--q"), ("variable", "--t"),
+    }
+
+
+def test_types_without_an_own_name_are_resolved(spark):
+    rows = [("A", None, "p", None), ("B", None, "p", "p.B"), ("C", "q.C", "p", "p.X")]
+    df = spark.createDataFrame(rows, "type_name string, imported string, package string, src_fqn string")
+    assert {r.type_name: r.resolved for r in names.resolve_types(df).collect()} == {"A": "p.A", "C": "q.C"}
+
+
 def test_name_functions(spark):
     row = spark.range(1).select(
         names.split_top_level(F.lit("Comparable<Foo>, Map.Entry<K, V>, ,Serializable")).alias("parts"),
