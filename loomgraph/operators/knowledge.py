@@ -241,7 +241,7 @@ def _rejected(checked: DataFrame) -> DataFrame:
 
 
 def fold_patches(patches: DataFrame) -> DataFrame:
-    """Patches of one note as one patch: the last given value of every field."""
+    """Patches of one note that all succeed as one patch: the last given value of every field."""
     at = F.struct("ts", "req_id")
     tags_given = F.coalesce("tags_provided", F.lit(False))
 
@@ -294,62 +294,39 @@ def patched_notes(existing: DataFrame, patches: DataFrame) -> DataFrame:
 def update_batch(existing: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply patches as if they came one by one in (ts, req_id) order.
 
-    Valid patches of the same note are folded into one, at the time of the last
-    of them.  Returns the outcomes (req_id, code, message, existing_id, field,
-    errors) and the whole note table afterwards.  Codes: OK, VALIDATION_ERROR,
-    NOT_FOUND, DUPLICATE_KNOWLEDGE.
+    Returns the outcomes (req_id, code, message, existing_id, field, errors), one
+    per patch, and the whole note table afterwards.  Codes: OK,
+    VALIDATION_ERROR, NOT_FOUND, DUPLICATE_KNOWLEDGE.
+
+    Notes whose titles and contents, now and after any of their patches, no other
+    note has or may get are patched at once.  The others are decided round by
+    round, the earliest open patch of each note at a time: it is judged when no
+    earlier open patch of another note may touch its keys, and rejected even
+    before that when the note that holds its key has no earlier open patch.  All
+    later claimants of a taken key are thus closed in one round.
     """
     checked = patches.withColumn("errors", update_errors())
-    valid = checked.where(F.size("errors") == 0)
+    valid = materialize(checked.where(F.size("errors") == 0).drop("errors"), "valid-patches")
     none = F.array().cast(NO_ERRORS)
     nothing = F.lit(None).cast("string")
     missing = valid.join(existing.select("id"), "id", "left_anti").select(
         "req_id", F.lit("NOT_FOUND").alias("code"), F.lit(NOT_FOUND).alias("message"),
         nothing.alias("existing_id"), nothing.alias("field"), none.alias("errors"),
     )
-    open_ = materialize(
-        patched_notes(existing, fold_patches(valid.select(*patches.columns))).withColumn("ord", F.struct("updated_at", "req_id")),
-        "open-patches",
-    )
-    known = valid.join(existing.select("id"), "id", "left_semi").select("id", "req_id")
-    keys = _keys(open_)
-    holders = materialize(
-        _keys(existing.withColumn("old", F.struct("scope", "normalized_title", "content_hash")))
-        .where("NOT is_old").join(keys.select("what", "scope", "value").distinct(), ["what", "scope", "value"], "left_semi")
-        .select("id", "what", "scope", "value"),
-        "key-holders",
+    known = valid.join(existing.select("id"), "id", "left_semi")
+    values = materialize(_values(existing.join(known.select("id"), "id", "left_semi"), known), "patch-values")
+    others = _values(existing, None).join(values.select("what", "value").distinct(), ["what", "value"], "left_semi")
+    contested = (
+        values.unionByName(others).groupBy("what", "value").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("what", "value")
     )
-    results: list[DataFrame] = []
-    slot = ["what", "scope", "value"]
-    while not open_.isEmpty():
-        keys = _keys(open_)
-        first = keys.groupBy(*slot).agg(F.min("ord").alias("first"))
-        blocked = keys.join(first, slot).where("ord > first").select("id").distinct()
-        ready = materialize(open_.join(blocked, "id", "left_anti"), "ready-patches")
-        wants = _keys(ready).where("NOT is_old").select("id", *slot)
-        clash = (
-            wants.join(holders.withColumnRenamed("id", "existing_id"), slot)
-            .where("id <> existing_id")
-            .groupBy("id")
-            .agg(F.max_by(F.struct("what", "existing_id"), "what").alias("hit"))  # title before content
-        )
-        judged = materialize(
-            ready.join(clash, "id", "left").withColumn("field", F.col("hit.what"))
-            .withColumn("existing_id", F.col("hit.existing_id")).drop("hit"),
-            "judged-patches",
-        )
-        results.append(judged)
-        applied = judged.where("field IS NULL")
-        holders = materialize(
-            holders.join(applied.select("id"), "id", "left_anti").select("id", *slot)
-            .unionByName(_keys(applied).where("NOT is_old").select("id", *slot)),
-            "key-holders",
-        )
-        open_ = materialize(open_.join(ready.select("id"), "id", "left_anti"), "open-patches")
-    judged = open_.withColumn("field", nothing).withColumn("existing_id", nothing)
-    for result in results:
-        judged = judged.unionByName(result.select(*judged.columns))
-    outcome = judged.select("id", "field", "existing_id").join(known, "id").select(
+    contested = materialize(contested, "contested-values")
+    linked = materialize(values.join(contested, ["what", "value"], "left_semi").select("id").distinct(), "linked-notes")
+
+    alone = known.join(linked, "id", "left_anti")
+    at_once = materialize(patched_notes(existing, fold_patches(alone)).select(*COLUMNS), "patched-notes")
+    judged, state = _one_by_one(existing, known.join(linked, "id", "left_semi"), linked, contested)
+    judged = alone.select("req_id", nothing.alias("field"), nothing.alias("existing_id")).unionByName(judged)
+    outcome = judged.select(
         "req_id",
         F.when(F.col("field").isNull(), "OK").otherwise("DUPLICATE_KNOWLEDGE").alias("code"),
         F.when(F.col("field") == "title", DUPLICATE_TITLE)
@@ -357,11 +334,73 @@ def update_batch(existing: DataFrame, patches: DataFrame) -> tuple[DataFrame, Da
         .otherwise(UPDATED).alias("message"),
         "existing_id", "field", none.alias("errors"),
     )
-    done = judged.where("field IS NULL").select(*COLUMNS)
+    done = at_once.unionByName(state)
     table = existing.join(done.select("id"), "id", "left_anti").select(*COLUMNS).unionByName(done)
     return outcome.unionByName(missing).unionByName(_rejected(checked)), table
 
 
+def _values(notes: DataFrame, patches: DataFrame | None) -> DataFrame:
+    """Distinct (id, what, value): titles and contents that notes have or that their patches give."""
+    def both(title: Column, content: Column) -> Column:
+        kinds = F.array(F.struct(F.lit("title").alias("what"), title.alias("value")), F.struct(F.lit("content").alias("what"), content.alias("value")))
+        return F.explode(F.filter(kinds, lambda k: k["value"].isNotNull())).alias("k")
+
+    found = notes.select("id", both(F.col("normalized_title"), F.col("content_hash")))
+    if patches is not None:
+        found = found.unionByName(patches.select("id", both(normalize_title(trim_space("title")), content_hash(trim_space("content")))))
+    return found.select("id", "k.what", "k.value").distinct()
+
+
+def _one_by_one(existing: DataFrame, patches: DataFrame, linked: DataFrame, contested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decide the patches of linked notes: (req_id, field, existing_id) per patch, and the notes afterwards."""
+    nothing = F.lit(None).cast("string")
+    slot = ["what", "scope", "value"]
+    open_ = materialize(patches.withColumn("ord", F.struct("ts", "req_id")), "open-patches")
+    state = materialize(existing.join(linked, "id", "left_semi").select(*COLUMNS), "linked-state")
+    holders = materialize(
+        _keys(existing.withColumn("old", F.struct("scope", "normalized_title", "content_hash"))).where("NOT is_old")
+        .join(contested, ["what", "value"], "left_semi").select("id", *slot),
+        "key-holders",
+    )
+    judged = open_.where("false").select("req_id", nothing.alias("field"), nothing.alias("existing_id"))
+    names = [c for c in open_.columns if c != "id"]
+    while not open_.isEmpty():
+        head = open_.groupBy("id").agg(F.min_by(F.struct(*names), "ord").alias("p")).select("id", "p.*")
+        asked = materialize(patched_notes(state, head).withColumn("ord", F.struct("updated_at", "req_id")), "asked-patches")
+        turn = asked.select("id", "ord")
+        may = _values(state, open_).join(turn, "id")
+        first = may.groupBy("what", "value").agg(F.min("ord").alias("first"))
+        keys = _keys(asked)
+        waits = keys.join(first, ["what", "value"]).where("ord > first").groupBy("id").agg(
+            F.lit(True).alias("waits"), F.max((F.col("what") == "title") & ~F.col("is_old")).alias("title_waits"),
+        )
+        held = (
+            keys.where("NOT is_old").join(holders.withColumnRenamed("id", "existing_id"), slot).where("id <> existing_id")
+            .join(turn.select(F.col("id").alias("existing_id"), F.col("ord").alias("holder_turn")), "existing_id", "left")
+            .withColumn("stays", F.coalesce(F.col("holder_turn") > F.col("ord"), F.lit(True)))
+            .groupBy("id").agg(*[
+                F.max_by(F.when(F.col("what") == w, F.struct("existing_id", "stays")), F.when(F.col("what") == w, F.col("existing_id"))).alias(w)
+                for w in ("title", "content")
+            ])
+        )
+        view = asked.join(waits, "id", "left").join(held.withColumnsRenamed({"title": "by_title", "content": "by_content"}), "id", "left")
+        free = ~F.coalesce("waits", F.lit(False))
+        by_title, by_content = F.col("by_title").isNotNull(), F.col("by_content").isNotNull()
+        title_sure = by_title & (free | F.col("by_title.stays"))
+        content_sure = ~by_title & by_content & (free | (~F.coalesce("title_waits", F.lit(False)) & F.col("by_content.stays")))
+        view = view.withColumn("field", F.when(title_sure, "title").when(content_sure, "content")).where(free | F.col("field").isNotNull())
+        view = view.withColumn("existing_id", F.when(title_sure, F.col("by_title.existing_id")).when(content_sure, F.col("by_content.existing_id")))
+        decided = materialize(view.drop("waits", "title_waits", "by_title", "by_content"), "judged-patches")
+        judged = judged.unionByName(decided.select("req_id", "field", "existing_id"))
+        applied = decided.where("field IS NULL")
+        state = materialize(state.join(applied.select("id"), "id", "left_anti").unionByName(applied.select(*COLUMNS)), "linked-state")
+        holders = materialize(
+            holders.join(applied.select("id"), "id", "left_anti").unionByName(_keys(applied).where("NOT is_old").select("id", *slot)), "key-holders",
+        )
+        open_ = materialize(open_.join(decided.select("req_id"), "req_id", "left_anti"), "open-patches")
+    return judged, state
+
+
 def _keys(rows: DataFrame) -> DataFrame:
     """Title and content keys a row holds after (is_old false) and before its patch."""
     def key(what: str, scope: str, value: str, is_old: bool) -> Column:

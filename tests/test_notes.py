@@ -1,5 +1,6 @@
 """Note store, search and text index, also against one-by-one simulations."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -109,11 +110,34 @@ def patches(spark, rows):
     )
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+def rounds_of(monkeypatch):
+    """How often a round of the update loop has been written."""
+    seen, write = [], kn.materialize
+    monkeypatch.setattr(kn, "materialize", lambda df, name: (seen.append(name), write(df, name))[1])
+    return lambda: seen.count("judged-patches")
+
+
+@pytest.mark.parametrize("claimants", [3, 12])
+def test_claimants_of_one_title_take_a_fixed_number_of_rounds(spark, monkeypatch, claimants):
+    rounds = rounds_of(monkeypatch)
+    base = notes_table(spark, [(i, i, "global") for i in range(claimants)])
+    outcome, _ = kn.update_batch(base, patches(spark, [(f"k{i}", "The same new title", None, None, False, None) for i in range(claimants)]))
+    codes = [r.code for r in outcome.orderBy("req_id").collect()]
+    assert codes == ["OK"] + ["DUPLICATE_KNOWLEDGE"] * (claimants - 1) and rounds() <= 2
+
+
+def test_a_rejected_patch_does_not_undo_an_earlier_one(spark):
+    base = notes_table(spark, [(1, 1, "global"), (2, 2, "global")])
+    outcome, after = kn.update_batch(base, patches(spark, [("k0", "A fine new title", None, None, False, None), ("k0", None, LONG + "2", None, False, None)]))
+    assert {r.req_id: (r.code, r.field) for r in outcome.collect()} == {"p000": ("OK", None), "p001": ("DUPLICATE_KNOWLEDGE", "content")}
+    assert after.where("id = 'k0'").first().title == "A fine new title"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_update_batch_equals_one_by_one(spark, seed):
     rng = random.Random(seed)
     base = [(i, i, rng.choice(["global", "repo:a"])) for i in range(15)]
-    ids = rng.sample(range(18), 14)
+    ids = [rng.randrange(18) for _ in range(24)]  # several patches of one note among them
     asked = []
     for i in ids:
         kind = rng.randrange(3)
@@ -254,3 +278,30 @@ def test_index_update_equals_rebuild(spark):
     rebuilt = ti.build_index(rows.where("id = 'n1'").unionByName(changed), "id", fields, stem=True)
     assert sorted(map(str, updated.postings.collect())) == sorted(map(str, rebuilt.postings.collect()))
     assert sorted(updated.docs.collect()) == sorted(rebuilt.docs.collect())
+
+
+def test_stemmed_search_is_search_over_stems(spark):
+    """The stemmed search of whole documents, computed a second way: search without stemming over stemmed texts."""
+    import re
+
+    def stemmed(text):
+        return re.sub(r"\w+", lambda m: porter.stem(m.group().lower()), text or "")
+
+    folder = "/root/testdata/sf0.001"
+    if os.path.isdir(folder):
+        docs = spark.read.parquet(f"{folder}/documents.parquet").where("lang = 'en'").collect()
+        rows = [(str(d.doc_id), d.text.split("\n")[0][:100], d.text, [d.lang, d.source], "global", d.doc_id) for d in docs]
+    else:
+        rows = [tuple(r)[:6] for r in library(spark).collect()]
+    schema = "id string, title string, content string, tags array<string>, scope string, at long"
+    asked = [(1, "thing ertions", [], "", 8), (2, "edonre heated", ["en"], "", 5), (3, "attion", [], "", 20)]
+
+    def found(rows, asked, stem):
+        notes = spark.createDataFrame(rows, schema).withColumn("created_at", F.timestamp_seconds("at"))
+        got = se.search(notes, requests(spark, *asked), se.index_notes(notes, stem).stored())
+        return sorted((r.query_id, r["rank"], r.id, round(r.score, 6)) for r in got.collect())
+
+    plain = [(i, stemmed(t), stemmed(c), [stemmed(x) for x in tags], s, a) for i, t, c, tags, s, a in rows]
+    want = found(plain, [(q, " ".join(porter.stem(w) for w in text.split()), tags, s, n) for q, text, tags, s, n in asked], False)
+    got = found(rows, asked, True)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and want
