@@ -91,5 +91,5 @@ def bitmap(hashes: DataFrame, column: str = "hash") -> np.ndarray:
 
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the signed 64-bit hashes may be in the bitmap."""
-    slot = hashes & (BITMAP_BITS - 1)
+    slot = hashes & (8 * len(bits) - 1)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1

@@ -4,8 +4,9 @@ A line is what stands between line breaks; a long line is cut after the end of
 each sentence, so that a passage pasted into a paragraph is made of whole lines
 too.  For every start the shortest stretch of lines with at least WORDS words is
 a window, and so is the shortest one for every end.  The line of a window with
-the smallest hash is its fingerprint: two texts with a common run of WORDS words
-have a window in common, and with it a fingerprint.
+the smallest hash, among its longer lines if it has any, is its fingerprint: two
+texts with a common run of WORDS words have a window in common, and with it a
+fingerprint.
 
 1. Winnowing: hashes that are a fingerprint at one place only are dropped; what
    is left of them is a bitmap of fixed size.
@@ -29,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,17 +38,40 @@ from loomgraph.llm.arrow import bitmap, in_bitmap, slices
 from loomgraph.session import materialize
 
 WORDS = 50
-#: A line with the white space after it: up to a line break or the end of a sentence.
-LINE = regex.compile(r"[^\n]*?(?:[.!?](?=[ \t])[ \t]+|\n|$)")
+#: Lines with fewer words, often common phrases, are fingerprints only of windows without a longer line.
+LONG = 6
+#: Bytes that end a sentence, and white space within and of all kinds.
+ENDS, BLANKS, SPACES = (np.isin(np.arange(256), list(b)) for b in (b".!?", b" \t", b" \t\n\r\x0b\f"))
 BASE = 0x9E3779B97F4A7C15
 #: BASE * UNBASE = 1 modulo 2^64
 UNBASE = pow(BASE, -1, 1 << 64)
 SLICE = 4 << 20
 
 
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Where lines end in UTF-8 bytes: after a line break, and after the blanks behind the end of a sentence."""
+    breaks = np.flatnonzero(raw == 10) + 1
+    if len(raw) < 2:
+        return breaks
+    blank = BLANKS[raw]
+    first = np.flatnonzero(blank[1:] & ENDS[raw[:-1]]) + 1
+    # where runs of blanks end, the last perhaps with the text
+    over = np.append(np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, len(raw))
+    out = np.concatenate((breaks, over[np.searchsorted(over, first, side="right")]))
+    out.sort()
+    return out[np.concatenate(([True], np.diff(out) > 0))] if len(out) else out
+
+
 def lines_of(text: str) -> list[str]:
     """The lines of a text, with the white space that ends them; joined they are the text."""
-    return [m for m in LINE.findall(text) if m]
+    data = text.encode()
+    ends = np.union1d(cuts(np.frombuffer(data, dtype=np.uint8)), [len(data)] if data else []).astype(np.int64).tolist()
+    return [data[a:b].decode() for a, b in zip([0, *ends], ends)]
+
+
+def keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What windows choose their fingerprint by: the hash, short lines after all others."""
+    return (hashes.view(np.uint64) >> np.uint64(1)) | ((counts < LONG).astype(np.uint64) << np.uint64(63))
 
 
 def windows(hashes: np.ndarray, counts: np.ndarray, texts: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +103,7 @@ def windows(hashes: np.ndarray, counts: np.ndarray, texts: np.ndarray, words: in
     size = last - first + 1
     level = np.frexp(size)[1] - 1
     unsigned, fingerprint = hashes.view(np.uint64), np.zeros(len(first), dtype=np.uint64)
-    low = unsigned.copy()
+    low = keys(hashes, counts)
     for k in range(int(level.max()) + 1):
         rows = level == k
         fingerprint[rows] = np.minimum(low[first[rows]], low[last[rows] - (1 << k) + 1])
@@ -101,13 +124,19 @@ def windows(hashes: np.ndarray, counts: np.ndarray, texts: np.ndarray, words: in
 
 def _measured(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, words, text number) of all lines of some texts."""
-    digest, hashes, counts, sizes = xxhash.xxh64_intdigest, [], [], []
-    for text in texts:
-        lines = lines_of(text or "")
-        sizes.append(len(lines))
-        hashes += [digest(line.strip()) for line in lines]
-        counts += [len(line.split()) for line in lines]
-    return np.array(hashes, dtype=np.uint64).view(np.int64), np.array(counts, dtype=np.int64), np.repeat(np.arange(len(texts)), sizes)
+    data = [(t or "").encode() for t in texts]
+    joined = b"\n".join([*data, b""])  # a blank line more at the end of a text changes no window
+    raw = np.frombuffer(joined, dtype=np.uint8)
+    ends = cuts(raw)
+    starts = np.concatenate(([0], ends[:-1]))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(joined[a:b].strip()) for a, b in zip(starts.tolist(), ends.tolist())], dtype=np.uint64)
+    ink = ~SPACES[raw]
+    heads = np.flatnonzero(ink[1:] & ~ink[:-1]) + 1  # where words begin, but for the very first byte
+    words = np.searchsorted(heads, ends) - np.searchsorted(heads, starts)
+    words[:1] += ink[:1]
+    number = np.searchsorted(np.cumsum([len(d) + 1 for d in data]), starts, side="right")
+    return hashes.view(np.int64), words, number
 
 
 def _fingerprints(words: int):
@@ -115,12 +144,14 @@ def _fingerprints(words: int):
         for batch in slices(batches, most=SLICE):
             hashes, counts, texts = _measured(batch.column("text").to_pylist())
             first, _, fingerprint, _ = windows(hashes, counts, texts, words)
-            # one row per text and fingerprint; a line that the batch has twice is a repeated place in any case
-            keep = np.unique(np.stack((fingerprint, texts[first] if len(first) else first)), axis=1)
-            value, times = np.unique(hashes, return_counts=True)
-            twice = value[times > 1]
-            weight = np.where(np.isin(keep[0], twice), 2, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(weight)], names=["hash", "n"])
+            # one place per text, or two where the text has the line itself twice
+            with np.errstate(over="ignore"):
+                mixed = (keys(hashes, counts) + texts.astype(np.uint64)) * np.uint64(BASE)
+                own = (fingerprint.view(np.uint64) + texts[first].astype(np.uint64)) * np.uint64(BASE) if len(first) else np.zeros(0, dtype=np.uint64)
+            line, times = np.unique(mixed, return_counts=True)
+            own, at = np.unique(own, return_index=True)
+            value, times = fingerprint[at], times[np.searchsorted(line, own)]
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(times)], names=["hash", "n"])
 
     return run
 
@@ -152,8 +183,10 @@ def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = rows.mapInArrow(run, f"content long, doc_id {kind}, text_hash long, first int, last int")
     found = materialize(found, "windows")
     place = F.struct("doc_id", "text_hash", "first")
-    heads = found.groupBy("content").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head < tail")
-    later = found.join(heads.select("content", "head"), "content").where(place > F.col("head")).drop("content")
+    heads = found.groupBy("content").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # stored, so that the join is one of two plain tables, whose hot contents Spark can split
+    heads = materialize(heads.select("content", "head"), "window-heads")
+    later = found.join(heads, "content").where(place > F.col("head")).drop("content")
     return later.select(
         "doc_id", "text_hash", "first", "last",
         F.col("head.doc_id").alias("of_doc_id"), F.col("head.text_hash").alias("of_text_hash"), F.col("head.first").alias("of_first"),
@@ -193,7 +226,7 @@ def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
     for first, last in runs:
         gone[first : last + 1] = True
     kept = "".join(line for line, drop in zip(lines, gone) if not drop)
-    return kept, int(gone.sum()), sum(len(line.split()) for line, drop in zip(lines, gone) if drop)
+    return kept, int(gone.sum()), sum(len(line.encode().split()) for line, drop in zip(lines, gone) if drop)
 
 
 def dedup_lines(docs: DataFrame, words: int = WORDS, names: tuple[str, str, str] = ("removed_lines", "removed_words", "runs")) -> DataFrame:
@@ -227,7 +260,13 @@ def dedup_lines(docs: DataFrame, words: int = WORDS, names: tuple[str, str, str]
 
 
 def drop_repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents without repeated runs; documents of which nothing but white space is left go."""
+    """The documents without repeated runs; documents of which nothing but white space is left go.
+
+    A column n_chars follows the text where lines are deleted.
+    """
     found = dedup_lines(docs, words, ("__lines", "__words", "__found"))
     emptied = (F.col("__lines") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
-    return found.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    kept = found.where(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("__lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
