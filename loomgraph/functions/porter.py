@@ -1,6 +1,6 @@
 """Porter's suffix-stripping algorithm (M. F. Porter, "An algorithm for suffix stripping", 1980).
 
-A word-level helper; Spark applies it to the distinct vocabulary only.
+A word-level helper; the text index applies it to word lists, each distinct word of an Arrow batch once.
 """
 
 from __future__ import annotations

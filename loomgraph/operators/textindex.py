@@ -46,7 +46,7 @@ def tokens(c: Column | str) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_words(words: pd.Series) -> pd.Series:
-    """Porter stems of word lists; a task stems each distinct word once."""
+    """Porter stems of word lists; each distinct word of an Arrow batch is stemmed once."""
     known: dict[str, str] = {}
 
     def stems(row: Iterable[str]) -> list[str]:
@@ -60,28 +60,56 @@ def stem_words(words: pd.Series) -> pd.Series:
     return words.map(stems)
 
 
+#: Asked words that are handed to the scan as literals; beyond that only the join selects.
+PUSHED_WORDS = 1000
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """Words of every document: ``texts`` has doc_id, n_tokens, parts ARRAY<STRUCT<field, words>>."""
+    """Words of every document: ``texts`` has doc_id, n_tokens, parts ARRAY<STRUCT<field, words>>.
+
+    A stored index also has its word occurrences clustered by word and its
+    vocabulary as tables of their own, so that a search reads matching row groups
+    and never the texts.
+    """
 
     texts: DataFrame
     stem: bool = False
+    clustered: DataFrame | None = None
+    words: DataFrame | None = None
 
     @property
     def postings(self) -> DataFrame:
         """One row per word occurrence: (doc_id, field, pos, token)."""
+        if self.clustered is not None:
+            return self.clustered
         return self.texts.select("doc_id", F.explode("parts").alias("f")).select(
             "doc_id", "f.field", F.posexplode("f.words").alias("pos", "token")
         )
 
+    @property
+    def vocabulary(self) -> DataFrame:
+        """The distinct words (token)."""
+        return self.words if self.words is not None else self.postings.select("token").distinct()
+
     @property
     def docs(self) -> DataFrame:
         """(doc_id, n_tokens) over all fields."""
         return self.texts.select("doc_id", "n_tokens")
 
     def stored(self) -> TextIndex:
-        """The index written as a table, so that it is tokenised once."""
-        return TextIndex(materialize(self.texts, "text-index"), self.stem)
+        """The index written as tables: tokenised once, occurrences sorted by word; a frequent word spans several files."""
+        texts = materialize(self.texts, "text-index")
+        plain = TextIndex(texts, self.stem).postings
+        clustered = materialize(plain.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id"), "postings")
+        return TextIndex(texts, self.stem, clustered, materialize(clustered.select("token").distinct(), "vocabulary"))
+
+    def occurrences(self, wanted: DataFrame) -> DataFrame:
+        """The postings that may match ``wanted`` (token); of a stored index only the row groups around them are read."""
+        if self.clustered is None:
+            return self.postings
+        few = [r.token for r in wanted.select("token").distinct().limit(PUSHED_WORDS + 1).collect()]
+        return self.postings.where(F.col("token").isin(*few)) if len(few) <= PUSHED_WORDS else self.postings
 
 
 def build_index(rows: DataFrame, doc_id: str, fields: Mapping[str, Column | str], stem: bool = False) -> TextIndex:
@@ -140,11 +168,11 @@ def match_terms(index: TextIndex, terms: DataFrame, weights: Mapping[str, float]
         "query_id", "term_no", F.size("words").alias("n_parts"), "is_prefix",
         F.posexplode("words").alias("off", "token"),
     ).withColumn("is_prefix", F.col("is_prefix") & (F.col("off") == F.col("n_parts") - 1))
-    wanted = materialize(_expand(parts, index.postings.select("token").distinct()), "search-words")
+    wanted = materialize(_expand(parts, index.vocabulary), "search-words")
     weight = F.lit(0.0)
     for name, value in weights.items():
         weight = F.when(F.col("field") == name, float(value)).otherwise(weight)
-    hits = salted_join(index.postings, wanted, ["token"], spread_by=["doc_id"])
+    hits = salted_join(index.occurrences(wanted), wanted, ["token"], spread_by=["doc_id"])
     begin = F.when(F.col("n_parts") > 1, F.col("pos") - F.col("off"))
     counted = hits.groupBy("query_id", "term_no", "n_parts", "doc_id", "field", begin.alias("begin")).agg(
         F.count(F.lit(1)).alias("n")
