@@ -141,7 +141,7 @@ def resolve_names(symbols: DataFrame, queries: DataFrame) -> DataFrame:
 
     Returns (repo_id, query, symbol_id, status, candidates); status is fqn,
     single, exact, callable, ambiguous or not_found and ``candidates`` counts
-    the contains-matches.  ``name_matches`` lists them.
+    the contains-matches.  ``ambiguous_candidates`` lists them.
     """
     wanted = queries.select("repo_id", "query").distinct()
     by_fqn_id = (
@@ -188,3 +188,9 @@ def resolve_names(symbols: DataFrame, queries: DataFrame) -> DataFrame:
             F.coalesce("candidates", F.lit(0)).alias("candidates"),
         )
     )
+
+
+def ambiguous_candidates(symbols: DataFrame, queries: DataFrame) -> DataFrame:
+    """The symbols between which an ambiguous name leaves the choice: (repo_id, query, id, kind, fqn), a row each."""
+    unclear = resolve_names(symbols, queries).where("status = 'ambiguous'").select("repo_id", "query")
+    return name_matches(symbols, materialize(unclear, "ambiguous")).select("repo_id", "query", "id", "kind", "fqn")

@@ -219,8 +219,7 @@ def fqn_ids(t: Tables) -> DataFrame:
     return lookup.fqn_ids(t.stored("code_symbols"), asked(t))
 
 
-@query(
-    "resolve_names",
+LADDER = (
     f"WITH asked AS (SELECT DISTINCT * FROM ({ASKED}) a), "
     "exact AS (SELECT a.repo_id, a.query, min(s.id) AS id FROM asked a JOIN {code_symbols} s ON s.repo_id = a.repo_id AND s.fqn = a.query GROUP BY 1, 2), "
     "near AS (SELECT a.repo_id, a.query, count(*) AS n, min(s.id) AS any_id, "
@@ -228,7 +227,12 @@ def fqn_ids(t: Tables) -> DataFrame:
     "count(*) FILTER (s.name = a.query AND s.kind IN ('function', 'method')) AS runs, "
     "min(s.id) FILTER (s.name = a.query AND s.kind IN ('function', 'method')) AS runs_id "
     "FROM asked a JOIN {code_symbols} s ON s.repo_id = a.repo_id AND contains(lower(s.name), lower(a.query)) GROUP BY 1, 2) "
-    "SELECT a.repo_id, a.query, CASE WHEN e.id IS NOT NULL THEN e.id WHEN n.n = 1 THEN any_id WHEN same = 1 THEN same_id WHEN runs = 1 THEN runs_id END AS symbol_id, "
+)
+
+
+@query(
+    "resolve_names",
+    LADDER + "SELECT a.repo_id, a.query, CASE WHEN e.id IS NOT NULL THEN e.id WHEN n.n = 1 THEN any_id WHEN same = 1 THEN same_id WHEN runs = 1 THEN runs_id END AS symbol_id, "
     "CASE WHEN e.id IS NOT NULL THEN 'fqn' WHEN n.n IS NULL THEN 'not_found' WHEN n.n = 1 THEN 'single' WHEN same = 1 THEN 'exact' "
     "WHEN runs = 1 THEN 'callable' ELSE 'ambiguous' END AS status, "
     "CASE WHEN e.id IS NOT NULL THEN 0 ELSE coalesce(n.n, 0) END AS candidates "
@@ -239,6 +243,16 @@ def resolve_names(t: Tables) -> DataFrame:
     return lookup.resolve_names(t.stored("code_symbols"), asked(t))
 
 
+@query(
+    "ambiguous_candidates",
+    LADDER + "SELECT a.repo_id, a.query, s.id, s.kind, s.fqn FROM asked a JOIN near n ON n.repo_id = a.repo_id AND n.query = a.query AND n.n > 1 AND same <> 1 AND runs <> 1 "
+    "JOIN {code_symbols} s ON s.repo_id = a.repo_id AND contains(lower(s.name), lower(a.query)) "
+    "WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.repo_id = a.repo_id AND e.query = a.query)",
+)
+def ambiguous_candidates(t: Tables) -> DataFrame:
+    return lookup.ambiguous_candidates(t.stored("code_symbols"), asked(t))
+
+
 @query("public_symbols", "SELECT id, repo_id, file_id, lang, kind, name, coalesce(fqn, '') AS fqn FROM {code_symbols}")
 def public_symbols(t: Tables) -> DataFrame:
     return lookup.public_symbols(t.stored("code_symbols"))

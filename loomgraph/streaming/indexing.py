@@ -25,6 +25,10 @@ from loomgraph.sources.files import sha256_hex, with_lang
 from loomgraph.sources.tables import create_tables, read_tables, write_tables
 
 
+#: Repositories that are named in a partition filter; more are selected by a join.
+PRUNED_REPOS = 1000
+
+
 def _shape(rows: DataFrame, schema: Iterable[T.StructField]) -> DataFrame:
     """Rows in table shape; columns the source lacks are NULL."""
     return rows.select(*[
@@ -54,7 +58,9 @@ def index_files(
         with_lang(files).withColumn("sha256", sha256_hex("content")),
         full,
     )
-    seen = materialize(seen.withColumn("content", F.col("content").cast("string")), "scan")
+    # only changed files keep their text on the way
+    kept = F.when(F.col("status") != "unchanged", F.col("content").cast("string"))
+    seen = materialize(seen.withColumn("content", kept), "scan")
     raw = tables["symbol_rows"]
     if complete:
         # What hangs on the stale files goes by file; references into them are
@@ -123,14 +129,19 @@ def index_once(
 ) -> DataFrame:
     """Index into the stored tables and return the run summary.
 
-    Only the partitions of the repositories in ``files`` are read and replaced.
+    Only the partitions of the repositories in ``files`` are replaced; up to
+    PRUNED_REPOS of them are also the only ones that are listed and read.
     """
     create_tables(spark, base)
     repos = materialize(files.select("repo_id").distinct(), "repos")
-    tables = {
-        name: table.join(repos, "repo_id", "left_semi").select(*table.columns)
-        for name, table in read_tables(spark, base).items()
-    }
+    ids = [r.repo_id for r in repos.limit(PRUNED_REPOS + 1).collect()]
+    if len(ids) <= PRUNED_REPOS:
+        tables = read_tables(spark, base, ids)
+    else:
+        tables = {
+            name: table.join(repos, "repo_id", "left_semi").select(*table.columns)
+            for name, table in read_tables(spark, base).items()
+        }
     after, summary = index_files(tables, files, extractors, complete=complete, full=full)
     summary = materialize(summary, "summary")
     write_tables(after, repos, base)
