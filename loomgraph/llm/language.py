@@ -8,8 +8,9 @@ driver with stochastic gradient descent; applied in batches of windows inside
 tasks.
 
 Training uses at most PER_LANGUAGE documents per language and WINDOWS windows of
-each, those with the smallest hash of the id: a fixed bound on what the driver
-collects.  Predictions read whole texts.
+each: ids fall into CLASSES hash classes, of which each gives its first few by
+another hash.  That is a fixed bound on what the driver collects, and no task
+ranks the whole of a language.  Predictions read whole texts.
 
 Results for odd input: a null text or one without a letter is ``und`` with
 score 0; rows that repeat are predicted each; null ids are kept; languages that
@@ -35,6 +36,7 @@ WINDOW = 256
 #: Filters of each width in bytes.
 WIDTHS = {2: 16, 3: 16, 4: 16}
 PER_LANGUAGE = 300
+CLASSES = 60
 WINDOWS = 6
 EPOCHS = 6
 BATCH = 64
@@ -163,12 +165,15 @@ def is_held_out(column: str = "doc_id"):
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """A bounded sample of labelled texts that are not held out: at most ``per_language`` of each language."""
     usable = docs.where(~is_held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ranked = usable.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("n"))
-    chosen = ranked.where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
+    classed = usable.select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(CLASSES)).alias("class"))
+    rank = F.row_number().over(Window.partitionBy("lang", "class").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ranked = classed.withColumn("n", rank).where(F.col("n") <= max(1, per_language // CLASSES))
+    chosen = ranked.select("doc_id", "lang").distinct()
     # from each text the driver gets as many windows as it trains on, spread over the text
     step = F.greatest(F.lit(1), F.floor(F.length("text") / (WINDOWS * WINDOW))).cast("int")
     parts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring("text", k * step * WINDOW + 1, F.lit(WINDOW)))
-    rows = usable.join(chosen, ["doc_id", "lang"], "left_semi").select("doc_id", "lang", F.concat_ws("", parts).alias("text"))
+    # the sample is bounded and ends on the driver; its ids may go to every task, so that no other text is moved
+    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", F.concat_ws("", parts).alias("text"))
     got = sorted(tuple(r) for r in rows.toLocalIterator())
     return [t for _, _, t in got], [lang for _, lang, _ in got]
 
