@@ -31,7 +31,7 @@ from loomgraph.llm.arrow import grouped_sums, slices, spread, strings, text_of
 from loomgraph.llm.tokens import WORD_BPE
 
 #: Words, pieces and token pairs that a worker keeps before it starts anew.
-CAPACITY = 700_000
+CAPACITY = 600_000
 BUDGET = 2048
 #: A rank that no merge has.
 NEVER = 1 << 30

@@ -55,7 +55,7 @@ SENTENCE_ENDS = (".", "!", "?", ":", ";")
 KIND_HASH = {kind: xxhash.xxh64_intdigest(kind, 1) for kind in (NUMBER, NAME, UNIT)}
 #: Bases of the two window hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-CAPACITY = 500_000
+CAPACITY = 300_000
 
 
 class Words:

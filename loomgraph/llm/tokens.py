@@ -24,8 +24,8 @@ from loomgraph.llm.arrow import grouped_sums, spread, strings
 WORD_BPE = "word_bpe_49k.json"
 #: The id that ends a document.
 END_ID = 1
-#: Words kept by a worker before it starts anew (about 200 MB).
-CAPACITY = 800_000
+#: Words kept by a worker before it starts anew (about 120 MB).
+CAPACITY = 500_000
 #: Stands between the words of one request; a word that contains it is asked alone.
 MARK = "\x01"
 #: Marks of which a run at the end of a word, after a letter or digit, is a piece of its own.

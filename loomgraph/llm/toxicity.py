@@ -47,7 +47,7 @@ CURVE_FOLD = 4
 #: Rows of the log-ratio table that a task may hold (about 150 MB).
 SHIPPED = 1_500_000
 #: Words whose evidence a worker keeps.
-CAPACITY = 800_000
+CAPACITY = 600_000
 #: Evidence is counted in steps of this size to fit the curve; beyond 2 it is 2.
 BIN = 0.002
 #: The curve without labels: (slope, evidence where the score is 0.5).
