@@ -24,16 +24,16 @@ def write(root, path, body):
 
 def test_scan_and_discover(spark, tmp_path):
     root = str(tmp_path)
-    for path in ("main.go", "web/app.TSX", "web/x.mjs", "vendor/v.go", "a/.hid/h.go", "ignored_a.go", "ignored_keep.go", "sub/README.md", "build/gen.java"):
+    for path in ("main.go", "web/app.TSX", "web/x.mjs", "vendor/v.go", "a/.hid/h.go", "draft_1.go", "draft_final.go", "old/deep/draft_2.go", "sub/README.md", "build/gen.java"):
         write(root, path, f"// {path}")
     scan = fs.scan_files(spark, root)
     lines = spark.createDataFrame(
-        [(1, 0, "ignored_*.go"), (1, 1, "!ignored_keep.go"), (1, 2, "/build"), (1, 3, "!build/gen.java"), (1, 4, " # no")],
+        [(1, 0, "draft_*.go"), (1, 1, "!draft_final.go"), (1, 2, "/build"), (1, 3, "!build/gen.java"), (1, 4, " # no")],
         "repo_id long, ord long, line string",
     )
     got = {r.path: r.lang for r in fs.discover(scan, lines).collect()}
-    assert got == {"main.go": "go", "web/app.TSX": "typescript", "web/x.mjs": "javascript", "ignored_keep.go": "go"}
-    assert {r.path for r in fs.discover(scan, lines, fs.parse_langs("GO,")).collect()} == {"main.go", "ignored_keep.go"}
+    assert got == {"main.go": "go", "web/app.TSX": "typescript", "web/x.mjs": "javascript", "draft_final.go": "go"}
+    assert {r.path for r in fs.discover(scan, lines, fs.parse_langs("GO,")).collect()} == {"main.go", "draft_final.go"}
     hidden = {"_app.js", "_lib/util.go", ".eslintrc.js", "css/_vars.css", ".git/config"}
     for path in hidden:
         write(root, path, "x")
@@ -79,16 +79,16 @@ def test_html_ids_with_places(spark):
 
 def test_html_imports_and_calls(spark):
     body = (
-        '<head><link rel="stylesheet" href="style.css"><script src="app.js"></script><script src=\'app.js\'></script></head>'
-        "<my-button>x</my-button><app-x/><div><span></span></div>"
-        "<script>import foo from './foo.js'; import './side.js'; const d = require(\"dep\");\n"
-        "function greet(a) { console.log('no(1)'); if (a) { run(deep(1)); } } /* gone() */ greet(); new Thing();</script>"
+        '<head><link href="themes/night.css" rel="stylesheet"><script defer src="lib/_boot.js"></script><script src=\'lib/_boot.js\'></script></head>'
+        "<date-picker>x</date-picker><side-bar/><section><em></em></section>"
+        "<script>import { a, b } from '../util/pairs.mjs'; import 'polyfill'; const q = require(\"queue/fast\");\n"
+        "function load(u) { window.fetch('no(1)'); while (u) { step(next(u)); } } // gone()\n load(); new Widget();</script>"
     )
     df = page(spark, body)
-    assert {r.ref_text for r in extract.html_imports(df).collect()} == {"style.css", "app.js", "./foo.js", "./side.js", "dep"}
-    assert {r.callee_text for r in extract.html_custom_elements(df).collect()} == {"my-button", "app-x"}
-    assert sorted(r.callee_text for r in extract.inline_calls(df).collect()) == ["console.log", "deep", "greet", "run"]
-    assert [(r["name"], r.fqn, r.signature) for r in extract.inline_functions(df).collect()] == [("greet", "pages/index.greet", "greet(a)")]
+    assert {r.ref_text for r in extract.html_imports(df).collect()} == {"themes/night.css", "lib/_boot.js", "../util/pairs.mjs", "polyfill", "queue/fast"}
+    assert {r.callee_text for r in extract.html_custom_elements(df).collect()} == {"date-picker", "side-bar"}
+    assert sorted(r.callee_text for r in extract.inline_calls(df).collect()) == ["load", "next", "step", "window.fetch"]
+    assert [(r["name"], r.fqn, r.signature) for r in extract.inline_functions(df).collect()] == [("load", "pages/index.load", "load(u)")]
 
 
 def test_css(spark):
@@ -126,7 +126,7 @@ def test_types_without_an_own_name_are_resolved(spark):
 
 def test_name_functions(spark):
     row = spark.range(1).select(
-        names.split_top_level(F.lit("Comparable<Foo>, Map.Entry<K, V>, ,Serializable")).alias("parts"),
+        names.split_top_level(F.lit("Box<Pair<A, B>>,Row.Cell<X, List<Y>> , , Marker")).alias("parts"),
         names.strip_generics(F.lit(" List<String>[] [] ")).alias("stripped"),
         names.import_package(F.lit("import static a.b.C.d;")).alias("static"),
         paths.module_name(F.lit("index.html")).alias("module"),
@@ -134,7 +134,7 @@ def test_name_functions(spark):
         text.parse_rfc3339(F.lit("yesterday")).alias("bad"),
         names.is_identifier(F.lit("1a")).alias("ident"),
     ).first()
-    assert row.parts == ["Comparable<Foo>", "Map.Entry<K, V>", "Serializable"]
+    assert row.parts == ["Box<Pair<A, B>>", "Row.Cell<X, List<Y>>", "Marker"]
     assert (row.stripped, row.static, row.module, row.none, row.bad, row.ident) == ("List[][]", None, "index", [], None, False)
 
 
