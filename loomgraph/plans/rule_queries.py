@@ -65,7 +65,7 @@ def structural_edges(t: Tables) -> DataFrame:
 
 # --- calls --------------------------------------------------------------------------
 
-CALLEE = "CASE WHEN instr(k.callee_text, '.') > 0 THEN substr(k.callee_text, instr(k.callee_text, '.') + 1) ELSE k.callee_text END"
+CALLEE = "regexp_replace(k.callee_text, '^[^.]*[.]', '')"
 
 
 def call_sql(lang: str, same_lang: bool = False) -> str:

@@ -295,7 +295,7 @@ def repo_by_path(t: Tables) -> DataFrame:
 
 @query(
     "callee_keys",
-    "SELECT p_partkey, CASE WHEN instr(x, '.') > 0 THEN substr(x, instr(x, '.') + 1) ELSE x END AS first_dot, split_part(x, '.', -1) AS last_dot "
+    "SELECT p_partkey, regexp_replace(x, '^[^.]*[.]', '') AS first_dot, split_part(x, '.', -1) AS last_dot "
     "FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'a.' || p_name ELSE 'a.b.' || p_type END AS x FROM {part}) t",
 )
 def callee_keys(t: Tables) -> DataFrame:
@@ -310,10 +310,10 @@ def callee_keys(t: Tables) -> DataFrame:
     "SELECT id, CASE WHEN regexp_matches(fqn, '^.*?[.][(].*?[)][.].*$') THEN regexp_replace(fqn, '^(.*?)[.][(](.*?)[)][.].*$', '\\1.\\2') END AS owner, "
     "left(fqn, length(fqn) - length(name) - 1) AS parent, split_part(fqn, '#', 1) AS hash_owner, "
     "CASE WHEN regexp_matches(name, '^\\p@<Lu>@') THEN 'public' ELSE 'private' END AS visibility, "
-    "regexp_matches(name, '^[A-Za-z_$][A-Za-z0-9_$]*$') AS ident, split_part(fqn, '.', -1) AS simple FROM {code_symbols} WHERE lang <> 'java'",
+    "regexp_matches(name, '^[A-Za-z_$][A-Za-z0-9_$]*$') AS ident, split_part(fqn, '.', -1) AS simple FROM {code_symbols}",
 )
 def fqn_functions(t: Tables) -> DataFrame:
-    return t.code_symbols.where("lang <> 'java'").select(
+    return t.code_symbols.select(
         "id", names.receiver_owner("fqn").alias("owner"), names.parent_by_name("fqn", "name").alias("parent"),
         names.hash_owner("fqn").alias("hash_owner"), names.go_visibility("name").alias("visibility"),
         names.is_identifier("name").alias("ident"), names.simple_name("fqn").alias("simple"),
