@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bitsliced, grammar, language, licenses, line_dedup, packing, prefix_counts, simhash, templates, toxicity
+from loomgraph.llm import bitsliced, grammar, language, licenses, packing, prefix_counts, simhash, templates, toxicity, word_runs
 from loomgraph.llm.arrow import table
 from loomgraph.session import scratch_root
 
@@ -68,7 +68,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_winnowing_line_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    found = word_runs.dedup_runs(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "removed_lines", "removed_words", "runs")
 
 
