@@ -74,7 +74,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_template_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return templates.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), dense=True)
 
 
 @query("op5_license_sentences", licenses.oracle())

@@ -5,6 +5,9 @@ and units become typed placeholders, everything else is its letters and digits
 in lower case.  Windows of WINDOW tokens are hashed and joined with the windows
 of the benchmark; a shorter item of at least SHORTEST tokens is one window of its
 own length, a window of fewer than SHORTEST words besides placeholders is none.
+With ``dense``, items without any such window are looked for too: by windows that
+go on from each start until they hold SHORTEST words besides placeholders, or, if
+the item has fewer of those, as a whole with its own values (SHORTEST tokens or more).
 What stood in the slots of both sides of a match is then compared: within one
 occurrence (windows with the same distance between their places) every value of
 the question must stand for one value of the document.  A document is
@@ -68,15 +71,17 @@ class Words:
         self.place: dict[str, int] = {}
         self.inside: list[int] = []
         self.start: list[int] = []
+        self.exact: list[int] = []
         self.flags: list[int] = []
 
     def add(self, word: str) -> int:
         """Keep a word; flags: 1 it has a core, 2 it ends a sentence, 4 slot inside a sentence, 8 slot at its start."""
         m = INK.search(word)
         flags = 2 if word.rstrip("\"')]”’»").endswith(SENTENCE_ENDS) else 0
-        inside = start = 0
+        inside = start = exact = 0
         if m:
             core, low = m.group(), m.group().lower()
+            exact = xxhash.xxh64_intdigest(low, 0)
             flags |= 1
             if low[0].isdigit() or low in NUMBER_WORDS:
                 inside = start = KIND_HASH[NUMBER]
@@ -85,18 +90,19 @@ class Words:
                 inside = start = KIND_HASH[UNIT]
                 flags |= 12
             else:
-                inside = start = xxhash.xxh64_intdigest(low, 0)
+                inside = start = exact
                 if core[0].isupper() and len(core) > 1:
                     inside = KIND_HASH[NAME]
                     flags |= 4
         self.inside.append(inside)
         self.start.append(start)
+        self.exact.append(exact)
         self.flags.append(flags)
         self.place[word] = at = len(self.place)
         return at
 
-    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """(hash, slot?, text number, word) of the template tokens of all texts, in order."""
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """(hash, slot?, text number, word, hash of the value) of the template tokens of all texts, in order."""
         words = pc.ascii_split_whitespace(texts)
         flat = words.flatten()
         text = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
@@ -118,7 +124,8 @@ class Words:
             at_start[1:] = (ended[kept[1:]] - ended[before[1:]] > 0) | (text[kept[1:]] != text[before[1:]])
         hashes = np.where(at_start, start[kept], inside[kept])
         slot = np.where(at_start, flags[kept] & 8, flags[kept] & 4) > 0
-        return hashes, slot, text[kept], flat.take(pa.array(kept))
+        exact = np.array([self.exact[i] for i in found], dtype=np.uint64)[code]
+        return hashes, slot, text[kept], flat.take(pa.array(kept)), exact[kept]
 
 
 @functools.cache
@@ -143,16 +150,37 @@ def window_hashes(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _windows(texts: pa.Array, sizes: list[int], whole: bool, bits: np.ndarray | None) -> Iterator[tuple]:
+def stretch_hashes(hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray | int, base: int) -> np.ndarray:
+    """A hash of the ``sizes`` tokens from each place of ``at``, as signed longs."""
+    n = len(hashes) + 1
+    with np.errstate(over="ignore"):
+        up, down = (np.full(n, b, dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        sums = np.concatenate(([np.uint64(0)], np.add.accumulate(hashes * up[:-1])))
+        out = (sums[at + sizes] - sums[at]) * down[at]
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _windows(texts: pa.Array, sizes: list[int], whole: bool, bits: np.ndarray | None, dense: bool = False) -> Iterator[tuple]:
     """(text number, place, window size, hash, second hash, slot values) of windows with enough plain words.
 
     ``whole``: windows shorter than WINDOW only where they are a whole text.
+    ``dense`` adds longer windows, as far as enough plain words take, and exact
+    ones of the sizes -n in ``sizes`` (with ``whole``: both only for texts without
+    other windows, the exact ones for those without longer windows either).
     """
-    hashes, slot, text, word = words().tokens(texts)
+    hashes, slot, text, word, exact = words().tokens(texts)
     counts = np.bincount(text, minlength=len(texts))
     first = np.cumsum(counts) - counts
     plain = np.concatenate(([0], np.cumsum(~slot)))
+    bare = np.ones(len(texts), dtype=bool)
     for size in sizes:
+        if size < 0 or size > WINDOW:
+            continue
         one = window_hashes(hashes, size, BASES[0])
         if not len(one):
             continue
@@ -162,20 +190,52 @@ def _windows(texts: pa.Array, sizes: list[int], whole: bool, bits: np.ndarray |
             at = at[counts[text[at]] == size]
         if not len(at):
             continue
+        bare[text[at]] = False
         two = window_hashes(hashes, size, BASES[1])
         for i in at.tolist():
             slots = [(int(k - i), INK.search(word[int(k)].as_py()).group().lower()) for k in np.flatnonzero(slot[i : i + size]) + i]
             yield int(text[i]), int(i - first[text[i]]), size, int(one[i]), int(two[i]), slots
+    if not dense or not len(hashes):
+        return
+    # from each place until SHORTEST plain words are reached
+    at = np.arange(len(hashes))
+    end = np.searchsorted(plain, plain[:-1] + SHORTEST)
+    at = at[(end - at > WINDOW) & (end <= (first + counts)[text])]
+    if whole:
+        at = at[bare[text[at]]]
+    one = stretch_hashes(hashes, at, end[at] - at, BASES[0])
+    if bits is not None:
+        good = in_bitmap(bits, one)
+        at, one = at[good], one[good]
+    two = stretch_hashes(hashes, at, end[at] - at, BASES[1])
+    for i, x, y in zip(at.tolist(), one.tolist(), two.tolist()):
+        slots = [(int(k - i), INK.search(word[int(k)].as_py()).group().lower()) for k in np.flatnonzero(slot[i : end[i]]) + i]
+        yield int(text[i]), int(i - first[text[i]]), int(end[i] - i), x, y, slots
+    bare[text[at]] = False
+    # with their own values
+    for size in np.unique(counts[bare & (counts >= SHORTEST)]).tolist() if whole else [-x for x in sizes if x < 0]:
+        if whole:
+            at = first[bare & (counts == size)]
+        else:
+            at = np.arange(max(0, len(hashes) - size + 1))
+            at = at[text[at] == text[at + size - 1]]
+        one = stretch_hashes(exact, at, size, BASES[0])
+        if bits is not None:
+            good = in_bitmap(bits, one)
+            at, one = at[good], one[good]
+        two = stretch_hashes(exact, at, size, BASES[1])
+        for i, x, y in zip(at.tolist(), one.tolist(), two.tolist()):
+            yield int(text[i]), int(i - first[text[i]]), -size, x, y, []
 
 
 SCHEMA = "place int, size int, hash long, second long, slots array<struct<at:int,value:string>>"
 SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())]))
 
 
-def _emit(column: str, sizes: list[int], whole: bool, bits=None):
+def _emit(column: str, sizes: list[int], whole: bool, bits=None, dense: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = list(_windows(text_of(batch), sizes, whole, None if bits is None else bits.value))
+            rows = list(_windows(text_of(batch), sizes, whole, None if bits is None else bits.value, dense))
             text, place, size, one, two, slots = zip(*rows) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays(
                 [
@@ -188,20 +248,21 @@ def _emit(column: str, sizes: list[int], whole: bool, bits=None):
     return run
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
+def item_windows(benchmark: DataFrame, dense: bool = False) -> DataFrame:
     """(item_id, place, size, hash, second, slots) of all windows of the benchmark's distinct texts."""
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return items.mapInArrow(_emit("item_id", list(range(SHORTEST, WINDOW + 1)), True), f"item_id {kind}, {SCHEMA}")
+    return items.mapInArrow(_emit("item_id", list(range(SHORTEST, WINDOW + 1)), True, dense=dense), f"item_id {kind}, {SCHEMA}")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, dense: bool = False) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, coverage, slots_changed) of every contaminated document and item."""
-    items = materialize(item_windows(benchmark), "item-windows")
-    sizes = sorted(r[0] for r in items.select("size").distinct().toLocalIterator())  # at most WINDOW - SHORTEST + 1
+    items = materialize(item_windows(benchmark, dense), "item-windows")
+    sizes = sorted(r[0] for r in items.select("size").distinct().toLocalIterator())  # no more than items have lengths
+    dense = dense and any(size < 0 or size > WINDOW for size in sizes)
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(items))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.where("text is not null").select("doc_id", "text").mapInArrow(_emit("doc_id", sizes, False, bits), f"doc_id {kind}, {SCHEMA}")
+    found = docs.where("text is not null").select("doc_id", "text").mapInArrow(_emit("doc_id", sizes, False, bits, dense), f"doc_id {kind}, {SCHEMA}")
     theirs = items.select("item_id", F.col("place").alias("item_place"), "size", "hash", "second", F.col("slots").alias("item_slots"))
     hits = found.join(theirs, ["hash", "second", "size"]).withColumn("shift", F.col("place") - F.col("item_place"))
     hits = materialize(hits.select("doc_id", "item_id", "item_place", "shift", "slots", "item_slots"), "template-hits")
@@ -228,5 +289,5 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
+    bad = matches(docs, benchmark, dense=True).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
