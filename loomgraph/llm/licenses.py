@@ -1,6 +1,7 @@
 """Licences recognised by the sentences of their texts, in order.
 
-A text is cut into sentences; every sentence, and every line of a sentence that
+Comment marks before lines are dropped and the holder named by the BSD texts is
+cut to a placeholder.  A text is cut into sentences, also after a copyright line; every sentence, and every line of a sentence that
 spans several, is normalised (letters and digits in lower case, single spaces)
 and mapped to the identifier of a known licence sentence by a hash join.  A rule
 is an ordered list of identifiers; it matches if they occur in this order, with
@@ -86,19 +87,30 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-4",)),
     ("all rights reserved", ("reserved",)),
 )
+#: Names on SPDX lines besides those above, by the licence of their rule; the SQL does not know them.
+SPDX_NAMES = (
+    ("GPL-3.0", "GPL-3.0-only"), ("GPL-3.0", "GPL-3.0"), ("GPL-2.0", "GPL-2.0-or-later"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0", "GPL-2.0"),
+    ("BSD-2-Clause", "BSD-2-Clause"), ("ISC", "ISC"), ("MPL-2.0", "MPL-2.0"), ("Unlicense", "Unlicense"),
+    ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC-BY-4.0", "CC-BY-4.0"),
+)
 #: Every rule starts with a sentence that has one of these words; other texts need no cutting.
 HINTS = ("licen", "permi", "rights", "redistribution", "free", "public domain")
 #: A sentence ends with one of these before white space, or with an empty line.
 SENTENCE_END = r"([.!?:;])[ \t\n\r\f]+|\n[ \t\r]*\n[ \t\n\r\f]*"
 BETWEEN = "\x01"
+#: Marks of comments before a line.
+COMMENT_MARK = r"(?m)^[ \t]*(?:/[*]+|[*]+/?|//+!?|#+|;+|--|<!--|%+)(?=[ \t\r\n]|$)[ \t]*"
+#: A line that names the holder of a copyright; the word alone may also begin a wrapped line of a sentence.
+COPYRIGHT_LINE = r"(?im)^([ \t]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*)\n"
+HOLDER = r"(?i)(neither\s+the\s+names?\s+of\s)(?s:.{1,200}?)\snor\s+the\s+names\s+of\s+(?:its|their|any|other)\s+contributors"
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _rule_values() -> str:
-    return ", ".join(f"({i}, {_quoted(n)}, {len(ids)}, {_quoted(ids[0])}, {_quoted(like(ids))})" for i, (n, ids) in enumerate(RULES))
+def _rule_values(rules: tuple = RULES) -> str:
+    return ", ".join(f"({i}, {_quoted(n)}, {len(ids)}, {_quoted(ids[0])}, {_quoted(like(ids))})" for i, (n, ids) in enumerate(rules))
 
 
 def normalised(text: Column) -> Column:
@@ -108,14 +120,16 @@ def normalised(text: Column) -> Column:
 
 def catalogue(docs: DataFrame) -> DataFrame:
     """(sentence_id, known): the fixed sentences, normalised."""
-    values = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in SENTENCES.items())
+    known = [*SENTENCES.items(), *((f"spdx-{name}", name) for _, name in SPDX_NAMES)]
+    values = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in known)
     rows = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS v(sentence_id, raw)")
     return rows.select("sentence_id", normalised(F.col("raw")).alias("known"))
 
 
 def rules(docs: DataFrame) -> DataFrame:
     """(rule_id, license, n_sentences, first_id, pattern): the fixed rules; the pattern is for LIKE."""
-    return docs.sparkSession.sql(f"SELECT * FROM VALUES {_rule_values()} AS v(rule_id, license, n_sentences, first_id, pattern)")
+    all_rules = (*RULES, *((licence, ("spdx", f"spdx-{name}")) for licence, name in SPDX_NAMES))
+    return docs.sparkSession.sql(f"SELECT * FROM VALUES {_rule_values(all_rules)} AS v(rule_id, license, n_sentences, first_id, pattern)")
 
 
 def like(ids: tuple[str, ...]) -> str:
@@ -129,7 +143,9 @@ def known_sentences(docs: DataFrame) -> DataFrame:
     for k, hint in enumerate(HINTS):
         found = F.contains(low, F.lit(hint))
         condition = found if k == 0 else condition | found
-    cut = F.split(F.regexp_replace("text", SENTENCE_END, "$1" + BETWEEN), BETWEEN)
+    bare = F.regexp_replace(F.regexp_replace("text", COMMENT_MARK, ""), COPYRIGHT_LINE, "$1" + BETWEEN)
+    bare = F.regexp_replace(bare, HOLDER, "$1the copyright holder nor the names of its contributors")
+    cut = F.split(F.regexp_replace(bare, SENTENCE_END, "$1" + BETWEEN), BETWEEN)
     parts = hinted.where(condition).select("row", "doc_id", F.posexplode(cut).alias("sentence", "part"))
     lines = F.split("part", "\n")
     whole = F.array(F.struct(F.lit(-1).alias("line"), F.col("part").alias("raw")))
@@ -157,7 +173,7 @@ def licenses(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in SQL for DuckDB."""
+    """The same in SQL for DuckDB, for texts without comment marks, copyright lines, named holders and SPDX_NAMES."""
     normal = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
     sentences = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in SENTENCES.items())
     return f"""
