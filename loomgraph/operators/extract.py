@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import module_name
 from loomgraph.functions.text import col
+from loomgraph.operators import brackets
 
 COMMENT = r"(?s)<!--.*?-->"
 SCRIPT = r"(?is)<script((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>(.*?)</script\s*>"
@@ -18,9 +19,7 @@ STYLE = r"(?is)<style((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>(.*?)</style\s*>"
 START_TAG = r"<([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>"
 ATTRIBUTE = r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?"
 
-CALL = r"(?:\b(function|new)\s+)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
 JS_IMPORT = r"\bimport\b[^;'\"()]*['\"]([^'\"]+)['\"]|\brequire\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"
-JS_FUNCTION = r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*(\([^)]*\))"
 #: Words that look like calls but are statements.
 JS_STATEMENTS = ("if", "for", "while", "switch", "catch", "return", "typeof", "function", "with", "super", "import", "require")
 
@@ -158,10 +157,11 @@ def js_comments_blanked(body: Column | str) -> Column:
     return F.regexp_replace(col(body), literal, "$1")
 
 
-def js_blanked(body: Column | str) -> Column:
-    """Script text without comments and with empty string literals."""
-    literal = r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`"
-    return F.regexp_replace(js_comments_blanked(body), literal, "''")
+#: Comments, strings and templates of scripts; the string that begins first hides what is inside it.
+JS_TOKEN = (
+    r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
+    r"|//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)"
+)
 
 
 def js_imports(body: Column | str) -> Column:
@@ -172,90 +172,147 @@ def js_imports(body: Column | str) -> Column:
     return F.filter(F.zip_with(one, two, lambda a, b: F.concat(a, b)), lambda p: p != "")
 
 
-def js_calls(body: Column | str) -> Column:
-    """Called names in order; statements, declarations and ``new`` are not calls."""
-    code = js_blanked(body)
-    before = F.regexp_extract_all(code, F.lit(CALL), F.lit(1))
-    names = F.regexp_extract_all(code, F.lit(CALL), F.lit(2))
-    found = F.zip_with(before, names, lambda b, n: F.when((b == "") & ~n.isin(*JS_STATEMENTS), n))
-    return F.filter(found, lambda n: n.isNotNull())
+def script_bodies(files: DataFrame) -> DataFrame:
+    """Inline scripts with the place of their text: (..., no, body, at_byte, at_line, at_col)."""
+    token = f"(?is:{COMMENT[4:]}|<script(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>.*?</script\\s*>)"
+    parts = files.select(*FILE_KEY, brackets.cut_out("content", token).alias("parts"))
+    found = parts.select(*FILE_KEY, "parts", F.posexplode("parts").alias("no", "raw")).where(F.col("raw").rlike(r"(?i)^<script"))
+    head = F.regexp_extract("raw", r"^<(?i:script)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", 0)
+    body = F.regexp_replace(F.substring(F.col("raw"), F.length(head) + 1, F.length("raw")), r"(?i)</script\s*>$", "")
+    found = found.select(
+        *FILE_KEY, "no", body.alias("body"), F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("no")), ""), head).alias("before"),
+        attribute(F.regexp_replace(head, r"(?i)^<script|>$", ""), "src").alias("src"),
+    ).where("src IS NULL")
+    line, column = brackets.place_after(F.lit(1), F.lit(1), F.col("before"))
+    return found.select(*FILE_KEY, "no", "body", F.octet_length("before").alias("at_byte"), line.alias("at_line"), column.alias("at_col"))
+
+
+#: What tells inline scripts apart, and their places in the file.
+SCRIPT_KEY = (*FILE_KEY, "no", "at_byte", "at_line", "at_col")
+
+
+def js_pieces(files: DataFrame) -> DataFrame:
+    """Pieces of inline scripts up to every bracket and semicolon, comments and strings blanked, brackets paired."""
+    bodies = script_bodies(files).withColumn("code", brackets.masked("body", JS_TOKEN))
+    return brackets.pieces(bodies, SCRIPT_KEY, "code", "(){}[];")
+
+
+def _in_file(begin: Column, line: Column, column: Column, end: Column) -> list[Column]:
+    """PLACE in the file of what begins at byte, line and column of an inline script and ends at ``end`` (byte, line)."""
+    return [
+        (F.col("at_line") + line - 1).cast("int").alias("start_line"),
+        F.when(line == 1, F.col("at_col") + column - 1).otherwise(column).cast("int").alias("start_col"),
+        (F.col("at_line") + end["line"] - 1).cast("int").alias("end_line"),
+        (F.col("at_byte") + begin).cast("long").alias("start_byte"), (F.col("at_byte") + end["byte"]).cast("long").alias("end_byte"),
+    ]
 
 
 def inline_calls(files: DataFrame) -> DataFrame:
-    """Calls in inline scripts as call sites: (..., callee_text, confidence, provenance)."""
-    return scripts(files).where("src IS NULL").select(
-        *FILE_KEY, F.explode(js_calls("body")).alias("callee_text"),
+    """Calls in inline scripts as call sites with their places; statements, declarations and ``new`` are not calls.
+
+    A call reaches from its name to the partner of its parenthesis.
+    """
+    name = r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*"
+    opening = js_pieces(files).where("mark = '('").withColumn("tail", F.regexp_extract("piece", rf"(?:\b(?:function|new)\s+)?{name}\s*\($", 0))
+    opening = opening.withColumn("callee_text", F.regexp_extract("tail", rf"^({name})\s*\($", 1)).where(
+        (F.col("callee_text") != "") & ~F.col("callee_text").isin(*JS_STATEMENTS)
+    )
+    skipped = F.substring(F.col("piece"), F.lit(1), F.length("piece") - F.length("tail"))
+    line, column = brackets.place_after(F.col("start_line"), F.col("start_col"), skipped)
+    return opening.select(
+        *FILE_KEY, "callee_text", *_in_file(F.col("start_byte") + F.octet_length(skipped), line, column, F.col("close")),
         F.lit(0.5).alias("confidence"), F.lit("heuristic").alias("provenance"),
     )
 
 
 def inline_functions(files: DataFrame) -> DataFrame:
-    """Functions declared in inline scripts as symbols."""
-    code = js_blanked("body")
-    both = F.arrays_zip(
-        F.regexp_extract_all(code, F.lit(JS_FUNCTION), F.lit(1)).alias("name"),
-        F.regexp_extract_all(code, F.lit(JS_FUNCTION), F.lit(2)).alias("params"),
+    """Functions declared in inline scripts as symbols with their places, from ``function`` to the closing brace."""
+    declared = r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*\($"
+    order = Window.partitionBy(*SCRIPT_KEY).orderBy("pos")
+    # a body: a brace right behind a closing parenthesis, whose partner is behind a declared name
+    cut = js_pieces(files).withColumns({"params": F.lag("block").over(order), "params_mark": F.lag("mark").over(order)})
+    bodies = cut.where((F.col("mark") == "{") & (F.col("params_mark") == ")") & F.col("piece").rlike(r"^\s*\{$"))
+    found = bodies.withColumn("name", F.regexp_extract("params.piece", declared, 1)).where("name <> ''")
+    skipped = F.regexp_replace("params.piece", declared, "")
+    line, column = brackets.place_after(F.col("params.start_line"), F.col("params.start_col"), skipped)
+    begin = F.col("params.start_byte") + F.octet_length(skipped)
+    placed = found.select(
+        *FILE_KEY, "name", (F.col("at_byte") + F.col("params.end_byte")).cast("int").alias("params_at"),
+        (F.col("at_byte") + F.col("start_byte")).cast("int").alias("params_end"), *_in_file(begin, line, column, F.col("close")),
     )
-    rows = scripts(files).where("src IS NULL").select(*FILE_KEY, F.explode(both).alias("f"))
-    return rows.select(
+    # the parameters as they are written, from the file's own bytes
+    raw = files.select(*FILE_KEY, F.encode("content", "UTF-8").alias("bytes"))
+    params = F.decode(F.substring(F.col("bytes"), F.col("params_at"), F.col("params_end") - F.col("params_at") + 1), "UTF-8")
+    return placed.join(raw, list(FILE_KEY)).select(
         *FILE_KEY,
-        *_symbol("function", F.col("f.name"), F.concat(module_name("path"), F.lit("."), "f.name"),
-                 F.concat("f.name", "f.params"), "javascript"),
+        *_symbol("function", F.col("name"), F.concat(module_name("path"), F.lit("."), "name"), F.concat("name", params), "javascript"),
+        *PLACE,
     )
 
 
 # --- CSS ---------------------------------------------------------------------
 
 CSS_COMMENT = r"(?s)/\*.*?\*/"
-CSS_KEYFRAMES = r"@(?:-[a-z]+-)?keyframes\s+([\w-]+)\s*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}"
 CSS_IMPORT = r"@import\s+(?:url\(\s*)?(?:\"([^\"]*)\"|'([^']*)')"
-CSS_RULE = r"([^{}@;]+)\{([^{}]*)\}"
-CSS_STRING = r"\"[^\"\n]*\"|'[^'\n]*'"
-#: Rules within rules are taken apart from the innermost outwards, this many levels of braces deep.
-CSS_DEPTH = 8
-CSS_VARIABLE = r"(?:^|;)\s*(--[\w-]+)\s*:"
+#: Comments, strings and unquoted addresses.
+CSS_TOKEN = (
+    r"/\*(?s:.*?)(?:\*/|\z)|\"[^\"\\\n]*+(?:\\(?s:.)[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'|(?i:url)\([^\"'()]*+\)"
+)
+CSS_KEYFRAMES = r"^\s*@(?:-[a-z]+-)?keyframes\s+([\w-]+)\s*\{$"
+CSS_VARIABLE = r"^\s*(--[\w-]+)\s*:"
 #: One selector without combinators, pseudo classes or attributes; the last part counts.
 CSS_CLASS = r"^(?:[\w*-]*(?:[.#][\w-]+)*)\.([\w-]+)$"
 CSS_ID = r"^(?:[\w*-]*(?:[.#][\w-]+)*)#([\w-]+)$"
 
 
 def css_symbols(files: DataFrame) -> DataFrame:
-    """Class and id selectors, custom properties and keyframes as symbols."""
-    text = F.regexp_replace(blank(F.col("content"), CSS_COMMENT), CSS_STRING, "''")
-    plain = blank(text, CSS_KEYFRAMES)
-    levels = []
-    for _ in range(CSS_DEPTH):
-        levels.append(F.arrays_zip(
-            F.regexp_extract_all(plain, F.lit(CSS_RULE), F.lit(1)).alias("selectors"),
-            F.regexp_extract_all(plain, F.lit(CSS_RULE), F.lit(2)).alias("block"),
-        ))
-        # an inner rule leaves a separator, so that what follows it is not part of its selector
-        plain = F.regexp_replace(plain, CSS_RULE, ";")
-    rules = F.concat(*levels)
-
-    def entry(kind: str, mark: str, name: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.lit(mark).alias("mark"), name.alias("name"))
-
-    def of_rule(rule: Column) -> Column:
-        selectors = F.transform(F.split(rule["selectors"], ","), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
-        picked = F.transform(
-            selectors,
-            lambda s: F.when(s.rlike(CSS_CLASS), entry("class", ".", F.regexp_extract(s, CSS_CLASS, 1)))
-            .when(s.rlike(CSS_ID), entry("id", "#", F.regexp_extract(s, CSS_ID, 1))),
+    """Class and id selectors, custom properties and keyframes as symbols with their places, at any depth of braces.
+
+    A selector's place is the selector, a property's its declaration, that of
+    keyframes the whole rule.  What is inside keyframes is no symbol.
+    """
+    code = files.select(*FILE_KEY, brackets.masked("content", CSS_TOKEN).alias("code"))
+    cut = brackets.pieces(code, FILE_KEY, "code", "{};")
+    frames = F.regexp_extract("piece", CSS_KEYFRAMES, 1)
+    is_frames = (F.col("mark") == "{") & (frames != "")
+    before = Window.partitionBy(*FILE_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("frames_end", F.max(F.when(is_frames, F.col("close.byte"))).over(before)).where(
+        "frames_end IS NULL OR start_byte >= frames_end"
+    )
+    bare = F.when(F.col("mark").isNotNull(), F.expr("substring(piece, 1, length(piece) - 1)")).otherwise(F.col("piece"))
+
+    def entry(kind: str, mark: str, name: Column, before: Column, text: Column, end: Column | None = None) -> Column:
+        lead = F.concat(before, F.regexp_extract(text, r"^\s*", 0))
+        begin = F.col("start_byte") + F.octet_length(lead)
+        line, column = brackets.place_after(F.col("start_line"), F.col("start_col"), lead)
+        trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+        return F.struct(
+            F.lit(kind).alias("kind"), F.lit(mark).alias("mark"), name.alias("name"), line.cast("int").alias("start_line"), column.cast("int").alias("start_col"),
+            (line + brackets.line_breaks(trimmed) if end is None else end["line"]).cast("int").alias("end_line"), begin.cast("long").alias("start_byte"),
+            (begin + F.octet_length(trimmed) if end is None else end["byte"]).cast("long").alias("end_byte"),
         )
-        variables = F.transform(
-            F.regexp_extract_all(rule["block"], F.lit(CSS_VARIABLE), F.lit(1)), lambda v: entry("variable", "", v)
+
+    def selector(text: Column, i: Column) -> Column:
+        trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+        ahead = F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice("parts", F.lit(1), i), ","), F.lit(",")))
+        return F.when(trimmed.rlike(CSS_CLASS), entry("class", ".", F.regexp_extract(trimmed, CSS_CLASS, 1), ahead, text)).when(
+            trimmed.rlike(CSS_ID), entry("id", "#", F.regexp_extract(trimmed, CSS_ID, 1), ahead, text)
         )
-        return F.concat(F.filter(picked, lambda p: p.isNotNull()), variables)
 
-    frames = F.transform(
-        F.regexp_extract_all(text, F.lit(CSS_KEYFRAMES), F.lit(1)), lambda k: entry("keyframes", "@", k)
+    rows = cut.withColumn("bare", bare).withColumn("parts", F.split("bare", ","))
+    at_rule = F.col("bare").rlike(r"^\s*@")
+    picked = F.filter(F.transform("parts", selector), lambda e: e.isNotNull())
+    variable = F.regexp_extract("bare", CSS_VARIABLE, 1)
+    found = (
+        F.when(is_frames, F.array(entry("keyframes", "@", frames, F.lit(""), F.col("bare"), F.col("close"))))
+        .when((F.col("mark") == "{") & ~at_rule, picked)
+        .when(F.coalesce(F.col("mark") != "{", F.lit(True)) & F.col("block").isNotNull() & (variable != ""), F.array(entry("variable", "", variable, F.lit(""), F.col("bare"))))
     )
-    found = files.select(*FILE_KEY, F.explode(F.concat(F.flatten(F.transform(rules, of_rule)), frames)).alias("e"))
-    return found.select(
+    return rows.select(*FILE_KEY, F.explode(found).alias("e")).select(
         *FILE_KEY,
         *_symbol(F.col("e.kind"), F.col("e.name"), F.concat(module_name("path"), "e.mark", "e.name"),
                  F.concat("e.kind", F.lit(" "), "e.name"), "css"),
+        *[F.col(f"e.{c}") for c in PLACE],
     )
 
 

@@ -256,6 +256,16 @@ FIXTURES: dict[str, str] = {
         "'.cust-' || CAST(c_custkey AS VARCHAR(20)) || ', #row' || CAST(c_custkey AS VARCHAR(20)) || ', div.seg:hover ' || chr(123) || ' --bal: 1; color: red; --seg: ' || lower(c_mktsegment) || ' ' || chr(125) || '' || chr(10) || "
         "'@media (min-width: 1px) ' || chr(123) || ' a.wide ' || chr(123) || ' margin: 0 ' || chr(125) || ' ' || chr(125) || ' ul .deep ' || chr(123) || ' ' || chr(125) || ' @keyframes k' || CAST(c_nationkey AS VARCHAR(20)) || ' ' || chr(123) || ' from ' || chr(123) || ' top: 0 ' || chr(125) || ' to ' || chr(123) || ' top: 1px ' || chr(125) || ' ' || chr(125) || '' AS content FROM {customer}"
     ),
+    # Part -> style sheet with a rule inside as many others as the part's size; page -> its script inside a function.
+    "deep_styles": (
+        "SELECT CAST(1 AS BIGINT) AS repo_id, p_partkey AS file_id, 'deep/p' || CAST(p_partkey AS VARCHAR(20)) || '.css' AS path, "
+        "'/* ' || p_name || ' ' || chr(125) || ' */' || chr(10) || repeat('@media all ' || chr(123) || ' ', p_size) || chr(10) || 'a[x=\"' || chr(125) || '\"], .d' || CAST(p_partkey AS VARCHAR(20)) || ' ' || chr(123) || "
+        "' --é: ''' || chr(125) || ';''; --n' || CAST(p_partkey AS VARCHAR(20)) || ': 1' || repeat(chr(125), p_size + 1) || ' #end ' || chr(123) || chr(125) AS content FROM {part}"
+    ),
+    "scripted_pages": (
+        "SELECT CAST(1 AS BIGINT) AS repo_id, page_id AS file_id, 'site/p' || CAST(page_id AS VARCHAR(20)) || '.html' AS path, "
+        "replace(replace(html, '<script>', '<script>function p' || CAST(page_id AS VARCHAR(20)) || '(a) ' || chr(123)), '</script>', chr(125) || ' late(1)</script>') AS content FROM {pages}"
+    ),
     # Two snapshots of a repository: documents before; after, toxic ones are gone, bad ones changed, pages are new.
     "snapshot_before": "SELECT CAST(1 AS BIGINT) AS repo_id, 'doc/' || CAST(doc_id AS VARCHAR(20)) AS path, md5(text) AS sha256, doc_id AS mtime FROM {documents}",
     "snapshot_after": (

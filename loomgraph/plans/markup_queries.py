@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import extract, plugin
+from loomgraph.operators import extract, plugin, spans
 from loomgraph.plans.registry import Tables, query
 
 LINK = "href=\"([^\"]*)\""
@@ -117,6 +117,62 @@ def css_symbols(t: Tables) -> DataFrame:
     return extract.css_symbols(t.style_files).select("file_id", "kind", "name", "fqn")
 
 
+def place_sql(needle: str) -> str:
+    """Line and bytes of the first occurrence of a text in ``content``."""
+    before = f"substr(content, 1, strpos(content, {needle}) - 1)"
+    return (
+        f"CAST(len({before}) - len(replace({before}, chr(10), '')) + 1 AS INTEGER) AS start_line, "
+        f"CAST(strlen({before}) AS BIGINT) AS start_byte, CAST(strlen({before}) + strlen({needle}) AS BIGINT) AS end_byte"
+    )
+
+
+STYLE_PLACES = " UNION ALL ".join(
+    f"SELECT file_id, '{kind}' AS kind, {place_sql(needle)} FROM {{style_files}} JOIN {{customer}} ON c_custkey = file_id"
+    for kind, needle in (
+        ("class", "'.cust-' || CAST(c_custkey AS VARCHAR)"), ("class", "'a.wide'"), ("id", "'#row' || CAST(c_custkey AS VARCHAR)"), ("variable", "'--bal: 1'"),
+        ("variable", "'--seg: ' || lower(c_mktsegment)"), ("keyframes", "substr(content, strpos(content, '@keyframes'))"),
+    )
+)
+
+
+@query("css_places", STYLE_PLACES)
+def css_places(t: Tables) -> DataFrame:
+    return extract.css_symbols(t.style_files).select("file_id", "kind", "start_line", "start_byte", "end_byte")
+
+
+@query(
+    "css_deep_rules",
+    " UNION ALL ".join(
+        f"SELECT file_id, {name} AS name, {place_sql(needle)} FROM {{deep_styles}}"
+        for name, needle in (
+            ("'d' || CAST(file_id AS VARCHAR)", "'.d' || CAST(file_id AS VARCHAR)"),
+            ("'--n' || CAST(file_id AS VARCHAR)", "'--n' || CAST(file_id AS VARCHAR) || ': 1'"), ("'end'", "'#end'"),
+        )
+    ),
+)
+def css_deep_rules(t: Tables) -> DataFrame:
+    return extract.css_symbols(t.deep_styles).select("file_id", "name", "start_line", "start_byte", "end_byte")
+
+
+TRACK, LATE = "'track(' || CAST(file_id AS VARCHAR) || ')'", "'late(1)'"
+CALL_OWNERS = (
+    f"SELECT file_id, 'track' AS callee_text, 'p' || CAST(file_id AS VARCHAR) AS caller, {place_sql(TRACK)} FROM {{scripted_pages}} "
+    f"UNION ALL SELECT file_id, 'late', NULL, {place_sql(LATE)} FROM {{scripted_pages}}"
+)
+
+
+@query("page_call_owners", CALL_OWNERS)
+def page_call_owners(t: Tables) -> DataFrame:
+    """From pages to the functions that hold their scripts' calls."""
+    files = t.scripted_pages
+    at = F.shiftleft(F.col("file_id"), 32) + F.col("start_byte")
+    functions = extract.inline_functions(files).withColumn("id", at)
+    calls = extract.inline_calls(files).withColumns({"id": at, "caller": F.lit(None).cast("long")})
+    owners = functions.select(F.col("id").alias("caller"), F.col("name").alias("owner"))
+    found = spans.attribute_callers(calls, functions).join(owners, "caller", "left")
+    return found.select("file_id", "callee_text", F.col("owner").alias("caller"), "start_line", "start_byte", "end_byte")
+
+
 @query(
     "css_imports",
     "SELECT c_custkey AS file_id, 'base' || CAST(c_nationkey AS VARCHAR) || '.css' AS ref_text FROM {customer} UNION ALL SELECT c_custkey, 't.css' FROM {customer}",

@@ -118,6 +118,43 @@ def test_nested_css_rules(spark):
     }
 
 
+def places(rows, body):
+    raw = body.encode()
+    return [(r["name"] if "name" in r else r.callee_text, r.start_line, r.start_col, r.end_line, raw[r.start_byte : r.end_byte].decode()) for r in rows]
+
+
+def test_css_places_at_any_depth(spark):
+    body = (
+        "/* é{ */ .btn, #main,\n  div.card, ul .deep { --x: '}'; color: red; --y: 2 } }\n"
+        "@keyframes spin {\n from { --no: 1 } }\n" + "".join(f".l{i} {{ " for i in range(40)) + "--z: 1" + "}" * 40 + " .late { a: url(x;y{); --w:0 } .open { --u: 1"
+    )
+    got = places(extract.css_symbols(page(spark, body, "a.css")).collect(), body)
+    assert got[:5] == [
+        ("btn", 1, 11, 1, ".btn"), ("main", 1, 17, 1, "#main"), ("card", 2, 3, 2, "div.card"), ("--x", 2, 24, 2, "--x: '}'"), ("--y", 2, 46, 2, "--y: 2"),
+    ]
+    assert got[5] == ("spin", 3, 1, 4, "@keyframes spin {\n from { --no: 1 } }")
+    assert [g[0] for g in got[6:]] == [f"l{i}" for i in range(40)] + ["--z", "late", "--w", "open", "--u"]
+    assert got[46][4] == "--z: 1" and all(g[4] == f".l{i}" for i, g in enumerate(got[6:46]))
+    empty = spark.createDataFrame([(1, 1, "a.css", None), (1, 2, "b.css", "")], "repo_id long, file_id long, path string, content string")
+    assert extract.css_symbols(empty).count() == 0 and extract.inline_calls(empty).count() == 0 and extract.inline_functions(empty).count() == 0
+
+
+def test_script_places(spark):
+    body = (
+        "<p>é</p>\n<script>function f(a, b = 'x)é') {\n if (a) { g.h(b,\n i(a)); } } // no(1)\n"
+        "  function  g2 ({q}, r) { f(`}`) }  f ( 1 ); new W(x(1)) </script><script src='a.js'>zz()</script>\n <SCRIPT>k()</SCRIPT><!-- <script>c()</script> -->"
+    )
+    files = page(spark, body, "p.html")
+    assert sorted(places(extract.inline_calls(files).collect(), body)) == [
+        ("f", 5, 27, 5, "f(`}`)"), ("f", 5, 37, 5, "f ( 1 )"), ("g.h", 3, 11, 4, "g.h(b,\n i(a))"), ("i", 4, 2, 4, "i(a)"), ("k", 6, 10, 6, "k()"), ("x", 5, 52, 5, "x(1)"),
+    ]
+    found = extract.inline_functions(files).collect()
+    assert sorted(places(found, body)) == [
+        ("f", 2, 9, 4, "function f(a, b = 'x)é') {\n if (a) { g.h(b,\n i(a)); } }"), ("g2", 5, 3, 5, "function  g2 ({q}, r) { f(`}`) }"),
+    ]
+    assert sorted(r.signature for r in found) == ["f(a, b = 'x)é')", "g2({q}, r)"]
+
+
 def test_types_without_an_own_name_are_resolved(spark):
     rows = [("A", None, "p", None), ("B", None, "p", "p.B"), ("C", "q.C", "p", "p.X")]
     df = spark.createDataFrame(rows, "type_name string, imported string, package string, src_fqn string")
