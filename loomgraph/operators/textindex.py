@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,111 +45,185 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.coalesce(bare, F.lit("")), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_words(words: pd.Series) -> pd.Series:
-    """Porter stems of word lists; each distinct word of an Arrow batch is stemmed once."""
-    known: dict[str, str] = {}
+@F.pandas_udf(T.StringType())
+def stem_word(words: pd.Series) -> pd.Series:
+    """Porter stems of words."""
+    return words.map(porter.stem, na_action="ignore")
 
-    def stems(row: Iterable[str]) -> list[str]:
-        out = []
-        for word in row:
-            if word not in known:
-                known[word] = porter.stem(word)
-            out.append(known[word])
-        return out
 
-    return words.map(stems)
+#: Asked words, or ranges of them, that are handed to the scan as literals; the join selects in any case.
+PUSHED_WORDS = 1000
+PUSHED_RANGES = 200
+#: A segment is merged with the one before it if that is not this many times larger.
+TIER = 4
 
+POSTING = ("doc_id", "n_tokens", "field", "pos", "token")
 
-#: Asked words that are handed to the scan as literals; beyond that only the join selects.
-PUSHED_WORDS = 1000
+
+@dataclass(frozen=True)
+class Segment:
+    """A part of an index that is never changed.
+
+    ``postings`` has a row per word occurrence (POSTING), ``docs`` doc_id and
+    n_tokens, ``words`` the token and stem of the words no earlier segment has,
+    ``gone`` the doc_id of documents that it takes out of all earlier segments.
+    Of a stored one the postings are sorted by word and their number is known.
+    """
+
+    postings: DataFrame
+    docs: DataFrame
+    words: DataFrame
+    gone: DataFrame | None = None
+    size: int | None = None
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Words of every document: ``texts`` has doc_id, n_tokens, parts ARRAY<STRUCT<field, words>>.
+    """Words of every document as segments, the oldest first.
 
-    A stored index also has its word occurrences clustered by word and its
-    vocabulary as tables of their own, so that a search reads matching row groups
-    and never the texts.
+    Postings hold the words as they are written; a stemmed search looks up the
+    words of a stem in the dictionary, so that only distinct words are stemmed.
     """
 
-    texts: DataFrame
+    segments: tuple[Segment, ...]
     stem: bool = False
-    clustered: DataFrame | None = None
-    words: DataFrame | None = None
 
-    @property
-    def postings(self) -> DataFrame:
-        """One row per word occurrence: (doc_id, field, pos, token)."""
-        if self.clustered is not None:
-            return self.clustered
-        return self.texts.select("doc_id", F.explode("parts").alias("f")).select(
-            "doc_id", "f.field", F.posexplode("f.words").alias("pos", "token")
-        )
+    def _live(self, part: Callable[[Segment], DataFrame]) -> DataFrame:
+        """The rows of all segments without documents that later ones take out."""
+        parts: list[DataFrame] = []
+        dead: DataFrame | None = None
+        for segment in reversed(self.segments):
+            rows = part(segment)
+            parts.append(rows if dead is None else rows.join(dead, "doc_id", "left_anti").select(*rows.columns))
+            if segment.gone is not None:
+                dead = segment.gone if dead is None else dead.unionByName(segment.gone)
+        return reduce(DataFrame.unionByName, reversed(parts))
 
     @property
-    def vocabulary(self) -> DataFrame:
-        """The distinct words (token)."""
-        return self.words if self.words is not None else self.postings.select("token").distinct()
+    def postings(self) -> DataFrame:
+        """One row per word occurrence: (doc_id, n_tokens, field, pos, token)."""
+        return self._live(lambda s: s.postings)
 
     @property
     def docs(self) -> DataFrame:
         """(doc_id, n_tokens) over all fields."""
-        return self.texts.select("doc_id", "n_tokens")
+        return self._live(lambda s: s.docs)
+
+    @property
+    def vocabulary(self) -> DataFrame:
+        """The distinct words and their stems (token, stem), also those of documents that are gone."""
+        return reduce(DataFrame.unionByName, [s.words for s in self.segments])
 
     def stored(self) -> TextIndex:
-        """The index written as tables: tokenised once, occurrences sorted by word; a frequent word spans several files."""
-        texts = materialize(self.texts, "text-index")
-        plain = TextIndex(texts, self.stem).postings
-        clustered = materialize(plain.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id"), "postings")
-        return TextIndex(texts, self.stem, clustered, materialize(clustered.select("token").distinct(), "vocabulary"))
+        """The index as tables: one segment with its occurrences sorted by word; a frequent word spans several files."""
+        return TextIndex((_stored(self.postings, self.docs, self.vocabulary),), self.stem)
 
     def occurrences(self, wanted: DataFrame) -> DataFrame:
-        """The postings that may match ``wanted`` (token); of a stored index only the row groups around them are read."""
-        if self.clustered is None:
+        """The postings that may match ``wanted`` (token); of stored segments only the row groups around them are read."""
+        if any(s.size is None for s in self.segments):
             return self.postings
-        few = [r.token for r in wanted.select("token").distinct().limit(PUSHED_WORDS + 1).collect()]
-        return self.postings.where(F.col("token").isin(*few)) if len(few) <= PUSHED_WORDS else self.postings
+        chosen = word_filter(wanted)
+        return self._live(lambda s: s.postings.where(chosen))
 
 
-def build_index(rows: DataFrame, doc_id: str, fields: Mapping[str, Column | str], stem: bool = False) -> TextIndex:
-    """Index of the given text columns; ``fields`` maps field names to columns."""
+def word_filter(wanted: DataFrame) -> Column:
+    """A condition on ``token`` that all words of ``wanted`` meet: the words, or if they are many, ranges of them.
+
+    Ranges are those of words that begin alike, neighbours put together until
+    they are PUSHED_RANGES at most.
+    """
+    few = [r.token for r in wanted.select("token").distinct().limit(PUSHED_WORDS + 1).collect()]
+    if len(few) <= PUSHED_WORDS:
+        return F.col("token").isin(*few)
+    for letters in (3, 2, 1):
+        ends = wanted.groupBy(F.substring("token", 1, letters)).agg(F.min("token").alias("low"), F.max("token").alias("high"))
+        ranges = sorted((r.low, r.high) for r in ends.select("low", "high").limit(PUSHED_WORDS + 1).collect())
+        if len(ranges) <= PUSHED_WORDS or letters == 1:
+            break
+    if len(ranges) > PUSHED_WORDS:  # more first letters than that
+        ranges = [tuple(wanted.agg(F.min("token"), F.max("token")).first())]
+    together = -(-len(ranges) // PUSHED_RANGES)
+    parts = [F.col("token").between(ranges[i][0], ranges[min(i + together, len(ranges)) - 1][1]) for i in range(0, len(ranges), together)]
+    while len(parts) > 1:  # a balanced tree, which plans walk down without deep recursion
+        parts = [reduce(Column.__or__, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+def _stored(postings: DataFrame, docs: DataFrame, words: DataFrame, gone: DataFrame | None = None) -> Segment:
+    """A segment written as tables."""
+    rows = postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
+    clustered = materialize(rows, "postings")
+    return Segment(
+        clustered, materialize(docs, "index-docs"), materialize(words, "dictionary"),
+        None if gone is None else materialize(gone, "index-gone"), clustered.count(),
+    )
+
+
+def _segment(rows: DataFrame, doc_id: str, fields: Mapping[str, Column | str], stem: bool, known: DataFrame | None = None, stored: bool = False) -> Segment:
+    """A segment of the given text columns; ``known`` (token) are words that are in the dictionary already."""
     words = rows.select(F.col(doc_id).alias("doc_id"), *[tokens(c).alias(f"w_{name}") for name, c in fields.items()])
-    parts = [
-        F.struct(F.lit(name).alias("field"), (stem_words(f"w_{name}") if stem else F.col(f"w_{name}")).alias("words"))
-        for name in fields
-    ]
-    total = F.lit(0)
-    for name in fields:
-        total = total + F.size(f"w_{name}")
-    return TextIndex(words.select("doc_id", total.alias("n_tokens"), F.array(*parts).alias("parts")), stem)
+    total = reduce(Column.__add__, [F.size(f"w_{name}") for name in fields], F.lit(0))
+    parts = F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"w_{name}").alias("words")) for name in fields])
+    texts = words.select("doc_id", total.alias("n_tokens"), parts.alias("parts"))
+    if stored:  # tokenised once
+        texts = materialize(texts, "index-texts")
+    postings = texts.select("doc_id", "n_tokens", F.explode("parts").alias("f")).select(
+        "doc_id", "n_tokens", "f.field", F.posexplode("f.words").alias("pos", "token")
+    )
+    fresh = postings.select("token").distinct()
+    if known is not None:
+        fresh = fresh.join(known, "token", "left_anti")
+    return Segment(postings, texts.select("doc_id", "n_tokens"), fresh.withColumn("stem", stem_word("token") if stem else F.col("token")))
+
+
+def build_index(rows: DataFrame, doc_id: str, fields: Mapping[str, Column | str], stem: bool = False, stored: bool = False) -> TextIndex:
+    """Index of the given text columns; ``fields`` maps field names to columns."""
+    part = _segment(rows, doc_id, fields, stem, stored=stored)
+    if stored:
+        # the words come from the sorted table, not from the texts again
+        bare = _stored(part.postings, part.docs, part.words.where("false"))
+        words = bare.postings.select("token").distinct().withColumn("stem", stem_word("token") if stem else F.col("token"))
+        part = replace(bare, words=materialize(words, "dictionary"))
+    return TextIndex((part,), stem)
 
 
 def update_index(
     index: TextIndex, changed: DataFrame, removed: DataFrame, doc_id: str, fields: Mapping[str, Column | str]
 ) -> TextIndex:
-    """Index after replacing the ``changed`` rows and dropping the ``removed`` ids."""
-    gone = changed.select(F.col(doc_id).alias("doc_id")).unionByName(
-        removed.select(F.col(doc_id).alias("doc_id"))
-    ).distinct()
-    kept = index.texts.join(gone, "doc_id", "left_anti").select("doc_id", "n_tokens", "parts")
-    return TextIndex(kept.unionByName(build_index(changed, doc_id, fields, index.stem).texts), index.stem)
-
-
-def _expand(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Replace word prefixes by the vocabulary words that start with them.
+    """Index after replacing the ``changed`` rows and dropping the ``removed`` ids.
 
-    An equi-join: every vocabulary word offers its own prefixes as keys, but
-    only those that some query asks for.
+    The changed rows are a new segment, which takes the old versions out; only
+    words that are new to the dictionary are stemmed.  Segments are merged when
+    the one before is not TIER times larger, so that their number grows with the
+    logarithm of the index and a row is rewritten that often.
+    """
+    gone = changed.select(F.col(doc_id).alias("doc_id")).unionByName(removed.select(F.col(doc_id).alias("doc_id"))).distinct()
+    base = index if all(s.size is not None for s in index.segments) else index.stored()
+    part = _segment(changed, doc_id, fields, index.stem, base.vocabulary.select("token"), stored=True)
+    segments = [*base.segments, _stored(part.postings, part.docs, part.words, gone)]
+    while len(segments) > 1 and segments[-2].size <= TIER * segments[-1].size:
+        old, new = segments[-2:]
+        pair = TextIndex((old, new), index.stem)
+        both = new.gone if old.gone is None else old.gone.unionByName(new.gone).distinct()
+        segments[-2:] = [_stored(pair.postings, pair.docs, pair.vocabulary, both if len(segments) > 2 else None)]
+    return TextIndex(tuple(segments), index.stem)
+
+
+def _expand(parts: DataFrame, vocabulary: DataFrame, stem: bool) -> DataFrame:
+    """Replace stems by their words, and prefixes by the words whose stems start with them.
+
+    Equi-joins: every vocabulary word offers the prefixes of its stem as keys,
+    but only those that some query asks for.
     """
     keep = ["query_id", "term_no", "n_parts", "off"]
     exact = parts.where("NOT is_prefix").select(*keep, "token")
+    if stem:
+        exact = vocabulary.join(exact.withColumnRenamed("token", "stem"), "stem").select(*keep, "token")
     asked = parts.where("is_prefix").withColumnRenamed("token", "prefix")
     # Only prefixes of an asked length are offered; a query text bounds their number.
     sizes = asked.agg(F.collect_set(F.length("prefix"))).scalar()
     cuts = F.transform(
-        F.filter("sizes", lambda n: n <= F.length("token")), lambda n: F.substring(F.col("token"), F.lit(1), n)
+        F.filter("sizes", lambda n: n <= F.length("stem")), lambda n: F.substring(F.col("stem"), F.lit(1), n)
     )
     offers = vocabulary.withColumn("sizes", sizes).select("token", F.explode(cuts).alias("prefix")).join(
         asked.select("prefix").distinct(), "prefix", "left_semi"
@@ -157,24 +232,24 @@ def _expand(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def match_terms(index: TextIndex, terms: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-    """(query_id, term_no, doc_id, tf): weighted hits of each query term.
+    """(query_id, term_no, doc_id, tf, n_tokens): weighted hits of each query term.
 
     ``terms`` has query_id, term_no, words ARRAY<STRING>, is_prefix.  A term
     with several words is a phrase; a prefix flag belongs to its last word.
     """
-    if index.stem:
-        terms = terms.withColumn("words", stem_words("words"))
     parts = terms.select(
         "query_id", "term_no", F.size("words").alias("n_parts"), "is_prefix",
         F.posexplode("words").alias("off", "token"),
     ).withColumn("is_prefix", F.col("is_prefix") & (F.col("off") == F.col("n_parts") - 1))
-    wanted = materialize(_expand(parts, index.vocabulary), "search-words")
+    if index.stem:
+        parts = parts.withColumn("token", stem_word("token"))
+    wanted = materialize(_expand(parts, index.vocabulary, index.stem), "search-words")
     weight = F.lit(0.0)
     for name, value in weights.items():
         weight = F.when(F.col("field") == name, float(value)).otherwise(weight)
     hits = salted_join(index.occurrences(wanted), wanted, ["token"], spread_by=["doc_id"])
     begin = F.when(F.col("n_parts") > 1, F.col("pos") - F.col("off"))
-    counted = hits.groupBy("query_id", "term_no", "n_parts", "doc_id", "field", begin.alias("begin")).agg(
+    counted = hits.groupBy("query_id", "term_no", "n_parts", "doc_id", "n_tokens", "field", begin.alias("begin")).agg(
         F.count(F.lit(1)).alias("n")
     )
     found = F.when(F.col("n_parts") == 1, F.col("n")).when(F.col("n") == F.col("n_parts"), 1)
@@ -182,7 +257,7 @@ def match_terms(index: TextIndex, terms: DataFrame, weights: Mapping[str, float]
         counted.withColumn("found", found)
         .where("found IS NOT NULL")
         .groupBy("query_id", "term_no", "doc_id")
-        .agg(F.sum(weight * F.col("found")).alias("tf"))
+        .agg(F.sum(weight * F.col("found")).alias("tf"), F.max("n_tokens").alias("n_tokens"))
     )
 
 
@@ -200,7 +275,6 @@ def bm25(index: TextIndex, terms: DataFrame, weights: Mapping[str, float]) -> Da
     ).scalar()
     scored = (
         hits.join(frequency, ["query_id", "term_no"])
-        .join(index.docs, "doc_id")
         .withColumn("n_docs", corpus["n"].cast("double"))
         .withColumn("mean", corpus["words"].cast("double") / corpus["n"])
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import knowledge as notes
 from loomgraph.operators import search as search_ops
 from loomgraph.operators import textindex
+from loomgraph.plans.porter_sql import porter_sql
 from loomgraph.plans.registry import Tables, query
 from loomgraph.session import materialize
 
@@ -305,7 +306,7 @@ BM25 = (
 
 
 def index(t: Tables, stem: bool = False) -> textindex.TextIndex:
-    return search_ops.index_notes(knowledge(t), stem).stored()
+    return search_ops.index_notes(knowledge(t), stem, stored=True)
 
 
 @query("bm25_search", f"WITH {BM25} SELECT query_id, id AS doc_id, round(bm25, 6) AS bm25 FROM scored")
@@ -330,7 +331,13 @@ def search(t: Tables) -> DataFrame:
     return search_ops.search(knowledge(t), asked_queries(t), index(t)).select("query_id", "rank", "id", "score")
 
 
-@query("search_stemmed")
+# The same with stems in place of words, on both sides.
+STEMMED = BM25.replace(
+    "hit AS (", "every AS (SELECT w AS word FROM occ UNION SELECT term FROM asked), " + porter_sql("every") + ", hit AS (",
+).replace("JOIN occ o ON starts_with(o.w, a.term)", "JOIN stems x ON x.word = a.term JOIN stems y ON starts_with(y.stem, x.stem) JOIN occ o ON o.w = y.word")
+
+
+@query("search_stemmed", SEARCH.replace(BM25, STEMMED))
 def search_stemmed(t: Tables) -> DataFrame:
     """The same search with stemmed words, as the note store uses it."""
     return search_ops.search(knowledge(t), asked_queries(t)).select("query_id", "rank", "id", "score")
@@ -346,7 +353,7 @@ PHRASE = (
 
 @query("phrase_search", PHRASE)
 def phrase_search(t: Tables) -> DataFrame:
-    docs = textindex.build_index(knowledge(t), "id", {"content": "content"}).stored()
+    docs = textindex.build_index(knowledge(t), "id", {"content": "content"}, stored=True)
     terms = t.spark.sql("SELECT 1L AS query_id, 0 AS term_no, array('the', 'th') AS words, true AS is_prefix")
     return textindex.match_terms(docs, terms, {"content": 5.0}).select("doc_id", "tf")
 
@@ -358,24 +365,37 @@ def phrase_search(t: Tables) -> DataFrame:
 )
 def symbol_text_index(t: Tables) -> DataFrame:
     rows = t.stored("code_symbols").withColumn("key", F.col("id").cast("string"))
-    docs = textindex.build_index(rows, "key", {"name": "name", "fqn": "fqn"}).stored()
+    docs = textindex.build_index(rows, "key", {"name": "name", "fqn": "fqn"}, stored=True)
     terms = t.spark.sql("SELECT 1L AS query_id, 0 AS term_no, array('m12') AS words, false AS is_prefix")
     return textindex.match_terms(docs, terms, {"name": 2.0, "fqn": 1.0}).select("doc_id", "tf")
 
 
+@query(
+    "stems",
+    f"WITH v AS (SELECT DISTINCT unnest({words('text')}) AS word FROM {{documents}}), {porter_sql('v')} SELECT word AS token, stem FROM stems",
+)
+def stems(t: Tables) -> DataFrame:
+    """The dictionary of a stemmed index: every word of the corpus and its stem."""
+    return textindex.build_index(knowledge(t), "id", {"content": "content"}, stem=True, stored=True).vocabulary
+
+
 @query(
     "index_update",
     f"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN text || ' tail' ELSE text END AS x FROM {{documents}} WHERE doc_id % 4 <> 2) "
-    f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(len({words('x')}) AS BIGINT) AS postings, CAST(len({words('x')}) AS BIGINT) AS n_tokens FROM d WHERE len({words('x')}) > 0",
+    f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(array_to_string({words('x')}, ' ')) AS digest, CAST(len({words('x')}) AS BIGINT) AS n_tokens FROM d WHERE len({words('x')}) > 0",
 )
 def index_update(t: Tables) -> DataFrame:
+    """The words of every document in their order, after a stored index was changed twice."""
     rows = knowledge(t)
     no = F.col("id").cast("long") % 4
     fields = {"content": "content"}
     changed = rows.where(no == 1).withColumn("content", F.concat("content", F.lit(" tail")))
-    after = textindex.update_index(textindex.build_index(rows, "id", fields), changed, rows.where(no == 2), "id", fields)
-    counts = after.postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("postings"))
-    return counts.join(after.docs, "doc_id").withColumn("n_tokens", F.col("n_tokens").cast("long"))
+    index = textindex.build_index(rows, "id", fields, stored=True)
+    index = textindex.update_index(index, changed, rows.where("false"), "id", fields)
+    index = textindex.update_index(index, rows.where("false"), rows.where(no == 2), "id", fields)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
+    texts = index.postings.groupBy("doc_id").agg(F.md5(F.array_join(in_order, " ")).alias("digest"))
+    return texts.join(index.docs, "doc_id").withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
 
 RECENT = (
@@ -396,6 +416,24 @@ def recent_notes(t: Tables) -> DataFrame:
     return search_ops.recent_notes(knowledge(t), queries)
 
 
+#: Requests without words, with characters the full-text syntax rejects, and invalid ones, which get nothing.
+FALLBACK = ((1, "and OR not", "", 4), (2, "c++ or x", "repo:src3", 6), (3, "***", "", 20), (4, "a;b c", "global", 3), (5, "no", "", 5), (6, "--- ", "repo:src1", -1), (7, "x" * 501, "", 5))
+
+
+@query(
+    "search_newest",
+    "WITH q AS (" + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS query_id, '{scope}' AS scope, {n} AS lim" for i, _, scope, n in FALLBACK[:4]) + "), "
+    "r AS (SELECT q.query_id, lim, d.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY d.doc_id DESC) AS n, "
+    "CASE WHEN q.scope <> '' THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score FROM q JOIN {documents} d ON q.scope = '' OR q.scope = 'repo:' || d.source), "
+    "z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(doc_id AS VARCHAR)) AS rank FROM r WHERE n <= 2 * lim) "
+    "SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(doc_id AS VARCHAR) AS id, score FROM z WHERE rank <= lim",
+)
+def search_newest(t: Tables) -> DataFrame:
+    """The search's other branch: requests that ask for no word list the newest notes."""
+    asked = t.spark.createDataFrame([(i, q, [], scope, n) for i, q, scope, n in FALLBACK], "query_id long, query string, context_tags array<string>, scope string, limit int")
+    return search_ops.search(knowledge(t), asked, index(t)).select("query_id", "rank", "id", "score")
+
+
 @query(
     "rerank",
     "SELECT doc_id, round(n_chars / CAST(1000 AS DOUBLE) * (1 + CAST(0.1 AS DOUBLE) * (CASE WHEN lang = 'en' THEN 2 ELSE 0 END + CASE WHEN source = 'src1' THEN 1 ELSE 0 END)) + "
