@@ -8,18 +8,18 @@ own, so that two sketches agree in a register with the probability of their
 sets' similarity however small the sets are.
 
 1. Equal sets meet under a 128-bit hash; one of each goes on.
-2. Bands of ROWS registers are join keys.  Every set of a band is linked to the
-   smallest of it, never to all; the connected parts of these links are the
-   clusters.  Of two sets with a similarity of 0.85 a band agrees with
-   probability 0.85 ** 6 = 0.38, none of 32 with 3e-7.
-3. The full sets of a cluster are compared in one task, or, if it is large, in
+2. Bands of ROWS registers are keys.  All sets of a band are put into one cell,
+   that of the smallest set which any of them meets in a band, so that a set is in
+   few cells.  Of two sets with a similarity of 0.85 a band agrees with probability
+   0.85 ** 6 = 0.38, none of 32 with 3e-7.
+3. The full sets of a cell are compared in one task, or, if it is large, in
    one task for every two of its chunks.  Pairs that links connect already are
    skipped; of the others the sketches give an estimate, corrected for registers
    that agree by chance; pairs within DEVIATIONS standard deviations of the
    threshold are confirmed on the sets.
 4. Components of the confirmed links, joined with the documents by set.
 
-Only texts of clustered sets are read again; full sets are not stored.
+Only texts of sets in cells are read again; full sets are not stored.
 
 Results for odd input: a null text, or one without words, has an empty set, is
 linked with nothing and its own component; fewer than three words are one
@@ -53,7 +53,7 @@ REGISTERS = BANDS * ROWS
 #: A register holds 6 bits of leading zeros and these.
 MANTISSA = 10
 DEVIATIONS = 5
-#: Sets and shingles of a cluster that are compared in one piece.
+#: Sets and shingles of a cell that are compared in one piece.
 MOST = 4096
 MOST_SHINGLES = 1 << 21
 #: Bytes of text that are cut at a time.
@@ -177,26 +177,33 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, set binary, n_shingles long, registers binary")
 
 
-def clusters(sets: DataFrame) -> DataFrame:
-    """(node, root) of the sets (node, registers) that share a band with another."""
+def cells(sets: DataFrame) -> DataFrame:
+    """(cell, node) of the sets (node, registers) that share a band with another; all sets of a band are in one cell.
+
+    The smallest set of a band is its head.  A band goes to the cell of the
+    smallest head that any of its sets has, so that the bands of one group of near
+    copies mostly lead to one cell.
+    """
     width = 2 * ROWS
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width)))
     )
     keyed = materialize(sets.select("node", F.explode(bands).alias("band")), "bands")
-    # stored, so that the join is one of two plain tables, whose hot bands Spark can split
-    heads = materialize(keyed.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head"), "band-heads")
-    met = keyed.join(heads, "band").where("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct()
-    return components(met, "alike")
+    heads = keyed.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head")
+    # stored, so that the joins are ones of two plain tables, whose hot bands Spark can split
+    met = materialize(keyed.join(materialize(heads, "band-heads"), "band"), "shared-bands")
+    low = met.groupBy("node").agg(F.min("head").alias("low"))
+    lows = met.select("node", "band").join(low, "node").groupBy("band").agg(F.min("low").alias("cell"))
+    return met.select("node", "band").join(materialize(lows, "band-cells"), "band").select("cell", "node").distinct()
 
 
 def confirmed(nodes: np.ndarray, sketch: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, side: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Confirmed links that connect what is similar among some sets of one cluster, at most one per set.
+    """Links that connect what is confirmed as similar among some sets of one cell: of every set to the first it is connected with.
 
     ``side`` is -1 where all sets are compared, else only those of different sides are.
     """
     n = np.diff(bounds)
-    label, found = np.arange(len(nodes)), ([], [])
+    label, left_apart = np.arange(len(nodes)), len(nodes)
     parent = label.copy()
 
     def root(x: int) -> int:
@@ -223,21 +230,21 @@ def confirmed(nodes: np.ndarray, sketch: np.ndarray, hashes: np.ndarray, bounds:
             shared = len(np.intersect1d(hashes[bounds[a] : bounds[a + 1]], hashes[bounds[b] : bounds[b + 1]], assume_unique=True))
             if 100 * shared >= threshold * (n[a] + n[b] - shared):
                 parent[max(u, v)] = min(u, v)
-                found[0].append(nodes[a])
-                found[1].append(nodes[b])
-        if len(found[0]) == len(nodes) - 1:
-            break
+                left_apart -= 1
         label = parent
         while not np.array_equal(label, label[label]):
             label = label[label]
         parent = label.copy()
-    return np.array(found[0], dtype=np.int64), np.array(found[1], dtype=np.int64)
+        if left_apart == 1:
+            break
+    linked = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[linked], nodes[label[linked]]
 
 
 def _confirm(threshold: int):
     def run(group: pa.Table) -> pa.Table:
         cells = group.column("cell").to_numpy()
-        order = np.argsort(cells, kind="stable")
+        order = np.lexsort((group.column("node").to_numpy(), cells))
         starts = np.flatnonzero(np.concatenate(([True], np.diff(cells[order]) != 0)))
         out: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
@@ -254,11 +261,12 @@ def _confirm(threshold: int):
 
 def links(rows: DataFrame, sets: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """Confirmed links (src, dst) of the sets (node, n_shingles, registers, doc_id, text_hash: of a document that has it)."""
-    placed = materialize(sets.join(clusters(sets).withColumnRenamed("root", "cluster"), "node"), "clustered")
-    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("shingles"))
+    placed = materialize(sets.join(cells(sets), "node"), "placed-sets")
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("shingles"))
     chunks = F.greatest(F.ceil(F.col("sets") / MOST), F.ceil(F.col("shingles") / MOST_SHINGLES)).cast("int")
-    large = materialize(sizes.select("cluster", chunks.alias("chunks")).where("chunks > 1"), "large-clusters")
-    total = placed.agg(F.sum("n_shingles")).first()[0] or 0
+    sizes = materialize(sizes.select("cell", "shingles", chunks.alias("chunks")), "cell-sizes")
+    large = sizes.where("chunks > 1").select("cell", "chunks")
+    total = sizes.agg(F.sum(F.col("shingles") * F.col("chunks"))).first()[0] or 0
     bits = rows.sparkSession.sparkContext.broadcast(bitmap(placed.select(F.xxhash64("doc_id", "text_hash").alias("hash"))))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -272,7 +280,7 @@ def links(rows: DataFrame, sets: DataFrame, words: int = WORDS, threshold: int =
 
     read = rows.withColumn("key", F.xxhash64("doc_id", "text_hash")).mapInArrow(full, f"of {kind}, of_text long, hashes binary").dropDuplicates(["of", "of_text"])
     on = placed["doc_id"].eqNullSafe(read["of"]) & placed["text_hash"].eqNullSafe(read["of_text"])
-    whole = placed.join(read, on).join(large, "cluster", "left").select("cluster", "chunks", "node", "registers", "hashes")
+    whole = placed.join(read, on).join(large, "cell", "left").select("cell", "chunks", "node", "registers", "hashes")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1),
@@ -281,10 +289,10 @@ def links(rows: DataFrame, sets: DataFrame, words: int = WORDS, threshold: int =
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     whole = whole.withColumn("own", own).withColumn("pair", F.explode(F.when(F.col("chunks").isNull(), one).otherwise(pairs)))
     whole = whole.select(
-        F.xxhash64("cluster", "pair.i", "pair.j").alias("cell"), "node", "registers", "hashes",
+        F.xxhash64("cell", "pair.i", "pair.j").alias("cell"), "node", "registers", "hashes",
         F.when(F.col("pair.i") == F.col("pair.j"), F.lit(-1)).otherwise(F.col("own")).alias("side"),
     )
-    groups = max(1, -(-2 * total // MOST_SHINGLES))
+    groups = max(1, -(-4 * total // MOST_SHINGLES))
     return whole.groupBy(F.pmod("cell", F.lit(groups)).alias("group")).applyInArrow(_confirm(threshold), "src long, dst long")
 
 
