@@ -32,8 +32,9 @@ are not supported.
 
 from __future__ import annotations
 
+import bisect
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +46,18 @@ from loomgraph.session import materialize
 SCALE = 256
 #: Rows of a block, of a leaf, and children of a node.
 BLOCK_ROWS = 4096
-LEAF = 64
-FANOUT = 8
+LEAF = 256
+FANOUT = 4
 #: Slabs of one coordinate: at most SLABS ** 2 quantiles are sent to the tasks.
 SLABS = 256
 #: Anchors that are searched in a block at a time.
 CHUNK = 256
 #: Below this all sums of products are exact as doubles.
 EXACT = 1 << 53
+#: All scores.
+ANY = (-(1 << 63), (1 << 63) - 1)
+
+Leaf = Callable[[int], list[tuple[int, int]]]
 
 
 def quantised(vectors: DataFrame, column: str, label: Column, scale: int = SCALE) -> DataFrame:
@@ -125,11 +130,10 @@ class Tree:
         low, high = self.low[:, 1:].T, self.high[:, 1:].T
         return up @ low + down @ high, up @ high + down @ low
 
-    def best(self, scores, upper: list, suits: list, rows_suit, k: int, least: int, most: int) -> list[tuple[int, int]]:
+    def best(self, leaf: Leaf, upper: list, suits: list, k: int, least: int, most: int) -> list[tuple[int, int]]:
         """The k best (score, id) from ``least`` to ``most``, by best-first search.
 
-        ``scores`` gives the scores of a leaf, ``upper`` and ``suits`` are by node,
-        ``rows_suit`` gives the rows of a leaf that count.
+        ``leaf`` gives the rows of a leaf, best first; ``upper`` and ``suits`` are by node.
         """
         found: list[tuple[int, int]] = []  # (-score, id)
         queue = [(-upper[self.root], self.root)] if suits[self.root] else []
@@ -137,17 +141,14 @@ class Tree:
             bound, node = heapq.heappop(queue)
             if len(found) == k and bound > found[-1][0]:
                 break
-            first, end = self.children[node]
-            if node >= self.leaves:
-                for child in range(first, end):
-                    if suits[child]:
-                        heapq.heappush(queue, (-upper[child], child))
+            if node < self.leaves:
+                rows = leaf(node)
+                first = bisect.bisect_left(rows, (-most,))
+                found = sorted(found + [r for r in rows[first : first + k] if r[0] <= -least])[:k]
                 continue
-            own = scores(node)
-            good = rows_suit(first, end) & (own <= most) & (own >= (max(least, -found[-1][0]) if len(found) == k else least))
-            if good.any():
-                found += zip((-own[good]).tolist(), self.ids[first:end][good].tolist())
-                found = sorted(found)[:k]
+            for child in range(*self.children[node]):
+                if suits[child]:
+                    heapq.heappush(queue, (-upper[child], child))
         return [(-s, i) for s, i in found]
 
 
@@ -201,14 +202,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Tree, list[dict
             yield tree, asked, queries, *tree.intervals(queries)
 
 
-def _scores(tree: Tree, query: np.ndarray):
-    """Scores of the rows of a leaf, computed once."""
-    known: dict[int, np.ndarray] = {}
+def _leaf_rows(tree: Tree, query: np.ndarray, suit: np.ndarray, least: int, most: int) -> Leaf:
+    """The rows of a leaf that count and score from ``least`` to ``most``, as sorted (-score, id), computed once."""
+    known: dict[int, list[tuple[int, int]]] = {}
 
-    def of(leaf: int) -> np.ndarray:
+    def of(leaf: int) -> list[tuple[int, int]]:
         if leaf not in known:
             first, end = tree.children[leaf]
-            known[leaf] = (tree.vectors[first:end] @ query).astype(np.int64)
+            scores = (tree.vectors[first:end] @ query).astype(np.int64)
+            good = np.flatnonzero(suit[first:end] & (scores >= least) & (scores <= most))
+            known[leaf] = sorted(zip((-scores[good]).tolist(), tree.ids[first + good].tolist()))
         return known[leaf]
 
     return of
@@ -223,7 +226,8 @@ def nearest_of_label(index: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
             for i, a in enumerate(asked):
                 suits = (tree.low[:, 0] <= a["label"]) & (tree.high[:, 0] >= a["label"])
                 rows = (tree.label == a["label"]) & (tree.ids != a["vec_id"])
-                found = tree.best(_scores(tree, queries[i]), upper[i].tolist(), suits.tolist(), lambda x, y: rows[x:y], k, -(1 << 63), (1 << 63) - 1)
+                leaf = _leaf_rows(tree, queries[i], rows, *ANY)
+                found = tree.best(leaf, upper[i].tolist(), suits.tolist(), k, *ANY)
                 out += [(a["anchor"], other, score) for score, other in found]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], [], []))], names=["anchor", "positive_id", "score"])
 
@@ -244,13 +248,17 @@ def within_windows(index: DataFrame, anchors: DataFrame, k: int, low: int, high:
             for i, a in enumerate(asked):
                 other = ~((tree.low[:, 0] == a["label"]) & (tree.high[:, 0] == a["label"]))
                 rows = (tree.label != a["label"]) & (tree.ids != a["vec_id"])
-                scores, ends = _scores(tree, queries[i]), upper[i].tolist()
-                for w in a["windows"]:
-                    least, most = -(-low * w["score"] // 100), high * w["score"] // 100
-                    if least <= most:
-                        suits = other & (upper[i] >= least) & (lower[i] <= most)
-                        found = tree.best(scores, ends, suits.tolist(), lambda x, y: rows[x:y], k, least, most)
-                        out += [(a["anchor"], w["place"], row, score) for score, row in found]
+                windows = [(w["place"], -(-low * w["score"] // 100), high * w["score"] // 100) for w in a["windows"]]
+                windows = [w for w in windows if w[1] <= w[2]]
+                if not windows:
+                    continue
+                # the windows of an anchor overlap: a leaf is scored and sorted once for all of them
+                leaf = _leaf_rows(tree, queries[i], rows, min(w[1] for w in windows), max(w[2] for w in windows))
+                ends = upper[i].tolist()
+                for place, least, most in windows:
+                    suits = other & (upper[i] >= least) & (lower[i] <= most)
+                    found = tree.best(leaf, ends, suits.tolist(), k, least, most)
+                    out += [(a["anchor"], place, row, score) for score, row in found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], [], [], []))], names=["anchor", "place", "negative_id", "negative_score"],
             )
