@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from loomgraph.functions.text import (
     normalize_title,
     trim_space,
 )
+from loomgraph.operators.grouping import connected
 from loomgraph.operators.skew import salted_join
 from loomgraph.session import materialize
 
@@ -145,42 +147,79 @@ def _taken(existing: DataFrame, notes: DataFrame, key: str) -> DataFrame:
     ).select("id", "existing_id")
 
 
+TITLE_KEY, CONTENT_KEY = ["scope", "normalized_title"], ["scope", "content_hash"]
+#: Notes that one task decides in their order.
+TOGETHER = 50_000
+
+
 def _accepted(notes: DataFrame, existing: DataFrame) -> DataFrame:
     """Ids of the notes a one-by-one pass in (created_at, id) order would store.
 
     A note is stored if no stored note has its title or its content in its
-    scope.  Round by round: notes that come first on both keys among the open
-    ones are stored, and everything that shares a key with them is closed.
-    The earliest open note is always decided, so the loop ends, and a stored
-    note never has an earlier open rival, so the result is the sequential one.
+    scope.  Notes that come first on both of their keys are stored and what
+    shares a key with them is closed, which decides most.  The others are decided
+    in their order: in one task if they are TOGETHER at most, else by groups
+    connected by keys, which do not depend on each other, many in one task; larger
+    groups go on round by round.
     """
-    title, content = ["scope", "normalized_title"], ["scope", "content_hash"]
     # Later copies of the same (title, content) can never be stored.
     open_ = (
         notes.groupBy("scope", "normalized_title", "content_hash")
         .agg(F.min(F.struct("created_at", "id")).alias("ord"))
-        .join(existing.select(*title).distinct(), title, "left_anti")
-        .join(existing.select(*content).distinct(), content, "left_anti")
+        .join(existing.select(*TITLE_KEY).distinct(), TITLE_KEY, "left_anti")
+        .join(existing.select(*CONTENT_KEY).distinct(), CONTENT_KEY, "left_anti")
     )
-    open_ = materialize(open_, "open-notes")
-    stored: list[DataFrame] = []
-    while not open_.isEmpty():
-        by_title = open_.groupBy(*title).agg(F.min_by("content_hash", "ord").alias("content_hash"), F.min("ord").alias("ord"))
-        by_content = open_.groupBy(*content).agg(F.min("ord").alias("c_ord"))
-        winners = materialize(
-            by_title.join(by_content, content).where("ord = c_ord").select(*title, "content_hash", "ord"), "winners"
-        )
-        stored.append(winners)
-        open_ = materialize(
-            open_.join(winners.select(*title), title, "left_anti").join(
-                winners.select(*content).distinct(), content, "left_anti"
-            ),
-            "open-notes",
-        )
-    ids = notes.select("id").where("false")
-    for winners in stored:
-        ids = ids.unionByName(winners.select(F.col("ord.id").alias("id")))
-    return ids
+    stored, open_ = _first_on_both(materialize(open_, "open-notes"))
+    left = open_.count()
+    if left > TOGETHER:
+        title, content = F.xxhash64(F.lit("title"), *TITLE_KEY), F.xxhash64(F.lit("content"), *CONTENT_KEY)
+        roots = connected(open_.select(title.alias("a"), content.alias("b")))
+        grouped = materialize(open_.withColumn("node", title).join(roots, "node").drop("node"), "grouped-notes")
+        large = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER).select("root")
+        small = grouped.join(large, "root", "left_anti")
+        tasks = -(-left // TOGETHER)
+        stored = stored.unionByName(_in_order(small.withColumn("task", F.pmod(F.xxhash64("root"), F.lit(4 * tasks)))))
+        open_ = materialize(grouped.join(large, "root", "left_semi").drop("root"), "open-notes")
+        while not open_.isEmpty():
+            more, open_ = _first_on_both(open_)
+            stored = stored.unionByName(more)
+    elif left:
+        stored = stored.unionByName(_in_order(open_.withColumn("task", F.lit(0).cast("long"))))
+    return stored
+
+
+def _first_on_both(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids of the notes that come first on both keys, the notes that share no key with them).
+
+    The earliest open note is always decided, and a stored note never has an
+    earlier open rival, so the result is the sequential one.
+    """
+    by_title = open_.groupBy(*TITLE_KEY).agg(F.min_by("content_hash", "ord").alias("content_hash"), F.min("ord").alias("ord"))
+    by_content = open_.groupBy(*CONTENT_KEY).agg(F.min("ord").alias("c_ord"))
+    winners = materialize(
+        by_title.join(by_content, CONTENT_KEY).where("ord = c_ord").select(*TITLE_KEY, "content_hash", "ord"), "winners"
+    )
+    rest = open_.join(winners.select(*TITLE_KEY), TITLE_KEY, "left_anti").join(
+        winners.select(*CONTENT_KEY).distinct(), CONTENT_KEY, "left_anti"
+    )
+    return winners.select(F.col("ord.id").alias("id")), materialize(rest, "open-notes")
+
+
+def _in_order(open_: DataFrame) -> DataFrame:
+    """Ids of the notes that a pass in their order stores, for whole groups of notes by ``task``."""
+
+    def run(notes: pd.DataFrame) -> pd.DataFrame:
+        titles, contents, ids = set(), set(), []
+        for n in notes.sort_values(["created_at", "id"], na_position="first").itertuples(index=False):
+            title, content = (n.scope, n.normalized_title), (n.scope, n.content_hash)
+            if title not in titles and content not in contents:
+                titles.add(title)
+                contents.add(content)
+                ids.append(n.id)
+        return pd.DataFrame({"id": pd.Series(ids, dtype=object)})
+
+    rows = open_.select("task", "scope", "normalized_title", "content_hash", F.col("ord.created_at").alias("created_at"), F.col("ord.id").alias("id"))
+    return materialize(rows.groupBy("task").applyInPandas(run, "id string"), "ordered-notes")
 
 
 def store_batch(existing: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

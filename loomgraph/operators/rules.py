@@ -105,10 +105,13 @@ PARENT_RULES = (
 )
 
 
-def structural_edges(symbols: DataFrame, rules: Sequence[str] = PARENT_RULES, same_lang: bool = False) -> DataFrame:
+def structural_edges(
+    symbols: DataFrame, rules: Sequence[str] = PARENT_RULES, same_lang: bool = False, parents: DataFrame | None = None,
+) -> DataFrame:
     """DECLARES and CONTAINS edges of the named rules, in one join on the parent FQN.
 
     The rules fix the language of one end only; ``same_lang`` asks for both.
+    ``parents`` are the symbols that may be parents, all by default.
     """
     table = _parent_rules()
     chosen = {name: table[name] for name in rules}
@@ -126,7 +129,7 @@ def structural_edges(symbols: DataFrame, rules: Sequence[str] = PARENT_RULES, sa
     asks = children.withColumn("offer", F.explode(offers)).select(
         "repo_id", "dst", "c_lang", "c_kind", F.col("offer.rule").alias("rule"), F.col("offer.fqn").alias("fqn")
     )
-    parents = symbols.where("fqn IS NOT NULL").select(
+    parents = (symbols if parents is None else parents).where("fqn IS NOT NULL").select(
         "repo_id", "fqn", F.col("id").alias("src"), F.col("lang").alias("p_lang"), F.col("kind").alias("p_kind")
     )
     fits = F.lit(False)
@@ -281,9 +284,11 @@ def _ref_texts(refs: DataFrame) -> DataFrame:
     return refs.where("provenance = 'type-ref' AND src IS NOT NULL").select("repo_id", "src", "ref_text")
 
 
-def reference_fqn_edges(symbols: DataFrame, refs: DataFrame, langs: Sequence[str] = ("go", "java")) -> DataFrame:
-    """REFERENCES edges of Go and Java: the ref text is the FQN of the target."""
-    targets = symbols.select("repo_id", F.col("fqn").alias("ref_text"), F.col("id").alias("dst"))
+def reference_fqn_edges(
+    symbols: DataFrame, refs: DataFrame, langs: Sequence[str] = ("go", "java"), targets: DataFrame | None = None,
+) -> DataFrame:
+    """REFERENCES edges of Go and Java: the ref text is the FQN of the target, one of ``targets`` (default: all symbols)."""
+    targets = (symbols if targets is None else targets).select("repo_id", F.col("fqn").alias("ref_text"), F.col("id").alias("dst"))
     on = ["repo_id", "ref_text"]
     pairs = salted_join(
         _type_refs(symbols, refs, langs).drop("lang"), targets, on, spread_by=["src"],
@@ -302,17 +307,18 @@ def fqn_suffixes(fqn: Column) -> Column:
 
 
 def reference_suffix_edges(
-    symbols: DataFrame, refs: DataFrame, langs: Sequence[str] = tuple(SUFFIX_KINDS)
+    symbols: DataFrame, refs: DataFrame, langs: Sequence[str] = tuple(SUFFIX_KINDS), targets: DataFrame | None = None,
 ) -> DataFrame:
     """REFERENCES edges of the script languages: FQN equals the ref or ends with ``.ref``.
 
     The suffix match ignores ASCII case, equality does not.  Instead of testing
-    all pairs, a target offers each of its dot suffixes as a join key.
+    all pairs, a target (one of ``targets``, default: all symbols) offers each of
+    its dot suffixes as a join key.
     """
     fits = F.lit(False)
     for lang in langs:
         fits = fits | ((F.col("lang") == lang) & F.col("kind").isin(*SUFFIX_KINDS[lang]))
-    targets = symbols.where(fits).where("fqn IS NOT NULL").select(
+    targets = (symbols if targets is None else targets).where(fits).where("fqn IS NOT NULL").select(
         "repo_id", F.col("lang").alias("t_lang"), "fqn", F.col("id").alias("dst")
     )
     # An offer with ``whole`` set only counts if the ref equals the full FQN.
@@ -387,6 +393,10 @@ def unregister_rule(name: str) -> None:
     _EXTRA_RULES.pop(name, None)
 
 
+def has_user_rules() -> bool:
+    return bool(_EXTRA_RULES)
+
+
 def build_edges(symbols: DataFrame, callsites: DataFrame, refs: DataFrame, *, attribute: bool = True) -> DataFrame:
     """All edges of the repositories in the inputs.
 

@@ -144,7 +144,10 @@ def content_duplicates(t: Tables) -> DataFrame:
     return notes.content_duplicates(rows, rows)
 
 
-# One note after the other, with the keys taken so far carried along.
+#: Title and content keys of which many requests share one: chains of notes through both.
+CHAINED = "'Numbered note ' || CAST(CAST(floor((doc_id + 1) / 2) AS BIGINT) % 400 AS VARCHAR(20))"
+CHAIN_CONTENT = "'Content of the chained note that is long enough to be stored, number ' || CAST(CAST(floor(doc_id / 2) AS BIGINT) % 400 AS VARCHAR(20))"
+#: One note after the other, with the keys taken so far carried along.
 SEQUENTIAL = (
     "WITH RECURSIVE n AS (SELECT *, scope || chr(1) || tkey AS t, scope || chr(1) || ckey AS c, row_number() OVER (ORDER BY ts_sec, id) AS no FROM "
     + NOTE_ROWS
@@ -180,6 +183,33 @@ def stored_table(t: Tables) -> DataFrame:
     )
 
 
+CHAIN_ROWS = (
+    f"(SELECT CAST(doc_id AS VARCHAR(20)) AS id, 'global' AS scope, lower({CHAINED}) AS tkey, {CHAIN_CONTENT} AS ckey, "
+    "CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 1000000000 + doc_id END AS ts_sec FROM {documents})"
+)
+
+
+@query(
+    "store_more_notes",
+    SEQUENTIAL.replace(NOTE_ROWS, CHAIN_ROWS)
+    + "SELECT p.id AS req_id, CASE WHEN field IS NULL THEN 'OK' ELSE 'DUPLICATE_KNOWLEDGE' END AS code, field, "
+    "CASE field WHEN 'title' THEN (SELECT min(q.id) FROM pass q JOIN n m ON m.id = q.id WHERE q.field IS NULL AND m.t = n.t) "
+    "WHEN 'content' THEN (SELECT min(q.id) FROM pass q JOIN n m ON m.id = q.id WHERE q.field IS NULL AND m.c = n.c) END AS existing_id "
+    "FROM pass p JOIN n ON n.id = p.id WHERE n.ts_sec >= 1000000000",
+)
+def store_more_notes(t: Tables) -> DataFrame:
+    """A second batch against the notes that a first one stored; titles and contents overlap in long chains."""
+    late = F.col("doc_id") % 3 != 0
+    rows = t.documents.select(
+        F.col("doc_id").cast("string").alias("req_id"), F.timestamp_seconds(F.when(late, 1_000_000_000).otherwise(0) + F.col("doc_id")).alias("ts"),
+        F.expr(CHAINED).alias("title"), F.expr(CHAIN_CONTENT).alias("content"), F.array(F.lit("chain")).alias("tags"), F.lit("global").alias("scope"), late.alias("late"),
+    )
+    rows = materialize(rows, "chained-requests")
+    _, existing = notes.store_batch(empty_notes(t), rows.where("NOT late").drop("late"))
+    outcome, _ = notes.store_batch(existing, rows.where("late").drop("late"))
+    return outcome.select("req_id", "code", "field", "existing_id")
+
+
 # Every document as a stored note with a title of its own; patches by id class.
 PATCH_BASE = (
     "SELECT CAST(doc_id AS VARCHAR(20)) AS id, 'Document number ' || CAST(doc_id AS VARCHAR(20)) AS title, text AS content, 'repo:' || source AS scope, "

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph import schemas
+from loomgraph.operators import differential
 from loomgraph.operators import incremental as inc
 from loomgraph.operators import rules
 from loomgraph.operators.plugin import (
@@ -36,6 +37,25 @@ def _shape(rows: DataFrame, schema: Iterable[T.StructField]) -> DataFrame:
     ])
 
 
+def _next_edges(before: dict[str, DataFrame], after: dict[str, DataFrame], files: DataFrame) -> DataFrame:
+    """The edges after a change of the rows of ``files`` (file_id); see ``differential``."""
+    old = before["edges"]
+    is_semantic = (F.col("confidence") >= 1.0) & (F.col("provenance") != "extractor")
+    derived = old.where(~is_semantic)
+    if before["symbols"].isEmpty() or rules.has_user_rules():
+        semantic = inc.cascade(old.where(is_semantic), after["symbols"])
+        fresh = rules.build_edges(after["symbols"], after["callsites"], after["refs"], attribute=False)
+        return rules.union_rules([semantic.select(*fresh.columns), fresh])
+    touched, fresh = differential.edge_changes(before, after, files)
+    fresh = materialize(fresh, "fresh-edges")
+    kept = differential.untouched(derived, materialize(touched, "touched-ends"))
+    dead = before["symbols"].select("id").join(after["symbols"].select("id"), "id", "left_anti")
+    semantic = old.where(is_semantic)
+    for end in ("src", "dst"):
+        semantic = semantic.join(dead.withColumnRenamed("id", end), end, "left_anti").select(*old.columns)
+    return rules.union_rules([part.select(*fresh.columns) for part in (semantic, kept, fresh)])
+
+
 def index_files(
     tables: dict[str, DataFrame],
     files: DataFrame,
@@ -48,11 +68,11 @@ def index_files(
 
     ``complete`` says that the files are the whole repositories, so stored
     files missing from them are stale.  Unchanged files are not extracted.
-    Edges of the touched repositories are derived again as a whole, so that no
-    edge from an unchanged file into a changed one is lost; semantic edges
-    whose two ends survive are kept.
+    Edges are derived again where an end's symbol, calls or refs have changed,
+    also those from unchanged files into changed ones; user rules are run as a
+    whole.  Semantic edges whose two ends survive are kept.
     """
-    prior = tables["files"]
+    prior, stored = tables["files"], tables
     seen = inc.change_status(
         prior,
         with_lang(files).withColumn("sha256", sha256_hex("content")),
@@ -81,7 +101,8 @@ def index_files(
         touched.join(known, inc.FILE_KEY, "left").withColumn("id", F.coalesce("known_id", "id")).drop("known_id")
     )
     new_files = inc.upsert_files(tables["files"], _shape(touched, schemas.FILES))
-    file_ids = touched.select(F.col("id").alias("file_id"))
+    file_ids = materialize(touched.select(F.col("id").alias("file_id")), "touched-files")
+    moved = file_ids if not complete else file_ids.unionByName(gone)
 
     # A symbol that several files mention survives as long as one of them does.
     raw = materialize(
@@ -105,9 +126,7 @@ def index_files(
     )
     refs = inc.replace_by_file(tables["refs"], file_ids, _shape(bound, schemas.REFS))
     refs = materialize(inc.set_null_missing(refs, ["src", "dst"], symbols), "refs")
-    derived = rules.build_edges(symbols, callsites, refs, attribute=False)
-    semantic = inc.cascade(tables["edges"].where("confidence >= 1.0 AND provenance <> 'extractor'"), symbols)
-    edges = rules.union_rules([semantic.select(*derived.columns), derived])
+    edges = _next_edges(stored, {"symbols": symbols, "callsites": callsites, "refs": refs}, moved)
     results = seen.select("repo_id", "path", "status").join(
         extracts.select(
             "repo_id", "path", F.size("symbols").alias("n_symbols"), F.size("callsites").alias("n_callsites"),

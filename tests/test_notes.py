@@ -82,6 +82,27 @@ def test_store_batch_equals_one_by_one(spark, seed):
     assert {r.id for r in added.collect()} == {f"r{i:03}" for i, w in enumerate(want) if w[0] is None}
 
 
+def chain_rows(n):
+    """Each note shares its title with one neighbour and its content with the other."""
+    order = list(range(n))
+    random.Random(n).shuffle(order)
+    return [(f"Note title {(i + 1) // 2}", f"{LONG}{i // 2}", [], "global") for i in order]
+
+
+@pytest.mark.parametrize("together", [50_000, 100, 7])
+def test_chains_take_few_writes(spark, monkeypatch, together):
+    """In one task, by connected groups, and round by round: the same notes, and no more writes for a longer chain unless by rounds."""
+    monkeypatch.setattr(kn, "TOGETHER", together)
+    writes, write = [], kn.materialize
+    monkeypatch.setattr(kn, "materialize", lambda df, name: (writes.append(name), write(df, name))[1])
+    rows = chain_rows(1000) if together == 50_000 else chain_rows(60) + [(f"Other {t}", c, g, s) for t, c, g, s in chain_rows(200)]
+    got = {r.req_id: r.code for r in kn.store_batch(empty(spark), store_rows(spark, rows))[0].collect()}
+    want = sequential_store(rows)
+    assert [got[f"r{i:03}"] == "OK" for i in range(len(rows))] == [w[0] is None for w in want]
+    if together == 50_000:
+        assert len(writes) <= 8
+
+
 def test_store_against_existing_notes(spark):
     _, existing = kn.store_batch(empty(spark), store_rows(spark, [("Note title one", LONG + "1", ["B", "b"], "")]))
     assert [(r.id, r.tags, r.scope) for r in existing.collect()] == [("r000", ["b"], "global")]
