@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import skew
 from loomgraph.operators.lookup import resolve_names
 from loomgraph.operators.skew import planned_bytes, salted_join, top_per_key
-from loomgraph.session import materialize
+from loomgraph.session import materialize, scratch_root
 
 DEFAULT_DEPTH = 3
 DEFAULT_MAX_NODES = 100
@@ -40,6 +41,54 @@ def neighbors(edges: DataFrame, nodes: DataFrame, direction: str, kinds: Sequenc
     return salted_join(hops(edges, direction, kinds), nodes.select("id").distinct(), ["id"], "left_semi").distinct()
 
 
+#: A cap up to which a seed's state is one row with arrays: at most cap * (cap + 1) ids meet in it.
+ARRAY_CAP = 500
+#: Rows of one bucket of a stored adjacency, about.
+BUCKET_ROWS = 2_000_000
+#: Repositories that are named in a partition filter.
+PRUNED_REPOS = 1000
+
+
+def adjacency(edges: DataFrame, direction: str, kinds: Sequence[str] | None = None, max_nodes: int = DEFAULT_MAX_NODES) -> DataFrame:
+    """(id, nexts): the smallest neighbours of every node in order, as many as a traversal with this cap can need.
+
+    Those are ``max_nodes + 1``: a seed that has found n nodes may take
+    ``max_nodes - n`` more, and of that many and n + 1 others at most the n and the
+    seed itself are known already.  Stored as a table bucketed by id: joins on it
+    shuffle the other side only.  Pass it to several traversals.
+    """
+    steps = hops(edges, direction, kinds).where("id IS NOT NULL AND next IS NOT NULL").distinct()
+    near = top_per_key(steps, ["id"], [F.col("next")], max_nodes + 1)
+    lists = materialize(near.groupBy("id").agg(F.sort_array(F.collect_list("next")).alias("nexts")), "neighbours")
+    spark = edges.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lists.count() // BUCKET_ROWS))
+    name = f"adjacency_{uuid.uuid4().hex}"
+    (
+        lists.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id")
+        .option("path", f"{scratch_root(spark)}/{name}").saveAsTable(name)
+    )
+    return spark.table(name)
+
+
+def _bfs_arrays(graph: DataFrame, seeds: DataFrame, depth: int, max_nodes: int) -> DataFrame:
+    """Capped traversal over an adjacency, one row per seed and level: (seed, found, frontier)."""
+    none = F.array().cast("array<struct<id:bigint,depth:int>>")
+    state = seeds.select(F.col("seed").cast("long").alias("seed")).where("seed IS NOT NULL").distinct()
+    state = materialize(state.select("seed", none.alias("found"), F.array("seed").alias("frontier")), "bfs-seeds")
+    for level in range(1, depth + 1):
+        budget = F.lit(max_nodes) - F.size("found")
+        open_ = state.where((F.size("frontier") > 0) & (budget > 0)).select("seed", F.explode("frontier").alias("id"))
+        reached = open_.join(graph, "id").groupBy("seed").agg(F.array_distinct(F.flatten(F.collect_list("nexts"))).alias("reached"))
+        known = F.concat(F.array("seed"), F.transform("found", lambda f: f["id"]))
+        fresh = F.sort_array(F.array_except(F.coalesce("reached", F.array().cast("array<bigint>")), known))
+        nearer = state.join(reached, "seed", "left").withColumn("frontier", F.slice(fresh, F.lit(1), F.greatest(budget, F.lit(0))))
+        at_level = F.transform("frontier", lambda i: F.struct(i.alias("id"), F.lit(level).alias("depth")))
+        state = materialize(nearer.select("seed", F.concat("found", at_level).alias("found"), "frontier"), f"bfs-level{level}")
+        if level < depth and state.where((F.size("frontier") > 0) & (F.size("found") < max_nodes)).isEmpty():
+            break
+    return state.select("seed", F.explode("found").alias("f")).select("seed", "f.id", "f.depth")
+
+
 def bfs(
     edges: DataFrame,
     seeds: DataFrame,
@@ -47,6 +96,7 @@ def bfs(
     kinds: Sequence[str] | None = None,
     depth: int = DEFAULT_DEPTH,
     max_nodes: int | None = DEFAULT_MAX_NODES,
+    graph: DataFrame | None = None,
 ) -> DataFrame:
     """Nodes reachable from every seed: (seed, id, depth), the seed itself excluded.
 
@@ -54,14 +104,27 @@ def bfs(
     ``max_nodes`` each seed returns its first nodes by (depth, id); ``None``
     returns all of them.  Non-positive bounds mean the defaults.
 
-    Every level is one join of the frontier with the edges, written to the
-    shared folder.  A bounded traversal never needs more than
-    ``max_nodes * (depth + 1) + 1`` smallest neighbours of one node: at most
-    that many can be taken already, so a hub costs no more than that.
+    A capped traversal reads the edges once, into an ``adjacency`` (or takes one
+    that is stored, ``graph``, made with this direction, these kinds and a cap no
+    smaller); every level is a join with it and one row per seed, so that a hub
+    costs no more than the cap.  Other traversals join the edges level by level.
     """
     depth = depth if depth > 0 else DEFAULT_DEPTH
     if max_nodes is not None and max_nodes <= 0:
         max_nodes = DEFAULT_MAX_NODES
+    if max_nodes is not None and max_nodes <= ARRAY_CAP:
+        return _bfs_arrays(graph if graph is not None else adjacency(edges, direction, kinds, max_nodes), seeds, depth, max_nodes)
+    return _bfs_rows(edges, seeds, direction, kinds, depth, max_nodes)
+
+
+def _bfs_rows(
+    edges: DataFrame, seeds: DataFrame, direction: str, kinds: Sequence[str] | None, depth: int, max_nodes: int | None,
+) -> DataFrame:
+    """The traversal with a row per seed and node; a join of the frontier with the edges per level.
+
+    A bounded traversal never needs more than ``max_nodes * (depth + 1) + 1``
+    smallest neighbours of one node: at most that many can be taken already.
+    """
     steps = hops(edges, direction, kinds)
     hubs = None
     if planned_bytes(steps) >= skew.SMALL_BYTES:
@@ -127,10 +190,16 @@ def traverse(
         .select("repo_id", "query", F.col("symbol_id").alias("seed")),
         "traverse-seeds",
     )
-    reached = bfs(edges, resolved.select("seed"), direction, kinds, depth, max_nodes)
+    reached = bfs(_of_repos(edges, resolved), resolved.select("seed"), direction, kinds, depth, max_nodes)
     return hydrate(reached, symbols).join(resolved, "seed")
 
 
+def _of_repos(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The edges of the seeds' repositories, if these are few enough to be named: other partitions are not read."""
+    ids = [r.repo_id for r in seeds.select("repo_id").distinct().limit(PRUNED_REPOS + 1).collect()]
+    return edges.where(F.col("repo_id").isin(*ids)) if len(ids) <= PRUNED_REPOS else edges
+
+
 def ego_network(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that touch the ids in ``nodes``, tagged with the node (id, kind, src, dst)."""
     wanted = nodes.select("id").distinct()

@@ -275,6 +275,20 @@ def scan_files(t: Tables) -> DataFrame:
     return file_ops.scan_files(t.spark, _written_tree(t)).select("path", "size", file_ops.sha256_hex("content").alias("sha"))
 
 
+#: Ignored folders and names of that tree; hidden folders are left out as well.
+TREE_IGNORED = ("_lib/", "a/b/c/src1*", "_f*7.js", "!_f*77.js")
+
+
+@query(
+    "scan_sources",
+    f"SELECT path, 'javascript' AS lang, sha FROM (SELECT {TREE_PATH} AS path, sha256(text) AS sha FROM {{documents}}) x WHERE path NOT LIKE 'pkg/%' AND path NOT LIKE 'web/%' "
+    "AND NOT starts_with(path, 'a/b/c/src1') AND NOT (regexp_matches(path, '/_f[^/]*7[.]js$') AND NOT regexp_matches(path, '/_f[^/]*77[.]js$'))",
+)
+def scan_sources(t: Tables) -> DataFrame:
+    """The same tree, listed without hidden and ignored folders; only sources are opened."""
+    return file_ops.scan_sources(t.spark, _written_tree(t), ignore_lines=TREE_IGNORED).select("path", "lang", F.col("sha256").alias("sha"))
+
+
 @query("files_of_repo", "SELECT doc_id, path FROM {doc_files} WHERE repo_id = 2")
 def files_of_repo(t: Tables) -> DataFrame:
     return lookup.files_of_repo(t.doc_files, 2).select("doc_id", "path")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -14,11 +16,12 @@ from loomgraph.functions.paths import LANGS, classify_lang, relative_path, to_sl
 from loomgraph.functions.text import col
 from loomgraph.session import materialize
 
-LISTED = "path string, is_dir boolean, mtime bigint, size bigint"
+LISTED = "path string, is_dir boolean, mtime bigint, size bigint, error string"
 #: Folders that one listing task takes at a time at least.
 DIRS_PER_TASK = 64
 #: Bytes of content that one Arrow batch holds at most, unless one file is longer.
 CONTENT_BYTES = 16 << 20
+HIDDEN = r"(^|/)(\.[^/]*|vendor)"
 
 
 def _store(root: str) -> tuple[pafs.FileSystem, str]:
@@ -26,48 +29,87 @@ def _store(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
 
 
+def _entries(store: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int | None, int | None]]:
+    """(name, is_dir, mtime, size) of a folder's files and folders; of links only those to files.
+
+    An entry that can't be looked at, or is neither, is left out.
+    """
+    if not isinstance(store, pafs.LocalFileSystem):
+        for info in store.get_file_info(pafs.FileSelector(folder)):
+            if info.type in (pafs.FileType.Directory, pafs.FileType.File):
+                is_dir = info.type == pafs.FileType.Directory
+                yield info.base_name, is_dir, None if is_dir else int(info.mtime.timestamp()), None if is_dir else info.size
+        return
+    with os.scandir(folder) as found:
+        for entry in found:
+            try:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.name, True, None, None
+                elif entry.is_file():
+                    stat = entry.stat()
+                    yield entry.name, False, int(stat.st_mtime), stat.st_size
+            except OSError:
+                continue
+
+
 def _list_dirs(root: str):
-    """A task that lists folders (path, relative to ``root``); folders that vanish meanwhile have nothing."""
+    """A task that lists folders (path, relative to ``root``); one that can't be listed is a row with an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _store(root)
         for batch in batches:
             rows = []
             for folder in batch["path"]:
-                found = store.get_file_info(pafs.FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=True))
-                for info in found:
-                    if info.type in (pafs.FileType.Directory, pafs.FileType.File):
-                        name = f"{folder}/{info.base_name}" if folder else info.base_name
-                        is_dir = info.type == pafs.FileType.Directory
-                        rows.append((name, is_dir, None if is_dir else int(info.mtime.timestamp()), None if is_dir else info.size))
-            yield pd.DataFrame(rows, columns=["path", "is_dir", "mtime", "size"])
+                above = f"{folder}/" if folder else ""
+                try:
+                    rows += [(above + name, *rest, None) for name, *rest in _entries(store, f"{base}/{folder}" if folder else base)]
+                except OSError as problem:
+                    rows.append((folder, None, None, None, f"{type(problem).__name__}: {problem}"))
+            yield pd.DataFrame(rows, columns=["path", "is_dir", "mtime", "size", "error"]).astype({"mtime": "Int64", "size": "Int64", "is_dir": "boolean"})
 
     return run
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root``: (path, mtime, size), whatever their names; no file is opened.
+def rules_column(lines: Sequence[str]) -> Column:
+    """The rules of one ignore file as a constant, as ``is_ignored`` takes them."""
+    parsed = [(i, *rule) for i, rule in enumerate(map(ignore_rule, lines)) if rule]
+    rules = [F.struct(F.lit(i).cast("long").alias("ord"), F.lit(negated).alias("negated"), F.lit(regex).alias("regex")) for i, negated, regex in parsed]
+    return F.array(*rules) if rules else F.array().cast("array<struct<ord:bigint,negated:boolean,regex:string>>")
+
+
+def list_tree(spark: SparkSession, root: str, ignore_lines: Sequence[str] = (), hidden: bool = True) -> tuple[DataFrame, DataFrame]:
+    """((path, mtime, size) of all files below ``root``, (path, error) of the folders that can't be listed); no file is opened.
 
     Folders are a frontier of rows, one level of the tree per round, that tasks
-    list side by side; every level is written to the shared folder.
+    list side by side; every level is written to the shared folder.  What the
+    ignore lines drop, and without ``hidden`` vendor folders and those that start
+    with a dot, never joins the frontier, so nothing below it is listed.  Links to
+    folders are not followed.
     """
     frontier = spark.createDataFrame([("",)], "path string")
     levels: list[DataFrame] = []
     n = 1
     while n:
         tasks = min(n // DIRS_PER_TASK + 1, 10_000)
-        listed = materialize(frontier.repartition(tasks).mapInPandas(_list_dirs(root), LISTED), "listed")
-        levels.append(listed.where("NOT is_dir"))
-        frontier = listed.where("is_dir").select("path")
+        listed = frontier.repartition(tasks).mapInPandas(_list_dirs(root), LISTED)
+        if ignore_lines:
+            listed = listed.where(F.col("error").isNotNull() | ~is_ignored("path", rules_column(ignore_lines)))
+        if not hidden:
+            listed = listed.where(F.col("error").isNotNull() | ~F.col("is_dir") | ~F.col("path").rlike(HIDDEN + "$"))
+        levels.append(materialize(listed, "listed"))
+        frontier = levels[-1].where("is_dir").select("path")
         n = frontier.count()
-    files = levels[0]
-    for level in levels[1:]:
-        files = files.unionByName(level)
-    return files.select("path", "mtime", "size")
+    listed = reduce(DataFrame.unionByName, levels)
+    return listed.where("NOT is_dir").select("path", "mtime", "size"), listed.where("error IS NOT NULL").select("path", "error")
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """All files below ``root``: (path, mtime, size), whatever their names; folders that can't be listed are skipped."""
+    return list_tree(spark, root)[0]
 
 
 def read_contents(files: DataFrame, root: str) -> DataFrame:
-    """Add ``content`` to listed files; files that have vanished since drop out."""
+    """Add ``content`` to listed files; files that have vanished since or can't be read drop out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _store(root)
@@ -77,7 +119,7 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
                 try:
                     with store.open_input_stream(f"{base}/{row.path}") as stream:
                         content = stream.read()
-                except FileNotFoundError:
+                except OSError:
                     continue
                 rows.append((*row, content))
                 held += len(content)
@@ -102,6 +144,27 @@ def scan_files(spark: SparkSession, root: str, repo_id: int = 1, content: bool =
     return files.select(F.lit(repo_id).cast("long").alias("repo_id"), *files.columns)
 
 
+def scan_sources(
+    spark: SparkSession, root: str, repo_id: int = 1, ignore_lines: Sequence[str] = (), langs: Sequence[str] = (), known: DataFrame | None = None,
+) -> DataFrame:
+    """The source files to index: (repo_id, path, mtime, size, content, lang, sha256).
+
+    The same files as ``discover`` on a whole scan, but hidden and ignored folders
+    are not listed, and only files of a wanted language are opened.  With ``known``
+    (the stored files) those whose time and size are the stored ones are not opened
+    either: they carry the stored sha256 and no content.
+    """
+    files, _ = list_tree(spark, root, ignore_lines, hidden=False)
+    wanted = materialize(with_lang(files.select(F.lit(repo_id).cast("long").alias("repo_id"), "path", "mtime", "size"), langs), "sources")
+    nothing = [F.lit(None).cast("binary").alias("content")]
+    if known is None:
+        return read_contents(wanted, root).withColumn("sha256", sha256_hex("content"))
+    stored = known.select("repo_id", "path", "mtime", "size", F.col("sha256").alias("stored"))
+    seen = wanted.join(stored, ["repo_id", "path", "mtime", "size"], "left").select(*wanted.columns, "stored")
+    same = seen.where("stored IS NOT NULL").select(*wanted.columns, *nothing, F.col("stored").alias("sha256"))
+    return read_contents(seen.where("stored IS NULL").drop("stored"), root).withColumn("sha256", sha256_hex("content")).unionByName(same)
+
+
 #: What Spark's file stream gives.
 SCAN_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -109,8 +172,8 @@ SCAN_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 def stream_files(spark: SparkSession, root: str, repo_id: int = 1, files_per_batch: int = 1000) -> DataFrame:
     """The rows of new files as an endless stream.
 
-    Spark's file stream does not see names that start with ``_`` or ``.``; a
-    repeated ``scan_files`` (see ``streaming.indexing``) does.
+    Spark's file stream does not see names that start with ``_`` or ``.``;
+    ``streaming.indexing.watch`` does, and changed and removed files too.
     """
     found = (
         spark.readStream.format("binaryFile")
@@ -147,7 +210,7 @@ def with_lang(files: DataFrame, langs: Sequence[str] = ()) -> DataFrame:
 
 def drop_hidden(files: DataFrame) -> DataFrame:
     """Drop files below ``.git``, ``vendor`` or any directory that starts with a dot."""
-    return files.where(~to_slash("path").rlike(r"(^|/)(\.[^/]*|vendor)/"))
+    return files.where(~to_slash("path").rlike(HIDDEN + "/"))
 
 
 def glob_to_regex(glob: str) -> str | None:
@@ -243,8 +306,12 @@ def is_ignored(path: Column | str, rules: Column | str) -> Column:
 
 
 def filter_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Files that no ignore rule of their repository drops."""
-    return files.join(rules, "repo_id", "left").where(~is_ignored("path", "rules")).select(*files.columns)
+    """Files that no ignore rule of their repository drops.
+
+    The rules are stored first: where their size allows, they are sent to the
+    files, whose contents stay where they are.
+    """
+    return files.join(materialize(rules, "ignore-rules"), "repo_id", "left").where(~is_ignored("path", "rules")).select(*files.columns)
 
 
 def discover(files: DataFrame, ignore_lines: DataFrame, langs: Sequence[str] = ()) -> DataFrame:

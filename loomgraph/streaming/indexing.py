@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from loomgraph.operators.plugin import (
 )
 from loomgraph.operators.spans import attribute_callers
 from loomgraph.session import materialize
-from loomgraph.sources.files import sha256_hex, with_lang
+from loomgraph.sources.files import scan_sources, sha256_hex, with_lang
 from loomgraph.sources.tables import create_tables, read_tables, write_tables
 
 
@@ -66,6 +66,8 @@ def index_files(
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """New tables and the run summary after indexing ``files`` (repo_id, path, mtime, size, content).
 
+    Files that are known to be unchanged may come without content, with their sha256.
+
     ``complete`` says that the files are the whole repositories, so stored
     files missing from them are stale.  Unchanged files are not extracted.
     Edges are derived again where an end's symbol, calls or refs have changed,
@@ -75,7 +77,7 @@ def index_files(
     prior, stored = tables["files"], tables
     seen = inc.change_status(
         prior,
-        with_lang(files).withColumn("sha256", sha256_hex("content")),
+        with_lang(files).withColumn("sha256", F.coalesce(sha256_hex("content"), "sha256") if "sha256" in files.columns else sha256_hex("content")),
         full,
     )
     # only changed files keep their text on the way
@@ -178,3 +180,32 @@ def start(
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def watch(
+    spark: SparkSession, root: str, base: str, checkpoint: str, extractors: dict[str, Extractor], *,
+    repo_id: int = 1, ignore_lines: Sequence[str] = (), langs: Sequence[str] = (), every: str = "1 minute", ticks: int | None = None,
+) -> StreamingQuery:
+    """Keep the tables in step with a folder: every tick lists it and indexes what is new, changed or gone.
+
+    All names are seen, and only files whose time or size differ from the stored
+    ones are opened.  A tick is a micro-batch, so a restarted query goes on with the
+    next one.  ``ticks`` ends the query after so many.
+    """
+    done = 0
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        nonlocal done
+        if ticks is not None and done >= ticks:
+            return
+        create_tables(spark, base)
+        known = read_tables(spark, base, [repo_id])["files"]
+        index_once(spark, base, scan_sources(spark, root, repo_id, ignore_lines, langs, known), extractors, complete=True)
+        done += 1
+        if ticks is not None and done >= ticks:
+            query.stop()
+
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = clock.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    query = writer.trigger(processingTime=every).start()
+    return query

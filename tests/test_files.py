@@ -54,6 +54,33 @@ def test_ignore_patterns(spark, rule, path, hit):
     assert (fs.filter_ignored(df, fs.ignore_rules(lines)).count() == 0) == hit
 
 
+def test_listing_skips_links_ignored_and_unreadable(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    for path in ("a/x.go", "gone/deep/y.go", "gone/kept.go", "vendor/v.go", ".hid/h.go", "b/.dot.go", "b/node/z.js", "node/deep/w.js"):
+        write(root, path, "x")
+    os.symlink("..", os.path.join(root, "a/up"))
+    os.symlink("x.go", os.path.join(root, "a/same.go"))
+    os.symlink("nowhere", os.path.join(root, "a/broken.go"))
+    os.symlink("loop.go", os.path.join(root, "a/loop.go"))
+    files, unreadable = fs.list_tree(spark, root)
+    assert {r.path for r in files.collect()} == {"a/x.go", "a/same.go", "gone/deep/y.go", "gone/kept.go", "vendor/v.go", ".hid/h.go", "b/.dot.go", "b/node/z.js", "node/deep/w.js"}
+    assert unreadable.count() == 0
+    listed = []
+    write_table = fs.materialize
+    monkeypatch.setattr(fs, "materialize", lambda df, name: (lambda out: (listed.append(out) if name == "listed" else None, out)[1])(write_table(df, name)))
+    ignore = ["gone/", "!gone/kept.go", "/node", "# none"]
+    got = fs.scan_sources(spark, root, 4, ignore, ["go", "javascript"])
+    assert {(r.repo_id, r.path, r.lang, bytes(r.content)) for r in got.collect()} == {
+        (4, p, lang, b"x") for p, lang in (("a/x.go", "go"), ("a/same.go", "go"), ("b/.dot.go", "go"), ("b/node/z.js", "javascript"))
+    }
+    seen = {r.path for level in listed for r in level.collect()}
+    assert not any(p.startswith(("gone", "node", "vendor", ".hid")) for p in seen)
+    odd = spark.createDataFrame([("a/loop.go",), ("a/broken.go",), ("a",), ("a/x.go",)], "path string")
+    assert [r.path for r in fs.read_contents(odd, root).collect()] == ["a/x.go"]
+    _, missing = fs.list_tree(spark, root + "/nothing-here")
+    assert [(r.path, r.error.split(":")[0]) for r in missing.collect()] == [("", "FileNotFoundError")]
+
+
 def test_go_module(spark):
     rows = [(1, "go.mod", "// c\nmodule  example.org/x \ngo 1.25"), (1, "a.go", ""), (2, "a.go", ""), (3, "sub/go.mod", "module y")]
     df = spark.createDataFrame(rows, "repo_id long, path string, content string")
@@ -333,3 +360,25 @@ def test_emptied_table_replaces_the_old_partition(spark, tmp_path):
     tables.write_tables({"edges": edge}, repos, base)
     tables.write_tables({"edges": edge.where("false")}, repos.where("repo_id = 1"), base)
     assert [r.repo_id for r in tables.read_table(spark, base, "edges").collect()] == [2]
+
+
+def test_watch_follows_a_folder(spark, tmp_path):
+    root, base = str(tmp_path / "src"), str(tmp_path / "kg")
+    write(root, "p/_a.go", "def one: two\n")
+    write(root, "p/.b.go", "def two: one\n")
+    write(root, "skip/c.go", "def three: one\n")
+    extractors, ignore = {"go": toy_extractor}, ["skip/"]
+
+    def tick(n):
+        indexing.watch(spark, root, base, str(tmp_path / f"ckpt{n}"), extractors, ignore_lines=ignore, every="1 second", ticks=1).awaitTermination()
+        return graph_of(spark, base)
+
+    assert tick(1)[1] == {"p", "p.one", "p.two"}
+    os.remove(os.path.join(root, "p/_a.go"))
+    write(root, "p/.b.go", "def two: four\ndef four: two\n")
+    edges, fqns = tick(2)
+    assert fqns == {"p", "p.two", "p.four"} and ("CALLS", "p.two", "p.four") in edges
+    known = tables.read_table(spark, base, "files")
+    again = fs.scan_sources(spark, root, 1, ignore, known=known).collect()
+    assert [(r.path, r.content, r.sha256 is not None) for r in again] == [("p/.b.go", None, True)]
+    assert tick(3) == (edges, fqns)
