@@ -73,17 +73,17 @@ def implements_go_at(symbols: DataFrame, owners: DataFrame) -> DataFrame:
     return either(at(found, owners, "src"), at(found, owners, "dst")).distinct()
 
 
-def hierarchy_at(symbols: DataFrame, refs: DataFrame, types: DataFrame) -> DataFrame:
-    """EXTENDS and IMPLEMENTS edges that one of the types (id) is an end of."""
+def hierarchy_at(symbols: DataFrame, refs: DataFrame, types: DataFrame, of_go: bool = True) -> DataFrame:
+    """EXTENDS and IMPLEMENTS edges that one of the types (id) is an end of; without ``of_go`` there are no method sets of Go."""
     here, said = at(symbols, types), at(refs, types, "src")
     parts = [f(*sides) for f in (rules.extends_edges, rules.implements_java_edges) for sides in ((symbols, said), (here, refs))]
-    return either(implements_go_at(symbols, types), *parts).distinct()
+    return either(*parts, *([implements_go_at(symbols, types)] if of_go else [])).distinct()
 
 
-def overrides_at(symbols: DataFrame, refs: DataFrame, methods: DataFrame) -> DataFrame:
+def overrides_at(symbols: DataFrame, refs: DataFrame, methods: DataFrame, of_go: bool = True) -> DataFrame:
     """OVERRIDES edges that one of the methods (id) is an end of."""
     types = materialize(ids_of(contains(symbols, children=at(symbols, methods)).select("src")), "override-owners")
-    above = materialize(hierarchy_at(symbols, refs, types), "override-hierarchy")
+    above = materialize(hierarchy_at(symbols, refs, types, of_go), "override-hierarchy")
     around = ids_of(types.select("id"), above.select("src"), above.select("dst"))
     members = contains(symbols, children=symbols.where("kind = 'method'"), parents=at(symbols, materialize(around, "override-types")))
     found = materialize(rules.override_edges(symbols, members.unionByName(above)), "near-overrides")
@@ -102,31 +102,49 @@ def edge_changes(before: dict[str, DataFrame], after: dict[str, DataFrame], file
     def of_files(rows: DataFrame) -> DataFrame:
         return rows.join(files, "file_id", "left_semi")
 
-    callers = ids_of(changed, *[of_files(t["callsites"]).select("caller") for t in (before, after)])
+    callers = materialize(ids_of(changed, *[of_files(t["callsites"]).select("caller") for t in (before, after)]), "touched-callers")
     sources = materialize(ids_of(changed, *[of_files(t["refs"]).select("src") for t in (before, after)]), "touched-sources")
-    # owners that gained, lost or kept a changed method
-    owners = [contains(t["symbols"], children=at(t["symbols"], changed)).select("src") for t in (before, after)]
-    types = materialize(ids_of(sources.select("id"), *owners), "touched-types")
-    methods = [
-        contains(t["symbols"], children=t["symbols"].where("kind = 'method'"), parents=at(t["symbols"], types)).select("dst") for t in (before, after)
-    ]
-    touched = {
-        "CALLS": materialize(callers, "touched-callers"), "CONTAINS": changed, "DECLARES": changed, "IMPORTS": sources,
-        "EXTENDS": types, "IMPLEMENTS": types, "REFERENCES": sources,
-        "OVERRIDES": materialize(ids_of(changed, *methods), "touched-methods"),
-    }
-    here = at(symbols, sources)
-    said = at(refs, sources, "src")
+    # rules without rows of the languages and kinds they speak of are not planned at all
+    kinds, said_by = _kinds(before["symbols"], symbols), _provenances(before["refs"], refs)
+    of_go = ("go", "type") in kinds and {"interface", "method"} <= {k for _, k in kinds}
+    of_java = ("java", "method") in kinds
+    types, methods = sources, changed
+    if of_go or of_java:
+        # owners that gained, lost or kept a changed method
+        owners = [contains(t["symbols"], children=at(t["symbols"], changed)).select("src") for t in (before, after)]
+        types = materialize(ids_of(sources.select("id"), *owners), "touched-types")
+    if of_java:
+        held = [contains(t["symbols"], children=t["symbols"].where("kind = 'method'"), parents=at(t["symbols"], types)).select("dst") for t in (before, after)]
+        methods = materialize(ids_of(changed, *held), "touched-methods")
+    here, said = at(symbols, sources), at(refs, sources, "src")
     fresh = [
-        rules.call_edges(symbols, at(callsites, touched["CALLS"], "caller")), rules.call_edges(at(symbols, touched["CALLS"]), callsites),
+        rules.call_edges(symbols, at(callsites, callers, "caller")), rules.call_edges(at(symbols, callers), callsites),
         rules.structural_edges(at(symbols, changed), parents=symbols), rules.structural_edges(symbols, parents=at(symbols, changed)),
-        rules.import_edges(symbols, said), rules.import_edges(here, refs),
-        hierarchy_at(symbols, refs, types), overrides_at(symbols, refs, touched["OVERRIDES"]),
-        *[f(symbols, said) for f in (rules.reference_fqn_edges, rules.reference_suffix_edges)],
-        *[f(symbols, refs, targets=here) for f in (rules.reference_fqn_edges, rules.reference_suffix_edges)],
     ]
-    kinds = either(*[ids.select(F.lit(kind).alias("kind"), "id") for kind, ids in touched.items()])
-    return kinds, either(*fresh).distinct()
+    if "extractor" in said_by:
+        fresh += [rules.import_edges(symbols, said), rules.import_edges(here, refs)]
+    if of_go or said_by & {"extends-heuristic", "implements-heuristic"}:
+        fresh.append(hierarchy_at(symbols, refs, types, of_go))
+    if of_java:
+        fresh.append(overrides_at(symbols, refs, methods, of_go))
+    if "type-ref" in said_by:
+        for derive, langs in ((rules.reference_fqn_edges, {"go", "java"}), (rules.reference_suffix_edges, {"javascript", "typescript"})):
+            if langs & {lang for lang, _ in kinds}:
+                fresh += [derive(symbols, said), derive(symbols, refs, targets=here)]
+    touched = {
+        "CALLS": callers, "CONTAINS": changed, "DECLARES": changed, "IMPORTS": sources, "EXTENDS": types, "IMPLEMENTS": types,
+        "REFERENCES": sources, "OVERRIDES": methods,
+    }
+    return either(*[ids.select(F.lit(kind).alias("kind"), "id") for kind, ids in touched.items()]), either(*fresh).distinct()
+
+
+def _kinds(*tables: DataFrame) -> set[tuple[str, str]]:
+    """(lang, kind) of the symbols: as many as the extractors know, never more with more rows."""
+    return {tuple(r) for r in either(*[t.select("lang", "kind") for t in tables]).distinct().collect()}
+
+
+def _provenances(*tables: DataFrame) -> set[str]:
+    return {r.provenance for r in either(*[t.where("src IS NOT NULL").select("provenance") for t in tables]).distinct().collect()}
 
 
 def untouched(edges: DataFrame, touched: DataFrame) -> DataFrame:

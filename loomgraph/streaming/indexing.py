@@ -46,6 +46,8 @@ def _next_edges(before: dict[str, DataFrame], after: dict[str, DataFrame], files
         semantic = inc.cascade(old.where(is_semantic), after["symbols"])
         fresh = rules.build_edges(after["symbols"], after["callsites"], after["refs"], attribute=False)
         return rules.union_rules([semantic.select(*fresh.columns), fresh])
+    if files.isEmpty():
+        return old
     touched, fresh = differential.edge_changes(before, after, files)
     fresh = materialize(fresh, "fresh-edges")
     kept = differential.untouched(derived, materialize(touched, "touched-ends"))
