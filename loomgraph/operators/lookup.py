@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import ascii_lower
 from loomgraph.operators.skew import salted_join
+from loomgraph.operators.textindex import word_filter
 from loomgraph.session import materialize
 
 CALLABLE_KINDS = ("function", "method")
@@ -73,33 +75,65 @@ def _grams(text, size):
     )
 
 
+def _with_grams(names: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Every name with each of its substrings of at most GRAM characters: (keys..., name, __name, __gram)."""
+    return names.select(
+        *keys, name, "__name",
+        F.explode(
+            F.array_distinct(
+                F.flatten(F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: _grams(F.col("__name"), n)))
+            )
+        ).alias("__gram"),
+    )
+
+
+@dataclass(frozen=True)
+class NameIndex:
+    """Stored substrings of the distinct names of a symbol table, sorted by substring, and the number of names of each."""
+
+    postings: DataFrame
+    counts: DataFrame
+    keys: tuple[str, ...]
+    name: str
+
+
+def index_names(haystack: DataFrame, keys: Sequence[str] = ("repo_id",), name: str = "name") -> NameIndex:
+    """The index that ``contains_join`` and what builds on it take; made once for many lookups."""
+    names = haystack.select(*keys, name).distinct().withColumn("__name", ascii_lower(name))
+    rows = _with_grams(names, keys, name)
+    postings = materialize(rows.repartitionByRange("__gram", *keys, name).sortWithinPartitions("__gram"), "name-postings")
+    counts = postings.groupBy(*keys, "__gram").agg(F.count(F.lit(1)).alias("__names"))
+    counts = materialize(counts.repartitionByRange("__gram").sortWithinPartitions("__gram"), "name-counts")
+    return NameIndex(postings, counts, tuple(keys), name)
+
+
 def contains_join(
     needles: DataFrame, haystack: DataFrame, keys: Sequence[str] = ("repo_id",),
-    needle: str = "query", name: str = "name",
+    needle: str = "query", name: str = "name", index: NameIndex | None = None,
 ) -> DataFrame:
     """Pairs (keys..., needle, name) where the name contains the needle, ASCII case folded.
 
     Not a nested loop: both sides are turned into substrings of at most GRAM
     characters, every needle picks its rarest substring, and only names that
-    hold that substring are compared with it.
+    hold that substring are compared with it.  With an ``index`` of the names
+    the rarest substring is looked up, and only the row groups around the asked
+    substrings are read.
     """
     keys = list(keys)
     wanted = needles.select(*keys, needle).distinct().withColumn("__needle", ascii_lower(needle))
-    names = haystack.select(*keys, name).distinct().withColumn("__name", ascii_lower(name))
     size = F.least(F.length("__needle"), F.lit(GRAM))
     needle_grams = wanted.select(
         *keys, needle, "__needle", F.explode(F.array_distinct(_grams(F.col("__needle"), size))).alias("__gram")
     )
-    name_grams = names.select(
-        *keys, name, "__name",
-        F.explode(
-            F.array_distinct(
-                F.flatten(F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: _grams(F.col("__name"), n)))
-            )
-        ).alias("__gram"),
-    ).join(needle_grams.select(*keys, "__gram").distinct(), [*keys, "__gram"], "left_semi")
-    name_grams = materialize(name_grams, "name-grams")
-    counts = name_grams.groupBy(*keys, "__gram").agg(F.count(F.lit(1)).alias("__names"))
+    if index is None:
+        names = haystack.select(*keys, name).distinct().withColumn("__name", ascii_lower(name))
+        asked = needle_grams.select(*keys, "__gram").distinct()
+        name_grams = materialize(_with_grams(names, keys, name).join(asked, [*keys, "__gram"], "left_semi"), "name-grams")
+        counts = name_grams.groupBy(*keys, "__gram").agg(F.count(F.lit(1)).alias("__names"))
+    else:
+        needle_grams = materialize(needle_grams, "needle-grams")
+        chosen = word_filter(needle_grams.select(F.col("__gram").alias("token")), "__gram")
+        name_grams, counts = index.postings.where(chosen), index.counts.where(chosen)
     rarest = (
         needle_grams.join(counts, [*keys, "__gram"], "left")
         .groupBy(*keys, needle, "__needle")
@@ -113,14 +147,14 @@ def contains_join(
     )
 
 
-def name_matches(symbols: DataFrame, queries: DataFrame) -> DataFrame:
+def name_matches(symbols: DataFrame, queries: DataFrame, index: NameIndex | None = None) -> DataFrame:
     """Contains-matches of many queries: (repo_id, query, id, kind, name, fqn)."""
-    pairs = contains_join(queries, symbols)
+    pairs = contains_join(queries, symbols, index=index)
     fields = symbols.select("repo_id", "id", "kind", "name", F.coalesce("fqn", F.lit("")).alias("fqn"))
     return salted_join(fields, pairs, ["repo_id", "name"])
 
 
-def query_symbols(symbols: DataFrame, queries: DataFrame) -> DataFrame:
+def query_symbols(symbols: DataFrame, queries: DataFrame, index: NameIndex | None = None) -> DataFrame:
     """FQN hits if the text has a dot and there are any, else contains-matches.
 
     Returns (repo_id, query, id, kind, name, fqn).
@@ -132,7 +166,7 @@ def query_symbols(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     ).withColumn("query", F.col("fqn"))
     rest = wanted.join(exact.select("repo_id", "query").distinct(), ["repo_id", "query"], "left_anti")
     return exact.select("repo_id", "query", "id", "kind", "name", "fqn").unionByName(
-        name_matches(symbols, rest)
+        name_matches(symbols, rest, index)
     )
 
 

@@ -126,15 +126,15 @@ class TextIndex:
         return self._live(lambda s: s.postings.where(chosen))
 
 
-def word_filter(wanted: DataFrame) -> Column:
-    """A condition on ``token`` that all words of ``wanted`` meet: the words, or if they are many, ranges of them.
+def word_filter(wanted: DataFrame, column: str = "token") -> Column:
+    """A condition on ``column`` that all words (token) of ``wanted`` meet: the words, or if they are many, ranges of them.
 
     Ranges are those of words that begin alike, neighbours put together until
     they are PUSHED_RANGES at most.
     """
     few = [r.token for r in wanted.select("token").distinct().limit(PUSHED_WORDS + 1).collect()]
     if len(few) <= PUSHED_WORDS:
-        return F.col("token").isin(*few)
+        return F.col(column).isin(*few)
     for letters in (3, 2, 1):
         ends = wanted.groupBy(F.substring("token", 1, letters)).agg(F.min("token").alias("low"), F.max("token").alias("high"))
         ranges = sorted((r.low, r.high) for r in ends.select("low", "high").limit(PUSHED_WORDS + 1).collect())
@@ -143,7 +143,7 @@ def word_filter(wanted: DataFrame) -> Column:
     if len(ranges) > PUSHED_WORDS:  # more first letters than that
         ranges = [tuple(wanted.agg(F.min("token"), F.max("token")).first())]
     together = -(-len(ranges) // PUSHED_RANGES)
-    parts = [F.col("token").between(ranges[i][0], ranges[min(i + together, len(ranges)) - 1][1]) for i in range(0, len(ranges), together)]
+    parts = [F.col(column).between(ranges[i][0], ranges[min(i + together, len(ranges)) - 1][1]) for i in range(0, len(ranges), together)]
     while len(parts) > 1:  # a balanced tree, which plans walk down without deep recursion
         parts = [reduce(Column.__or__, parts[i : i + 2]) for i in range(0, len(parts), 2)]
     return parts[0]

@@ -197,19 +197,28 @@ def asked(t: Tables) -> DataFrame:
     return t.spark.sql(ASKED, nation=t.nation, region=t.region, supplier=t.supplier)
 
 
-@query(
-    "query_symbols",
+QUERY_SYMBOLS = (
     f"WITH asked AS (SELECT DISTINCT * FROM ({ASKED}) a), "
     "exact AS (SELECT a.repo_id, a.query, s.id, s.kind, s.name, s.fqn FROM asked a JOIN {code_symbols} s "
     "ON s.repo_id = a.repo_id AND s.fqn = a.query WHERE contains(a.query, '.')) "
     "SELECT * FROM exact UNION ALL SELECT a.repo_id, a.query, s.id, s.kind, s.name, s.fqn FROM asked a JOIN {code_symbols} s "
     "ON s.repo_id = a.repo_id AND contains(lower(s.name), lower(a.query)) "
-    "WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.repo_id = a.repo_id AND e.query = a.query)",
+    "WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.repo_id = a.repo_id AND e.query = a.query)"
 )
+
+
+@query("query_symbols", QUERY_SYMBOLS)
 def query_symbols(t: Tables) -> DataFrame:
     return lookup.query_symbols(t.stored("code_symbols"), asked(t))
 
 
+@query("query_symbols_indexed", QUERY_SYMBOLS)
+def query_symbols_indexed(t: Tables) -> DataFrame:
+    """The same lookup over a stored index of the names."""
+    symbols = t.stored("code_symbols")
+    return lookup.query_symbols(symbols, asked(t), lookup.index_names(symbols))
+
+
 @query(
     "fqn_ids",
     f"SELECT a.repo_id, a.query, coalesce(min(s.id), 0) AS id FROM (SELECT DISTINCT * FROM ({ASKED}) a) a "

@@ -301,6 +301,48 @@ def test_index_update_equals_rebuild(spark):
     assert sorted(updated.docs.collect()) == sorted(rebuilt.docs.collect())
 
 
+def test_many_updates_of_a_stored_index(spark):
+    """Random edits: words by content as in a rebuild, few segments, a search that reads by word; new words only are stemmed."""
+    rng, fields = random.Random(4), {"title": "title", "content": "content"}
+    words = [f"{w}{s}" for w in ("run", "index", "not", "cat", "sing") for s in ("", "s", "ing", "ed", "er")]
+
+    def text():
+        return " ".join(rng.choices(words, k=rng.randint(0, 12)))
+
+    def frame(rows):
+        return spark.createDataFrame([(i, *r) for i, r in rows.items()], "id string, title string, content string")
+
+    rows = {f"d{i}": (text(), text()) for i in range(40)}
+    index = ti.build_index(frame(rows), "id", fields, stem=True, stored=True)
+    for step in range(4):
+        edits = {f"d{rng.randrange(50)}": (text(), text() + f" brandnew{step}") for _ in range(3)}
+        gone = rng.sample(sorted(rows), 2)
+        index = ti.update_index(index, frame(edits), frame({g: ("", "") for g in gone if g not in edits}), "id", fields)
+        rows = {i: r for i, r in {**rows, **edits}.items() if i not in gone or i in edits}
+        assert len(index.segments) <= 3
+    rebuilt = ti.build_index(frame(rows), "id", fields, stem=True)
+    assert sorted(map(str, index.postings.collect())) == sorted(map(str, rebuilt.postings.collect()))
+    assert sorted(index.docs.collect()) == sorted(rebuilt.docs.collect())
+    known = [tuple(r) for r in index.vocabulary.collect()]
+    assert len(known) == len(set(known)) and dict(known).items() >= {tuple(r) for r in rebuilt.vocabulary.collect()}
+    terms = spark.createDataFrame([(1, 0, ["running"], False), (1, 1, ["ind"], True)], "query_id long, term_no int, words array<string>, is_prefix boolean")
+    weights = {"title": 2.0, "content": 1.0}
+    assert sorted(ti.bm25(index, terms, weights).collect()) == sorted(ti.bm25(rebuilt, terms, weights).collect())
+    wanted = spark.createDataFrame([("runs",)], "token string")
+    assert "PushedFilters: [IsNotNull(token), EqualTo(token,runs)" in index.occurrences(wanted)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("words", "ranges"), [(1000, 200), (3, 200), (3, 2)])
+def test_words_are_pushed_as_literals_or_ranges(spark, monkeypatch, words, ranges):
+    monkeypatch.setattr(ti, "PUSHED_WORDS", words)
+    monkeypatch.setattr(ti, "PUSHED_RANGES", ranges)
+    tokens = ["ab", "abc", "b", "zz", "é", "日本", "a"]
+    df = spark.createDataFrame([(w,) for w in [*tokens, "m", "aa", "zzz"]], "token string")
+    chosen = ti.word_filter(df.where(F.col("token").isin(*tokens)))
+    got = {r.token for r in df.where(chosen).collect()}
+    assert set(tokens) <= got and (words > 3) == (got == set(tokens))
+
+
 def test_stemmed_search_is_search_over_stems(spark):
     """The stemmed search of whole documents, computed a second way: search without stemming over stemmed texts."""
     import re
