@@ -6,7 +6,7 @@ tokens changes that sum by 2 * (N(g - s) - N(g) + 1), where full sequences do
 not count, and a new one by 2 * N(capacity - s) + 1.  Shards of a bounded number
 of pieces are packed side by side, longest first.  The sequences that a shard
 could not fill are then packed again as pieces of their own, in far fewer
-shards, until that saves nothing more.
+shards, a fixed number of times; a few that could still be merged may stay.
 
 Results for odd input: a null or empty text is a document of one token (its end
 id); rows that repeat are packed each; null ids stay null; an empty table gives
