@@ -71,3 +71,39 @@ def stream_index(t: Tables) -> DataFrame:
     base = _folder(t, "graph-store")
     indexing.start(files, base, _folder(t, "graph-checkpoint"), {"html": heading_extractor}, available_now=True).awaitTermination()
     return read_table(t.spark, base, "symbols").select("fqn", "name")
+
+
+def linked_extractor(content: str, path: str, repo_id: int) -> dict:
+    """A page as a class with one function, which calls the functions of another name."""
+    no = int("".join(c for c in path if c.isdigit()))
+    owner, name = path.removesuffix(".js"), f"u{no * 7 % 50}"
+    return {
+        "symbols": [
+            {"kind": "class", "name": owner.split("/")[-1], "fqn": owner},
+            {"kind": "function", "name": name, "fqn": f"{owner}.{name}", "start_byte": 0, "end_byte": len(content), "start_line": 1, "end_line": 1},
+        ],
+        "callsites": [{"callee_text": f"x.u{no % 50}", "start_byte": 1, "end_byte": 2, "confidence": 0.5, "provenance": "page"}],
+    }
+
+
+PAGE_FN = "'site/p' || CAST({x}.page_id AS VARCHAR) || '.u' || CAST({x}.page_id * 7 % 50 AS VARCHAR)"
+
+
+@query(
+    "stream_edges",
+    f"SELECT 'CONTAINS' AS kind, 'site/p' || CAST(a.page_id AS VARCHAR) AS src, {PAGE_FN.replace('{x}', 'a')} AS dst FROM {{pages}} a UNION ALL "
+    f"SELECT 'CALLS', {PAGE_FN.replace('{x}', 'a')}, {PAGE_FN.replace('{x}', 'b')} FROM {{pages}} a JOIN {{pages}} b ON b.page_id * 7 % 50 = a.page_id % 50",
+)
+def stream_edges(t: Tables) -> DataFrame:
+    """Pages that arrive in two parts: the edges between all of them, derived part by part."""
+    arriving = _folder(t, "arriving-pages")
+    t.pages.repartition(2, "page_id").write.parquet(arriving)
+    files = t.spark.readStream.schema(t.pages.schema).option("maxFilesPerTrigger", 1).parquet(arriving).select(
+        F.lit(1).cast("long").alias("repo_id"), F.concat(F.lit("site/p"), "page_id", F.lit(".js")).alias("path"),
+        F.col("page_id").alias("mtime"), F.octet_length("html").cast("long").alias("size"), F.col("html").cast("binary").alias("content"),
+    )
+    base = _folder(t, "graph-store")
+    indexing.start(files, base, _folder(t, "graph-checkpoint"), {"javascript": linked_extractor}, available_now=True).awaitTermination()
+    names = read_table(t.spark, base, "symbols").select("id", "fqn")
+    edges = read_table(t.spark, base, "edges").join(names.toDF("src", "from"), "src").join(names.toDF("dst", "to"), "dst")
+    return edges.select("kind", F.col("from").alias("src"), F.col("to").alias("dst"))
