@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions.paths import module_name
 from loomgraph.functions.text import col
 from loomgraph.operators import brackets
+from loomgraph.schemas import FILE_EXTRACT
 
 COMMENT = r"(?s)<!--.*?-->"
 SCRIPT = r"(?is)<script((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>(.*?)</script\s*>"
@@ -329,3 +331,41 @@ def style_bodies(files: DataFrame) -> DataFrame:
     """Bodies of ``<style>`` elements as CSS files of the page."""
     bodies = F.regexp_extract_all(blank(F.col("content"), COMMENT), F.lit(STYLE), F.lit(2))
     return files.select(*FILE_KEY, F.explode(bodies).alias("content"))
+
+
+# --- files as a whole ------------------------------------------------------------
+
+#: Languages whose files ``markup`` takes apart.
+MARKUP = ("html", "css")
+
+
+def _as_group(rows: DataFrame, group: str) -> Column:
+    """Rows as the items of one FILE_EXTRACT group, in the order of their places."""
+    fields = FILE_EXTRACT[group].dataType.elementType
+    item = F.struct(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    order = F.sort_array(F.collect_list(F.struct("start_byte", "end_byte", item.alias("item"))))
+    return F.transform(order, lambda o: o["item"])
+
+
+def markup(files: DataFrame) -> DataFrame:
+    """HTML and CSS files (repo_id, path, lang, content) as FILE_EXTRACT rows, in built-in functions.
+
+    The functions of a page's inline scripts are a row of their own with the
+    script's language; its calls are among the page's call sites.
+    """
+    own = ["repo_id", "path"]
+    rows = files.where(F.col("lang").isin(*MARKUP)).withColumn("file_id", F.lit(0).cast("long"))
+    html, css = rows.where("lang = 'html'"), rows.where("lang = 'css'")
+    found = html_ids(html).unionByName(inline_functions(html)).unionByName(css_symbols(css))
+    symbols = found.groupBy(*own, "lang").agg(_as_group(found, "symbols").alias("symbols"))
+    calls = html_custom_elements(html).unionByName(inline_calls(html))
+    calls = calls.groupBy(*own).agg(_as_group(calls, "callsites").alias("callsites"))
+    imports = html_imports(html).unionByName(css_imports(css)).groupBy(*own).agg(F.sort_array(F.collect_set("ref_text")).alias("imports"))
+    pages = rows.select(*own, "lang").join(symbols, [*own, "lang"], "left").join(calls, own, "left").join(imports, own, "left")
+    scripts_ = symbols.where(~F.col("lang").isin(*MARKUP))
+    both = pages.unionByName(scripts_, allowMissingColumns=True)
+    return both.select(*[
+        (F.coalesce(f.name, F.array().cast(f.dataType)) if f.name in both.columns and f.name not in (*own, "lang") else F.col(f.name) if f.name in both.columns
+         else F.array().cast(f.dataType) if isinstance(f.dataType, T.ArrayType) else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in FILE_EXTRACT
+    ])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import content_hash
-from loomgraph.plans.markup_queries import heading_extractor
+from loomgraph.plans.markup_queries import PART_IDS, STYLE_NAMES, heading_extractor
 from loomgraph.plans.note_queries import BLANKS, content_key
 from loomgraph.plans.registry import Tables, query
 from loomgraph.session import scratch_root
@@ -107,3 +107,21 @@ def stream_edges(t: Tables) -> DataFrame:
     names = read_table(t.spark, base, "symbols").select("id", "fqn")
     edges = read_table(t.spark, base, "edges").join(names.toDF("src", "from"), "src").join(names.toDF("dst", "to"), "dst")
     return edges.select("kind", F.col("from").alias("src"), F.col("to").alias("dst"))
+
+
+WEB = " UNION ALL ".join((
+    f"SELECT 'html' AS lang, 'id' AS kind, name, 'web/' || lower(p_type) || '/p' || CAST(p_partkey AS VARCHAR) || '#' || name AS fqn FROM ({PART_IDS}) i JOIN {{part}} ON p_partkey = i.file_id",
+    "SELECT 'javascript', 'function', 'show', 'web/' || lower(p_type) || '/p' || CAST(p_partkey AS VARCHAR) || '.show' FROM {part}",
+    f"SELECT 'css', kind, name, 'css/' || lower(c_mktsegment) || '/c' || CAST(n.c_custkey AS VARCHAR) || mark || name FROM ({STYLE_NAMES}) n JOIN {{customer}} c ON c.c_custkey = n.c_custkey",
+))
+
+
+@query("index_web_files", WEB)
+def index_web_files(t: Tables) -> DataFrame:
+    """Pages and style sheets indexed without an extractor: the built-in one."""
+    files = t.markup_files.unionByName(t.style_files).select(
+        "repo_id", "path", F.lit(1).cast("long").alias("mtime"), F.length("content").cast("long").alias("size"), F.encode("content", "UTF-8").alias("content"),
+    )
+    base = _folder(t, "web-store")
+    indexing.index_once(t.spark, base, files, {})
+    return read_table(t.spark, base, "symbols").select("lang", "kind", "name", "fqn")

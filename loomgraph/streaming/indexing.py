@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph import schemas
-from loomgraph.operators import differential
+from loomgraph.operators import differential, extract
 from loomgraph.operators import incremental as inc
 from loomgraph.operators import rules
 from loomgraph.operators.plugin import (
@@ -37,6 +37,16 @@ def _shape(rows: DataFrame, schema: Iterable[T.StructField]) -> DataFrame:
     ])
 
 
+def _extracts(work: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
+    """The files taken apart by the extractors, and by the built-in one where HTML or CSS has none."""
+    found = extract_files(work, extractors)
+    own = [lang for lang in extract.MARKUP if lang not in extractors]
+    langs = {r.lang for r in work.select("lang").distinct().collect()}  # of the handful that paths tell
+    if not langs & set(own):
+        return found
+    return found.unionByName(extract.markup(work.where(F.col("lang").isin(*own))))
+
+
 def _next_edges(before: dict[str, DataFrame], after: dict[str, DataFrame], files: DataFrame) -> DataFrame:
     """The edges after a change of the rows of ``files`` (file_id); see ``differential``."""
     old = before["edges"]
@@ -98,7 +108,7 @@ def index_files(
         files_left = prior.join(stale.select("id"), "id", "left_anti").select(*prior.columns)
         tables = {**tables, "files": files_left, "callsites": callsites, "refs": refs}
     work = seen.where("status <> 'unchanged'")
-    extracts = materialize(extract_files(work, extractors), "extracts")
+    extracts = materialize(_extracts(work, extractors), "extracts")
     touched = work.withColumn("id", inc.file_id()).withColumn("indexed_at", F.current_timestamp())
     known = tables["files"].select(*inc.FILE_KEY, F.col("id").alias("known_id"))
     touched = (
@@ -132,9 +142,7 @@ def index_files(
     refs = materialize(inc.set_null_missing(refs, ["src", "dst"], symbols), "refs")
     edges = _next_edges(stored, {"symbols": symbols, "callsites": callsites, "refs": refs}, moved)
     results = seen.select("repo_id", "path", "status").join(
-        extracts.select(
-            "repo_id", "path", F.size("symbols").alias("n_symbols"), F.size("callsites").alias("n_callsites"),
-        ),
+        extracts.groupBy("repo_id", "path").agg(F.sum(F.size("symbols")).alias("n_symbols"), F.sum(F.size("callsites")).alias("n_callsites")),
         ["repo_id", "path"], "left",
     ).withColumn("error", F.lit(None).cast("string"))
     return (
