@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import edges as edge_ops
-from loomgraph.operators import resolve, rules, spans
+from loomgraph.operators import plugin, resolve, rules, spans
+from loomgraph.operators.edges import as_edges
 from loomgraph.plans.registry import Tables, query
+from loomgraph.session import materialize
 
 KEY = ("kind", "src", "dst")
 
@@ -497,3 +499,70 @@ def edge_cascade(t: Tables) -> DataFrame:
 def set_null_missing(t: Tables) -> DataFrame:
     alive = t.trade_symbols.where("kind <> 'interface'")
     return edge_ops.set_null_missing(t.trade_edges, ["src", "dst"], alive).select(*KEY)
+
+
+# --- user code ------------------------------------------------------------------------
+
+@query(
+    "user_rule",
+    "SELECT 'SIBLING' AS kind, CAST(s_suppkey * 4 + 2 AS BIGINT) AS src, CAST(s_nationkey * 4 + 3 AS BIGINT) AS dst, CAST(0.3 AS DOUBLE) AS confidence, 'user' AS provenance FROM {supplier}",
+)
+def user_rule(t: Tables) -> DataFrame:
+    """A rule that a user registers, run by the build after its own rules."""
+    symbols = t.stored("trade_symbols")
+    homes = t.supplier.select((F.col("s_suppkey") * 4 + 2).cast("long").alias("src"), (F.col("s_nationkey") * 4 + 3).cast("long").alias("dst"))
+
+    def siblings(symbols: DataFrame, callsites: DataFrame, refs: DataFrame) -> DataFrame:
+        methods = symbols.where("kind = 'method'").select("repo_id", F.col("id").alias("src"))
+        return as_edges(methods.join(homes, "src"), "SIBLING", 0.3, "user")
+
+    rules.register_rule("siblings", siblings)
+    try:
+        edges = rules.build_edges(symbols, t.code_callsites.where("false"), t.code_refs.where("false"), attribute=False)
+        return materialize(edges, "user-edges").where("kind = 'SIBLING'").select("kind", "src", "dst", "confidence", "provenance")
+    finally:
+        rules.unregister_rule("siblings")
+
+
+@query(
+    "user_resolver",
+    "SELECT o_orderkey AS id, CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= 1000 THEN CAST(l.least AS BIGINT) END AS resolved FROM {orders} "
+    "LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS least FROM {lineitem} GROUP BY 1) l ON l_orderkey = o_orderkey",
+)
+def user_resolver(t: Tables) -> DataFrame:
+    """Call sites that a user's resolver answers with places, a work list at a time: orders as calls, suppliers as symbols of their nation's file."""
+    repo = F.lit(1).cast("long").alias("repo_id")
+    path = F.concat(F.lit("n"), "n_nationkey", F.lit(".go")).alias("path")
+    files = t.nation.select(F.col("n_nationkey").cast("long").alias("id"), repo, path)
+    line = (F.col("s_suppkey") * 10 + 1).cast("int")
+    symbols = t.supplier.select(
+        F.col("s_suppkey").cast("long").alias("id"), repo, F.col("s_nationkey").cast("long").alias("file_id"),
+        F.col("s_name").alias("name"), line.alias("start_line"), (line + 5).cast("int").alias("end_line"),
+    )
+    calls = t.orders.select(
+        F.col("o_orderkey").cast("long").alias("id"), repo, F.col("o_custkey").cast("long").alias("caller"),
+        F.lit("x.unknown").alias("callee_text"), F.lit(None).cast("long").alias("resolved"),
+    )
+    sold = t.lineitem.groupBy(F.col("l_orderkey").cast("long").alias("callsite_id")).agg(F.min("l_suppkey").alias("s_suppkey"))
+    places = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", path, (line + 2).cast("int").alias("line"))
+
+    def resolver(work: DataFrame) -> DataFrame:
+        asked = sold.join(work.select(F.col("id").alias("callsite_id")), "callsite_id", "left_semi")
+        return asked.join(places, "s_suppkey").select("callsite_id", "path", "line")
+
+    after, _ = resolve.run_resolver(resolver, calls, symbols, files, "server")
+    return after.select("id", "resolved")
+
+
+@query("row_callback", "SELECT count(*) AS called, CAST(sum(event_id) AS BIGINT) AS total FROM {events}")
+def row_callback(t: Tables) -> DataFrame:
+    """A user's callback for every row, inside the tasks that hold the rows."""
+    context = t.spark.sparkContext
+    called, total = context.accumulator(0), context.accumulator(0)
+
+    def callback(row) -> None:
+        called.add(1)
+        total.add(row.event_id)
+
+    plugin.for_each_row(t.events.select("event_id"), callback)
+    return t.spark.createDataFrame([(called.value, total.value)], "called long, total long")

@@ -335,6 +335,20 @@ def test_incremental_index_equals_full_rebuild(spark, tmp_path):
     assert [r.parse_error for r in bad.where("path = 'b/bad.go'").collect()] == ["ValueError: broken file"]
 
 
+def test_web_files_need_no_extractor(spark, tmp_path):
+    root, base = str(tmp_path / "src"), str(tmp_path / "kg")
+    write(root, "w/a.html", '<p id="top">x</p><my-box></my-box><script>function go(a) { step(a) } function step(b) { }</script>')
+    write(root, "w/a.css", ".btn { --x: 1 }")
+    done = indexing.index_once(spark, base, fs.scan_files(spark, root), {}).first()
+    assert (done.indexed, done.symbols, done.callsites, done.errors) == (2, 5, 2, 0)
+    symbols = tables.read_table(spark, base, "symbols").collect()
+    assert {(r.lang, r.kind, r.fqn) for r in symbols} == {
+        ("html", "id", "w/a#top"), ("javascript", "function", "w/a.go"), ("javascript", "function", "w/a.step"), ("css", "class", "w/a.btn"), ("css", "variable", "w/a--x"),
+    }
+    assert all(r.start_byte < r.end_byte for r in symbols)
+    assert ("CALLS", "w/a.go", "w/a.step") in graph_of(spark, base)[0]
+
+
 def test_row_callback(spark):
     total = spark.sparkContext.accumulator(0)
     plugin.for_each_row(spark.range(10), lambda row: total.add(row.id))
