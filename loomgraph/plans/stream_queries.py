@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import content_hash
@@ -57,6 +57,44 @@ def stream_notes(t: Tables) -> DataFrame:
     )
 
 
+MIXED = (
+    "WITH r AS (SELECT s_suppkey AS k, 'Supplier note number ' || CAST(s_suppkey AS VARCHAR) AS title, 'What there is to know about supplier number ' || CAST(s_suppkey AS VARCHAR) || ' and its nation' AS content FROM {supplier}) "
+    "SELECT 's' || CAST(k AS VARCHAR) AS id, CASE WHEN k % 3 = 0 THEN 'Renamed supplier note ' || CAST(k AS VARCHAR) ELSE title END AS title, "
+    "CASE WHEN k % 3 = 1 THEN content || ', now changed' ELSE content END AS content FROM r"
+)
+
+
+@query("stream_note_updates", MIXED)
+def stream_note_updates(t: Tables) -> DataFrame:
+    """Stores and updates in one stream: a third of the notes is renamed, a third rewritten; the rest aims at a title that is taken, or at no note."""
+    schema = t.supplier.schema
+    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "supplier.parquet").parquet(t.sf_dir)
+    k = F.col("s_suppkey")
+    title = F.concat(F.lit("Supplier note number "), k)
+    content = F.concat(F.lit("What there is to know about supplier number "), k, F.lit(" and its nation"))
+    at = F.timestamp_seconds(k.cast("long") * 10)
+    none, no_tags = F.lit(None).cast("string"), F.array().cast("array<string>")
+
+    def request(op: str, when, note, title, content) -> Column:
+        return F.struct(
+            F.lit(op).alias("op"), F.concat(F.lit(op), k).alias("req_id"), when.alias("ts"), note.alias("id"), title.alias("title"), content.alias("content"),
+            no_tags.alias("tags"), F.lit(False).alias("tags_provided"), (F.lit("global") if op == "store" else none).alias("scope"),
+        )
+
+    both = F.array(
+        request("store", at, none, title, content),
+        request(
+            "update", at + F.expr("INTERVAL 1 SECOND"), F.when((k % 3 == 2) & (k % 2 == 0), F.lit("gone")).otherwise(F.concat(F.lit("store"), k)),
+            F.when(k % 3 == 0, F.concat(F.lit("Renamed supplier note "), k)).when(k % 3 == 2, F.concat(F.lit("Supplier note number "), k - 1)),
+            F.when(k % 3 == 1, F.concat(content, F.lit(", now changed"))),
+        ),
+    )
+    requests = rows.select(F.explode(both).alias("r")).select("r.*")
+    base = _folder(t, "mixed-notes")
+    notes.start(requests, base, _folder(t, "mixed-checkpoint"), available_now=True).awaitTermination()
+    return notes.current_notes(t.spark, base).select(F.replace("id", F.lit("store"), F.lit("s")).alias("id"), "title", "content")
+
+
 @query(
     "stream_index",
     "SELECT 'site/p' || CAST(page_id AS VARCHAR) || '.html#' || CAST(i - 1 AS VARCHAR) AS fqn, names[i] AS name FROM "
