@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import names, paths, text
 from loomgraph.operators import incremental as inc
-from loomgraph.operators import lookup
+from loomgraph.operators import lookup, typerefs
 from loomgraph.operators import search as search_ops
 from loomgraph.plans.registry import Tables, query
-from loomgraph.session import scratch_root
+from loomgraph.session import materialize, scratch_root
 from loomgraph.sources import files as file_ops
 
 # --- change detection ---------------------------------------------------------------
@@ -394,6 +394,49 @@ def type_resolution(t: Tables) -> DataFrame:
     return names.resolve_types(kept).select("p_partkey", "resolved")
 
 
+# Line items as type mentions in a supplier's file; even parts are imported there.
+JAVA_MENTIONS = (
+    "SELECT CAST(1 AS BIGINT) AS repo_id, CAST(l_suppkey AS BIGINT) AS file_id, 'own.C' || CAST(l_suppkey AS VARCHAR(20)) AS src_fqn, 'own' AS package, CAST(l_partkey AS BIGINT) AS part, "
+    "CASE l_linenumber % 5 WHEN 0 THEN 'String' WHEN 1 THEN 'P' || CAST(l_partkey AS VARCHAR(20)) || '<Map<String, Long>>' WHEN 2 THEN ' P' || CAST(l_partkey AS VARCHAR(20)) || '[]' "
+    "WHEN 3 THEN 'C' || CAST(l_suppkey AS VARCHAR(20)) ELSE 'P' || CAST(l_partkey AS VARCHAR(20)) END AS type_text FROM {lineitem}"
+)
+GO_MENTIONS = (
+    "SELECT CAST(1 AS BIGINT) AS repo_id, CAST(l_suppkey AS BIGINT) AS file_id, 'm/own.C' || CAST(l_suppkey AS VARCHAR(20)) AS src_fqn, 'm/own' AS package, CAST(l_partkey AS BIGINT) AS part, "
+    "CASE l_linenumber % 4 WHEN 0 THEN 'map[string]*q' || CAST(l_partkey % 9 AS VARCHAR(20)) || '.T' WHEN 1 THEN '[8]lib' || CAST(l_partkey % 9 AS VARCHAR(20)) || '.T' "
+    "WHEN 2 THEN 'chan<- []C' || CAST(l_suppkey + l_partkey % 2 AS VARCHAR(20)) ELSE 'Box[int, none.T]' END AS type_text FROM {lineitem}"
+)
+GO_IMPORTS = "SELECT DISTINCT repo_id, file_id, part % 9 AS pos, CASE WHEN part % 2 = 0 THEN 'q' || CAST(part % 9 AS VARCHAR(20)) END AS alias, 'm/x/lib' || CAST(part % 9 AS VARCHAR(20)) AS path FROM ({mentions}) i WHERE part % 9 < 6"
+
+
+@query(
+    "java_type_refs",
+    f"WITH m AS ({JAVA_MENTIONS}), n AS (SELECT file_id, src_fqn, part, CASE WHEN strpos(type_text, '<') > 0 THEN split_part(type_text, '<', 1) ELSE type_text END AS name FROM m WHERE type_text <> 'String' AND NOT ends_with(type_text, '[]')), "
+    "i AS (SELECT DISTINCT file_id, 'P' || CAST(part AS VARCHAR) AS name, 'lib.n' || CAST(part % 7 AS VARCHAR) || '.P' || CAST(part AS VARCHAR) AS cls FROM m WHERE part % 2 = 0) "
+    "SELECT DISTINCT n.file_id, n.src_fqn, coalesce(i.cls, 'own.' || n.name) AS ref_text FROM n LEFT JOIN i ON i.file_id = n.file_id AND i.name = n.name WHERE coalesce(i.cls, 'own.' || n.name) <> n.src_fqn",
+)
+def java_type_refs(t: Tables) -> DataFrame:
+    """From mentions and import statements to refs: the import map of each file joined."""
+    mentions = materialize(t.spark.sql(JAVA_MENTIONS, lineitem=t.lineitem), "java-mentions")
+    statement = F.concat(F.lit("import lib.n"), F.col("part") % 7, F.lit(".P"), "part", F.lit(";"))
+    imports = mentions.where("part % 2 = 0").select("repo_id", "file_id", F.col("part").alias("pos"), statement.alias("text")).distinct()
+    return typerefs.java_type_refs(mentions, imports).select("file_id", "src_fqn", "ref_text")
+
+
+@query(
+    "go_type_refs",
+    f"WITH m AS ({GO_MENTIONS}), i AS ({GO_IMPORTS.replace('{mentions}', 'SELECT * FROM m')}), a AS (SELECT file_id, coalesce(alias, split_part(path, '/', -1)) AS alias, path FROM i), "
+    "s AS (SELECT file_id, src_fqn, regexp_extract(type_text, '((q|lib)[0-9]+)[.]T$', 1) AS alias FROM m WHERE regexp_matches(type_text, '(q|lib)[0-9]+[.]T$')) "
+    "SELECT DISTINCT s.file_id, s.src_fqn, a.path || '.T' AS ref_text FROM s JOIN a ON a.file_id = s.file_id AND a.alias = s.alias UNION "
+    "SELECT file_id, src_fqn, 'm/own.' || regexp_extract(type_text, '(C[0-9]+)$', 1) FROM m WHERE starts_with(type_text, 'chan') AND 'm/own.' || regexp_extract(type_text, '(C[0-9]+)$', 1) <> src_fqn UNION "
+    "SELECT file_id, src_fqn, 'm/own.Box' FROM m WHERE starts_with(type_text, 'Box')",
+)
+def go_type_refs(t: Tables) -> DataFrame:
+    """From type expressions and imports to refs: the alias map of each file joined."""
+    mentions = materialize(t.spark.sql(GO_MENTIONS, lineitem=t.lineitem), "go-mentions")
+    imports = t.spark.sql(GO_IMPORTS.replace("({mentions})", "{mentions}"), mentions=mentions)
+    return typerefs.go_type_refs(mentions, imports).select("file_id", "src_fqn", "ref_text")
+
+
 @query(
     "noise_names",
     "SELECT id, lang, word, lang = 'go' AND word = 'error' OR lang IN ('java', 'javascript', 'typescript') AND word = 'Error' OR lang = 'javascript' AND word = 'Map' "

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import edges as edge_ops
-from loomgraph.operators import rules, skew, spans
+from loomgraph.operators import rules, skew, spans, typerefs
 
 SYMBOL = "id long, repo_id long, file_id long, lang string, kind string, name string, fqn string"
 REF = "repo_id long, file_id long, src long, dst long, ref_text string, provenance string"
@@ -237,3 +237,26 @@ def test_build_is_idempotent_and_takes_user_rules(spark):
     got = pairs(built)
     assert ("CALLS", 3, 7) in got and ("TESTS", 3, 2) in got and len(got) == 10
     assert pairs(again) == got and again.count() == len(got)
+
+
+def test_types_resolve_through_the_imports_of_their_file(spark):
+    mention = "repo_id long, file_id long, src_fqn string, type_text string, package string"
+    java = spark.createDataFrame(
+        [(1, 1, "p.A", "List<B>", "p"), (1, 1, "p.A", "B", "p"), (1, 2, "p.A", "B", "p"), (1, 1, "p.A", "A", "p"), (1, 1, "p.A", "String", "p"), (1, 1, "p.A", "B[]", "p"), (1, 3, "X", "Y", None), (1, 1, "p.A", None, "p")],
+        mention,
+    )
+    statements = spark.createDataFrame(
+        [(1, 1, 1, "import q.B;"), (1, 1, 2, "import r.B;"), (1, 2, 1, "import static q.B;"), (1, 2, 2, "import q.*;"), (1, 1, 3, None)],
+        "repo_id long, file_id long, pos long, text string",
+    )
+    got = {(r.file_id, r.src_fqn, r.ref_text) for r in typerefs.java_type_refs(java, statements).collect()}
+    assert got == {(1, "p.A", "p.List"), (1, "p.A", "r.B"), (2, "p.A", "p.B"), (3, "X", "Y")}
+    go = spark.createDataFrame(
+        [(1, 1, "m.F", x, "m") for x in ("*sql.DB", "map[Key]log.Entry", "[N]T", "Pair[A, x.B]", "chan<- error", "dot.T", "F", None, "unknown.T", "func(a.B) string")], mention
+    )
+    aliases = spark.createDataFrame(
+        [(1, 1, 1, None, "database/sql"), (1, 1, 2, "log", "x/zap"), (1, 1, 3, ".", "x/dot"), (1, 1, 4, "_", "x/un"), (1, 1, 5, "x", "y/old"), (1, 1, 6, "x", "y/new"), (1, 2, 1, "a", "z/a")],
+        "repo_id long, file_id long, pos long, alias string, path string",
+    )
+    got = {r.ref_text for r in typerefs.go_type_refs(go, aliases).collect()}
+    assert got == {"database/sql.DB", "m.Key", "x/zap.Entry", "m.T", "m.Pair", "m.A", "y/new.B"}
