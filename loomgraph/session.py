@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,5 +57,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for written in getattr(_scopes, "open", [])[-1:]:
+        written.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: The tables written by ``materialize`` in each open ``scratch_scope`` of this thread.
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``materialize`` writes inside, in this thread, when the block ends.
+
+    For operations whose results are stored elsewhere by then, such as a
+    micro-batch; frames read from such a table can't be used after the block.
+    """
+    stack = _scopes.open = [*getattr(_scopes, "open", []), []]
+    try:
+        yield
+    finally:
+        _scopes.open = stack[:-1]
+        for path in stack[-1]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

@@ -21,7 +21,7 @@ from loomgraph.operators.plugin import (
     extracted_symbols,
 )
 from loomgraph.operators.spans import attribute_callers
-from loomgraph.session import materialize
+from loomgraph.session import materialize, scratch_scope
 from loomgraph.sources.files import scan_sources, sha256_hex, with_lang
 from loomgraph.sources.tables import create_tables, read_tables, write_tables
 
@@ -163,20 +163,21 @@ def index_once(
     Only the partitions of the repositories in ``files`` are replaced; up to
     PRUNED_REPOS of them are also the only ones that are listed and read.
     """
-    create_tables(spark, base)
-    repos = materialize(files.select("repo_id").distinct(), "repos")
-    ids = [r.repo_id for r in repos.limit(PRUNED_REPOS + 1).collect()]
-    if len(ids) <= PRUNED_REPOS:
-        tables = read_tables(spark, base, ids)
-    else:
-        tables = {
-            name: table.join(repos, "repo_id", "left_semi").select(*table.columns)
-            for name, table in read_tables(spark, base).items()
-        }
-    after, summary = index_files(tables, files, extractors, complete=complete, full=full)
-    summary = materialize(summary, "summary")
-    write_tables(after, repos, base)
-    return summary
+    with scratch_scope(spark):
+        create_tables(spark, base)
+        repos = materialize(files.select("repo_id").distinct(), "repos")
+        ids = [r.repo_id for r in repos.limit(PRUNED_REPOS + 1).collect()]
+        if len(ids) <= PRUNED_REPOS:
+            tables = read_tables(spark, base, ids)
+        else:
+            tables = {
+                name: table.join(repos, "repo_id", "left_semi").select(*table.columns)
+                for name, table in read_tables(spark, base).items()
+            }
+        after, summary = index_files(tables, files, extractors, complete=complete, full=full)
+        counts = summary.collect()  # one row
+        write_tables(after, repos, base)
+    return spark.createDataFrame(counts, summary.schema)
 
 
 def start(
@@ -186,7 +187,8 @@ def start(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            index_once(batch.sparkSession, base, materialize(batch, "arrivals"), extractors, complete=False)
+            with scratch_scope(batch.sparkSession):
+                index_once(batch.sparkSession, base, materialize(batch, "arrivals"), extractors, complete=False)
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -210,7 +212,8 @@ def watch(
             return
         create_tables(spark, base)
         known = read_tables(spark, base, [repo_id])["files"]
-        index_once(spark, base, scan_sources(spark, root, repo_id, ignore_lines, langs, known), extractors, complete=True)
+        with scratch_scope(spark):
+            index_once(spark, base, scan_sources(spark, root, repo_id, ignore_lines, langs, known), extractors, complete=True)
         done += 1
         if ticks is not None and done >= ticks:
             query.stop()

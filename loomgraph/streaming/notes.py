@@ -13,7 +13,7 @@ from loomgraph import schemas
 from loomgraph.functions.text import content_hash, normalize_scope, normalize_title
 from loomgraph.operators.knowledge import COLUMNS, as_notes, store_batch, update_batch
 from loomgraph.operators.textindex import word_filter
-from loomgraph.session import materialize
+from loomgraph.session import materialize, scratch_scope
 
 #: Requests of both kinds in one stream; ``op`` is store or update.
 REQUEST = T.StructType([T.StructField("op", T.StringType()), *schemas.UPDATE_REQUEST.fields])
@@ -101,7 +101,7 @@ def apply_requests(base: str) -> Callable[[DataFrame, int], None]:
     those that hold a key it claims; the rest of the store is not read.
     """
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         requests = materialize(batch, "requests")
         stores = requests.where("op = 'store'").select(*schemas.STORE_REQUEST.names)
@@ -127,6 +127,10 @@ def apply_requests(base: str) -> Callable[[DataFrame, int], None]:
         for rows, name in ((outcome, "outcomes"), (by_id, "notes"), (by_key, "keys")):
             rows.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            apply(batch, batch_id)
+
     return run
 
 

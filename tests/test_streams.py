@@ -1,8 +1,10 @@
 """The request loop over a note table."""
 
+import os
 from datetime import timedelta
 
 from loomgraph.operators import knowledge as kn
+from loomgraph.session import scratch_root
 from loomgraph.streaming import notes
 from tests.test_notes import LONG, T0, empty, store_rows
 
@@ -33,7 +35,8 @@ def test_stream_equals_batch_and_repeats_safely(spark, tmp_path):
     assert codes == {r.req_id: (r.code, r.field) for r in outcome.collect()} | {
         "u1": ("OK", None), "u2": ("DUPLICATE_KNOWLEDGE", "title"), "u3": ("NOT_FOUND", None),
     }
-    # A repeated batch replaces its first attempt.
+    # A repeated batch replaces its first attempt, and leaves no scratch tables.
+    before = set(os.listdir(scratch_root(spark).removeprefix("file:")))
     notes.apply_requests(base)(shaped.where("req_id < 'r010'").selectExpr(*notes.REQUEST.names), 0)
     assert {r.id: r.title for r in notes.current_notes(spark, base).collect()} == want
 
