@@ -21,9 +21,10 @@ def _folder(t: Tables, name: str) -> str:
 
 
 def _table_stream(t: Tables, name: str) -> DataFrame:
-    """A driver table read as a stream of its files."""
+    """A driver table, one file or a folder of part files, read as a stream of its files."""
     schema = t.spark.read.parquet(f"{t.sf_dir}/{name}.parquet").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+    # A stream takes a plain path only for a folder; a pattern may match a file as well.
+    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{name}[.]parquet")
 
 
 TURN = f"strlen(trim(text, {BLANKS})) BETWEEN 50 AND 5000"
@@ -67,8 +68,7 @@ MIXED = (
 @query("stream_note_updates", MIXED)
 def stream_note_updates(t: Tables) -> DataFrame:
     """Stores and updates in one stream: a third of the notes is renamed, a third rewritten; the rest aims at a title that is taken, or at no note."""
-    schema = t.supplier.schema
-    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "supplier.parquet").parquet(t.sf_dir)
+    rows = _table_stream(t, "supplier")
     k = F.col("s_suppkey")
     title = F.concat(F.lit("Supplier note number "), k)
     content = F.concat(F.lit("What there is to know about supplier number "), k, F.lit(" and its nation"))

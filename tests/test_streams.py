@@ -4,6 +4,8 @@ import os
 from datetime import timedelta
 
 from loomgraph.operators import knowledge as kn
+from loomgraph.plans.registry import Tables
+from loomgraph.plans.stream_queries import _table_stream
 from loomgraph.session import scratch_root
 from loomgraph.streaming import notes
 from tests.test_notes import LONG, T0, empty, store_rows
@@ -74,3 +76,14 @@ def test_a_batch_reads_the_holders_of_its_keys(spark, tmp_path):
     got = {r.req_id: (r.code, r.field) for r in notes.read_outcomes(spark, base).where("batch = 1").collect()}
     assert got == want
     assert sorted((r.id, r.title, r.content, r.scope) for r in notes.current_notes(spark, base).collect()) == table
+
+
+def test_a_table_stream_reads_a_file_and_a_folder_of_part_files(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id AS page_id", "concat('<h1>', id, '</h1>') AS html")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "pages.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "pages.parquet")
+    for folder in (tmp_path, tmp_path / "folder"):
+        seen = []
+        stream = _table_stream(Tables(spark, str(folder)), "pages").writeStream.foreachBatch(lambda b, _: seen.extend(r.page_id for r in b.collect()))  # noqa: B023
+        stream.option("checkpointLocation", str(tmp_path / f"{folder.name}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(seen) == list(range(10))
