@@ -85,9 +85,9 @@ def note_fields() -> dict[str, Column | str]:
     return {"title": "title", "content": "content", "tags": F.array_join("tags", " ")}
 
 
-def index_notes(knowledge: DataFrame, stem: bool = True, stored: bool = False) -> TextIndex:
+def index_notes(knowledge: DataFrame, stem: bool = True, stored: bool = False, once: bool = False) -> TextIndex:
     """Text index over title, content and tags of the notes."""
-    return build_index(knowledge, "id", note_fields(), stem, stored)
+    return build_index(knowledge, "id", note_fields(), stem, stored, once)
 
 
 def recent_notes(knowledge: DataFrame, queries: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def search(knowledge: DataFrame, queries: DataFrame, index: TextIndex | None = N
     give no rows; ``search_errors`` says why.  A query without words, or one
     the full-text syntax rejects, lists the newest notes instead.
     """
-    index = index or index_notes(knowledge, stored=True)
+    index = index or index_notes(knowledge, once=True)
     asked = materialize(
         queries.where(F.size(search_errors()) == 0)
         .withColumn("limit", clamp("limit", 1, MAX_LIMIT, DEFAULT_LIMIT))

@@ -23,6 +23,11 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def is_broadcast(df: DataFrame) -> bool:
+    """Whether the planner sends the frame whole to the tasks that join it, so that no key of the other side is dealt out."""
+    return planned_bytes(df) <= int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
 def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """The heaviest keys of ``df``: (on..., __hot), at most HOT_KEYS rows."""
     return (

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from loomgraph.functions import porter
 from loomgraph.functions.text import col
-from loomgraph.operators.skew import salted_join
+from loomgraph.operators.skew import is_broadcast, salted_join
 from loomgraph.session import materialize
 
 # Published BM25 defaults.
@@ -40,9 +40,12 @@ ACCENTED, PLAIN = _accent_table()
 
 def tokens(c: Column | str) -> Column:
     """Lower-case words without accents: runs of letters, digits and private-use characters."""
-    folded = F.translate(F.lower(col(c)), ACCENTED, PLAIN)
-    bare = F.regexp_replace(folded, r"\p{Mn}", "")
-    return F.regexp_extract_all(F.coalesce(bare, F.lit("")), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+    bare = F.regexp_replace(F.translate(low, ACCENTED, PLAIN), r"\p{Mn}", "")
+    every = F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+    # one byte per character: nothing to fold, and only these letters
+    plain = F.octet_length(low) == F.length(low)
+    return F.when(plain, F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))).otherwise(every)
 
 
 @F.pandas_udf(T.StringType())
@@ -53,7 +56,7 @@ def stem_word(words: pd.Series) -> pd.Series:
 
 #: Asked words, or ranges of them, that are handed to the scan as literals; the join selects in any case.
 PUSHED_WORDS = 1000
-PUSHED_RANGES = 200
+PUSHED_RANGES = 32
 #: A segment is merged with the one before it if that is not this many times larger.
 TIER = 4
 
@@ -143,10 +146,17 @@ def word_filter(wanted: DataFrame, column: str = "token") -> Column:
     if len(ranges) > PUSHED_WORDS:  # more first letters than that
         ranges = [tuple(wanted.agg(F.min("token"), F.max("token")).first())]
     together = -(-len(ranges) // PUSHED_RANGES)
-    parts = [F.col(column).between(ranges[i][0], ranges[min(i + together, len(ranges)) - 1][1]) for i in range(0, len(ranges), together)]
-    while len(parts) > 1:  # a balanced tree, which plans walk down without deep recursion
-        parts = [reduce(Column.__or__, parts[i : i + 2]) for i in range(0, len(parts), 2)]
-    return parts[0]
+    hulls = [(ranges[i][0], ranges[min(i + together, len(ranges)) - 1][1]) for i in range(0, len(ranges), together)]
+    return _within(F.col(column), hulls)
+
+
+def _within(word: Column, ranges: list[tuple[str, str]]) -> Column:
+    """Whether a word is in one of the sorted ranges, as a balanced tree: a word outside of what a branch spans skips the branch."""
+    span = word.between(ranges[0][0], ranges[-1][1])
+    if len(ranges) == 1:
+        return span
+    half = len(ranges) // 2
+    return span & (_within(word, ranges[:half]) | _within(word, ranges[half:]))
 
 
 def _stored(postings: DataFrame, docs: DataFrame, words: DataFrame, gone: DataFrame | None = None) -> Segment:
@@ -176,10 +186,19 @@ def _segment(rows: DataFrame, doc_id: str, fields: Mapping[str, Column | str], s
     return Segment(postings, texts.select("doc_id", "n_tokens"), fresh.withColumn("stem", stem_word("token") if stem else F.col("token")))
 
 
-def build_index(rows: DataFrame, doc_id: str, fields: Mapping[str, Column | str], stem: bool = False, stored: bool = False) -> TextIndex:
-    """Index of the given text columns; ``fields`` maps field names to columns."""
-    part = _segment(rows, doc_id, fields, stem, stored=stored)
-    if stored:
+def build_index(
+    rows: DataFrame, doc_id: str, fields: Mapping[str, Column | str], stem: bool = False, stored: bool = False, once: bool = False,
+) -> TextIndex:
+    """Index of the given text columns; ``fields`` maps field names to columns.
+
+    A ``stored`` one is sorted by word, for many searches.  One for a single batch
+    of searches (``once``) keeps the words of each text and the dictionary as
+    tables, and reads the texts' words in their order.
+    """
+    part = _segment(rows, doc_id, fields, stem, stored=stored or once)
+    if once:
+        part = replace(part, words=materialize(part.words, "dictionary"))
+    elif stored:
         # the words come from the sorted table, not from the texts again
         bare = _stored(part.postings, part.docs, part.words.where("false"))
         words = bare.postings.select("token").distinct().withColumn("stem", stem_word("token") if stem else F.col("token"))
@@ -247,7 +266,11 @@ def match_terms(index: TextIndex, terms: DataFrame, weights: Mapping[str, float]
     weight = F.lit(0.0)
     for name, value in weights.items():
         weight = F.when(F.col("field") == name, float(value)).otherwise(weight)
-    hits = salted_join(index.occurrences(wanted), wanted, ["token"], spread_by=["doc_id"])
+    occurrences = index.occurrences(wanted)
+    if is_broadcast(wanted):
+        hits = occurrences.join(wanted, "token")
+    else:
+        hits = salted_join(occurrences, wanted, ["token"], spread_by=["doc_id"])
     begin = F.when(F.col("n_parts") > 1, F.col("pos") - F.col("off"))
     counted = hits.groupBy("query_id", "term_no", "n_parts", "doc_id", "n_tokens", "field", begin.alias("begin")).agg(
         F.count(F.lit(1)).alias("n")

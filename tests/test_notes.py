@@ -368,3 +368,26 @@ def test_stemmed_search_is_search_over_stems(spark):
     want = found(plain, [(q, " ".join(porter.stem(w) for w in text.split()), tags, s, n) for q, text, tags, s, n in asked], False)
     got = found(rows, asked, True)
     assert [r[:3] for r in got] == [r[:3] for r in want] and want
+
+
+def test_one_batch_of_searches_sorts_no_postings(spark, monkeypatch):
+    """A search without an index gives what a stored one gives, and stores the words of texts only."""
+    notes, asked = library(spark), requests(spark, (1, "retri", [], "", 5), (2, "con pool", ["db"], "", 5))
+    want = se.search(notes, asked, se.index_notes(notes, stored=True)).collect()
+    written = []
+    monkeypatch.setattr(ti, "materialize", lambda df, name, keep=ti.materialize: written.append(name) or keep(df, name))
+    assert sorted(se.search(notes, asked).collect()) == sorted(want)
+    assert "index-texts" in written and "postings" not in written
+
+
+def test_tokens_of_plain_and_other_texts(spark):
+    rows = spark.createDataFrame([("Plain OLD-text 42_x",), ("\u00c9t\u00e9 e\u0301 \u00df9-\ue000",), ("",), (None,)], "x string")
+    got = [r.t for r in rows.select(ti.tokens("x").alias("t")).collect()]
+    assert got == [["plain", "old", "text", "42", "x"], ["ete", "e", "\u00df9", "\ue000"], [], []]
+
+
+def test_a_word_skips_the_branches_of_ranges_around_it(spark):
+    ranges = [(f"{c}b", f"{c}d") for c in "acegikmoqsuwy"]
+    words = spark.createDataFrame([(f"{c}{d}",) for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcde"], "w string")
+    got = {r.w for r in words.where(ti._within(F.col("w"), ranges)).collect()}
+    assert got == {r.w for r in words.collect() if any(low <= r.w <= high for low, high in ranges)}
