@@ -260,3 +260,16 @@ def test_types_resolve_through_the_imports_of_their_file(spark):
     )
     got = {r.ref_text for r in typerefs.go_type_refs(go, aliases).collect()}
     assert got == {"database/sql.DB", "m.Key", "x/zap.Entry", "m.T", "m.Pair", "m.A", "y/new.B"}
+
+
+def test_calls_are_computed_once_and_only_where_callees_are(spark, monkeypatch):
+    symbols = spark.createDataFrame(
+        [(1, 1, "go", "function", "a"), (2, 1, "go", "function", "b"), (2, 1, "go", "function", "b"), (3, 2, "java", "method", "b"), (4, 2, "java", "class", "K")],
+        "id long, repo_id long, lang string, kind string, name string",
+    )
+    calls = spark.createDataFrame([(1, 1, "x.b"), (1, 1, "y.b"), (2, 4, "x.b"), (3, 9, "x.b")], "repo_id long, caller long, callee_text string")
+    stored = []
+    monkeypatch.setattr(rules, "materialize", lambda df, name, keep=rules.materialize: stored.append(keep(df, name)) or stored[-1])
+    assert [(r.src, r.dst) for r in rules.call_edges(symbols, calls, ["go"]).collect()] == [(1, 2)]
+    assert [tuple(r) for r in stored[0].select("repo_id", "src", "name").collect()] == [(1, 1, "b")]
+    assert rules.call_edges(symbols, calls, ["typescript"]).count() == 0
