@@ -114,11 +114,17 @@ def hash_owner(fqn: Column | str) -> Column:
 
 
 def strip_generics(c: Column | str) -> Column:
-    """Type text without ``<...>``; array brackets at the end are kept."""
+    """Type text without ``<...>``; array brackets at the end are kept.
+
+    A plain name is its own result; without a bracket the patterns are spared.
+    """
     text = trim_space(c)
     arrays = F.regexp_replace(F.regexp_extract(text, r"((?:\s*\[\])*)$", 1), r"\s", "")
     base = F.regexp_replace(text, r"(?:\s*\[\])*$", "")
-    return F.concat(trim_space(F.substring_index(base, "<", 1)), arrays)
+    bare = trim_space(F.substring_index(text, "<", 1))
+    whole = F.concat(trim_space(F.substring_index(base, "<", 1)), arrays)
+    plain = col(c).rlike(r"\A[A-Za-z0-9_$.]*\z")
+    return F.when(plain, col(c)).when(F.contains(text, F.lit("[")), whole).otherwise(bare)
 
 
 def split_top_level(c: Column | str) -> Column:

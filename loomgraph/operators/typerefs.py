@@ -22,13 +22,14 @@ GO_NAME = r"[\p{L}_][\p{L}\p{N}_]*"
 
 def class_imports(imports: DataFrame) -> DataFrame:
     """(repo_id, file_id, type_name, imported) of Java import statements (repo_id, file_id, pos, text); the last one of a name counts."""
-    found = imports.withColumn("imported", import_class("text")).where("imported IS NOT NULL")
+    # exploded, so that the patterns run once a row and not in every later use
+    found = imports.select(*FILE, "pos", F.explode(F.array(import_class("text"))).alias("imported")).where("imported IS NOT NULL")
     return found.groupBy(*FILE, simple_name("imported").alias("type_name")).agg(F.max_by("imported", "pos").alias("imported"))
 
 
 def java_type_refs(mentions: DataFrame, imports: DataFrame) -> DataFrame:
     """Java types: the imported class, else the name in the own package, else the bare name; built-in names and self-references are dropped."""
-    named = mentions.withColumn("type_name", strip_generics("type_text")).where(is_identifier("type_name"))
+    named = mentions.select(*FILE, "src_fqn", "package", F.explode(F.array(strip_generics("type_text"))).alias("type_name")).where(is_identifier("type_name"))
     named = named.where(~is_noise(F.lit("java"), "type_name", SKIPPED_TYPES)).select(*FILE, "src_fqn", "package", "type_name").distinct()
     known = salted_join(named, class_imports(imports), [*FILE, "type_name"], "left")
     return resolve_types(known).select(*FILE, "src_fqn", F.col("resolved").alias("ref_text")).distinct()

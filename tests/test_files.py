@@ -396,3 +396,11 @@ def test_watch_follows_a_folder(spark, tmp_path):
     again = fs.scan_sources(spark, root, 1, ignore, known=known).collect()
     assert [(r.path, r.content, r.sha256 is not None) for r in again] == [("p/.b.go", None, True)]
     assert tick(3) == (edges, fqns)
+
+
+def test_generics_are_stripped_alike_with_and_without_brackets(spark):
+    texts = ["Name", "a.B$1", " Map<String, List<X>> ", "X[]", " List<Y>[] [] ", "Z [ ]", "Q<T[]>", "é<T>", "", "A<B>\n", "A\n"]
+    rows = spark.createDataFrame([(x,) for x in [*texts, None]], "x string").select(names.strip_generics("x").alias("s"))
+    assert [r.s for r in rows.collect()] == ["Name", "a.B$1", "Map", "X[]", "List[][]", "Z [ ]", "Q", "é", "", "A", "A", None]
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN" in plan  # plain names don't meet the patterns
