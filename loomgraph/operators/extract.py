@@ -175,18 +175,21 @@ def js_imports(body: Column | str) -> Column:
 
 
 def script_bodies(files: DataFrame) -> DataFrame:
-    """Inline scripts with the place of their text: (..., no, body, at_byte, at_line, at_col)."""
+    """Inline scripts with the place of their text: (..., no, body, written, at_byte, at_line, at_col); ``written`` are the file's own bytes."""
     token = f"(?is:{COMMENT[4:]}|<script(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>.*?</script\\s*>)"
-    parts = files.select(*FILE_KEY, brackets.cut_out("content", token).alias("parts"))
-    found = parts.select(*FILE_KEY, "parts", F.posexplode("parts").alias("no", "raw")).where(F.col("raw").rlike(r"(?i)^<script"))
+    parts = files.select(*FILE_KEY, "content", brackets.cut_out("content", token).alias("parts"))
+    # outer: the optimizer would also cut every text where it is read, to leave out those without a part
+    found = parts.select(*FILE_KEY, "content", "parts", F.posexplode_outer("parts").alias("no", "raw")).where(F.col("raw").rlike(r"(?i)^<script"))
     head = F.regexp_extract("raw", r"^<(?i:script)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", 0)
     body = F.regexp_replace(F.substring(F.col("raw"), F.length(head) + 1, F.length("raw")), r"(?i)</script\s*>$", "")
     found = found.select(
-        *FILE_KEY, "no", body.alias("body"), F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("no")), ""), head).alias("before"),
+        *FILE_KEY, "content", "no", body.alias("body"), F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("no")), ""), head).alias("before"),
         attribute(F.regexp_replace(head, r"(?i)^<script|>$", ""), "src").alias("src"),
     ).where("src IS NULL")
     line, column = brackets.place_after(F.lit(1), F.lit(1), F.col("before"))
-    return found.select(*FILE_KEY, "no", "body", F.octet_length("before").alias("at_byte"), line.alias("at_line"), column.alias("at_col"))
+    at_byte = F.octet_length("before")
+    written = F.substring(F.col("content").cast("binary"), at_byte + 1, F.octet_length("body"))
+    return found.select(*FILE_KEY, "no", "body", written.alias("written"), at_byte.alias("at_byte"), line.alias("at_line"), column.alias("at_col"))
 
 
 #: What tells inline scripts apart, and their places in the file.
@@ -196,7 +199,7 @@ SCRIPT_KEY = (*FILE_KEY, "no", "at_byte", "at_line", "at_col")
 def js_pieces(files: DataFrame) -> DataFrame:
     """Pieces of inline scripts up to every bracket and semicolon, comments and strings blanked, brackets paired."""
     bodies = script_bodies(files).withColumn("code", brackets.masked("body", JS_TOKEN))
-    return brackets.pieces(bodies, SCRIPT_KEY, "code", "(){}[];")
+    return brackets.pieces(bodies, SCRIPT_KEY, "code", "(){}[];", source="written")
 
 
 def _in_file(begin: Column, line: Column, column: Column, end: Column) -> list[Column]:
@@ -230,24 +233,17 @@ def inline_calls(files: DataFrame) -> DataFrame:
 def inline_functions(files: DataFrame) -> DataFrame:
     """Functions declared in inline scripts as symbols with their places, from ``function`` to the closing brace."""
     declared = r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*\($"
-    order = Window.partitionBy(*SCRIPT_KEY).orderBy("pos")
     # a body: a brace right behind a closing parenthesis, whose partner is behind a declared name
-    cut = js_pieces(files).withColumns({"params": F.lag("block").over(order), "params_mark": F.lag("mark").over(order)})
-    bodies = cut.where((F.col("mark") == "{") & (F.col("params_mark") == ")") & F.col("piece").rlike(r"^\s*\{$"))
-    found = bodies.withColumn("name", F.regexp_extract("params.piece", declared, 1)).where("name <> ''")
-    skipped = F.regexp_replace("params.piece", declared, "")
-    line, column = brackets.place_after(F.col("params.start_line"), F.col("params.start_col"), skipped)
-    begin = F.col("params.start_byte") + F.octet_length(skipped)
-    placed = found.select(
-        *FILE_KEY, "name", (F.col("at_byte") + F.col("params.end_byte")).cast("int").alias("params_at"),
-        (F.col("at_byte") + F.col("start_byte")).cast("int").alias("params_end"), *_in_file(begin, line, column, F.col("close")),
-    )
-    # the parameters as they are written, from the file's own bytes
-    raw = files.select(*FILE_KEY, F.encode("content", "UTF-8").alias("bytes"))
-    params = F.decode(F.substring(F.col("bytes"), F.col("params_at"), F.col("params_end") - F.col("params_at") + 1), "UTF-8")
-    return placed.join(raw, list(FILE_KEY)).select(
+    bodies = js_pieces(files).where((F.col("mark") == "{") & (F.col("head.mark") == ")") & F.col("piece").rlike(r"^\s*\{$"))
+    opening = F.col("head.piece").cast("string")
+    found = bodies.withColumn("name", F.regexp_extract(opening, declared, 1)).where("name <> ''")
+    skipped = F.regexp_replace(opening, declared, "")
+    line, column = brackets.place_after(F.col("head.start_line"), F.col("head.start_col"), skipped)
+    begin = F.col("head.start_byte") + F.octet_length(skipped)
+    # the parameters as they are written
+    return found.select(*FILE_KEY, "name", F.col("head.text").cast("string").alias("params"), *_in_file(begin, line, column, F.col("close"))).select(
         *FILE_KEY,
-        *_symbol("function", F.col("name"), F.concat(module_name("path"), F.lit("."), "name"), F.concat("name", params), "javascript"),
+        *_symbol("function", F.col("name"), F.concat(module_name("path"), F.lit("."), "name"), F.concat("name", "params"), "javascript"),
         *PLACE,
     )
 
@@ -274,13 +270,9 @@ def css_symbols(files: DataFrame) -> DataFrame:
     keyframes the whole rule.  What is inside keyframes is no symbol.
     """
     code = files.select(*FILE_KEY, brackets.masked("content", CSS_TOKEN).alias("code"))
-    cut = brackets.pieces(code, FILE_KEY, "code", "{};")
+    cut = brackets.pieces(code, FILE_KEY, "code", "{};", around=CSS_KEYFRAMES).where("within IS NULL OR start_byte >= within")
     frames = F.regexp_extract("piece", CSS_KEYFRAMES, 1)
     is_frames = (F.col("mark") == "{") & (frames != "")
-    before = Window.partitionBy(*FILE_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("frames_end", F.max(F.when(is_frames, F.col("close.byte"))).over(before)).where(
-        "frames_end IS NULL OR start_byte >= frames_end"
-    )
     bare = F.when(F.col("mark").isNotNull(), F.expr("substring(piece, 1, length(piece) - 1)")).otherwise(F.col("piece"))
 
     def entry(kind: str, mark: str, name: Column, before: Column, text: Column, end: Column | None = None) -> Column:
@@ -310,7 +302,7 @@ def css_symbols(files: DataFrame) -> DataFrame:
         .when((F.col("mark") == "{") & ~at_rule, picked)
         .when(F.coalesce(F.col("mark") != "{", F.lit(True)) & F.col("block").isNotNull() & (variable != ""), F.array(entry("variable", "", variable, F.lit(""), F.col("bare"))))
     )
-    return rows.select(*FILE_KEY, F.explode(found).alias("e")).select(
+    return rows.select(*FILE_KEY, F.explode_outer(found).alias("e")).where("e IS NOT NULL").select(
         *FILE_KEY,
         *_symbol(F.col("e.kind"), F.col("e.name"), F.concat(module_name("path"), "e.mark", "e.name"),
                  F.concat("e.kind", F.lit(" "), "e.name"), "css"),

@@ -293,6 +293,8 @@ def dependencies(sql: str) -> list[str]:
 
 #: Tables with long texts, and the key their rows are spread by.
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+#: Fixtures that make a text of every row of a narrow table, and the key that table's rows are spread by.
+MADE_TEXTS = {"markup_files": "p_partkey", "deep_styles": "p_partkey", "style_files": "c_custkey"}
 
 
 def spread(table: DataFrame, key: str) -> DataFrame:
@@ -311,7 +313,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return spread(table, TEXT_KEYS[name]) if name in TEXT_KEYS else table
     sql = FIXTURES[name]
-    return spark.sql(sql, **{d: load(spark, sf_dir, d) for d in dependencies(sql)})
+    tables = {d: load(spark, sf_dir, d) for d in dependencies(sql)}
+    if name in MADE_TEXTS:
+        tables = {d: spread(table, MADE_TEXTS[name]) for d, table in tables.items()}
+    return spark.sql(sql, **tables)
 
 
 def with_fixtures(sql: str) -> str:

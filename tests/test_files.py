@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from loomgraph import schemas
 from loomgraph.functions import names, paths, text
-from loomgraph.operators import extract, incremental as inc, plugin, resolve
+from loomgraph.operators import brackets, extract, incremental as inc, plugin, resolve
+from loomgraph.plans.fixtures import MADE_TEXTS, load
 from loomgraph.sources import export, files as fs, tables
 from loomgraph.streaming import indexing
 
@@ -182,6 +183,24 @@ def test_script_places(spark):
     assert sorted(r.signature for r in found) == ["f(a, b = 'x)é')", "g2({q}, r)"]
 
 
+def test_brackets_are_paired_without_a_shuffle(spark):
+    css, html = page(spark, ".a { --b: 1 }", "a.css"), page(spark, "<script>function f(a) { g(a) }</script>", "p.html")
+    for found in (extract.css_symbols(css), extract.inline_functions(html), extract.inline_calls(html)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan
+    body = "} { a; } ) x [ ( } y { é\n; z"
+    rows = brackets.pieces(page(spark, body), extract.FILE_KEY, "content", "(){}[];").collect()
+    assert [(r.pos, r.piece, r.mark, r.level, r.block, r.close and tuple(r.close), r.head and r.head.mark, r.start_line, r.start_col) for r in rows] == [
+        (0, "}", "}", 0, None, None, None, 1, 1), (1, " {", "{", 0, None, (8, 1), None, 1, 2), (2, " a;", ";", 0, 1, None, None, 1, 4), (3, " }", "}", 0, 1, None, None, 1, 7),
+        (4, " )", ")", -1, None, None, None, 1, 9), (5, " x [", "[", -1, None, (29, 2), None, 1, 11), (6, " (", "(", 0, None, (18, 1), None, 1, 15),
+        (7, " }", "}", 0, 6, None, None, 1, 17), (8, " y {", "{", 0, None, (29, 2), "}", 1, 19), (9, " é\n;", ";", 0, 8, None, None, 1, 23), (10, " z", None, 0, 8, None, None, 2, 2),
+    ]
+
+
+def test_made_texts_are_dealt_to_all_cores(spark):
+    assert all(load(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism for name in MADE_TEXTS)
+
+
 def test_types_without_an_own_name_are_resolved(spark):
     rows = [("A", None, "p", None), ("B", None, "p", "p.B"), ("C", "q.C", "p", "p.X")]
     df = spark.createDataFrame(rows, "type_name string, imported string, package string, src_fqn string")
