@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.plans.fixtures import load, with_fixtures
-from loomgraph.session import configure, materialize
+from loomgraph.session import configure, fit_tasks, materialize
 
 
 class Tables:
@@ -54,7 +54,8 @@ def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     """The plan as (spark, sf_dir) -> DataFrame."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return PLANS[name](Tables(configure(spark), sf_dir))
+        fit_tasks(configure(spark), sf_dir)
+        return PLANS[name](Tables(spark, sf_dir))
 
     run.__name__ = name
     return run

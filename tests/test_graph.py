@@ -7,6 +7,7 @@ from collections import defaultdict, deque
 import pytest
 
 from loomgraph.operators import lookup, skew, stats, traverse
+from loomgraph.session import INPUT_PER_PARTITION, fit_tasks
 
 EDGE = "repo_id long, kind string, src long, dst long"
 SYMBOL = "id long, repo_id long, lang string, kind string, name string, fqn string"
@@ -196,3 +197,22 @@ def test_reachability_is_closed(spark):
                 seen.add(d)
                 queue.append(d)
     assert {r.id for r in found.collect()} == seen - {0}
+
+
+def test_shuffle_partitions_follow_the_input_and_the_session(spark, tmp_path):
+    key, advisory = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    with open(tmp_path / "big.parquet", "wb") as f:
+        f.truncate(100 * INPUT_PER_PARTITION)
+    own = spark.conf.get(advisory, None)
+    try:
+        fit_tasks(spark, str(tmp_path))
+        assert spark.conf.get(key) == "100"
+        fit_tasks(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set(key, "7")
+        spark.conf.set(advisory, "1m")
+        fit_tasks(spark, str(tmp_path))
+        assert spark.conf.get(key) == "7" and spark.conf.get(advisory) == "1m"
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset(advisory) if own is None else spark.conf.set(advisory, own)
