@@ -57,9 +57,10 @@ def adjacency(edges: DataFrame, direction: str, kinds: Sequence[str] | None = No
     seed itself are known already.  Stored as a table bucketed by id: joins on it
     shuffle the other side only.  Pass it to several traversals.
     """
-    steps = hops(edges, direction, kinds).where("id IS NOT NULL AND next IS NOT NULL").distinct()
-    near = top_per_key(steps, ["id"], [F.col("next")], max_nodes + 1)
-    lists = materialize(near.groupBy("id").agg(F.sort_array(F.collect_list("next")).alias("nexts")), "neighbours")
+    steps = hops(edges, direction, kinds).where("id IS NOT NULL AND next IS NOT NULL")
+    # Steps of several kinds or repositories share a rank, so that the edges are shuffled once, by id; the set drops the repeats.
+    near = top_per_key(steps, ["id"], [F.col("next")], max_nodes + 1, ties=True)
+    lists = materialize(near.groupBy("id").agg(F.sort_array(F.collect_set("next")).alias("nexts")), "neighbours")
     spark = edges.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lists.count() // BUCKET_ROWS))
     name = f"adjacency_{uuid.uuid4().hex}"

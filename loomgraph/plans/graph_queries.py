@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import lookup, stats, traverse
 from loomgraph.plans.registry import Tables, query
+from loomgraph.session import materialize
 from loomgraph.sources import export
 
 # --- breadth-first traversals -------------------------------------------------
@@ -55,15 +56,20 @@ def seeds_of(t: Tables, sql: str) -> DataFrame:
     return t.spark.sql(sql, customer=t.customer)
 
 
+def stored_edges(t: Tables, *kinds: str) -> DataFrame:
+    """The trade edges of the kinds a traversal follows, written as a table first; others are not derived."""
+    return materialize(t.trade_edges.where(F.col("kind").isin(*kinds)), "trade_edges")
+
+
 @query("bfs_out", full_bfs_sql(NATION_SEEDS, "src", "dst", ("CALLS",), 3))
 def bfs_out(t: Tables) -> DataFrame:
-    return traverse.bfs(t.stored("trade_edges"), seeds_of(t, NATION_SEEDS), "out", ("CALLS",), 3, None)
+    return traverse.bfs(stored_edges(t, "CALLS"), seeds_of(t, NATION_SEEDS), "out", ("CALLS",), 3, None)
 
 
 @query("bfs_in", full_bfs_sql("SELECT CAST(n_nationkey AS BIGINT) * 4 + 3 AS seed FROM {nation}", "dst", "src", ("CALLS", "REFERENCES"), 3))
 def bfs_in(t: Tables) -> DataFrame:
     seeds = t.nation.select((F.col("n_nationkey").cast("long") * 4 + 3).alias("seed"))
-    return traverse.bfs(t.stored("trade_edges"), seeds, "in", ("CALLS", "REFERENCES"), 3, None)
+    return traverse.bfs(stored_edges(t, "CALLS", "REFERENCES"), seeds, "in", ("CALLS", "REFERENCES"), 3, None)
 
 
 @query(
@@ -72,7 +78,7 @@ def bfs_in(t: Tables) -> DataFrame:
     + " SELECT seed, id, depth FROM reached",
 )
 def bfs_capped(t: Tables) -> DataFrame:
-    return traverse.bfs(t.stored("trade_edges"), seeds_of(t, CUSTOMER_SEEDS), "out", ("CALLS", "REFERENCES"))
+    return traverse.bfs(stored_edges(t, "CALLS", "REFERENCES"), seeds_of(t, CUSTOMER_SEEDS), "out", ("CALLS", "REFERENCES"))
 
 
 def traverse_sql(table: str, name_col: str, key: str, name: str, select: str = "") -> str:
@@ -89,7 +95,8 @@ def traverse_sql(table: str, name_col: str, key: str, name: str, select: str = "
 
 def run_traversal(t: Tables, name: str, queries: DataFrame) -> DataFrame:
     asked = queries.select(F.lit(1).cast("long").alias("repo_id"), "query")
-    return traverse.traverse(name, t.stored("trade_symbols"), t.stored("trade_edges"), asked).select(
+    edges = stored_edges(t, *traverse.TRAVERSALS[name][1])
+    return traverse.traverse(name, t.stored("trade_symbols"), edges, asked).select(
         "query", "seed", "id", "depth", "kind", "name", "fqn"
     )
 

@@ -7,6 +7,7 @@ from collections import defaultdict, deque
 import pytest
 
 from loomgraph.operators import lookup, skew, stats, traverse
+from loomgraph.plans import graph_queries, registry
 from loomgraph.session import INPUT_PER_PARTITION, fit_tasks
 
 EDGE = "repo_id long, kind string, src long, dst long"
@@ -216,3 +217,17 @@ def test_shuffle_partitions_follow_the_input_and_the_session(spark, tmp_path):
     finally:
         spark.conf.unset(key)
         spark.conf.unset(advisory) if own is None else spark.conf.set(advisory, own)
+
+
+def test_an_adjacency_drops_repeated_steps(spark):
+    rows = [(repo, kind, 1, n) for n in (5, 3, 4) for repo in (1, 2) for kind in ("CALLS", "REFERENCES")] + [(1, "CALLS", 2, 7)]
+    edges = spark.createDataFrame(rows, EDGE)
+    assert sorted((r.id, r.nexts) for r in traverse.adjacency(edges, "out", max_nodes=1).collect()) == [(1, [3, 4]), (2, [7])]
+
+
+@pytest.mark.parametrize("name, kinds", [("callees", {"CALLS"}), ("bfs_in", {"CALLS", "REFERENCES"})])
+def test_traversals_store_only_edges_they_follow(spark, monkeypatch, name, kinds):
+    stored = []
+    monkeypatch.setattr(graph_queries, "materialize", lambda df, _: stored.append(df) or df)
+    registry.PLANS[name](registry.Tables(spark, "/root/testdata/sf0.001"))
+    assert {r.kind for r in stored[0].select("kind").distinct().collect()} == kinds
