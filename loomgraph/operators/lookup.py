@@ -14,8 +14,10 @@ from loomgraph.operators.textindex import word_filter
 from loomgraph.session import materialize
 
 CALLABLE_KINDS = ("function", "method")
-#: Longest substring used to find candidates of a contains-match.
-GRAM = 3
+#: Longest substring that names are looked up by; a longer text is looked up by its rarest one of this length.
+GRAM = 16
+#: Sorts after all that a name may go on with.
+LAST = "\U0010ffff" * GRAM
 
 PUBLIC_FIELDS = (
     "id", "repo_id", "file_id", "lang", "kind", "name", "fqn", "signature", "visibility",
@@ -75,36 +77,42 @@ def _grams(text, size):
     )
 
 
-def _with_grams(names: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Every name with each of its substrings of at most GRAM characters: (keys..., name, __name, __gram)."""
-    return names.select(
-        *keys, name, "__name",
-        F.explode(
-            F.array_distinct(
-                F.flatten(F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: _grams(F.col("__name"), n)))
-            )
-        ).alias("__gram"),
+def _suffixes(names: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Every name from each of its characters on, GRAM of them: (keys..., name, __at, __rest); an empty name once."""
+    places = names.where(F.col(name).isNotNull()).select(
+        *keys, name, F.explode(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))).alias("__at")
     )
+    return places.withColumn("__rest", F.substring(ascii_lower(name), F.col("__at"), F.lit(GRAM)))
+
+
+def _substrings(rests: DataFrame, grams: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """(keys..., name, __gram): the names that hold the asked substrings (keys..., __gram), each pair once.
+
+    Substrings are made only of the lengths that are asked for, and each where it
+    first stands in the name.
+    """
+    sizes = materialize(grams.groupBy(*keys).agg(F.collect_set(F.length("__gram")).alias("__sizes")), "gram-sizes")  # of GRAM + 1 at most
+    fits = F.filter("__sizes", lambda n: (n <= F.length("__rest")) & ((n > 0) | (F.col("__at") == 1)))
+    heads = F.transform(fits, lambda n: F.substring(F.col("__rest"), F.lit(1), n))
+    offers = rests.join(sizes, list(keys)).select(*keys, name, "__at", F.explode(heads).alias("__gram"))
+    first = offers.where(F.position("__gram", ascii_lower(name)) == F.col("__at")).drop("__at")
+    return first.join(grams.select(*keys, "__gram").distinct(), [*keys, "__gram"], "left_semi")
 
 
 @dataclass(frozen=True)
 class NameIndex:
-    """Stored substrings of the distinct names of a symbol table, sorted by substring, and the number of names of each."""
+    """The distinct names of a symbol table, stored from each of their characters on, sorted by what follows."""
 
     postings: DataFrame
-    counts: DataFrame
     keys: tuple[str, ...]
     name: str
 
 
 def index_names(haystack: DataFrame, keys: Sequence[str] = ("repo_id",), name: str = "name") -> NameIndex:
     """The index that ``contains_join`` and what builds on it take; made once for many lookups."""
-    names = haystack.select(*keys, name).distinct().withColumn("__name", ascii_lower(name))
-    rows = _with_grams(names, keys, name)
-    postings = materialize(rows.repartitionByRange("__gram", *keys, name).sortWithinPartitions("__gram"), "name-postings")
-    counts = postings.groupBy(*keys, "__gram").agg(F.count(F.lit(1)).alias("__names"))
-    counts = materialize(counts.repartitionByRange("__gram").sortWithinPartitions("__gram"), "name-counts")
-    return NameIndex(postings, counts, tuple(keys), name)
+    rows = _suffixes(haystack.select(*keys, name).distinct(), keys, name)
+    postings = materialize(rows.repartitionByRange("__rest", *keys, name).sortWithinPartitions("__rest"), "name-postings")
+    return NameIndex(postings, tuple(keys), name)
 
 
 def contains_join(
@@ -113,27 +121,24 @@ def contains_join(
 ) -> DataFrame:
     """Pairs (keys..., needle, name) where the name contains the needle, ASCII case folded.
 
-    Not a nested loop: both sides are turned into substrings of at most GRAM
-    characters, every needle picks its rarest substring, and only names that
-    hold that substring are compared with it.  With an ``index`` of the names
-    the rarest substring is looked up, and only the row groups around the asked
-    substrings are read.
+    Not a nested loop: a needle of at most GRAM characters meets the names under
+    itself, as one of their substrings of its length.  A longer one picks its
+    rarest substring of GRAM characters, and only names that hold that one are
+    compared with it.  With an ``index`` of the names only the row groups around
+    the asked substrings are read.
     """
     keys = list(keys)
     wanted = needles.select(*keys, needle).distinct().withColumn("__needle", ascii_lower(needle))
     size = F.least(F.length("__needle"), F.lit(GRAM))
-    needle_grams = wanted.select(
+    needle_grams = materialize(wanted.select(
         *keys, needle, "__needle", F.explode(F.array_distinct(_grams(F.col("__needle"), size))).alias("__gram")
-    )
+    ), "needle-grams")
     if index is None:
-        names = haystack.select(*keys, name).distinct().withColumn("__name", ascii_lower(name))
-        asked = needle_grams.select(*keys, "__gram").distinct()
-        name_grams = materialize(_with_grams(names, keys, name).join(asked, [*keys, "__gram"], "left_semi"), "name-grams")
-        counts = name_grams.groupBy(*keys, "__gram").agg(F.count(F.lit(1)).alias("__names"))
+        rests = _suffixes(haystack.select(*keys, name).distinct(), keys, name)
     else:
-        needle_grams = materialize(needle_grams, "needle-grams")
-        chosen = word_filter(needle_grams.select(F.col("__gram").alias("token")), "__gram")
-        name_grams, counts = index.postings.where(chosen), index.counts.where(chosen)
+        rests = index.postings.where(word_filter(needle_grams.select(F.col("__gram").alias("token")), "__rest", LAST))
+    name_grams = materialize(_substrings(rests, needle_grams, keys, name), "name-grams")
+    counts = name_grams.groupBy(*keys, "__gram").agg(F.count(F.lit(1)).alias("__names"))
     rarest = (
         needle_grams.join(counts, [*keys, "__gram"], "left")
         .groupBy(*keys, needle, "__needle")
@@ -142,7 +147,7 @@ def contains_join(
     )
     return (
         salted_join(name_grams, rarest, [*keys, "__gram"])
-        .where(F.contains("__name", "__needle"))
+        .where(F.contains(ascii_lower(name), "__needle"))
         .select(*keys, needle, name)
     )
 

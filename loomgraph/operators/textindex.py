@@ -129,30 +129,35 @@ class TextIndex:
         return self._live(lambda s: s.postings.where(chosen))
 
 
-def word_filter(wanted: DataFrame, column: str = "token") -> Column:
+def word_filter(wanted: DataFrame, column: str = "token", beyond: str = "") -> Column:
     """A condition on ``column`` that all words (token) of ``wanted`` meet: the words, or if they are many, ranges of them.
 
     Ranges are those of words that begin alike, neighbours put together until
-    they are PUSHED_RANGES at most.
+    they are PUSHED_RANGES at most.  With ``beyond``, what sorts after all that may
+    follow a word, they also hold all that begins with one of the words.
     """
-    few = [r.token for r in wanted.select("token").distinct().limit(PUSHED_WORDS + 1).collect()]
-    if len(few) <= PUSHED_WORDS:
-        return F.col(column).isin(*few)
+    if not beyond:
+        few = [r.token for r in wanted.select("token").distinct().limit(PUSHED_WORDS + 1).collect()]
+        if len(few) <= PUSHED_WORDS:
+            return F.col(column).isin(*few)
+    end = F.concat("token", F.lit(beyond))
     for letters in (3, 2, 1):
-        ends = wanted.groupBy(F.substring("token", 1, letters)).agg(F.min("token").alias("low"), F.max("token").alias("high"))
-        ranges = sorted((r.low, r.high) for r in ends.select("low", "high").limit(PUSHED_WORDS + 1).collect())
+        ends = wanted.groupBy(F.substring("token", 1, letters)).agg(F.min("token").alias("low"), F.max(end).alias("high"))
+        ranges = sorted((r.low, r.high) for r in ends.select("low", "high").where("low IS NOT NULL").limit(PUSHED_WORDS + 1).collect())
         if len(ranges) <= PUSHED_WORDS or letters == 1:
             break
+    if not ranges:
+        return F.lit(False)
     if len(ranges) > PUSHED_WORDS:  # more first letters than that
-        ranges = [tuple(wanted.agg(F.min("token"), F.max("token")).first())]
+        ranges = [tuple(wanted.agg(F.min("token"), F.max(end)).first())]
     together = -(-len(ranges) // PUSHED_RANGES)
-    hulls = [(ranges[i][0], ranges[min(i + together, len(ranges)) - 1][1]) for i in range(0, len(ranges), together)]
-    return _within(F.col(column), hulls)
+    groups = [ranges[i : i + together] for i in range(0, len(ranges), together)]
+    return _within(F.col(column), [(group[0][0], max(high for _, high in group)) for group in groups])
 
 
 def _within(word: Column, ranges: list[tuple[str, str]]) -> Column:
     """Whether a word is in one of the sorted ranges, as a balanced tree: a word outside of what a branch spans skips the branch."""
-    span = word.between(ranges[0][0], ranges[-1][1])
+    span = word.between(ranges[0][0], max(high for _, high in ranges))
     if len(ranges) == 1:
         return span
     half = len(ranges) // 2

@@ -117,6 +117,35 @@ def test_contains_join_matches_brute_force(spark):
     assert got == {(q, n) for q in needles for n in names if q.lower() in n.lower()}
 
 
+def test_contains_join_meets_names_under_whole_needles(spark, monkeypatch):
+    met = []
+
+    def spy(heavy, other, on, *rest, **options):
+        joined = salted_join(heavy, other, on, *rest, **options)
+        met.append(joined.count())
+        return joined
+
+    salted_join = lookup.salted_join
+    monkeypatch.setattr(lookup, "salted_join", spy)
+    names = [f"m{i}" for i in range(1000, 1200)]
+    hay = spark.createDataFrame([(1, n) for n in names], "repo_id long, name string")
+    for index in (None, lookup.index_names(hay)):
+        assert {(r["query"], r["name"]) for r in lookup.contains_join(ask(spark, *names), hay, index=index).collect()} == {(n, n) for n in names}
+    assert met == [200, 200]
+
+
+def test_contains_join_of_long_and_repeated_texts(spark):
+    stem = "a_long_common_beginning_of_"
+    names = ["", "aaaa", "AaBaA", "é\U0010ffffx", *[f"{stem}{i}" for i in range(30)], stem, stem.upper() + "7_" + stem]
+    needles = ["", "a", "aa", "aaa", "É", "é\U0010ffff", "_", stem, f"{stem}7", "common_beginning_of_2", stem + "_none", "beginning"]
+    hay = spark.createDataFrame([(1, n) for n in names] + [(1, None), (2, "aa")], "repo_id long, name string")
+    fold = lambda x: "".join(c.lower() if c.isascii() else c for c in x)
+    want = sorted((q, n) for q in needles for n in names if fold(q) in fold(n))
+    for index in (None, lookup.index_names(hay)):
+        assert sorted((r["query"], r["name"]) for r in lookup.contains_join(ask(spark, *needles), hay, index=index).collect()) == want
+    assert lookup.contains_join(ask(spark, "aa").where("false"), hay, index=lookup.index_names(hay)).count() == 0
+
+
 def test_resolution_ladder(spark):
     rows = [
         (1, 1, "go", "function", "Run", "a.Run"),
