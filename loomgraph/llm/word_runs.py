@@ -44,17 +44,43 @@ WORDS = 50
 SEED = 25
 
 
+#: A random number for each byte, the same in every run.
+LETTERS = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([i])) for i in range(256)), dtype=np.uint64)
+
+
+def stretches(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the values from every start to its end, the same wherever they stand: a polynomial modulo 2^64, mixed."""
+    with np.errstate(over="ignore"):
+        up, down = (np.full(len(values) + 1, b, dtype=np.uint64) for b in (BASE, UNBASE))
+        up[0] = down[0] = 1
+        np.multiply.accumulate(up, out=up)
+        np.multiply.accumulate(down, out=down)
+        sums = np.concatenate(([np.uint64(0)], np.add.accumulate(up[:-1] * values)))
+        out = (sums[ends] - sums[starts]) * down[starts]
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of every word of an array with 64-bit offsets, made of its bytes and their number."""
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    with np.errstate(over="ignore"):
+        return stretches(LETTERS[raw], offsets[:-1], offsets[1:]) + np.diff(offsets).astype(np.uint64) * np.uint64(BASE)
+
+
 def hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of all words of some texts, in order."""
     words = pc.ascii_split_whitespace(texts)
     flat = words.flatten()
     text = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
-    coded = flat.dictionary_encode()
-    names = strings(coded.dictionary)
-    digest = xxhash.xxh64_intdigest
-    code = coded.indices.to_numpy(zero_copy_only=False)
-    kept = np.array([bool(w) for w in names], dtype=bool)[code]  # white space at a border leaves an empty word
-    return np.array([digest(w) for w in names], dtype=np.uint64)[code][kept], text[kept]
+    kept = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at a border leaves an empty word
+    return word_hashes(flat)[kept], text[kept]
 
 
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -212,15 +238,24 @@ def repeated_windows(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> D
     return later(stretches, stretch_heads, words + seed).union(later(*meet(border, "word-windows"), words))
 
 
-def merge(found: list[dict]) -> list[dict]:
-    """Later stretches of one document as runs of words (first, last, of_doc_id); touching ones are one run."""
-    out: list[dict] = []
-    for w in sorted(found, key=lambda w: (w["first"], w["last"])):
-        if out and w["first"] <= out[-1]["last"] + 1:
-            out[-1]["last"] = max(out[-1]["last"], w["last"])
-        else:
-            out.append(dict(w))
-    return out
+def merge(found: pa.ListArray) -> pa.ListArray:
+    """Later stretches of each document (first, last, of_doc_id) as runs of words; touching ones are one run."""
+    sizes = pc.list_value_length(found).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(found)), sizes)
+    flat = found.flatten()
+    first, last = (pc.struct_field(flat, name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("first", "last"))
+    order = np.lexsort((last, first, row))
+    row, first, last = row[order], first[order], last[order]
+    # the furthest word so far, the document in front of it
+    reach = np.maximum.accumulate((row << 32) + last) if len(row) else row
+    begins = np.concatenate(([0], np.flatnonzero((row << 32)[1:] + first[1:] > reach[:-1] + 1) + 1)) if len(row) else row
+    ends = (reach & 0xFFFFFFFF)[np.append(begins[1:], len(row))[: len(begins)] - 1]
+    runs = pa.StructArray.from_arrays(
+        [pa.array(first[begins].astype(np.int32)), pa.array(ends.astype(np.int32)), pc.struct_field(flat, "of_doc_id").take(pa.array(order[begins]))],
+        names=["first", "last", "of_doc_id"],
+    )
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[begins], minlength=len(found)))))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), runs)
 
 
 def cut(text: str, runs: list[dict]) -> tuple[str, int, int]:
@@ -252,10 +287,7 @@ def dedup_runs(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFra
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one in (batch.slice(i, 1) for i in range(batch.num_rows)):
-                value = merge(one.column("found")[0].as_py())
-                out = pa.array([value], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("of_doc_id", one.schema.field("doc_id").type)])))
-                yield pa.RecordBatch.from_arrays([one.column("doc_id"), one.column("text_hash"), out], names=["__id", "__hash", "__runs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), merge(batch.column("found"))], names=["__id", "__hash", "__runs"])
 
     found = later.mapInArrow(merged, f"__id {kind}, __hash long, __runs {runs}")
     # only documents with something to delete are moved; a null text has no hash

@@ -60,3 +60,23 @@ def test_passage_in_mid_sentence(spark):
     assert [tuple(r) for r in got[2].runs] == [(3, 55, 1)] and got[2].removed_words == 53
     # the rule by lines leaves both
     assert all(r.removed_words == 0 for r in line_dedup.dedup_lines(docs).collect())
+
+
+def test_words_are_hashed_and_runs_merged_without_python_objects(monkeypatch):
+    """Both steps work on whole arrays: no call of a hash function for each word, no list of rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    calls = []
+    monkeypatch.setattr(word_runs.xxhash, "xxh64_intdigest", lambda w: calls.append(w) or len(calls))
+    texts = pa.array(["b  a é", "", " a\nb", "ab", "x" * 300 + " a"], pa.large_string())
+    hashes, text = word_runs.hashes_of(texts)
+    assert not calls and text.tolist() == [0, 0, 0, 2, 2, 3, 4, 4]
+    assert hashes[1] == hashes[3] == hashes[7] and hashes[0] == hashes[4] and len(np.unique(hashes)) == 5
+
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("of_doc_id", pa.int64())]))
+    rows = lambda *found: [dict(zip(("first", "last", "of_doc_id"), f)) for f in found]
+    found = pa.array([rows((5, 9, 2), (0, 4, 1), (20, 30, 3), (22, 24, 4), (31, 33, None)), rows((7, 8, 5)), [], rows((7, 7, 6), (9, 9, None))], kind)
+    want = [rows((0, 9, 1), (20, 33, 3)), rows((7, 8, 5)), [], rows((7, 7, 6), (9, 9, None))]
+    assert word_runs.merge(found).to_pylist() == want
+    assert word_runs.merge(found.slice(1, 3)).to_pylist() == want[1:] and word_runs.merge(found.slice(0, 0)).to_pylist() == []
