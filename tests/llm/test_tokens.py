@@ -9,7 +9,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from loomgraph.llm import grammar, packing, prefix_counts, tokens
+from loomgraph.llm import arrow, grammar, packing, prefix_counts, tokens
 
 ODD = [
     "", "a b <|endoftext|>c <|ENDOFTEXT|>", "x<|endoftext|>y<|startoftext|>", "<|endoftext|", "\x01", "a\x01 b", "é İ Σ ÀÉ", "x" * 300, "  \n ",
@@ -131,3 +131,13 @@ def test_place_follows_the_sum_of_squares():
         best = min([total({n: g - size}) for n, g in gaps.items() if g >= size] + [total({len(gaps): capacity - size})])
         assert start == capacity - gaps.get(number, capacity) and total({number: gaps.get(number, capacity) - size}) == best
         gaps[number] = gaps.get(number, capacity) - size
+
+
+def test_words_with_closing_marks_are_kept_once():
+    """A word's marks are cut off before it is looked up, so that a word is kept and asked for once, whatever follows it."""
+    encoder = tokens.WordEncoder()
+    texts = ["abc abc. abc, abc!? É?? x<|. ²$$ $$$ $a,", "", " .", None]
+    ids, lengths = encoder.encode(arrow.text_of(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])))
+    want = [encoder.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for found in want for i in found] and lengths.tolist() == [len(found) for found in want]
+    assert "abc" in encoder.place and not {"abc.", "abc,", "abc!?"} & set(encoder.place)
