@@ -33,6 +33,11 @@ def at(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     return rows.join(ids.select(F.col("id").alias(column)), column, "left_semi").select(*rows.columns)
 
 
+def not_at(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is none of the ids."""
+    return rows.join(ids.select(F.col("id").alias(column)), column, "left_anti").select(*rows.columns)
+
+
 def either(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -117,8 +122,9 @@ def edge_changes(before: dict[str, DataFrame], after: dict[str, DataFrame], file
         held = [contains(t["symbols"], children=t["symbols"].where("kind = 'method'"), parents=at(t["symbols"], types)).select("dst") for t in (before, after)]
         methods = materialize(ids_of(changed, *held), "touched-methods")
     here, said = at(symbols, sources), at(refs, sources, "src")
+    # what touched callers call, and what others call of them: no edge twice, so that these, often most of all, need no distinct
+    calls = rules.call_edges(symbols, at(callsites, callers, "caller")).unionByName(rules.call_edges(at(symbols, callers), not_at(callsites, callers, "caller")))
     fresh = [
-        rules.call_edges(symbols, at(callsites, callers, "caller")), rules.call_edges(at(symbols, callers), callsites),
         rules.structural_edges(at(symbols, changed), parents=symbols), rules.structural_edges(symbols, parents=at(symbols, changed)),
     ]
     if "extractor" in said_by:
@@ -135,7 +141,7 @@ def edge_changes(before: dict[str, DataFrame], after: dict[str, DataFrame], file
         "CALLS": callers, "CONTAINS": changed, "DECLARES": changed, "IMPORTS": sources, "EXTENDS": types, "IMPLEMENTS": types,
         "REFERENCES": sources, "OVERRIDES": methods,
     }
-    return either(*[ids.select(F.lit(kind).alias("kind"), "id") for kind, ids in touched.items()]), either(*fresh).distinct()
+    return either(*[ids.select(F.lit(kind).alias("kind"), "id") for kind, ids in touched.items()]), either(*fresh).distinct().unionByName(calls)
 
 
 def _kinds(*tables: DataFrame) -> set[tuple[str, str]]:

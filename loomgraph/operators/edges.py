@@ -37,6 +37,11 @@ def union_rules(outputs: Sequence[DataFrame]) -> DataFrame:
     return first_wins(ranked, ["rule_rank"])
 
 
+def add_missing(first: DataFrame, others: DataFrame) -> DataFrame:
+    """All of ``first`` and the ``others`` whose key it lacks; both are without repeated keys, and ``first`` is best the smaller."""
+    return first.unionByName(others.join(first.select(*KEY), list(KEY), "left_anti").select(*first.columns))
+
+
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Existing edges stay; incoming edges with a new key are added once."""
     return first_wins(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.names import callee_key, hash_owner, parent_by_name, parent_if_suffix, receiver_owner
 from loomgraph.functions.text import ascii_lower
 from loomgraph.operators.edges import as_edges, union_rules
-from loomgraph.operators.skew import hot_keys, salted_join, spread_join
+from loomgraph.operators.skew import hot_keys, salted_join, spread_join, spread_pairs
 from loomgraph.operators.spans import attribute_callers
 from loomgraph.session import materialize
 
@@ -169,8 +169,8 @@ def call_edges(
         speakers = symbols.where(F.col("lang").isin(*langs)).select(F.col("id").alias("src"), "lang").distinct()
         calls = calls.join(speakers, "src")
         on = [*on, "lang"]
-    # Stored, as heavy keys are counted first.  A call and a callee meet once: an id has one name and language.
-    return as_edges(salted_join(materialize(calls, "calls"), callees, on, spread_by=["src"]), "CALLS", *CALL)
+    # Stored, as pairs are counted first.  A call and a callee meet once: an id has one name and language.
+    return as_edges(spread_pairs(materialize(calls, "calls"), callees, on, ["src"]), "CALLS", *CALL)
 
 
 def import_edges(symbols: DataFrame, refs: DataFrame, langs: Sequence[str] = ("go", "java")) -> DataFrame:
@@ -415,8 +415,8 @@ def build_edges(symbols: DataFrame, callsites: DataFrame, refs: DataFrame, *, at
         .unionByName(extends_edges(symbols, refs)),
         "hierarchy",
     )
+    calls = call_edges(symbols, callsites)
     outputs = [
-        call_edges(symbols, callsites),
         structure,
         hierarchy,
         import_edges(symbols, refs),
@@ -424,5 +424,7 @@ def build_edges(symbols: DataFrame, callsites: DataFrame, refs: DataFrame, *, at
         reference_fqn_edges(symbols, refs),
         reference_suffix_edges(symbols, refs),
     ]
+    if not has_user_rules():  # calls are distinct, and no other rule makes any
+        return union_rules(outputs).unionByName(calls)
     outputs += [rule(symbols, callsites, refs) for rule in _EXTRA_RULES.values()]
-    return union_rules(outputs)
+    return union_rules([calls, *outputs])

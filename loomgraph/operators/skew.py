@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import MOST_PARTITIONS, materialize
+
 #: A key with more rows than this on the split side is spread over SALTS tasks.
 HOT_ROWS = 1_000_000
 SALTS = 64
@@ -16,6 +18,8 @@ HOT_KEYS = 10_000
 #: A side the planner knows to be smaller than this fits one task even if all
 #: its rows share a key; its keys are not counted.
 SMALL_BYTES = 64 * 1024 * 1024
+#: About so many pairs are made by one task of ``spread_pairs``.
+TASK_PAIRS = 1_000_000
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -99,6 +103,38 @@ def spread_join(
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
+def spread_pairs(
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str], task_pairs: int | None = None,
+) -> DataFrame:
+    """Inner equi-join whose tasks are bounded by the pairs they make, not by the bytes they read.
+
+    Few keys with many rows on both sides are small as tables, so that one task
+    would get them all, and make far more pairs than rows.  The pairs of every key are
+    counted first; a key with more than ``task_pairs`` is split by a hash of
+    ``spread_by`` on the left side, as often as it takes, and repeated on the right
+    one.  Both sides are read twice: pass stored tables or projections of them.
+    """
+    on, most = list(on), TASK_PAIRS if task_pairs is None else task_pairs
+    rows = F.count(F.lit(1))
+    counts = left.groupBy(*on).agg(rows.alias("n")).join(right.groupBy(*on).agg(rows.cast("double").alias("m")), on, "left")
+    # a key without a partner makes no pair, but is read
+    weighed = materialize(counts.select(*on, "n", F.greatest(F.col("n") * F.col("m"), F.col("n").cast("double")).alias("pairs")), "pair-counts")
+    pairs = weighed.agg(F.sum("pairs")).first()[0] or 0
+    if pairs <= most:
+        return left.join(right, on)
+    tasks = min(int(pairs // most) + 1, MOST_PARTITIONS)
+    hot = weighed.where(F.col("pairs") > most).orderBy(F.desc("pairs")).limit(HOT_KEYS).select(
+        *on, F.least(F.ceil(F.col("pairs") / most), F.col("n")).cast("int").alias("__parts")
+    )
+
+    def dealt(side: DataFrame, salt: Column) -> DataFrame:
+        return side.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__parts").repartition(tasks, *on, "__salt")
+
+    parts = F.coalesce("__parts", F.lit(1))
+    split = dealt(left, F.pmod(F.xxhash64(*spread_by), parts).cast("int"))
+    return split.join(dealt(right, F.explode(F.sequence(F.lit(0), parts - 1))), [*on, "__salt"]).drop("__salt")
+
+
 def top_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, ties: bool = False
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from loomgraph import schemas
 from loomgraph.operators import differential, extract
 from loomgraph.operators import incremental as inc
 from loomgraph.operators import rules
+from loomgraph.operators.edges import add_missing
 from loomgraph.operators.plugin import (
     Extractor,
     extract_files,
@@ -55,17 +56,17 @@ def _next_edges(before: dict[str, DataFrame], after: dict[str, DataFrame], files
     if before["symbols"].isEmpty() or rules.has_user_rules():
         semantic = inc.cascade(old.where(is_semantic), after["symbols"])
         fresh = rules.build_edges(after["symbols"], after["callsites"], after["refs"], attribute=False)
-        return rules.union_rules([semantic.select(*fresh.columns), fresh])
+        return add_missing(semantic.select(*fresh.columns), fresh)
     if files.isEmpty():
         return old
     touched, fresh = differential.edge_changes(before, after, files)
-    fresh = materialize(fresh, "fresh-edges")
     kept = differential.untouched(derived, materialize(touched, "touched-ends"))
     dead = before["symbols"].select("id").join(after["symbols"].select("id"), "id", "left_anti")
     semantic = old.where(is_semantic)
     for end in ("src", "dst"):
         semantic = semantic.join(dead.withColumnRenamed("id", end), end, "left_anti").select(*old.columns)
-    return rules.union_rules([part.select(*fresh.columns) for part in (semantic, kept, fresh)])
+    # a kept edge has no touched end, a fresh one has
+    return add_missing(semantic.select(*fresh.columns), kept.select(*fresh.columns).unionByName(fresh))
 
 
 def index_files(

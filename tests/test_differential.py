@@ -77,3 +77,11 @@ def test_nothing_changed_derives_nothing(spark):
     rows = frames(spark, world(random.Random(1), {f: f / 7 for f in range(8)}))
     touched, fresh = differential.edge_changes(rows, rows, spark.createDataFrame([], "file_id long"))
     assert touched.count() == 0 and fresh.count() == 0
+
+
+def test_calls_between_changed_symbols_are_derived_once(spark):
+    """Both ends of a call have changed: it comes from one side only, so that it needs no distinct."""
+    rows = frames(spark, world(random.Random(1), {f: f / 7 for f in range(16)}))
+    nothing = {name: table.where("false") for name, table in rows.items()}
+    calls = differential.edge_changes(nothing, rows, spark.createDataFrame([(f,) for f in range(16)], "file_id long"))[1].where("kind = 'CALLS'")
+    assert calls.count() == calls.distinct().count() == rules.call_edges(rows["symbols"], rows["callsites"]).count() > 0

@@ -273,3 +273,13 @@ def test_calls_are_computed_once_and_only_where_callees_are(spark, monkeypatch):
     assert [(r.src, r.dst) for r in rules.call_edges(symbols, calls, ["go"]).collect()] == [(1, 2)]
     assert [tuple(r) for r in stored[0].select("repo_id", "src", "name").collect()] == [(1, 1, "b")]
     assert rules.call_edges(symbols, calls, ["typescript"]).count() == 0
+
+
+def test_calls_of_one_name_are_dealt_out_by_their_pairs(spark):
+    """1500 callers and 1500 functions of one name are few bytes, but more pairs than one task should make."""
+    symbols = spark.range(1500).selectExpr("id", "1L AS repo_id", "'javascript' AS lang", "'function' AS kind", "'f' AS name", "concat('m', id, '.f') AS fqn")
+    calls = spark.range(1500).selectExpr("1L AS repo_id", "id AS caller", "'x.f' AS callee_text").union(spark.sql("SELECT 1L, 7L, 'x.alone'"))
+    edges = rules.call_edges(symbols, calls)
+    sizes = [r["count"] for r in edges.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1500 * 1500 and max(sizes) < 1_500_000
+    assert edges.select("src", "dst").distinct().count() == 1500 * 1500
