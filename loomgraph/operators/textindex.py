@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,8 +62,11 @@ PUSHED_WORDS = 1000
 PUSHED_RANGES = 32
 #: A segment is merged with the one before it if that is not this many times larger.
 TIER = 4
+#: Bytes of texts whose words are grouped at once, or one text.
+BATCH_BYTES = 16 << 20
 
 POSTING = ("doc_id", "n_tokens", "field", "pos", "token")
+PACKED = ("doc_id", "n_tokens", "field", "token", "positions")
 
 
 @dataclass(frozen=True)
@@ -70,7 +76,8 @@ class Segment:
     ``postings`` has a row per word occurrence (POSTING), ``docs`` doc_id and
     n_tokens, ``words`` the token and stem of the words no earlier segment has,
     ``gone`` the doc_id of documents that it takes out of all earlier segments.
-    Of a stored one the postings are sorted by word and their number is known.
+    Of a stored one the postings are sorted by word and their number is known;
+    ``packed`` is its table, with one row per word of a field (PACKED).
     """
 
     postings: DataFrame
@@ -78,6 +85,7 @@ class Segment:
     words: DataFrame
     gone: DataFrame | None = None
     size: int | None = None
+    packed: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -105,6 +113,8 @@ class TextIndex:
     @property
     def postings(self) -> DataFrame:
         """One row per word occurrence: (doc_id, n_tokens, field, pos, token)."""
+        if all(s.packed is not None for s in self.segments):
+            return _unpacked(self._live(lambda s: s.packed))
         return self._live(lambda s: s.postings)
 
     @property
@@ -119,7 +129,8 @@ class TextIndex:
 
     def stored(self) -> TextIndex:
         """The index as tables: one segment with its occurrences sorted by word; a frequent word spans several files."""
-        return TextIndex((_stored(self.postings, self.docs, self.vocabulary),), self.stem)
+        grouped = self.postings.groupBy("doc_id", "n_tokens", "field", "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        return TextIndex((_stored(grouped.select(*PACKED), self.docs, self.vocabulary),), self.stem)
 
     def occurrences(self, wanted: DataFrame) -> DataFrame:
         """The postings that may match ``wanted`` (token); of stored segments only the row groups around them are read."""
@@ -164,31 +175,81 @@ def _within(word: Column, ranges: list[tuple[str, str]]) -> Column:
     return span & (_within(word, ranges[:half]) | _within(word, ranges[half:]))
 
 
-def _stored(postings: DataFrame, docs: DataFrame, words: DataFrame, gone: DataFrame | None = None) -> Segment:
-    """A segment written as tables."""
-    rows = postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
-    clustered = materialize(rows, "postings")
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """One row per word occurrence (POSTING)."""
+    return packed.select("doc_id", "n_tokens", "field", F.explode("positions").alias("pos"), "token")
+
+
+def _packer(fields: Sequence[str]):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in fields:
+                rows = batch.filter(pc.not_equal(batch.column(f"t_{name}"), ""))
+                if not rows.num_rows:
+                    continue
+                words = pc.split_pattern(rows.column(f"t_{name}"), " ")
+                sizes = pc.list_value_length(words).to_numpy()
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                pos = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                coded = words.flatten().dictionary_encode()
+                key = doc * len(coded.dictionary) + coded.indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(pos[order], pa.int32()))
+                at = pa.array(doc[order][first])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id").take(at), rows.column("n_tokens").take(at), pa.array([name]).take(pa.array(np.zeros(len(at), np.int64))),
+                     coded.dictionary.take(coded.indices.take(pa.array(order[first]))), lists],
+                    names=list(PACKED),
+                )
+
+    return pack
+
+
+def _pack(texts: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """A row per word of a field of a text (PACKED) from its words with blanks between, t_<field>; texts are grouped where they are read."""
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(_packer(fields), f"doc_id {kind}, n_tokens int, field string, token string, positions array<int>")
+
+
+def _stored(packed: DataFrame, docs: DataFrame, words: DataFrame, gone: DataFrame | None = None) -> Segment:
+    """A segment written as tables, from its PACKED rows."""
+    rows = packed.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
+    clustered, documents = materialize(rows, "postings"), materialize(docs, "index-docs")
     return Segment(
-        clustered, materialize(docs, "index-docs"), materialize(words, "dictionary"),
-        None if gone is None else materialize(gone, "index-gone"), clustered.count(),
+        _unpacked(clustered), documents, materialize(words, "dictionary"),
+        None if gone is None else materialize(gone, "index-gone"), _size(documents), clustered,
     )
 
 
+def _size(docs: DataFrame) -> int:
+    """Word occurrences of the documents."""
+    return docs.agg(F.sum("n_tokens")).first()[0] or 0
+
+
 def _segment(rows: DataFrame, doc_id: str, fields: Mapping[str, Column | str], stem: bool, known: DataFrame | None = None, stored: bool = False) -> Segment:
     """A segment of the given text columns; ``known`` (token) are words that are in the dictionary already."""
     words = rows.select(F.col(doc_id).alias("doc_id"), *[tokens(c).alias(f"w_{name}") for name, c in fields.items()])
-    total = reduce(Column.__add__, [F.size(f"w_{name}") for name in fields], F.lit(0))
+    total = reduce(Column.__add__, [F.size(f"w_{name}") for name in fields], F.lit(0)).alias("n_tokens")
+    packed = None
+    if stored:  # tokenised once, and kept as one text, which is written much faster than an array of words
+        texts = materialize(words.select("doc_id", total, *[F.array_join(f"w_{name}", " ").alias(f"t_{name}") for name in fields]), "index-texts")
+        packed = _pack(texts, list(fields))
+        none = F.array().cast("array<string>")
+        split = [F.when(F.col(f"t_{name}") != "", F.split(f"t_{name}", " ")).otherwise(none).alias(f"w_{name}") for name in fields]
+        words = texts.select("doc_id", "n_tokens", *split)
+    else:
+        words = texts = words.select("doc_id", total, *[f"w_{name}" for name in fields])
     parts = F.array(*[F.struct(F.lit(name).alias("field"), F.col(f"w_{name}").alias("words")) for name in fields])
-    texts = words.select("doc_id", total.alias("n_tokens"), parts.alias("parts"))
-    if stored:  # tokenised once
-        texts = materialize(texts, "index-texts")
-    postings = texts.select("doc_id", "n_tokens", F.explode("parts").alias("f")).select(
+    postings = words.select("doc_id", "n_tokens", F.explode(parts).alias("f")).select(
         "doc_id", "n_tokens", "f.field", F.posexplode("f.words").alias("pos", "token")
     )
-    fresh = postings.select("token").distinct()
+    fresh = (postings if packed is None else packed).select("token").distinct()
     if known is not None:
         fresh = fresh.join(known, "token", "left_anti")
-    return Segment(postings, texts.select("doc_id", "n_tokens"), fresh.withColumn("stem", stem_word("token") if stem else F.col("token")))
+    dictionary = fresh.withColumn("stem", stem_word("token") if stem else F.col("token"))
+    return Segment(postings, texts.select("doc_id", "n_tokens"), dictionary, packed=packed)
 
 
 def build_index(
@@ -202,11 +263,11 @@ def build_index(
     """
     part = _segment(rows, doc_id, fields, stem, stored=stored or once)
     if once:
-        part = replace(part, words=materialize(part.words, "dictionary"))
+        part = replace(part, words=materialize(part.words, "dictionary"), packed=None)
     elif stored:
         # the words come from the sorted table, not from the texts again
-        bare = _stored(part.postings, part.docs, part.words.where("false"))
-        words = bare.postings.select("token").distinct().withColumn("stem", stem_word("token") if stem else F.col("token"))
+        bare = _stored(part.packed, part.docs, part.words.where("false"))
+        words = bare.packed.select("token").distinct().withColumn("stem", stem_word("token") if stem else F.col("token"))
         part = replace(bare, words=materialize(words, "dictionary"))
     return TextIndex((part,), stem)
 
@@ -224,13 +285,16 @@ def update_index(
     gone = changed.select(F.col(doc_id).alias("doc_id")).unionByName(removed.select(F.col(doc_id).alias("doc_id"))).distinct()
     base = index if all(s.size is not None for s in index.segments) else index.stored()
     part = _segment(changed, doc_id, fields, index.stem, base.vocabulary.select("token"), stored=True)
-    segments = [*base.segments, _stored(part.postings, part.docs, part.words, gone)]
-    while len(segments) > 1 and segments[-2].size <= TIER * segments[-1].size:
-        old, new = segments[-2:]
-        pair = TextIndex((old, new), index.stem)
-        both = new.gone if old.gone is None else old.gone.unionByName(new.gone).distinct()
-        segments[-2:] = [_stored(pair.postings, pair.docs, pair.vocabulary, both if len(segments) > 2 else None)]
-    return TextIndex(tuple(segments), index.stem)
+    older, merged = list(base.segments), [replace(part, gone=materialize(gone, "index-gone"))]
+    size = _size(part.docs)
+    # what is to be merged follows from the documents, so that every row is written once
+    while older and older[-1].size <= TIER * size:
+        merged.insert(0, older.pop())
+        size = _size(TextIndex(tuple(merged)).docs)
+    new, out = TextIndex(tuple(merged), index.stem), [s.gone for s in merged if s.gone is not None]
+    packed = new._live(lambda s: s.packed)
+    dead = reduce(DataFrame.unionByName, out).distinct() if older else None
+    return TextIndex((*older, _stored(packed, new.docs, new.vocabulary, dead)), index.stem)
 
 
 def _expand(parts: DataFrame, vocabulary: DataFrame, stem: bool) -> DataFrame:

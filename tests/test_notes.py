@@ -391,3 +391,19 @@ def test_a_word_skips_the_branches_of_ranges_around_it(spark):
     words = spark.createDataFrame([(f"{c}{d}",) for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcde"], "w string")
     got = {r.w for r in words.where(ti._within(F.col("w"), ranges)).collect()}
     assert got == {r.w for r in words.collect() if any(low <= r.w <= high for low, high in ranges)}
+
+
+def test_a_merging_update_writes_its_words_once(spark, monkeypatch):
+    """Texts without words, repeated and accented ones, two fields: the same words as without tables, and one table of postings."""
+    texts = [("a", "b a  b b", "Été b"), ("b", "", None), ("c", None, "x"), ("d", "?!", "b x b")]
+    rows, fields = spark.createDataFrame(texts, "id string, title string, content string"), {"title": "title", "content": "content"}
+    index = ti.build_index(rows, "id", fields, stored=True)
+    assert sorted(index.postings.collect()) == sorted(ti.build_index(rows, "id", fields).postings.collect())
+    assert index.segments[0].size == 10 and index.segments[0].packed.count() == 7
+    written = []
+    monkeypatch.setattr(ti, "materialize", lambda df, name, keep=ti.materialize: written.append(name) or keep(df, name))
+    changed = rows.where("id = 'a'").withColumn("title", F.lit("new b"))
+    index = ti.update_index(index, changed, rows.where("id = 'c'"), "id", fields)
+    want = ti.build_index(changed.unionByName(rows.where("id IN ('b', 'd')")), "id", fields)
+    assert sorted(index.postings.collect()) == sorted(want.postings.collect()) and sorted(index.docs.collect()) == sorted(want.docs.collect())
+    assert len(index.segments) == 1 and written.count("postings") == 1
