@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import skew
 from loomgraph.operators.lookup import resolve_names
 from loomgraph.operators.skew import planned_bytes, salted_join, top_per_key
-from loomgraph.session import materialize, scratch_root
+from loomgraph.session import materialize, scratch_root, scratch_scope, shuffles_removed
 
 DEFAULT_DEPTH = 3
 DEFAULT_MAX_NODES = 100
@@ -41,10 +42,10 @@ def neighbors(edges: DataFrame, nodes: DataFrame, direction: str, kinds: Sequenc
     return salted_join(hops(edges, direction, kinds), nodes.select("id").distinct(), ["id"], "left_semi").distinct()
 
 
-#: A cap up to which a seed's state is one row with arrays: at most cap * (cap + 1) ids meet in it.
+#: A cap up to which a seed's state is one row with arrays: at most cap * (cap + 1) ids meet in it, mostly far fewer.
 ARRAY_CAP = 500
 #: Rows of one bucket of a stored adjacency, about.
-BUCKET_ROWS = 2_000_000
+BUCKET_ROWS = 100_000
 #: Repositories that are named in a partition filter.
 PRUNED_REPOS = 1000
 
@@ -60,34 +61,94 @@ def adjacency(edges: DataFrame, direction: str, kinds: Sequence[str] | None = No
     steps = hops(edges, direction, kinds).where("id IS NOT NULL AND next IS NOT NULL")
     # Steps of several kinds or repositories share a rank, so that the edges are shuffled once, by id; the set drops the repeats.
     near = top_per_key(steps, ["id"], [F.col("next")], max_nodes + 1, ties=True)
-    lists = materialize(near.groupBy("id").agg(F.sort_array(F.collect_set("next")).alias("nexts")), "neighbours")
+    lists = near.groupBy("id").agg(F.sort_array(F.collect_set("next")).alias("nexts"))
     spark = edges.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lists.count() // BUCKET_ROWS))
     name = f"adjacency_{uuid.uuid4().hex}"
-    (
-        lists.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id")
-        .option("path", f"{scratch_root(spark)}/{name}").saveAsTable(name)
-    )
+    with scratch_scope(spark), shuffles_removed(spark):
+        lists = materialize(lists, "neighbours")
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lists.count() // BUCKET_ROWS))
+        (
+            lists.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id")
+            .option("path", f"{scratch_root(spark)}/{name}").saveAsTable(name)
+        )
     return spark.table(name)
 
 
-def _bfs_arrays(graph: DataFrame, seeds: DataFrame, depth: int, max_nodes: int) -> DataFrame:
-    """Capped traversal over an adjacency, one row per seed and level: (seed, found, frontier)."""
-    none = F.array().cast("array<struct<id:bigint,depth:int>>")
+def _bounds(depth: int, max_nodes: int | None) -> tuple[int, int | None]:
+    """Depth and cap of a traversal; non-positive ones mean the defaults."""
+    return depth if depth > 0 else DEFAULT_DEPTH, DEFAULT_MAX_NODES if max_nodes is not None and max_nodes <= 0 else max_nodes
+
+
+def nearest_ids(graph: DataFrame, seeds: DataFrame, depth: int, max_nodes: int) -> DataFrame:
+    """Capped traversal over an adjacency: (seed, depth, ids), the ids found at each depth in one row.
+
+    A state row holds what a level adds; what a seed knows from before stays in it
+    only while the seed is open, that is not full and with a frontier.
+    """
     state = seeds.select(F.col("seed").cast("long").alias("seed")).where("seed IS NOT NULL").distinct()
-    state = materialize(state.select("seed", none.alias("found"), F.array("seed").alias("frontier")), "bfs-seeds")
+    none = F.array().cast("array<bigint>")
+    state = materialize(state.select("seed", none.alias("known"), F.array("seed").alias("taken")), "bfs-seeds")
+    levels = []
     for level in range(1, depth + 1):
-        budget = F.lit(max_nodes) - F.size("found")
-        open_ = state.where((F.size("frontier") > 0) & (budget > 0)).select("seed", F.explode("frontier").alias("id"))
-        reached = open_.join(graph, "id").groupBy("seed").agg(F.array_distinct(F.flatten(F.collect_list("nexts"))).alias("reached"))
-        known = F.concat(F.array("seed"), F.transform("found", lambda f: f["id"]))
-        fresh = F.sort_array(F.array_except(F.coalesce("reached", F.array().cast("array<bigint>")), known))
-        nearer = state.join(reached, "seed", "left").withColumn("frontier", F.slice(fresh, F.lit(1), F.greatest(budget, F.lit(0))))
-        at_level = F.transform("frontier", lambda i: F.struct(i.alias("id"), F.lit(level).alias("depth")))
-        state = materialize(nearer.select("seed", F.concat("found", at_level).alias("found"), "frontier"), f"bfs-level{level}")
-        if level < depth and state.where((F.size("frontier") > 0) & (F.size("found") < max_nodes)).isEmpty():
+        state = _next_level(graph, state, max_nodes + 1, level, level == depth)
+        levels.append(state.select("seed", F.lit(level).alias("depth"), F.col("taken").alias("ids")))
+        if level < depth and state.where("known IS NOT NULL").isEmpty():
             break
-    return state.select("seed", F.explode("found").alias("f")).select("seed", "f.id", "f.depth")
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _next_level(graph: DataFrame, state: DataFrame, most: int, level: int, last: bool) -> DataFrame:
+    """The next state (seed, known, taken) of the open seeds; ``most`` ids, the seed among them, make a seed full.
+
+    A seed takes the smallest new ids of its frontier's sorted lists, so every list
+    first sends its head, somewhat more than its share of what the seed may take.
+    The last id a seed would take of the heads bounds what it can take at all; only
+    seeds one of whose cut lists ends below that bound fetch the rest up to it.
+    """
+    held = F.concat("known", "taken")
+    room = F.lit(most) - F.size("held")
+    share = room / F.size("taken")
+    head = F.least(F.ceil(share + 3 * F.sqrt(share)) + 1, F.lit(most)).cast("int")
+    open_ = state.where("known IS NOT NULL").withColumn("held", held).select("seed", "held", "taken", head.alias("head"))
+    heads = open_.select("seed", "head", F.explode("taken").alias("id")).join(graph, "id").select(
+        "seed", F.slice("nexts", F.lit(1), F.col("head")).alias("part"),
+        F.when(F.size("nexts") > F.col("head"), F.get("nexts", F.col("head") - 1)).alias("cut"),
+    )
+    first = _gathered(heads, F.min("cut").alias("cut")).join(open_, "seed").withColumn("found", _smallest("reached", room))
+    bound = F.get("found", room - 1)
+    more = F.col("cut").isNotNull() & (bound.isNull() | (F.col("cut") < bound))
+    goes_on = (F.size("found") > 0) & (F.size("held") + F.size("found") < most) & F.lit(not last)
+    # what a seed holds is kept for the seeds that need it: those that fetch more, and those open at the next level
+    first = materialize(
+        first.withColumn("more", more).select(
+            "seed", "more", F.when(F.col("more") | goes_on, F.col("held")).alias("held"), "found", bound.alias("bound"),
+            F.when(F.col("more"), F.col("taken")).alias("taken"), F.when(F.col("more"), F.col("head")).alias("head"),
+        ),
+        f"bfs-level{level}",
+    )
+    done = first.where("NOT more").select("seed", F.col("held").alias("known"), F.col("found").alias("taken"))
+    again = first.where("more")
+    if again.isEmpty():
+        return done
+    tails = again.select("seed", "head", "bound", F.explode("taken").alias("id")).join(graph, "id").select(
+        "seed", F.filter(F.slice("nexts", F.col("head") + 1, F.lit(most)), lambda i: F.col("bound").isNull() | (i < F.col("bound"))).alias("part")
+    )
+    rest = again.join(_gathered(tails.where(F.size("part") > 0)), "seed", "left")
+    both = F.concat("found", F.coalesce("reached", F.array().cast("array<bigint>")))
+    rest = rest.withColumn("found", _smallest(both, room)).select(
+        "seed", F.when(goes_on, F.col("held")).alias("known"), F.col("found").alias("taken")
+    )
+    return done.unionByName(materialize(rest, f"bfs-rest{level}"))
+
+
+def _gathered(parts: DataFrame, *more: Column) -> DataFrame:
+    """What the lists of a seed sent, in one row: (seed, reached); no two tasks hold parts of a seed, so nothing is gathered twice."""
+    return parts.repartition("seed").groupBy("seed").agg(F.flatten(F.collect_list("part")).alias("reached"), *more)
+
+
+def _smallest(ids: Column | str, room: Column) -> Column:
+    """The ``room`` smallest of the ids that are not in ``held``, in order."""
+    return F.slice(F.sort_array(F.array_except(ids, "held")), F.lit(1), room)
 
 
 def bfs(
@@ -110,11 +171,10 @@ def bfs(
     smaller); every level is a join with it and one row per seed, so that a hub
     costs no more than the cap.  Other traversals join the edges level by level.
     """
-    depth = depth if depth > 0 else DEFAULT_DEPTH
-    if max_nodes is not None and max_nodes <= 0:
-        max_nodes = DEFAULT_MAX_NODES
+    depth, max_nodes = _bounds(depth, max_nodes)
     if max_nodes is not None and max_nodes <= ARRAY_CAP:
-        return _bfs_arrays(graph if graph is not None else adjacency(edges, direction, kinds, max_nodes), seeds, depth, max_nodes)
+        graph = graph if graph is not None else adjacency(edges, direction, kinds, max_nodes)
+        return nearest_ids(graph, seeds, depth, max_nodes).select("seed", F.explode("ids").alias("id"), "depth")
     return _bfs_rows(edges, seeds, direction, kinds, depth, max_nodes)
 
 
@@ -178,11 +238,13 @@ def traverse(
     queries: DataFrame,
     depth: int = DEFAULT_DEPTH,
     max_nodes: int | None = DEFAULT_MAX_NODES,
+    graph: DataFrame | None = None,
 ) -> DataFrame:
     """A named traversal for many (repo_id, query) names or FQNs in one run.
 
     Returns (repo_id, query, seed, id, depth, lang, kind, name, fqn).  Queries
     that do not resolve to one symbol give no rows; ``resolve_names`` tells why.
+    ``graph`` is a stored adjacency for ``bfs``, of the traversal's direction and kinds.
     """
     direction, kinds = TRAVERSALS[name]
     resolved = materialize(
@@ -191,8 +253,14 @@ def traverse(
         .select("repo_id", "query", F.col("symbol_id").alias("seed")),
         "traverse-seeds",
     )
-    reached = bfs(_of_repos(edges, resolved), resolved.select("seed"), direction, kinds, depth, max_nodes)
-    return hydrate(reached, symbols).join(resolved, "seed")
+    depth, max_nodes = _bounds(depth, max_nodes)
+    if max_nodes is None or max_nodes > ARRAY_CAP:
+        reached = bfs(_of_repos(edges, resolved), resolved.select("seed"), direction, kinds, depth, max_nodes)
+        return hydrate(reached, symbols).join(resolved, "seed")
+    graph = graph if graph is not None else adjacency(_of_repos(edges, resolved), direction, kinds, max_nodes)
+    # queries meet the arrays of their seed, so that a row per node is shuffled once, by its id
+    found = nearest_ids(graph, resolved.select("seed"), depth, max_nodes).join(resolved, "seed")
+    return hydrate(found.select("repo_id", "query", "seed", F.explode("ids").alias("id"), "depth"), symbols)
 
 
 def _of_repos(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import lookup, stats, traverse
 from loomgraph.plans.registry import Tables, query
-from loomgraph.session import materialize
+from loomgraph.session import materialize, scratch_scope
 from loomgraph.sources import export
 
 # --- breadth-first traversals -------------------------------------------------
@@ -95,8 +95,10 @@ def traverse_sql(table: str, name_col: str, key: str, name: str, select: str = "
 
 def run_traversal(t: Tables, name: str, queries: DataFrame) -> DataFrame:
     asked = queries.select(F.lit(1).cast("long").alias("repo_id"), "query")
-    edges = stored_edges(t, *traverse.TRAVERSALS[name][1])
-    return traverse.traverse(name, t.stored("trade_symbols"), edges, asked).select(
+    direction, kinds = traverse.TRAVERSALS[name]
+    with scratch_scope(t.spark):  # the edges are read into the adjacency only
+        graph = traverse.adjacency(stored_edges(t, *kinds), direction, kinds)
+    return traverse.traverse(name, t.stored("trade_symbols"), t.trade_edges, asked, graph=graph).select(
         "query", "seed", "id", "depth", "kind", "name", "fqn"
     )
 

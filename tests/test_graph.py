@@ -1,6 +1,7 @@
 """Traversal, lookup and layout on small graphs, also against brute force."""
 
 import math
+import os
 import random
 from collections import defaultdict, deque
 
@@ -8,7 +9,7 @@ import pytest
 
 from loomgraph.operators import lookup, skew, stats, traverse
 from loomgraph.plans import graph_queries, registry
-from loomgraph.session import INPUT_PER_PARTITION, fit_tasks
+from loomgraph.session import INPUT_PER_PARTITION, fit_tasks, materialize, scratch_root
 
 EDGE = "repo_id long, kind string, src long, dst long"
 SYMBOL = "id long, repo_id long, lang string, kind string, name string, fqn string"
@@ -260,3 +261,35 @@ def test_traversals_store_only_edges_they_follow(spark, monkeypatch, name, kinds
     monkeypatch.setattr(graph_queries, "materialize", lambda df, _: stored.append(df) or df)
     registry.PLANS[name](registry.Tables(spark, "/root/testdata/sf0.001"))
     assert {r.kind for r in stored[0].select("kind").distinct().collect()} == kinds
+
+
+def test_lists_send_their_heads_and_the_rest_only_below_the_bound(spark, monkeypatch, tmp_path):
+    """Two seeds with the same number of neighbours: the lists of one are alike, for the other all small ids are in one list."""
+    monkeypatch.setattr(traverse, "scratch_root", lambda _: str(tmp_path))
+    sent, gathered = [], traverse._gathered
+    monkeypatch.setattr(traverse, "_gathered", lambda parts, *more: sent.append(parts) or gathered(parts, *more))
+    alike = [(1, 100 + i) for i in range(20)] + [(100 + i, 1000 + 20 * j + i) for i in range(20) for j in range(30)]
+    uneven = [(2, 200 + i) for i in range(20)] + [(200, 300 + j) for j in range(30)] + [(200 + i, 5000 + 30 * i + j) for i in range(1, 20) for j in range(30)]
+    # of 600 ids in lists of 30, heads of 7; the uneven seed's bound lies in its fifth list, so that four lists send 23 more
+    for rows, seed, rest in ((alike, 1, 0), (uneven, 2, 4 * 23)):
+        sent.clear()
+        graph = traverse.adjacency(edges(spark, [("CALLS", a, b) for a, b in rows]), "out", max_nodes=50)
+        found = traverse.bfs(None, spark.createDataFrame([(seed,)], "seed long"), depth=2, max_nodes=50, graph=graph).collect()
+        assert {(r.depth, r.id) for r in found} == brute_bfs(rows, seed, 2, 50)
+        ids = [sum(len(r.part) for r in parts.collect()) for parts in sent]
+        assert ids[0] == 20 and ids[1] == 20 * 7 and sum(ids[2:]) == rest
+
+
+def test_a_stored_step_leaves_no_shuffle_files_and_an_adjacency_no_other_table(spark):
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    scratch = scratch_root(spark).removeprefix("file:")
+
+    def shuffles():
+        return {f for d in folders for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before, stored = shuffles(), set(os.listdir(scratch))
+    rows = spark.range(2000).selectExpr("1L AS repo_id", "'CALLS' AS kind", "id % 50 AS src", "id AS dst").repartition(4)
+    materialize(rows.groupBy("src").count(), "counts")
+    assert not shuffles() - before
+    traverse.adjacency(rows, "out", max_nodes=5)
+    assert sorted(f.split("-")[0].split("_")[0] for f in set(os.listdir(scratch)) - stored) == ["adjacency", "counts"]
