@@ -95,11 +95,14 @@ def overrides_at(symbols: DataFrame, refs: DataFrame, methods: DataFrame, of_go:
     return either(at(found, methods, "src"), at(found, methods, "dst")).distinct()
 
 
-def edge_changes(before: dict[str, DataFrame], after: dict[str, DataFrame], files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def edge_changes(
+    before: dict[str, DataFrame], after: dict[str, DataFrame], files: DataFrame, *, calls: bool = True,
+) -> tuple[DataFrame, DataFrame]:
     """(touched, fresh): ids by edge kind whose old edges are void (kind, id), and all edges now that have one of them as an end.
 
     ``before`` and ``after`` hold symbols, callsites and refs, of ``after`` as
     stored tables; ``files`` (file_id) are those whose rows were replaced or removed.
+    Without ``calls`` no CALLS edges are derived: ``rules.call_ends`` stands for them.
     """
     symbols, callsites, refs = (after[name] for name in ("symbols", "callsites", "refs"))
     changed = materialize(changed_symbols(before["symbols"], symbols), "changed-symbols")
@@ -122,8 +125,6 @@ def edge_changes(before: dict[str, DataFrame], after: dict[str, DataFrame], file
         held = [contains(t["symbols"], children=t["symbols"].where("kind = 'method'"), parents=at(t["symbols"], types)).select("dst") for t in (before, after)]
         methods = materialize(ids_of(changed, *held), "touched-methods")
     here, said = at(symbols, sources), at(refs, sources, "src")
-    # what touched callers call, and what others call of them: no edge twice, so that these, often most of all, need no distinct
-    calls = rules.call_edges(symbols, at(callsites, callers, "caller")).unionByName(rules.call_edges(at(symbols, callers), not_at(callsites, callers, "caller")))
     fresh = [
         rules.structural_edges(at(symbols, changed), parents=symbols), rules.structural_edges(symbols, parents=at(symbols, changed)),
     ]
@@ -141,7 +142,13 @@ def edge_changes(before: dict[str, DataFrame], after: dict[str, DataFrame], file
         "CALLS": callers, "CONTAINS": changed, "DECLARES": changed, "IMPORTS": sources, "EXTENDS": types, "IMPLEMENTS": types,
         "REFERENCES": sources, "OVERRIDES": methods,
     }
-    return either(*[ids.select(F.lit(kind).alias("kind"), "id") for kind, ids in touched.items()]), either(*fresh).distinct().unionByName(calls)
+    fresh = either(*fresh).distinct()
+    if calls:
+        # what touched callers call, and what others call of them: no edge twice, so that these, often most of all, need no distinct
+        fresh = fresh.unionByName(rules.call_edges(symbols, at(callsites, callers, "caller"))).unionByName(
+            rules.call_edges(at(symbols, callers), not_at(callsites, callers, "caller"))
+        )
+    return either(*[ids.select(F.lit(kind).alias("kind"), "id") for kind, ids in touched.items()]), fresh
 
 
 def _kinds(*tables: DataFrame) -> set[tuple[str, str]]:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 KEY = ("repo_id", "kind", "src", "dst")
 
 
-def as_edges(pairs: DataFrame, kind: str | Column, confidence: float, provenance: str) -> DataFrame:
-    """(repo_id, src, dst) rows as edge rows of one kind."""
+def as_edges(pairs: DataFrame, kind: str | Column, confidence: float, provenance: str, *more: str) -> DataFrame:
+    """(repo_id, src, dst) rows as edge rows of one kind; the columns ``more`` stay."""
     return pairs.select(
         "repo_id",
         (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"),
@@ -19,6 +19,7 @@ def as_edges(pairs: DataFrame, kind: str | Column, confidence: float, provenance
         F.col("dst").cast("long").alias("dst"),
         F.lit(confidence).cast("double").alias("confidence"),
         F.lit(provenance).alias("provenance"),
+        *more,
     )
 
 

@@ -155,6 +155,37 @@ def call_edges(
     ``same_lang`` also asks for a caller in the callee's language (the
     whole-repository variant of the script languages).
     """
+    calls, callees = _call_sides(symbols, callsites, langs, last_part)
+    on = ["repo_id", "name"]
+    if same_lang:
+        speakers = symbols.where(F.col("lang").isin(*langs)).select(F.col("id").alias("src"), "lang").distinct()
+        calls = calls.join(speakers, "src")
+        on = [*on, "lang"]
+    # Stored, as pairs are counted first.  A call and a callee meet once: an id has one name and language.
+    return as_edges(spread_pairs(materialize(calls, "calls"), callees, on, ["src"]), "CALLS", *CALL)
+
+
+def call_ends(symbols: DataFrame, callsites: DataFrame) -> DataFrame:
+    """The CALLS edges as their ends (repo_id, name, callee, id), as many as calls and callees and not as their pairs."""
+    calls, callees = _call_sides(symbols, callsites, tuple(CALLEE_KINDS), False)
+    return calls.select("repo_id", "name", F.lit(False).alias("callee"), F.col("src").alias("id")).unionByName(
+        callees.select("repo_id", "name", F.lit(True).alias("callee"), F.col("dst").alias("id"))
+    ).where("repo_id IS NOT NULL AND name IS NOT NULL")
+
+
+def paired_calls(ends: DataFrame) -> DataFrame:
+    """The CALLS edges of stored ends; other columns of the ends come along, as src_... and dst_... ."""
+    more = [c for c in ends.columns if c not in ("repo_id", "name", "callee", "id")]
+
+    def side(callee: bool, end: str) -> DataFrame:
+        return ends.where(F.col("callee") == callee).select("repo_id", "name", F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in more])
+
+    pairs = spread_pairs(side(False, "src"), side(True, "dst"), ["repo_id", "name"], ["src"])
+    return as_edges(pairs, "CALLS", *CALL, *[f"{end}_{c}" for end in ("src", "dst") for c in more])
+
+
+def _call_sides(symbols: DataFrame, callsites: DataFrame, langs: Sequence[str], last_part: bool) -> tuple[DataFrame, DataFrame]:
+    """Calls (repo_id, src, name) and callees (repo_id, name, dst, lang), each row once."""
     callable_ = F.lit(False)
     for lang in langs:
         callable_ = callable_ | ((F.col("lang") == lang) & F.col("kind").isin(*CALLEE_KINDS[lang]))
@@ -163,14 +194,7 @@ def call_edges(
     repos = [r.repo_id for r in callees.where("repo_id IS NOT NULL").select("repo_id").distinct().limit(NAMED_REPOS + 1).collect()]
     if len(repos) <= NAMED_REPOS:
         known = known.where(F.col("repo_id").isin(*repos))
-    calls = known.select("repo_id", F.col("caller").alias("src"), callee_key("callee_text", last_part).alias("name")).distinct()
-    on = ["repo_id", "name"]
-    if same_lang:
-        speakers = symbols.where(F.col("lang").isin(*langs)).select(F.col("id").alias("src"), "lang").distinct()
-        calls = calls.join(speakers, "src")
-        on = [*on, "lang"]
-    # Stored, as pairs are counted first.  A call and a callee meet once: an id has one name and language.
-    return as_edges(spread_pairs(materialize(calls, "calls"), callees, on, ["src"]), "CALLS", *CALL)
+    return known.select("repo_id", F.col("caller").alias("src"), callee_key("callee_text", last_part).alias("name")).distinct(), callees
 
 
 def import_edges(symbols: DataFrame, refs: DataFrame, langs: Sequence[str] = ("go", "java")) -> DataFrame:
@@ -400,8 +424,8 @@ def has_user_rules() -> bool:
     return bool(_EXTRA_RULES)
 
 
-def build_edges(symbols: DataFrame, callsites: DataFrame, refs: DataFrame, *, attribute: bool = True) -> DataFrame:
-    """All edges of the repositories in the inputs.
+def build_edges(symbols: DataFrame, callsites: DataFrame, refs: DataFrame, *, attribute: bool = True, calls: bool = True) -> DataFrame:
+    """All edges of the repositories in the inputs; without ``calls`` those that ``call_ends`` stands for are left to it.
 
     Calls, containment, imports and references depend on nothing; IMPLEMENTS of
     Go needs CONTAINS; OVERRIDES needs CONTAINS, IMPLEMENTS and EXTENDS.
@@ -415,7 +439,6 @@ def build_edges(symbols: DataFrame, callsites: DataFrame, refs: DataFrame, *, at
         .unionByName(extends_edges(symbols, refs)),
         "hierarchy",
     )
-    calls = call_edges(symbols, callsites)
     outputs = [
         structure,
         hierarchy,
@@ -425,6 +448,6 @@ def build_edges(symbols: DataFrame, callsites: DataFrame, refs: DataFrame, *, at
         reference_suffix_edges(symbols, refs),
     ]
     if not has_user_rules():  # calls are distinct, and no other rule makes any
-        return union_rules(outputs).unionByName(calls)
+        return union_rules(outputs).unionByName(call_edges(symbols, callsites)) if calls else union_rules(outputs)
     outputs += [rule(symbols, callsites, refs) for rule in _EXTRA_RULES.values()]
-    return union_rules([calls, *outputs])
+    return union_rules([call_edges(symbols, callsites), *outputs] if calls else outputs)

@@ -110,29 +110,39 @@ def spread_pairs(
 
     Few keys with many rows on both sides are small as tables, so that one task
     would get them all, and make far more pairs than rows.  The pairs of every key are
-    counted first; a key with more than ``task_pairs`` is split by a hash of
-    ``spread_by`` on the left side, as often as it takes, and repeated on the right
-    one.  Both sides are read twice: pass stored tables or projections of them.
+    counted first; a key with more than ``task_pairs`` is cut into cells, the left side by
+    a hash of ``spread_by``, the right one by a hash of its other columns.  Cells have about as
+    many rows of either side, so that a row is repeated as often as the root of the
+    number of cells.  Both sides are read twice: pass stored tables or projections of them.
     """
     on, most = list(on), TASK_PAIRS if task_pairs is None else task_pairs
     rows = F.count(F.lit(1))
     counts = left.groupBy(*on).agg(rows.alias("n")).join(right.groupBy(*on).agg(rows.cast("double").alias("m")), on, "left")
     # a key without a partner makes no pair, but is read
-    weighed = materialize(counts.select(*on, "n", F.greatest(F.col("n") * F.col("m"), F.col("n").cast("double")).alias("pairs")), "pair-counts")
+    weighed = materialize(counts.select(*on, "n", "m", F.greatest(F.col("n") * F.col("m"), F.col("n").cast("double")).alias("pairs")), "pair-counts")
     pairs = weighed.agg(F.sum("pairs")).first()[0] or 0
     if pairs <= most:
         return left.join(right, on)
     tasks = min(int(pairs // most) + 1, MOST_PARTITIONS)
+    cells = F.ceil(F.col("pairs") / most)
+    down = F.least(cells, F.ceil(F.sqrt(cells * F.col("n") / F.coalesce("m", F.lit(1.0)))))
     hot = weighed.where(F.col("pairs") > most).orderBy(F.desc("pairs")).limit(HOT_KEYS).select(
-        *on, F.least(F.ceil(F.col("pairs") / most), F.col("n")).cast("int").alias("__parts")
+        *on, down.cast("int").alias("__down"), F.ceil(cells / down).cast("int").alias("__across")
     )
 
-    def dealt(side: DataFrame, salt: Column) -> DataFrame:
-        return side.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__parts").repartition(tasks, *on, "__salt")
+    def split(by: Sequence[str], parts: str) -> Column:
+        return F.pmod(F.xxhash64(*by), F.coalesce(parts, F.lit(1))).cast("int")
 
-    parts = F.coalesce("__parts", F.lit(1))
-    split = dealt(left, F.pmod(F.xxhash64(*spread_by), parts).cast("int"))
-    return split.join(dealt(right, F.explode(F.sequence(F.lit(0), parts - 1))), [*on, "__salt"]).drop("__salt")
+    def repeated(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))
+
+    def dealt(side: DataFrame, row: Column, column: Column) -> DataFrame:
+        cell = side.join(F.broadcast(hot), on, "left").withColumn("__row", row).withColumn("__column", column)
+        return cell.drop("__down", "__across").repartition(tasks, *on, "__row", "__column")
+
+    others = [c for c in right.columns if c not in on]
+    rows_of, columns_of = dealt(left, split(spread_by, "__down"), repeated("__across")), dealt(right, repeated("__down"), split(others, "__across"))
+    return rows_of.join(columns_of, [*on, "__row", "__column"]).drop("__row", "__column")
 
 
 def top_per_key(

@@ -11,8 +11,8 @@ from loomgraph.functions.text import content_hash
 from loomgraph.plans.markup_queries import PART_IDS, STYLE_NAMES, heading_extractor
 from loomgraph.plans.note_queries import BLANKS, content_key
 from loomgraph.plans.registry import Tables, query
-from loomgraph.session import scratch_root
-from loomgraph.sources.tables import read_table
+from loomgraph.session import scratch_root, shuffles_removed
+from loomgraph.sources.tables import read_edges, read_table
 from loomgraph.streaming import indexing, notes
 
 
@@ -135,7 +135,8 @@ PAGE_FN = "'site/p' || CAST({x}.page_id AS VARCHAR) || '.u' || CAST({x}.page_id
 def stream_edges(t: Tables) -> DataFrame:
     """Pages that arrive in two parts: the edges between all of them, derived part by part."""
     arriving = _folder(t, "arriving-pages")
-    t.pages.repartition(2, "page_id").write.parquet(arriving)
+    with shuffles_removed(t.spark):
+        t.pages.repartition(2, "page_id").write.parquet(arriving)
     files = t.spark.readStream.schema(t.pages.schema).option("maxFilesPerTrigger", 1).parquet(arriving).select(
         F.lit(1).cast("long").alias("repo_id"), F.concat(F.lit("site/p"), "page_id", F.lit(".js")).alias("path"),
         F.col("page_id").alias("mtime"), F.octet_length("html").cast("long").alias("size"), F.col("html").cast("binary").alias("content"),
@@ -143,8 +144,7 @@ def stream_edges(t: Tables) -> DataFrame:
     base = _folder(t, "graph-store")
     indexing.start(files, base, _folder(t, "graph-checkpoint"), {"javascript": linked_extractor}, available_now=True).awaitTermination()
     names = read_table(t.spark, base, "symbols").select("id", "fqn")
-    edges = read_table(t.spark, base, "edges").join(names.toDF("src", "from"), "src").join(names.toDF("dst", "to"), "dst")
-    return edges.select("kind", F.col("from").alias("src"), F.col("to").alias("dst"))
+    return read_edges(t.spark, base, labels=names).select("kind", F.col("src_fqn").alias("src"), F.col("dst_fqn").alias("dst"))
 
 
 WEB = " UNION ALL ".join((

@@ -63,6 +63,14 @@ EDGES = T.StructType([
     T.StructField("provenance", T.StringType()),
 ])
 
+#: The two ends of the derived calls: every caller (callee false) calls every callee of its repository and name.
+CALL_ENDS = T.StructType([
+    T.StructField("repo_id", T.LongType()),
+    T.StructField("name", T.StringType()),
+    T.StructField("callee", T.BooleanType()),
+    T.StructField("id", T.LongType()),
+])
+
 CALLSITES = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("repo_id", T.LongType()),

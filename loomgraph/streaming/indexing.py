@@ -24,7 +24,7 @@ from loomgraph.operators.plugin import (
 from loomgraph.operators.spans import attribute_callers
 from loomgraph.session import materialize, scratch_scope
 from loomgraph.sources.files import scan_sources, sha256_hex, with_lang
-from loomgraph.sources.tables import create_tables, read_tables, write_tables
+from loomgraph.sources.tables import create_tables, read_stored, read_tables, write_tables
 
 
 #: Repositories that are named in a partition filter; more are selected by a join.
@@ -49,17 +49,20 @@ def _extracts(work: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
 
 
 def _next_edges(before: dict[str, DataFrame], after: dict[str, DataFrame], files: DataFrame) -> DataFrame:
-    """The edges after a change of the rows of ``files`` (file_id); see ``differential``."""
+    """The stored edges after a change of the rows of ``files`` (file_id); see ``differential``.
+
+    Derived calls are among them with user rules only, else they are stored by their ends.
+    """
     old = before["edges"]
     is_semantic = (F.col("confidence") >= 1.0) & (F.col("provenance") != "extractor")
     derived = old.where(~is_semantic)
     if before["symbols"].isEmpty() or rules.has_user_rules():
         semantic = inc.cascade(old.where(is_semantic), after["symbols"])
-        fresh = rules.build_edges(after["symbols"], after["callsites"], after["refs"], attribute=False)
+        fresh = rules.build_edges(after["symbols"], after["callsites"], after["refs"], attribute=False, calls=rules.has_user_rules())
         return add_missing(semantic.select(*fresh.columns), fresh)
     if files.isEmpty():
         return old
-    touched, fresh = differential.edge_changes(before, after, files)
+    touched, fresh = differential.edge_changes(before, after, files, calls=False)
     kept = differential.untouched(derived, materialize(touched, "touched-ends"))
     dead = before["symbols"].select("id").join(after["symbols"].select("id"), "id", "left_anti")
     semantic = old.where(is_semantic)
@@ -142,6 +145,9 @@ def index_files(
     refs = inc.replace_by_file(tables["refs"], file_ids, _shape(bound, schemas.REFS))
     refs = materialize(inc.set_null_missing(refs, ["src", "dst"], symbols), "refs")
     edges = _next_edges(stored, {"symbols": symbols, "callsites": callsites, "refs": refs}, moved)
+    ends = rules.call_ends(symbols, callsites)
+    if rules.has_user_rules():  # which may make calls as well: all edges are rows
+        ends = ends.where("false")
     results = seen.select("repo_id", "path", "status").join(
         extracts.groupBy("repo_id", "path").agg(F.sum(F.size("symbols")).alias("n_symbols"), F.sum(F.size("callsites")).alias("n_callsites")),
         ["repo_id", "path"], "left",
@@ -149,7 +155,7 @@ def index_files(
     return (
         {
             "files": new_files, "symbol_rows": raw, "symbols": symbols, "callsites": callsites, "refs": refs,
-            "edges": _shape(edges, schemas.EDGES),
+            "edges": _shape(edges, schemas.EDGES), "call_ends": _shape(ends, schemas.CALL_ENDS),
         },
         inc.run_summary(results),
     )
@@ -212,7 +218,7 @@ def watch(
         if ticks is not None and done >= ticks:
             return
         create_tables(spark, base)
-        known = read_tables(spark, base, [repo_id])["files"]
+        known = read_stored(spark, base, "files", [repo_id])
         with scratch_scope(spark):
             index_once(spark, base, scan_sources(spark, root, repo_id, ignore_lines, langs, known), extractors, complete=True)
         done += 1
